@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, urls
+from . import chat, factors, mixing, sharding, subtrees, urls
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -92,6 +92,14 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtrees.drop_repeats(table(spark, sf_dir, "documents"), 35, kept=False)
+
+
+def op9_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.drop_later_copies(table(spark, sf_dir, "documents"), 100, kept=False)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.RULES, urls.GLOBS).select("page_id", "host", "path", "rule", "verdict")
@@ -121,6 +129,8 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op5_temperature_mix": op5_temperature_mix,
     "op7_minimax_shards": op7_minimax_shards,
+    "op8_repeated_passages": op8_repeated_passages,
+    "op9_previous_factors": op9_previous_factors,
     "op10_url_rules": op10_url_rules,
 }
 SQL = {"op1_chat_format": OP1_SQL, "op5_temperature_mix": OP5_SQL, "op10_url_rules": OP10_SQL}
