@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, factors, mixing, sharding, subtrees, urls
+from . import chat, factors, mixing, sharding, simhash, subtrees, urls
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -38,6 +38,11 @@ FROM t GROUP BY conv_id
 """
 
 
+def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles and three bits are this query's contract."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream that 95 % of the greatest entropy over sources asks for, of as many tokens as there are, at most 4 epochs."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
@@ -127,6 +132,7 @@ FROM t
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op4_simhash_vp": op4_simhash_vp,
     "op5_temperature_mix": op5_temperature_mix,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_repeated_passages": op8_repeated_passages,
