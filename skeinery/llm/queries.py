@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, factors, mixing, sharding, simhash, subtrees, urls
+from . import chat, factors, mixing, sharding, simhash, subtrees, tiling, toxicity, urls
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -38,6 +38,11 @@ FROM t GROUP BY conv_id
 """
 
 
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles and three bits are this query's contract."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
@@ -93,6 +98,10 @@ FROM z
 """
 
 
+def op6_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -132,8 +141,10 @@ FROM t
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op4_simhash_vp": op4_simhash_vp,
     "op5_temperature_mix": op5_temperature_mix,
+    "op6_greedy_tiling": op6_greedy_tiling,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_previous_factors": op9_previous_factors,
