@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, factors, mixing, sharding, simhash, subtrees, tiling, toxicity, urls
+from . import ann, chat, factors, mixing, sharding, simhash, subtrees, tiling, toxicity, urls
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -43,6 +43,10 @@ def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles and three bits are this query's contract."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
@@ -142,6 +146,7 @@ FROM t
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
+    "op3_pruned_graph_ann": op3_pruned_graph_ann,
     "op4_simhash_vp": op4_simhash_vp,
     "op5_temperature_mix": op5_temperature_mix,
     "op6_greedy_tiling": op6_greedy_tiling,

@@ -37,8 +37,9 @@ _M, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Windows handled at a time; also the longest run.
 STEP = 1 << 16
-#: Bytes of text that one bucket of documents or runs holds, about, and that is held expanded at a time.
-BUCKET, SLAB = 12_000_000, 4_000_000
+#: Bytes of text that one bucket of documents or runs holds, about; that a task goes through, bucket by bucket;
+#: that are counted together on the map side; and that are held expanded at a time.
+BUCKET, TASK, LOCAL, SLAB = 4_000_000, 32_000_000, 16_000_000, 1 << 20
 #: At most so many hot groups can exist, whatever the input: 8 bytes each are sent to the executors.
 MOST_HOT = 4_000_000
 _ENTRY, _PART = "part int, db int, kind int, blob binary", pa.schema([("part", pa.int32()), ("db", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -207,24 +208,33 @@ def seeds(unit: str, w: int, k: int, n_parts: int, n_docs: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, th = _keys(b)
-            found = [(i + d, *rest) for i, t in slabs(*buffers(b.column("text")), unit) for d, *rest in [t.runs(w, k)]]
-            if not found:
-                continue
-            d, s, n, v, own = map(np.concatenate, zip(*found, strict=True))
-            order = np.argsort(v, kind="stable")
-            d, s, n, v, own = d[order], s[order].astype(np.uint32), (n[order] - 1).astype(np.uint16), v[order], own[order]
-            new = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            count = np.add.reduceat(1 + own, first).astype(np.uint32) if len(v) else np.zeros(0, np.uint32)
-            rows = []
-            for p, at in split(bucket_of(v[first], n_parts)):
-                f = first[at]
-                rows.append((p, -1, COUNTED, pack(*docs_of(d[f], key, th), s[f], n[f], v[f], count[at])))
-            rest = np.flatnonzero(~new)
-            for db, at in split(key[d[rest]] % n_docs):
-                f = rest[at]
-                rows.append((db % n_parts, db, KNOWN, pack(*docs_of(d[f], key, th), s[f], n[f], v[f])))
-            yield batch(rows)
+            found, held = [], 0
+            for i, t in slabs(*buffers(b.column("text")), unit):
+                d, *rest = t.runs(w, k)
+                found.append((i + d, *rest))
+                held += len(t.data)
+                if held >= LOCAL:
+                    yield counted(found, key, th)
+                    found, held = [], 0
+            if found:
+                yield counted(found, key, th)
+
+    def counted(found: list, key: np.ndarray, th: np.ndarray) -> pa.RecordBatch:
+        d, s, n, v, own = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(v, kind="stable")
+        d, s, n, v, own = d[order], s[order].astype(np.uint32), (n[order] - 1).astype(np.uint16), v[order], own[order]
+        new = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(1 + own, first).astype(np.uint32) if len(v) else np.zeros(0, np.uint32)
+        rows = []
+        for p, at in split(bucket_of(v[first], n_parts)):
+            f = first[at]
+            rows.append((p, -1, COUNTED, pack(*docs_of(d[f], key, th), s[f], n[f], v[f], count[at])))
+        rest = np.flatnonzero(~new)
+        for db, at in split(key[d[rest]] % n_docs):
+            f = rest[at]
+            rows.append((db % n_parts, db, KNOWN, pack(*docs_of(d[f], key, th), s[f], n[f], v[f])))
+        return batch(rows)
 
     return run
 
@@ -232,28 +242,23 @@ def seeds(unit: str, w: int, k: int, n_parts: int, n_docs: int) -> Callable:
 def recurring(n_docs: int, hot: int) -> Callable:
     """Reduce side: the runs whose minimizer occurs twice or more, by bucket of documents, and the hot minimizers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = []
-        for b in batches:
-            kinds = b.column("kind").to_pylist()
-            rows = []
-            for i, kind in enumerate(kinds):
-                blob = b.column("blob")[i].as_buffer()
-                if kind == COUNTED:
-                    mine.append(blob.to_pybytes())
-                else:
-                    rows.append((0, b.column("db")[i].as_py(), KNOWN, blob.to_pybytes()))
-            yield batch(rows)
+    def run(t: pa.Table) -> pa.Table:
+        mine, rows = [], []
+        for kind, db, blob in zip(t.column("kind").to_pylist(), t.column("db").to_pylist(), t.column("blob").combine_chunks(), strict=True):
+            if kind == COUNTED:
+                mine.append(blob.as_buffer())
+            else:
+                rows.append((0, db, KNOWN, blob.as_py()))
         key, th, d, s, n, v, count = unpack(mine, [*_RUN_TYPES, "<u4"], doc=2)
         del mine
         order = np.argsort(v)
         cut = np.flatnonzero(np.append(True, np.diff(v[order]) != 0)) if len(v) else np.zeros(0, np.int64)
         total = np.add.reduceat(count[order].astype(np.int64), cut) if len(v) else np.zeros(0, np.int64)
         keep = order[np.repeat(total >= 2, np.diff(np.append(cut, len(v))))]
-        rows = [(0, db, KNOWN, pack(*docs_of(d[at], key, th), s[at], n[at], v[at])) for db, p in split(key[d[keep]] % n_docs) for at in [keep[p]]]
+        rows += [(0, db, KNOWN, pack(*docs_of(d[at], key, th), s[at], n[at], v[at])) for db, p in split(key[d[keep]] % n_docs) for at in [keep[p]]]
         if (total > hot).any():
             rows.append((0, -1, HOT, v[order][cut[total > hot]].tobytes()))
-        yield batch(rows)
+        return pa.Table.from_batches([batch(rows)])
 
     return run
 
@@ -386,17 +391,14 @@ def compared(unit: str, w: int, n_docs: int, later: bool) -> Callable:
             i = j
         return np.concatenate(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table) -> pa.Table:
         mine: dict[int, list] = {RUNS: [], WINDOWS: []}
-        for b in batches:
-            rows = []
-            for i, kind in enumerate(b.column("kind").to_pylist()):
-                blob = b.column("blob")[i].as_buffer().to_pybytes()
-                if kind == SPANS:
-                    rows.append((0, b.column("db")[i].as_py(), SPANS, blob))
-                else:
-                    mine[kind].append(blob)
-            yield batch(rows)
+        rows: list = []
+        for kind, db, blob in zip(t.column("kind").to_pylist(), t.column("db").to_pylist(), t.column("blob").combine_chunks(), strict=True):
+            if kind == SPANS:
+                rows.append((0, db, SPANS, blob.as_py()))
+            else:
+                mine[kind].append(blob.as_buffer())
         for kind, blobs in mine.items():
             if not blobs:
                 continue
@@ -411,15 +413,15 @@ def compared(unit: str, w: int, n_docs: int, later: bool) -> Callable:
                 s, n, known = s.astype(np.int64), np.ones(len(s), np.int64), known != 0
             blobs.clear()
             order = np.lexsort((th, key))
-            k, t = key[order], th[order]
+            k, h = key[order], th[order]
             rank = np.empty(len(key), np.int64)  # equal documents from several blobs have one rank
-            rank[order] = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(t) != 0)))
+            rank[order] = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(h) != 0)))
             pos = np.repeat(rank[d] << 32, n) | ranges(s, n)
             flags = matched(np.repeat(v, n), fp, pos, known, later)
             i, a, b_ = spans(flags, s, n, w)
             i = d[i]
-            rows = [(0, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b_[at].astype(np.uint32))) for db, at in split(key[i] % n_docs)]
-            yield batch(rows)
+            rows += [(0, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b_[at].astype(np.uint32))) for db, at in split(key[i] % n_docs)]
+        return pa.Table.from_batches([batch(rows)])
 
     return run
 
@@ -449,16 +451,17 @@ def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, finish: Cal
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, -(-size // bucket))
     n_docs = primes_from(max(2, n_parts))
+    n_tasks = max(1, -(-size // TASK))
     entries = d.filter(F.octet_length("text") >= w).mapInArrow(seeds(unit, w, k, n_parts, n_docs), _ENTRY)
-    entries = entries.repartition(n_parts, "part").mapInArrow(recurring(n_docs, max(hot, size // 8 // MOST_HOT)), _ENTRY)
+    entries = entries.repartition(n_tasks, "part").groupBy("part").applyInArrow(recurring(n_docs, max(hot, size // 8 // MOST_HOT)), _ENTRY)
     entries = scratch(entries, "repeats")
     heat = [np.frombuffer(r[0], "<u8") for r in entries.filter(F.col("kind") == HOT).select("blob").collect()]
     heat = np.sort(np.concatenate(heat)) if heat else np.zeros(0, np.uint64)
     first = F.lit(-(2**63)).cast("long")
-    d = d.withColumn("db", F.pmod(F.coalesce("key", first), F.lit(n_docs)).cast("int")).repartition(n_docs, "db")
+    d = d.withColumn("db", F.pmod(F.coalesce("key", first), F.lit(n_docs)).cast("int")).repartition(n_tasks, "db")
     runs = entries.filter(F.col("kind") == KNOWN)
     shown = d.groupBy("db").cogroup(runs.groupBy("db")).applyInArrow(exposed(unit, w, n_parts, heat, later), _ENTRY)
-    cut = shown.repartition(n_parts, "part").mapInArrow(compared(unit, w, n_docs, later), _ENTRY)
+    cut = shown.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(unit, w, n_docs, later), _ENTRY)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         own_key, own_th = _keys(left)

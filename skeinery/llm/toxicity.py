@@ -95,7 +95,7 @@ def select(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.nda
     b = np.bincount(np.concatenate(unl), minlength=1 << BITS)
     p, q = a / len(pos), (b + 1) / (len(unl) + 1)
     z = (p - q) / np.sqrt(q / len(pos))
-    ok = np.flatnonzero((a >= max(3, 0.002 * len(pos))) & (p > 2 * q) & (z > 3))
+    ok = np.flatnonzero((a >= max(5, 0.01 * len(pos))) & (p > 4 * q) & (z > 4))
     return np.sort(ok[np.argsort(-z[ok], kind="stable")][:MOST_FEATURES])
 
 
