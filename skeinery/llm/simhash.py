@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, fresh, scratch, words
+from .common import buffers, fresh, scratch, text_key, words
 from .components import components
+from .repeats import mix
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -48,24 +49,28 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, n: int, seed: int = 42) ->
     return np.fromiter((h(line[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), out_off
 
 
+#: Spreads the bits of a byte over eight counters of eight bits.
+_COUNTERS = np.array([sum((v >> i & 1) << 8 * i for i in range(8)) for v in range(256)], np.uint64)
+
+
 def fingerprints(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A bit is 1 if set in over half of a text's hashes; no hashes: zero."""
     n = np.diff(off)
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
-    for i in range(0, len(some), 1 << 10):
-        part = some[i : i + (1 << 10)]
-        lo, hi = off[part[0]], off[part[-1] + 1]
-        total = np.zeros((len(part), 64), np.int64)
-        for a in range(lo, hi, 1 << 18):  # a very long text comes in pieces
-            b = min(a + (1 << 18), hi)
-            bits = np.unpackbits(hashes[a:b, None].view(np.uint8), axis=1, bitorder="little")
-            up = np.zeros((b - a + 1, 64), np.int32)
-            np.cumsum(bits, axis=0, out=up[1:])
-            s, e = np.clip(off[part], a, b) - a, np.clip(off[part + 1], a, b) - a
-            total += up[e] - up[s]
-        bit = total * 2 > n[part, None]
-        out[part] = np.packbits(bit, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    if not len(some):
+        return out
+    # counters hold up to 255 hashes, so a text is summed in chunks of as many
+    chunks = -(-n[some] // 255)
+    first = np.append(0, np.cumsum(chunks))
+    start = np.repeat(off[some], chunks) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], chunks))
+    lanes = hashes[: off[-1], None].view(np.uint8)
+    total = np.empty((len(some), 64), np.int64)
+    for j in range(8):
+        part = np.add.reduceat(_COUNTERS[lanes[:, j]], start)
+        total[:, 8 * j : 8 * j + 8] = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int64), first[:-1], axis=0)
+    bit = total * 2 > n[some, None]
+    out[some] = np.packbits(bit, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -267,3 +272,113 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, text: str = "text", k
     lead = member.filter("doc_id <=> component_id").select(F.coalesce("doc_id", null).alias(k)).distinct()
     # both the join and the choice go by k, so texts are dealt once
     return docs.withColumn(k, F.coalesce(F.col(key).cast("long"), null)).join(lead, k, "left_semi").dropDuplicates([k]).drop(k)
+
+
+# -- similar texts -----------------------------------------------------------
+
+#: Bits of a wide fingerprint, in words of 64; the first word alone rules out most pairs.
+WIDE = 4
+_SPREAD = [np.uint64(c) for c in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def bits_apart(similarity: float) -> float:
+    """Share of fingerprint bits in which texts of this Jaccard similarity differ, on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _wide_batches(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffers(b.column("text"))
+            words_, sizes, i = [np.zeros((0, WIDE), np.uint64)], [np.zeros(0, np.int64)], 0
+            while i < len(off) - 1:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
+                h, at = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                words_.append(np.stack([fingerprints(h if not k else mix(h * _SPREAD[k]), at) for k in range(WIDE)], axis=1))
+                sizes.append(np.diff(at))
+                i = j
+            w = np.concatenate(words_).view(np.int64)
+            cols = [b.column("doc_id"), b.column("g"), pa.array(np.concatenate(sizes)), *(pa.array(w[:, k].copy()) for k in range(WIDE))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "size", *(f"w{k}" for k in range(WIDE))])
+
+    return run
+
+
+def _similar_links(radius: int, most: int) -> Callable:
+    def run(t: pa.Table) -> pa.Table:
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        order = np.argsort(~home, kind="stable")
+        w = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64)[order] for k in range(WIDE)])
+        forest, n = Forest(len(order)), int(home.sum())
+        for m, q in find(w[0, :n], w[0], radius):
+            ok = m != q
+            m, q = m[ok], q[ok]
+            apart = sum(distance(w[k, m], w[k, q]).astype(np.int16) for k in range(WIDE))
+            forest.join(m[apart <= most], q[apart <= most])
+        root = forest.roots(np.arange(len(order)))
+        some = np.flatnonzero(root != np.arange(len(order)))
+        g = t.column("g").combine_chunks()
+        return pa.table({"a": g.take(pa.array(order[some])), "b": g.take(pa.array(order[root[some]]))})
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float, radius: int, shard: int = 30_000, sample: int = 20_000) -> DataFrame:
+    """nodes: g, size, w0 to w3.  a, b: a spanning set of the links between them.
+
+    Shingles count with their repeats, so texts of the similarity have sizes whose
+    ratio reaches it: a node meets its own class of sizes and the next.  A class too
+    large for a task is dealt by vantage points as in ``links``.
+    """
+    n = nodes.groupBy(F.floor(F.log(F.col("size") + 1.0) / float(-np.log(similarity))).alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    some = nodes.orderBy(F.xxhash64("g"), "g").select("w0").limit(sample).collect()
+    x = np.unique(np.array([r[0] for r in some], np.int64)).view(np.uint64)
+    tree = grow(x, max(0, int(np.ceil(np.log2(max(1, n) / shard)))), np.random.default_rng(5)) if len(x) else 0
+    names = ["g", *(f"w{k}" for k in range(WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("size").to_numpy()
+            at, leaf, home = deal(tree, b.column("w0").to_numpy().view(np.uint64), radius)
+            own = np.zeros(len(b), np.int32)
+            own[at[home]] = leaf[home]
+            # the class is cut a little low for all, so that rounding can't part a pair
+            c = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int32) + (size > 0)
+            here, later = leaf >= own[at], np.ones(len(at), bool)
+            for step, ok in ((0, here), (1, later)):
+                rows = at[ok]
+                cols = [pa.array(c[rows] + np.int32(step)), pa.array(leaf[ok]), pa.array(home[ok] & (step == 0))]
+                yield pa.RecordBatch.from_arrays(cols + [b.column(x).take(pa.array(rows)) for x in names], names=["class", "leaf", "home", *names])
+
+    schema = "class int, leaf int, home boolean, g binary, " + ", ".join(f"w{k} long" for k in range(WIDE))
+    most = int(bits_apart(similarity) * 64 * WIDE)
+    return nodes.mapInArrow(run, schema).groupBy("class", "leaf").applyInArrow(_similar_links(radius, most), "a binary, b binary")
+
+
+def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = 16, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """doc_id, g (key of the text), lead_id and lead_g (of the component's first document) of every row.
+
+    Texts link whose n-word shingles have this Jaccard similarity, as fingerprints of
+    256 bits tell it; ``radius`` bits of the first 64 may differ for a pair to be looked
+    at.  Equal texts are one node.  Texts without words are like one another; texts of
+    fewer than n words are compared as a whole.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    w = [f"w{k}" for k in range(WIDE)]
+    rows = scratch(rows.mapInArrow(_wide_batches(n), "doc_id long, g binary, size long, " + ", ".join(f"{x} long" for x in w)), "similar")
+    nodes = scratch(rows.groupBy("g").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), *(F.min(x).alias(x) for x in w)), "similar-texts")
+    roots = components(similar_links(nodes.select("g", "size", *w), similarity, radius, **how)).withColumnRenamed("node", "g")
+    member = scratch(nodes.select("g", "least").join(roots, "g", "left").select("g", "least", F.coalesce("root", "g").alias("root")), "similar-member")
+    lead = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "g")).alias("m"))
+    member = member.join(lead, "root").select("g", F.col("m.least").alias("lead_id"), F.col("m.g").alias("lead_g"))
+    return rows.select("doc_id", "g").join(member, "g")
+
+
+def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """docs' rows, one of each component of similar texts: that of its smallest doc_id."""
+    lead = similar_texts(docs, n, similarity, text=text, key=key, **how).select("lead_g", "lead_id").distinct()
+    g, i = fresh(docs, "g_", "lead_")
+    lead = lead.select(F.col("lead_g").alias(g), F.col("lead_id").alias(i))
+    # the join and the choice among repeated rows go by g, so texts are dealt once
+    rows = docs.withColumn(g, text_key(F.col(text))).join(lead, g).filter(F.col(key).cast("long").eqNullSafe(F.col(i)))
+    return rows.dropDuplicates([g]).drop(g, i)

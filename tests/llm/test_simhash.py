@@ -79,3 +79,25 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k != 7000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "w" + str(rng.randrange(4000))
+    rows, want = [], []
+    for c in range(25):
+        base = [word() for _ in range(rng.randrange(150, 400))]
+        want.append(len(rows))
+        for k in range(rng.randrange(1, 6)):
+            x = list(base)
+            if k:
+                x[rng.randrange(len(x))] = word()
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(x)))
+    n = len(rows)
+    rows += [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "one"), (n + 4, "ONE"), (n + 5, rows[0][1]), (0, rows[0][1]), (0, " ".join(word() for _ in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as g", "1 as lead_").repartition(5)
+    for shard in (10**6, 15):
+        kept = simhash.keep_first(df, shard=shard)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted([0, *want, n, n + 3])
+    assert simhash.keep_first(df.limit(0)).count() == 0
