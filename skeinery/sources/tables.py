@@ -110,3 +110,22 @@ TICKETS_SQL = f"""tickets AS (
       CASE WHEN o_orderkey % 97 = 0 THEN repeat('long note ', 60) END) AS question,
     CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_custkey % 8 AS INT) - 1 END AS cluster_id, CAST(o_orderkey % 6 AS INT) AS want_id
   FROM orders)"""
+
+
+def inventory(spark: SparkSession, root: str, idle_s: int = 90) -> DataFrame:
+    """name, extension, bytes, modified (epoch s), live: the files below a run's folder; live: written in the last ``idle_s`` seconds."""
+    import time
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        name, at = f.getPath().getName(), f.getModificationTime() / 1000
+        rows.append((name, name.rsplit(".", 1)[-1] if "." in name else "", f.getLen(), int(at), time.time() - at < idle_s))
+    return spark.createDataFrame(rows, "name string, extension string, bytes long, modified long, live boolean")
+
+
+def metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document of several lines as one row; what it lacks, or a broken one, is null."""
+    return spark.read.schema(schema).json(path, multiLine=True)
