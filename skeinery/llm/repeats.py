@@ -195,7 +195,8 @@ _RUN_TYPES = ["<i8", "<i4", "<u4", "<u4", "<u2", "<u8"]  # key, th, document, st
 
 
 def bucket_of(v: np.ndarray, n: int) -> np.ndarray:
-    return ((v >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    # minimizers are small numbers; mixed once more they are even over the buckets
+    return ((mix(v) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def _keys(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
