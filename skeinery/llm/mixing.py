@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from .common import WORD, fresh, scratch
 
 STEPS = 40
+#: Parts that each source is split into where its rows meet its plan, so that no task holds a whole source.
+SALTS = 64
 
 
 def _weights(shares: Column, a: Column) -> Column:
@@ -107,7 +109,9 @@ def draw(units: DataFrame, entropy: float | None = 0.95, repeats: float = 4.0, e
     plan = warm.unionByName(cold).withColumn("stream", F.sum("budget").over(W.partitionBy()))
     plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int"))
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("stream") / F.lit(block))))
-    x = units.join(plan, "source_").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    plan = plan.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = units.withColumn("salt_", F.pmod(F.xxhash64("id_"), F.lit(SALTS)).cast("int")).join(plan, ["source_", "salt_"])
+    x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
     x = x.withColumn("key", F.md5(F.concat_ws(":", F.col("id_").cast("string"), F.col("epoch").cast("string"), F.lit(str(seed)))))
     x = x.withColumn("bin", F.substring("key", 1, 2))
     sums = x.groupBy("source_", "epoch", "bin").agg(F.sum("n_tokens").alias("sum_"))
