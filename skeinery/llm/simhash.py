@@ -25,7 +25,7 @@ from .repeats import mix
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts of so many bytes, about, are held at a time.
-SLAB = 4_000_000
+SLAB = 1 << 20
 
 
 def shingle_hashes(data: np.ndarray, off: np.ndarray, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +351,9 @@ def similar_links(nodes: DataFrame, similarity: float, radius: int, shard: int =
                 yield pa.RecordBatch.from_arrays(cols + [b.column(x).take(pa.array(rows)) for x in names], names=["class", "leaf", "home", *names])
 
     schema = "class int, leaf int, home boolean, g binary, " + ", ".join(f"w{k} long" for k in range(WIDE))
-    most = int(bits_apart(similarity) * 64 * WIDE)
+    # half a standard deviation more than the mean, so that most pairs right at the similarity are linked
+    share = bits_apart(similarity)
+    most = int(share * 64 * WIDE + (share * (1 - share) * 64 * WIDE) ** 0.5 / 2)
     return nodes.mapInArrow(run, schema).groupBy("class", "leaf").applyInArrow(_similar_links(radius, most), "a binary, b binary")
 
 

@@ -170,6 +170,16 @@ def _search(index: Index, threshold: float) -> Callable:
     return run
 
 
+def _hits(index: Index, threshold: float) -> Callable:
+    @F.arrow_udf("int")
+    def hits(t: pa.Array) -> pa.Array:
+        b = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(t), np.int64)), t], names=["doc_id", "text"])
+        (r,) = _search(index, threshold)(iter([b]))
+        return r.column("n_items")
+
+    return hits
+
+
 def blocks(benchmark: DataFrame, text: str, key: str, most: int) -> Iterator[tuple[list[int], pa.Array]]:
     """The items in blocks of ``most`` words (or one item); one block at a time is on the driver."""
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["id", "text"])
@@ -192,8 +202,9 @@ def coverage(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
     null: none shares a seed), coverage: that share of its tokens, n_items: items
     covered to ``threshold`` or more, contaminated: there is one.  Items of fewer
     than k tokens must occur whole; items without tokens match nothing.  Null and
-    empty texts cover nothing, repeated rows are judged each, other columns are left
-    out, empty tables on either side give no hit.
+    empty texts cover nothing, repeated rows are judged each (where the benchmark
+    takes more than one block, rows of one doc_id come back as one, with their best),
+    other columns are left out, empty tables on either side give no hit.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id long, item_id long, coverage double, n_tiles int, n_items int"
@@ -215,15 +226,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
     """docs' rows that cover no test item to ``threshold``, as they are; one pass for each block, no shuffle."""
     (flag,) = fresh(docs, "hits_")
     for ids, texts in blocks(benchmark.filter(F.col(item).isNotNull()), text, item, most):
-        index = Index(ids, texts, k)
-
-        @F.pandas_udf("int")
-        def hits(t, index=index):
-            import pandas as pd
-
-            b = pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], names=["doc_id", "text"])
-            (r,) = _search(index, threshold)(iter([b]))
-            return pd.Series(r.column("n_items").to_numpy())
-
-        docs = docs.withColumn(flag, hits(F.coalesce(F.col(text), F.lit("")))).filter(F.col(flag) == 0).drop(flag)
+        docs = docs.withColumn(flag, _hits(Index(ids, texts, k), threshold)(F.coalesce(F.col(text), F.lit("")))).filter(F.col(flag) == 0).drop(flag)
     return docs

@@ -193,10 +193,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 def reject(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
     """docs' rows that score below the threshold, as they are."""
 
-    @F.pandas_udf("double")
-    def toxic(t):
-        import pandas as pd
-
-        return pd.Series(scores(model, model.table(), *buffers(pa.array(t, pa.string()))))
+    @F.arrow_udf("double")
+    def toxic(t: pa.Array) -> pa.Array:
+        return pa.array(scores(model, model.table(), *buffers(t)))
 
     return docs.filter(toxic(F.coalesce(F.col(text), F.lit(""))) < threshold)
