@@ -26,7 +26,7 @@ from .repeats import BYTE, STEP, mix, powers, prefix
 #: Feature slots, and at most so many of them carry a weight.
 BITS, MOST_FEATURES = 20, 4096
 #: Documents to train from, at most: confirmed toxic ones, and any.
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 3_000, 6_000
 #: Bytes of a word's beginning that make a feature beside the word.
 BEGINNINGS = (4, 5, 6)
 SLAB = 2_000_000
