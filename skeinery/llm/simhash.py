@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import buffers, fresh, scratch, text_key, words
 from .components import components
-from .repeats import mix
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -276,101 +275,222 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, text: str = "text", k
 
 # -- similar texts -----------------------------------------------------------
 
-#: Bits of a wide fingerprint, in words of 64; the first word alone rules out most pairs.
-WIDE = 4
-_SPREAD = [np.uint64(c) for c in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Counters of a sketch. The sum of their differences never exceeds the number of shingles that two texts don't share.
+COUNTERS = 128
 
 
-def bits_apart(similarity: float) -> float:
-    """Share of fingerprint bits in which texts of this Jaccard similarity differ, on average."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def prefix_size(size, similarity: float):
+    """So many of a text's shingles, the first in an order common to all texts, hold one of every set that is as similar."""
+    return np.where(size > 0, size - np.ceil(similarity * size - 1e-9) + 1, 0).astype(np.int64)
 
 
-def _wide_batches(n: int) -> Callable:
+def _slabs(b: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """From, to, hashes of shingles (of n words, with repeats) and their offsets, for a batch in pieces."""
+    data, off = buffers(b.column("text"))
+    i = 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
+        yield i, j, *shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+        i = j
+
+
+def distinct(h: np.ndarray, at: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes, in the order of rank and hash, and their offsets."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    o = np.lexsort((h, text) if rank is None else (h, rank, text))
+    h, text = h[o], text[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.append(0, np.cumsum(np.bincount(text[new], minlength=len(at) - 1)))
+
+
+def _unseen(ids: np.ndarray, seen: set) -> np.ndarray:
+    """Places of ids that the task meets for the first time."""
+    out = [k for k, x in enumerate(ids.tolist()) if not (x in seen or seen.add(x))]
+    return np.array(out, np.int64)
+
+
+def _sketch_batches(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = buffers(b.column("text"))
-            words_, sizes, i = [np.zeros((0, WIDE), np.uint64)], [np.zeros(0, np.int64)], 0
-            while i < len(off) - 1:
-                j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
-                h, at = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                words_.append(np.stack([fingerprints(h if not k else mix(h * _SPREAD[k]), at) for k in range(WIDE)], axis=1))
+            sizes, sketches = [np.zeros(0, np.int64)], []
+            for i, j, h, at in _slabs(b, n):
+                h, at = distinct(h, at)
+                text = np.repeat(np.arange(j - i), np.diff(at))
+                count = np.bincount(text * COUNTERS + (h >> np.uint64(57)).astype(np.int64), minlength=(j - i) * COUNTERS)
+                # a counter that is full only makes differences smaller
+                sketches += [x.tobytes() for x in np.minimum(count, 255).astype(np.uint8).reshape(-1, COUNTERS)]
                 sizes.append(np.diff(at))
-                i = j
-            w = np.concatenate(words_).view(np.int64)
-            cols = [b.column("doc_id"), b.column("g"), pa.array(np.concatenate(sizes)), *(pa.array(w[:, k].copy()) for k in range(WIDE))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "size", *(f"w{k}" for k in range(WIDE))])
+            cols = [b.column("doc_id"), b.column("g"), b.column("id"), pa.array(np.concatenate(sizes)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "id", "size", "sketch"])
 
     return run
 
 
-def _similar_links(radius: int, most: int) -> Callable:
+def _token_batches(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            b = b.take(pa.array(_unseen(b.column("id").to_numpy(), seen)))
+            for _, _, h, at in _slabs(b, n):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(h, at)[0].view(np.int64))], names=["t"])
+
+    return run
+
+
+def frequent(rows: DataFrame, n: int, sample: int, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in about ``sample`` of the texts, ascending, and how often; any other list gives the same links, only slower."""
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, rows.count())) * (1 << 20))
+    t = rows.filter(part).select("id", "text").mapInArrow(_token_batches(n), "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    found = t.filter("n > 2").orderBy(F.desc("n"), "t").limit(most).collect()
+    t, times = np.array([r.t for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    o = np.argsort(t)
+    return t[o], times[o]
+
+
+def _prefix_batches(n: int, similarity: float, hot: np.ndarray, times: np.ndarray, buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            b = b.take(pa.array(_unseen(b.column("id").to_numpy(), seen)))
+            ids = b.column("id").to_numpy()
+            for i, j, h, at in _slabs(b, n):
+                rank = np.zeros(len(h), np.int64)
+                if len(hot):
+                    k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    rank = np.where(hot[k] == h, times[k], 0)
+                h, at = distinct(h, at, rank)
+                size = np.diff(at)
+                text = np.repeat(np.arange(j - i), size)
+                pos = np.arange(len(h)) - at[text]
+                first = pos < prefix_size(size, similarity)[text]
+                t, text, pos = h[first], text[first], pos[first]
+                cols = [(t % np.uint64(buckets)).astype(np.int32), t.view(np.int64), ids[i:j][text], size[text].astype(np.int32), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["bucket", "t", "id", "size", "pos"])
+
+    return run
+
+
+def _meeting(similarity: float, block: int = 1 << 21) -> Callable:
+    """Pairs that share a shingle and whose sizes and places in the order allow the similarity."""
+
     def run(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        order = np.argsort(~home, kind="stable")
-        w = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64)[order] for k in range(WIDE)])
-        forest, n = Forest(len(order)), int(home.sum())
-        for m, q in find(w[0, :n], w[0], radius):
-            ok = m != q
-            m, q = m[ok], q[ok]
-            apart = sum(distance(w[k, m], w[k, q]).astype(np.int16) for k in range(WIDE))
-            forest.join(m[apart <= most], q[apart <= most])
-        root = forest.roots(np.arange(len(order)))
-        some = np.flatnonzero(root != np.arange(len(order)))
-        g = t.column("g").combine_chunks()
-        return pa.table({"a": g.take(pa.array(order[some])), "b": g.take(pa.array(order[root[some]]))})
+        token, ids, size, pos = (t.column(c).to_numpy() for c in ("t", "id", "size", "pos"))
+        o = np.lexsort((ids, token))
+        o = o[np.append(True, (token[o][1:] != token[o][:-1]) | (ids[o][1:] != ids[o][:-1]))] if len(o) else o
+        token, ids, size, pos = token[o], ids[o], size[o].astype(np.int64), pos[o].astype(np.int64)
+        # every row meets the later rows of its shingle
+        end = np.searchsorted(token, token, side="right")
+        later = end - np.arange(len(token)) - 1
+        x = np.flatnonzero(later)
+        to = np.cumsum(later[x])
+        out = [np.zeros((0, 2), np.int64)]
+        i = 0
+        while i < len(x):
+            j = max(i + 1, int(np.searchsorted(to, (to[i - 1] if i else 0) + block, side="right")))
+            many = later[x[i:j]]
+            a = np.repeat(x[i:j], many)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            need = similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
+            # at the first shingle that two texts share, the others come after it
+            ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
+            out.append(np.unique(np.stack([ids[a[ok]], ids[b[ok]]], axis=1), axis=0))
+            i = j
+        p = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": p[:, 0].copy(), "b": p[:, 1].copy()})
 
     return run
 
 
-def similar_links(nodes: DataFrame, similarity: float, radius: int, shard: int = 30_000, sample: int = 20_000) -> DataFrame:
-    """nodes: g, size, w0 to w3.  a, b: a spanning set of the links between them.
+def _alike(similarity: float) -> Callable:
+    """Leaves out pairs whose sketches rule the similarity out."""
 
-    Shingles count with their repeats, so texts of the similarity have sizes whose
-    ratio reaches it: a node meets its own class of sizes and the next.  A class too
-    large for a task is dealt by vantage points as in ``links``.
-    """
-    n = nodes.groupBy(F.floor(F.log(F.col("size") + 1.0) / float(-np.log(similarity))).alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    some = nodes.orderBy(F.xxhash64("g"), "g").select("w0").limit(sample).collect()
-    x = np.unique(np.array([r[0] for r in some], np.int64)).view(np.uint64)
-    tree = grow(x, max(0, int(np.ceil(np.log2(max(1, n) / shard)))), np.random.default_rng(5)) if len(x) else 0
-    names = ["g", *(f"w{k}" for k in range(WIDE))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in ("sa", "sb"))
+                both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+                ok = np.abs(x - y).sum(axis=1) <= both * (1 - similarity) / (1 + similarity) + 1e-6
+                yield b.select(["a", "b"]).filter(pa.array(ok))
 
+    return run
+
+
+def _set_batches(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column("size").to_numpy()
-            at, leaf, home = deal(tree, b.column("w0").to_numpy().view(np.uint64), radius)
-            own = np.zeros(len(b), np.int32)
-            own[at[home]] = leaf[home]
-            # the class is cut a little low for all, so that rounding can't part a pair
-            c = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int32) + (size > 0)
-            here, later = leaf >= own[at], np.ones(len(at), bool)
-            for step, ok in ((0, here), (1, later)):
-                rows = at[ok]
-                cols = [pa.array(c[rows] + np.int32(step)), pa.array(leaf[ok]), pa.array(home[ok] & (step == 0))]
-                yield pa.RecordBatch.from_arrays(cols + [b.column(x).take(pa.array(rows)) for x in names], names=["class", "leaf", "home", *names])
-
-    schema = "class int, leaf int, home boolean, g binary, " + ", ".join(f"w{k} long" for k in range(WIDE))
-    # half a standard deviation more than the mean, so that most pairs right at the similarity are linked
-    share = bits_apart(similarity)
-    most = int(share * 64 * WIDE + (share * (1 - share) * 64 * WIDE) ** 0.5 / 2)
-    return nodes.mapInArrow(run, schema).groupBy("class", "leaf").applyInArrow(_similar_links(radius, most), "a binary, b binary")
-
-
-def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = 16, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+            for i, j, h, at in _slabs(b, n):
+                h, at = distinct(h, at)
+                ids, tos = b.column("id")[i:j], b.column("to")[i:j]
+                for k in range(j - i):
+                    to, mine = tos[k].values, h[at[k] : at[k + 1]].tobytes()
+                    step = max(1, (1 << 24) // max(1, len(mine)))
+                    for s in range(0, len(to), step):
+                        part = to[s : s + step]
+                        cols = [part, pa.array([ids[k].as_py()] * len(part), pa.int64()), pa.array([mine] * len(part), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["to", "id", "hashes"])
+
+    return run
+
+
+def _confirmed(similarity: float) -> Callable:
+    """Links from a text to those that sent it their shingles, by the Jaccard similarity of the sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        to, ids, sets = t.column("to")[0].as_py(), t.column("id").to_pylist(), t.column("hashes")
+        own = np.frombuffer(sets[ids.index(to)].as_py(), np.uint64)
+        out = set()
+        for k, x in enumerate(ids):
+            if x != to and x not in out:
+                h = np.frombuffer(sets[k].as_py(), np.uint64)
+                both = np.count_nonzero(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h)
+                if both >= similarity * (len(own) + len(h) - both) - 1e-9:
+                    out.add(x)
+        return pa.table({"a": pa.array([to] * len(out), pa.int64()), "b": pa.array(sorted(out), pa.int64())})
+
+    return run
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, n: int, similarity: float, shard: int = 100_000, sample: int = 4_000) -> DataFrame:
+    """rows: doc_id, id, text; nodes: id, least (a doc_id), size, sketch.  a, b: links between ids, of all pairs of the similarity.
+
+    In an order common to all texts, frequent shingles last, two such texts share one
+    of their first shingles (``prefix_size``), so they meet there.  Of the pairs that
+    meet, bounds on the overlap leave out those that can't reach the similarity; the
+    others are compared shingle by shingle.
+    """
+    hot, times = frequent(rows, n, sample)
+    size = F.col("size")
+    total = nodes.agg(F.sum(size - F.ceil(size * similarity - 1e-9) + 1)).first()[0] or 0
+    dealt = rows.select("id", "text").mapInArrow(_prefix_batches(n, similarity, hot, times, int(total) // shard + 1), "bucket int, t long, id long, size int, pos int")
+    pairs = dealt.groupBy("bucket").applyInArrow(_meeting(similarity), "a long, b long").distinct()
+    side = lambda c, s, m: nodes.select(F.col("id").alias(c), F.col("sketch").alias(s), F.col("size").alias(m))
+    pairs = pairs.join(side("a", "sa", "na"), "a").join(side("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    pairs = scratch(pairs.mapInArrow(_alike(similarity), "a long, b long"), "similar-pairs")
+    # the second sends its shingles to the first, which sends them to itself once
+    sends = pairs.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("to")).distinct())
+    sends = sends.groupBy("id").agg(F.collect_list("to").alias("to")).join(nodes.select("id", "least"), "id")
+    r, s = rows.alias("r"), sends.alias("s")
+    texts = r.join(s, (F.col("r.id") == F.col("s.id")) & F.col("r.doc_id").eqNullSafe(F.col("s.least"))).select("r.id", "r.text", "s.to")
+    links = texts.mapInArrow(_set_batches(n), "to long, id long, hashes binary").groupBy("to").applyInArrow(_confirmed(similarity), "a long, b long")
+    # texts without words are like one another
+    bare = nodes.filter("size = 0")
+    return links.unionByName(bare.select(F.col("id").alias("b")).crossJoin(F.broadcast(bare.agg(F.min("id").alias("a")))).select("a", "b"))
+
+
+def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """doc_id, g (key of the text), lead_id and lead_g (of the component's first document) of every row.
 
-    Texts link whose n-word shingles have this Jaccard similarity, as fingerprints of
-    256 bits tell it; ``radius`` bits of the first 64 may differ for a pair to be looked
-    at.  Equal texts are one node.  Texts without words are like one another; texts of
-    fewer than n words are compared as a whole.
+    Texts link whose sets of n-word shingles have this Jaccard similarity or more; no
+    pair is missed.  Equal texts are one node.  Texts without words are like one
+    another; texts of fewer than n words are compared as a whole.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    w = [f"w{k}" for k in range(WIDE)]
-    rows = scratch(rows.mapInArrow(_wide_batches(n), "doc_id long, g binary, size long, " + ", ".join(f"{x} long" for x in w)), "similar")
-    nodes = scratch(rows.groupBy("g").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), *(F.min(x).alias(x) for x in w)), "similar-texts")
-    roots = components(similar_links(nodes.select("g", "size", *w), similarity, radius, **how)).withColumnRenamed("node", "g")
-    member = scratch(nodes.select("g", "least").join(roots, "g", "left").select("g", "least", F.coalesce("root", "g").alias("root")), "similar-member")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", "g", F.xxhash64("g").alias("id"), "text")
+    rows = scratch(docs.mapInArrow(_sketch_batches(n), "doc_id long, g binary, id long, size long, sketch binary"), "similar")
+    nodes = scratch(rows.groupBy("g").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), "similar-texts")
+    roots = components(similar_links(docs.select("doc_id", "id", "text"), nodes, n, similarity, **how)).withColumnRenamed("node", "id")
+    member = scratch(nodes.select("g", "id", "least").join(roots, "id", "left").select("g", "least", F.coalesce("root", "id").alias("root")), "similar-member")
     lead = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "g")).alias("m"))
     member = member.join(lead, "root").select("g", F.col("m.least").alias("lead_id"), F.col("m.g").alias("lead_g"))
     return rows.select("doc_id", "g").join(member, "g")

@@ -101,3 +101,27 @@ def test_similar_texts(spark):
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted([0, *want, n, n + 3])
     assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(15)
+    word = lambda: "v" + str(rng.randrange(900))
+    shared, texts = [word() for _ in range(60)], []
+    for c in range(60):
+        base = [word() for _ in range(rng.randrange(8, 160))] + shared * (c % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rng.randrange(1, 2 + len(x) // 25)):
+                x[rng.randrange(len(x))] = word()
+            texts.append(" ".join(x))
+        texts.append(" ".join(base + base[-20:] * rng.randrange(4)))  # repeats count once
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= x < 0.85 for x in alike) > 10 and sum(0.7 < x < 0.8 for x in alike) > 10
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    want = brute_roots(range(len(texts)), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for how in ({}, {"shard": 200, "sample": 40}):
+        got = {r.doc_id: r.lead_id for r in simhash.similar_texts(df, **how).collect()}
+        assert got == want
