@@ -96,7 +96,7 @@ def a21_model_client(spark, d):
 @query()
 def a20_hashed_embedding(spark, d):
     """Texts as 384 hashed 3- to 5-grams, the stand-in for an embedding service."""
-    return mining.hashed_grams(cleaned(spark, d).filter("want_id = 1"), "source_row", "question_flat")
+    return mining.hashed_grams(cleaned(spark, d), "source_row", "question_flat")
 
 
 @query(f"{W}{CLEANED} SELECT source_row, category FROM cleaned WHERE category = '2-HIGH'")

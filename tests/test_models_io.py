@@ -88,3 +88,11 @@ def test_driver_entry(spark):
     assert entry.entry(spark).count() > 0
     names = entry.queries()
     assert len(names) > 150 and set(entry.oracle_sql()) <= set(names)
+
+
+def test_every_ticket_is_embedded(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["a20_hashed_embedding"](spark, d)
+    assert got.select("source_row").distinct().count() == spark.read.parquet(f"{d}/orders.parquet").count()
