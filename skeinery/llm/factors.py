@@ -1,10 +1,12 @@
 """Suffix-array dedup: later copies go, the first stays.
 
-A longest-previous-factor array says of each suffix how long a match it has at an
-earlier position.  Going through the suffixes in suffix order, that match is with
-the nearest smaller position before or after it.  Bytes covered by a previous
-factor of at least ``length`` bytes are removed; factors shorter than that need not
-be told apart, so suffix order is kept to that depth (see ``repeats``).
+``repeats`` deals the stretches of text that may recur to groups.  A group's suffixes
+(equal stretches count once, with their first place) are put in order with their common prefixes; from the previous and the next smaller
+position in that order comes the longest-previous-factor array, the longest match
+that each suffix has at an earlier position.  Bytes covered by a factor of
+``length`` bytes or more are removed.  Every suffix that starts a window is there, so
+order is kept to the first power of two that reaches ``length``: longer factors are
+covered by those that start inside them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,32 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Texts, without
+from .repeats import without
+from .rolling import Texts, ranges
+from .suffixes import Order, distinct, previous_factors
+
+
+def factors(length: int):
+    """Which windows have a previous factor of ``length`` bytes or more."""
+
+    def run(n: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        size = n + length - 1
+        ends = np.cumsum(size)
+        lead, _ = distinct(data, ends, first)
+        own = lead == np.arange(len(n))
+        out = np.repeat(~own, n)  # an equal segment stands earlier
+        x = np.flatnonzero(own)
+        data, m = data[ranges(ends[x] - size[x], size[x])], n[x]
+        heads = np.cumsum(size[x]) - size[x]
+        order = Order(data, np.repeat(heads + size[x], size[x]) - np.arange(len(data)), length)
+        by, common = order.sort(ranges(heads, m))
+        del order
+        position = (np.repeat(first[x], m) + ranges(np.zeros(len(m), np.int64), m))[by]
+        windows = np.flatnonzero(np.repeat(own, n))
+        out[windows[by]] = previous_factors(position, common, length) >= length
+        return out
+
+    return run
 
 
 def _finish(t: Texts, gone: np.ndarray) -> dict:
@@ -52,4 +79,4 @@ def drop_later_copies(docs: DataFrame, length: int = 100, text: str = "text", ke
         return out if kept else {c: x for c, x in out.items() if c != "kept"}
 
     rows = docs.selectExpr(f"`{key}` as doc_id", f"`{text}` as text")
-    return without(rows, "byte", length, max(1, length // 4), True, finish, schema, **how)
+    return without(rows, "byte", length, max(1, 2 * length // 5), True, factors(length), finish, schema, **how)

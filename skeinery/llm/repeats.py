@@ -1,22 +1,21 @@
-"""Windows of W symbols that occur more than once, over texts of any number and length.
-
-Symbols are bytes or words.  The suffixes that matter start a window, and two of
-them matter to each other only if they share W symbols, so suffix order is needed
-to depth W and no further:
-
-1. *Prefix groups.*  Each window is filed under its smallest K-gram hash (its
-   minimizer), so equal windows meet in one group.  Adjacent windows of one group
-   form a run, and only runs (one for about (W - K) / 2 symbols) are counted.
-2. *Hot groups.*  A group with more than ``hot`` runs is filed under the whole
-   window instead: its prefix is lengthened until no task has to hold it.
-3. *Suffix order.*  Runs of groups that occur once are dropped; the others meet,
-   group by group, and their suffixes are put in an order in which those that
-   share W symbols are neighbours.  There the nearest smaller positions (previous
-   and next) tell which suffixes have an earlier match of W symbols.
+"""Deals the windows of W symbols that may recur to groups, for texts of any number and length.
+
+Symbols are bytes or words.  What becomes of a group is for the operator to say
+(``subtrees``, ``factors``); dealing goes like this:
+
+1. Each window is filed under its smallest K-gram hash (its minimizer), so equal
+   windows meet in one group.  Adjacent windows of one group form a run, and only
+   runs (one for about (W - K) / 2 symbols) are counted.
+2. Runs of groups that occur once are dropped.  The text of the others, a segment
+   for each run, goes to its group; the operator puts the segments' suffixes in
+   order, symbol by symbol.
+3. A group with more than ``hot`` runs is filed under the whole window instead: its
+   prefix is lengthened to the full depth, and a bucket of documents sends one
+   window of each content.  Such windows are compared by 128 bits of hashes.
 4. The answer goes back to the texts, which are dealt by document once.
 
-Equality is that of two independent 64-bit hashes.  No step holds more than one
-bucket of a bounded number of bytes, and no step makes pairs.
+No step holds more than one bucket of a bounded number of bytes, or ``hot`` runs, and
+no step makes pairs.
 """
 
 from __future__ import annotations
@@ -29,127 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, scratch, words
-
-_RNG = np.random.default_rng(20_240_117)
-BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1)
-_M, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Windows handled at a time; also the longest run.
-STEP = 1 << 16
-#: Bytes of text that one bucket of documents or runs holds, about; that a task goes through, bucket by bucket;
-#: that are counted together on the map side; and that are held expanded at a time.
-BUCKET, TASK, LOCAL, SLAB = 4_000_000, 32_000_000, 16_000_000, 1 << 20
-#: At most so many hot groups can exist, whatever the input: 8 bytes each are sent to the executors.
-MOST_HOT = 4_000_000
+from .common import buffers, scratch
+from .rolling import Texts, mix, powers, prefix, ranges, slabs
+
+#: Bytes of text that one bucket of documents, and one of groups, holds, about; that a task goes through, bucket by
+#: bucket; and that are counted together on the map side.
+BUCKET, GROUP, TASK, LOCAL = 4_000_000, 2_000_000, 32_000_000, 16_000_000
+#: Runs that one group may hold.  Groups beyond it are named to the executors, 8 bytes each, so there is at most one
+#: name for every HOT runs of the corpus.
+HOT_RUNS = 100_000
 _ENTRY, _PART = "part int, db int, kind int, blob binary", pa.schema([("part", pa.int32()), ("db", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 COUNTED, KNOWN, HOT, RUNS, WINDOWS, SPANS = range(6)
-
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M^0 .. M^(n-1) and their inverses modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP + 4096)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(m))])) for m in (_M, pow(_M, -1, 2**64))]
-    return _powers[0], _powers[1]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h ^= h >> np.uint64(27)
-    h *= _MIX2
-    return h ^ (h >> np.uint64(31))
-
-
-def prefix(x: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums of x[i] * M^i."""
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * powers(len(x))[0][: len(x)], out=out[1:])
-    return out
-
-
-def grams(x: np.ndarray, k: int) -> np.ndarray:
-    """A hash for every k symbols in a row."""
-    g = prefix(x)
-    return mix((g[k:] - g[:-k]) * powers(len(x))[1][: len(x) - k + 1])
-
-
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    size, n = 1, len(x) - w + 1
-    while size * 2 <= w:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    return np.minimum(x[:n], x[w - size : w - size + n])
-
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0] .. + lengths[0], starts[1] .. in one array."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class Texts:
-    """Some texts as a row of symbols; ``off``: where each text begins."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray, unit: str):
-        self.data, self.unit = data, unit
-        if unit == "byte":
-            self.off = off
-        else:
-            self.starts, self.ends, self.off = words(data, off)
-        self.n = int(self.off[-1])
-
-    def symbols(self, lo: int, hi: int) -> np.ndarray:
-        if self.unit == "byte":
-            return BYTE[self.data[lo:hi]]
-        out = np.empty(hi - lo, np.uint64)
-        at = lo
-        while at < hi:  # some words at a time; their bytes are summed from the first on
-            to = max(at + 1, min(hi, int(np.searchsorted(self.ends, self.starts[at] + STEP))))
-            first = self.starts[at]
-            g = prefix(BYTE[self.data[first : self.ends[to - 1]]])
-            s, e = self.starts[at:to] - first, self.ends[at:to] - first
-            out[at - lo : to - lo] = mix((g[e] - g[s]) * powers(len(g))[1][s] + (e - s).astype(np.uint64))
-            at = to
-        return out
-
-    def runs(self, w: int, k: int) -> tuple[np.ndarray, ...]:
-        """Text, start in it, number of windows, minimizer, and may two windows be equal, for every run of windows.
-
-        If two windows of a run are equal, the first place of the minimizer in the
-        first of them starts a window of the run other than its last.
-        """
-        found = []
-        for lo in range(0, self.n - w + 1, STEP):
-            hi = min(lo + STEP, self.n - w + 1)
-            g = grams(self.symbols(lo, hi + w - 1), k)
-            m = sliding_min(g, w - k + 1)
-            new = np.ones(hi - lo, bool)
-            np.not_equal(m[1:], m[:-1], out=new[1:])
-            heads = self.off[np.searchsorted(self.off, lo) : np.searchsorted(self.off, hi)]
-            new[heads - lo] = True
-            s = np.flatnonzero(new)
-            own = np.zeros(len(s), bool)
-            own[np.searchsorted(s, np.flatnonzero((g[: hi - lo - 1] == m[:-1]) & ~new[1:]), side="right") - 1] = True
-            found.append((s + lo, np.append(s[1:], hi - lo) - s, m[s], own))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
-        s, n, v, own = map(np.concatenate, zip(*found, strict=True))
-        d = np.searchsorted(self.off, s, side="right") - 1
-        n = np.minimum(n, self.off[d + 1] - w + 1 - s)  # a window ends within its text
-        ok = n > 0
-        return d[ok], (s - self.off[d])[ok], n[ok], v[ok], own[ok]
-
-
-def slabs(data: np.ndarray, off: np.ndarray, unit: str) -> Iterator[tuple[int, Texts]]:
-    """Consecutive texts of SLAB bytes, about; the number of the first text of each."""
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
-        yield i, Texts(data[off[i] : off[j]], off[i : j + 1] - off[i], unit)
-        i = j
+_RUN_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u2", "<u8"]  # key, th, document, start, windows - 1, minimizer
+_WINDOW_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u8", "<u8", "u1"]  # key, th, document, start, two hashes, known to recur
+_SPAN_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u4"]  # key, th, document, first symbol, end
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -191,16 +84,18 @@ def docs_of(d: np.ndarray, key: np.ndarray, th: np.ndarray) -> tuple[np.ndarray,
     return key[u], th[u], inv.astype(np.uint32)
 
 
-_RUN_TYPES = ["<i8", "<i4", "<u4", "<u4", "<u2", "<u8"]  # key, th, document, start, windows - 1, minimizer
-
-
 def bucket_of(v: np.ndarray, n: int) -> np.ndarray:
     # minimizers are small numbers; mixed once more they are even over the buckets
     return ((mix(v) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def _keys(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return (t.column(c).fill_null(-(2**63) if c == "key" else 0).to_numpy(zero_copy_only=False) for c in ("key", "th"))
+    return (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "th"))
+
+
+def home(key: np.ndarray, th: np.ndarray, n_docs: int) -> np.ndarray:
+    """The bucket of a document (key and text): rows that share a doc_id only are spread."""
+    return (key ^ th) % n_docs
 
 
 def seeds(unit: str, w: int, k: int, n_parts: int, n_docs: int) -> Callable:
@@ -232,7 +127,7 @@ def seeds(unit: str, w: int, k: int, n_parts: int, n_docs: int) -> Callable:
             f = first[at]
             rows.append((p, -1, COUNTED, pack(*docs_of(d[f], key, th), s[f], n[f], v[f], count[at])))
         rest = np.flatnonzero(~new)
-        for db, at in split(key[d[rest]] % n_docs):
+        for db, at in split(home(key[d[rest]], th[d[rest]], n_docs)):
             f = rest[at]
             rows.append((db % n_parts, db, KNOWN, pack(*docs_of(d[f], key, th), s[f], n[f], v[f])))
         return batch(rows)
@@ -256,7 +151,7 @@ def recurring(n_docs: int, hot: int) -> Callable:
         cut = np.flatnonzero(np.append(True, np.diff(v[order]) != 0)) if len(v) else np.zeros(0, np.int64)
         total = np.add.reduceat(count[order].astype(np.int64), cut) if len(v) else np.zeros(0, np.int64)
         keep = order[np.repeat(total >= 2, np.diff(np.append(cut, len(v))))]
-        rows += [(0, db, KNOWN, pack(*docs_of(d[at], key, th), s[at], n[at], v[at])) for db, p in split(key[d[keep]] % n_docs) for at in [keep[p]]]
+        rows += [(0, db, KNOWN, pack(*docs_of(d[at], key, th), s[at], n[at], v[at])) for db, p in split(home(key[d[keep]], th[d[keep]], n_docs)) for at in [keep[p]]]
         if (total > hot).any():
             rows.append((0, -1, HOT, v[order][cut[total > hot]].tobytes()))
         return pa.Table.from_batches([batch(rows)])
@@ -274,27 +169,34 @@ def place(key: np.ndarray, th: np.ndarray, of_key: np.ndarray, of_th: np.ndarray
     return order[at]
 
 
-def neighbours(v: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A suffix order (those that share W symbols stand together) and where each such class begins."""
-    order = np.argsort(v * _MIX1 ^ fp)
-    new = np.append(True, (np.diff(fp[order]) != 0) | (np.diff(v[order]) != 0)) if len(v) else np.zeros(0, bool)
-    return order, np.flatnonzero(new)
+def ranked(key: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Documents' ranks by key, then hash; equal documents have one rank."""
+    order = np.lexsort((th, key))
+    k, h = key[order], th[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(h) != 0)))[: len(key)]
+    return out
+
 
+def classes(*hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal tuples stand together, and where each such class begins."""
+    order = np.lexsort(hashes)
+    new = np.zeros(len(order), bool)
+    for h in hashes:
+        new[1:] |= h[order][1:] != h[order][:-1]
+    new[:1] = True
+    return order, np.flatnonzero(new)
 
-def matched(v: np.ndarray, fp: np.ndarray, pos: np.ndarray, known: np.ndarray, later: bool) -> np.ndarray:
-    """Which windows also start earlier (later=True) or anywhere else.
 
-    In suffix order the class of a window is a stretch; the window has an earlier
-    match if the stretch holds a smaller position on either side.  known: it is
-    known to recur elsewhere.
-    """
-    if not len(v):
+def again(a: np.ndarray, b: np.ndarray, pos: np.ndarray, known: np.ndarray, later: bool) -> np.ndarray:
+    """Which windows, told apart by two hashes, also start earlier (later=True) or anywhere else (or are known to)."""
+    if not len(a):
         return np.zeros(0, bool)
-    order, cut = neighbours(v, fp)
-    size = np.diff(np.append(cut, len(v)))
+    order, cut = classes(a, b)
+    size = np.diff(np.append(cut, len(a)))
     p = pos[order]
     low = np.repeat(np.minimum.reduceat(p, cut), size)
-    out = np.empty(len(v), bool)
+    out = np.empty(len(a), bool)
     if later:
         out[order] = p > low
     else:
@@ -327,6 +229,8 @@ def exposed(unit: str, w: int, n_parts: int, hot: np.ndarray, later: bool) -> Ca
             key, th, d, s, n, v = unpack([x.as_buffer() for x in right.column("blob").combine_chunks()], _RUN_TYPES, doc=2)
             d = place(own_key, own_th, key, th)[d]
             order = np.lexsort((s, d))
+            # rows that repeat a document have told of its runs as often
+            order = order[np.append(True, (np.diff(d[order]) != 0) | (s[order][1:] != s[order][:-1]))]
             d, s, n, v = d[order], s[order].astype(np.int64), n[order].astype(np.int64) + 1, v[order]
             is_hot = np.isin(v, hot)
             for i, t in slabs(*buffers(left.column("text").combine_chunks()), unit):
@@ -339,59 +243,42 @@ def exposed(unit: str, w: int, n_parts: int, hot: np.ndarray, later: bool) -> Ca
                         _windows(*args, db) if heat else _segments(*args)
         return pa.Table.from_batches([batch(rows)])
 
-    def fingerprints(t: Texts, at: np.ndarray) -> np.ndarray:
-        g = prefix(t.symbols(0, t.n))
-        return mix((g[at + w] - g[at]) * powers(len(g))[1][at])
-
     def _segments(rows, t, first, d, s, n, v, key, th):
-        fp = None if unit == "byte" else fingerprints(t, ranges(first, n))
-        ends = np.cumsum(n)
         for p, x in split(bucket_of(v, n_parts)):
-            what = t.data[ranges(first[x], n[x] + w - 1)] if fp is None else fp[ranges(ends[x] - n[x], n[x])]
+            what = t.cut(first[x], n[x] + w - 1)
             rows.append((p, -1, RUNS, pack(*docs_of(d[x], key, th), s[x].astype(np.uint32), (n[x] - 1).astype(np.uint16), v[x], what)))
 
     def _windows(rows, t, first, d, s, n, v, key, th, db):
         # one window of each content leaves the bucket; the others are settled here
-        fp = fingerprints(t, ranges(first, n))
-        d, s, v = np.repeat(d, n), ranges(s, n), np.repeat(v, n)
+        at = ranges(first, n)
+        x = t.symbols(0, t.n)
+        a, b = (mix((g[at + w] - g[at]) * powers(len(g))[1][at]) for g in (prefix(x), prefix(mix(x ^ _ODD))))
+        d, s = np.repeat(d, n), ranges(s, n)
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((th, key))] = np.arange(len(key))
         pos = rank[d] << 32 | s
-        order, cut = neighbours(v, fp)
-        size = np.diff(np.append(cut, len(v)))
+        order, cut = classes(a, b)
+        size = np.diff(np.append(cut, len(a)))
         least = np.repeat(np.minimum.reduceat(pos[order], cut), size)
-        lead = np.zeros(len(v), bool)
-        lead[order[np.lexsort((pos[order], np.repeat(np.arange(len(cut)), size)))][cut]] = True
-        again = np.zeros(len(v), bool)
-        again[order] = np.repeat(np.maximum.reduceat(pos[order], cut), size) > least if not later else pos[order] > least
-        done = np.flatnonzero(again & ~lead)
+        lead = np.zeros(len(a), bool)
+        lead[order] = pos[order] == least
+        more = np.zeros(len(a), bool)
+        more[order] = np.repeat(np.maximum.reduceat(pos[order], cut), size) > least if not later else pos[order] > least
+        done = np.flatnonzero(more & ~lead)
         if len(done):
             k, h, i = docs_of(d[done], key, th)
             rows.append((db % n_parts, db, SPANS, pack(k, h, i, s[done].astype(np.uint32), (s[done] + w).astype(np.uint32))))
         x = np.flatnonzero(lead)
-        for p, y in split(bucket_of(mix(v[x] * _MIX1 ^ fp[x]), n_parts)):
+        for p, y in split(bucket_of(a[x], n_parts)):
             f = x[y]
-            rows.append((p, -1, WINDOWS, pack(*docs_of(d[f], key, th), s[f].astype(np.uint32), v[f], fp[f], again[f].astype(np.uint8))))
+            rows.append((p, -1, WINDOWS, pack(*docs_of(d[f], key, th), s[f].astype(np.uint32), a[f], b[f], more[f].astype(np.uint8))))
 
     return run
 
 
-def compared(unit: str, w: int, n_docs: int, later: bool) -> Callable:
+def compared(w: int, n_docs: int, later: bool, repeated: Callable) -> Callable:
     """Takes all runs of some groups; gives the spans to remove, by bucket of documents."""
 
-    def fingerprints(n: np.ndarray, data: np.ndarray) -> np.ndarray:
-        out, long = [np.zeros(0, np.uint64)], n + w - 1
-        ends = np.cumsum(long)
-        i = 0
-        while i < len(n):  # some segments at a time
-            base = ends[i] - long[i]
-            j = max(i + 1, int(np.searchsorted(ends, base + SLAB, side="right")))
-            g = prefix(BYTE[data[base : ends[j - 1]]])
-            at = ranges(ends[i:j] - long[i:j] - base, n[i:j])
-            out.append(mix((g[at + w] - g[at]) * powers(len(g))[1][at]))
-            i = j
-        return np.concatenate(out)
-
     def run(t: pa.Table) -> pa.Table:
         mine: dict[int, list] = {RUNS: [], WINDOWS: []}
         rows: list = []
@@ -404,24 +291,18 @@ def compared(unit: str, w: int, n_docs: int, later: bool) -> Callable:
             if not blobs:
                 continue
             if kind == RUNS:
-                key, th, d, s, n, v, what = unpack(blobs, [*_RUN_TYPES, "u1" if unit == "byte" else "<u8"], doc=2)
+                key, th, d, s, n, v, what = unpack(blobs, [*_RUN_TYPES, "u1"], doc=2)
                 s, n = s.astype(np.int64), n.astype(np.int64) + 1
-                fp = fingerprints(n, what) if unit == "byte" else what
-                known = np.zeros(len(fp), bool)
+                flags = repeated(n, what, ranked(key, th)[d] << 32 | s)
                 del what
             else:
-                key, th, d, s, v, fp, known = unpack(blobs, ["<i8", "<i4", "<u4", "<u4", "<u8", "<u8", "u1"], doc=2)
-                s, n, known = s.astype(np.int64), np.ones(len(s), np.int64), known != 0
+                key, th, d, s, a, b, known = unpack(blobs, _WINDOW_TYPES, doc=2)
+                s, n = s.astype(np.int64), np.ones(len(s), np.int64)
+                flags = again(a, b, ranked(key, th)[d] << 32 | s, known != 0, later)
             blobs.clear()
-            order = np.lexsort((th, key))
-            k, h = key[order], th[order]
-            rank = np.empty(len(key), np.int64)  # equal documents from several blobs have one rank
-            rank[order] = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(h) != 0)))
-            pos = np.repeat(rank[d] << 32, n) | ranges(s, n)
-            flags = matched(np.repeat(v, n), fp, pos, known, later)
-            i, a, b_ = spans(flags, s, n, w)
+            i, a, b = spans(flags, s, n, w)
             i = d[i]
-            rows += [(0, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b_[at].astype(np.uint32))) for db, at in split(key[i] % n_docs)]
+            rows += [(0, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b[at].astype(np.uint32))) for db, at in split(home(key[i], th[i], n_docs))]
         return pa.Table.from_batches([batch(rows)])
 
     return run
@@ -440,33 +321,36 @@ def primes_from(n: int) -> int:
     return n
 
 
-def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, finish: Callable, schema: str, hot: int = 100_000, bucket: int = BUCKET) -> DataFrame:
+def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, repeated: Callable, finish: Callable, schema: str, hot: int = HOT_RUNS, bucket: int = BUCKET) -> DataFrame:
     """Applies finish(Texts, covered symbols) -> columns to the texts; adds doc_id.
 
-    docs: doc_id long, text string.  Null texts are empty.  Rows that repeat a
-    document (same doc_id, same text) are the same document, not a match of it, and
-    each gets the result; rows that share only the doc_id are documents of their
-    own, in the order of a hash of their text.  A null doc_id comes first.
+    docs: doc_id long, text string.  repeated(windows of each run, the segments'
+    bytes, position of each run's first window) tells which windows of all runs are
+    to go.  Null texts are empty.  Rows that repeat a document (same doc_id, same
+    text) are the same document, not a match of it, and each gets the result; rows
+    that share only the doc_id are documents of their own, in the order of a hash of
+    their text.  A null doc_id comes first.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("key"), F.hash("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.lit(-(2**63)).cast("long")
+    d = docs.select(F.col("doc_id").cast("long").alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("own", F.coalesce("own", first).alias("key"), F.xxhash64("text").alias("th"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(1, -(-size // bucket))
-    n_docs = primes_from(max(2, n_parts))
+    n_docs = primes_from(max(2, -(-size // bucket)))
+    n_parts = max(1, -(-size * BUCKET // (GROUP * bucket)))
     n_tasks = max(1, -(-size // TASK))
-    entries = d.filter(F.octet_length("text") >= w).mapInArrow(seeds(unit, w, k, n_parts, n_docs), _ENTRY)
-    entries = entries.repartition(n_tasks, "part").groupBy("part").applyInArrow(recurring(n_docs, max(hot, size // 8 // MOST_HOT)), _ENTRY)
+    entries = d.filter(F.octet_length("text") >= w).select("key", "th", "text").mapInArrow(seeds(unit, w, k, n_parts, n_docs), _ENTRY)
+    entries = entries.repartition(n_tasks, "part").groupBy("part").applyInArrow(recurring(n_docs, hot), _ENTRY)
     entries = scratch(entries, "repeats")
     heat = [np.frombuffer(r[0], "<u8") for r in entries.filter(F.col("kind") == HOT).select("blob").collect()]
     heat = np.sort(np.concatenate(heat)) if heat else np.zeros(0, np.uint64)
-    first = F.lit(-(2**63)).cast("long")
-    d = d.withColumn("db", F.pmod(F.coalesce("key", first), F.lit(n_docs)).cast("int")).repartition(n_tasks, "db")
+    d = d.withColumn("db", F.pmod(F.col("key").bitwiseXOR(F.col("th")), F.lit(n_docs)).cast("int")).repartition(n_tasks, "db")
     runs = entries.filter(F.col("kind") == KNOWN)
     shown = d.groupBy("db").cogroup(runs.groupBy("db")).applyInArrow(exposed(unit, w, n_parts, heat, later), _ENTRY)
-    cut = shown.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(unit, w, n_docs, later), _ENTRY)
+    cut = shown.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(w, n_docs, later, repeated), _ENTRY)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         own_key, own_th = _keys(left)
-        key, th, doc, a, b = unpack([x.as_buffer() for x in right.column("blob").combine_chunks()] if len(right) else [], ["<i8", "<i4", "<u4", "<u4", "<u4"], doc=2)
+        key, th, doc, a, b = unpack([x.as_buffer() for x in right.column("blob").combine_chunks()] if len(right) else [], _SPAN_TYPES, doc=2)
         doc = place(own_key, own_th, key, th)[doc] if len(doc) else doc.astype(np.int64)
         order = np.argsort(doc, kind="stable")
         doc, a, b = doc[order], a[order].astype(np.int64), b[order].astype(np.int64)
@@ -479,6 +363,6 @@ def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, finish: Cal
             x = ranges(lo, hi - lo)
             out.append(finish(t, covered(t.off, np.repeat(here - i, hi - lo), a[x], b[x])))
         cols = {c: np.concatenate([o[c] for o in out]) for c in (out[0] if out else {})}
-        return pa.table({"doc_id": left.column("key"), **{c: pa.array(x) for c, x in cols.items()}}) if out else pa.table({"doc_id": left.column("key")})
+        return pa.table({"doc_id": left.column("own"), **{c: pa.array(x) for c, x in cols.items()}}) if out else pa.table({"doc_id": left.column("own")})
 
     return d.groupBy("db").cogroup(cut.filter(F.col("db") >= 0).groupBy("db")).applyInArrow(last, f"doc_id long, {schema}")

@@ -1,20 +1,79 @@
 """Substring dedup by prefix-partitioned suffix trees: every copy of a repeated passage goes.
 
-Suffixes are dealt by a prefix (the window's smallest ``k``-word gram, lengthened to
-the whole window for groups too large for a task).  Of a group's suffix tree only
-the internal nodes of depth ``length`` and more matter: the leaves below such a node
-are the places of one maximal repeat, cut to ``length``.  They stand next to each
-other in suffix order (see ``repeats``), so the nodes are stretches of that order.
+``repeats`` deals the stretches of text that may recur to groups; equal stretches
+recur as they are, and of each one is kept.  There the suffixes are split by prefixes of variable length: by one word, and where more than ``SUBTREE``
+suffixes share it by two, four and so on, until the part fits in memory; a suffix
+alone under its prefix has no internal node above it.  Each part's suffix tree is
+built from the order of its suffixes and their common prefixes.  The leaves below an
+internal node of depth ``length`` or more are the places of a maximal repeat, and the
+windows that start there go.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Texts, ranges, without
+from .repeats import without
+from .rolling import Texts, ranges
+from .suffixes import Order, distinct, nodes
+
+#: Suffixes of a subtree that is built at a time, if their prefix can still be lengthened.
+SUBTREE = 1 << 18
+
+
+def parts(order: Order, at: np.ndarray, length: int, most: int) -> Iterator[np.ndarray]:
+    """The suffixes at these places by prefixes of variable length, in parts of about ``most`` suffixes."""
+    for h, rank in order.levels:
+        r = rank[at]
+        by = np.argsort(r, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(r[by]) != 0)) if len(by) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cuts, len(by)))
+        last = h >= length or h == order.levels[-1][0]
+        fits = (size > 1) & ((size <= most) | last)
+        # small neighbouring groups are taken together
+        small = by[np.repeat(fits, size)]
+        ends = np.cumsum(size[fits])
+        i = 0
+        while i < len(small):
+            j = int(ends[max(np.searchsorted(ends, i + most, side="right") - 1, np.searchsorted(ends, i, side="right"))])
+            yield at[small[i:j]]
+            i = j
+        at = at[by[np.repeat((size > most) & ~fits, size)]]
+        if not len(at):
+            return
+
+
+def deep_leaves(length: int, most: int = SUBTREE):
+    """Which windows start below an internal node of depth ``length`` or more."""
+
+    def run(n: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        size = n + length - 1
+        off = np.append(0, np.flatnonzero(data == 32) + 1)
+        ends = np.cumsum(size)
+        lead, many = distinct(data, off[ends], first)
+        out = np.repeat(many > 1, n)  # equal segments: every window is elsewhere, too
+        own = lead == np.arange(len(n))
+        x = np.flatnonzero(own)
+        # words as places in a dictionary of the words themselves, each with the space after it
+        words = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+        word = words.dictionary_encode().indices.to_numpy()[ranges(ends[x] - size[x], size[x])]
+        m, heads = n[x], np.cumsum(size[x]) - size[x]
+        order = Order(word, np.repeat(heads + size[x], size[x]) - np.arange(len(word)), length)
+        gone = np.zeros(len(word), bool)
+        for at in parts(order, ranges(heads, m), length, most):
+            by, common = order.sort(at)
+            _, low, high = nodes(common, length)
+            up = np.bincount(low, minlength=len(by) + 1) - np.bincount(high + 1, minlength=len(by) + 1)
+            gone[at[by[np.cumsum(up[:-1]) > 0]]] = True
+        out[np.repeat(own, n)] |= gone[ranges(heads, m)]
+        return out
+
+    return run
 
 
 def _finish(t: Texts, gone: np.ndarray) -> dict:
@@ -52,4 +111,4 @@ def drop_repeats(docs: DataFrame, length: int = 35, text: str = "text", key: str
         return out if kept else {c: x for c, x in out.items() if c != "kept"}
 
     rows = docs.selectExpr(f"`{key}` as doc_id", f"`{text}` as text")
-    return without(rows, "word", length, max(1, length // 7), False, finish, schema, **how)
+    return without(rows, "word", length, max(1, length // 4), False, deep_leaves(length), finish, schema, **how)

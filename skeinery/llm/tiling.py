@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, fresh, words
-from .repeats import BYTE, STEP, mix, powers, prefix, ranges
+from .rolling import BYTE, STEP, mix, powers, prefix, ranges
 
 SLAB = 4_000_000
 #: Tokens in a block of the benchmark that is sent to the executors, at most (8 bytes each and as much again for seeds).

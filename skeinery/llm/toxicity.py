@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, words
-from .repeats import BYTE, STEP, mix, powers, prefix
+from .rolling import BYTE, STEP, mix, powers, prefix
 
 #: Feature slots, and at most so many of them carry a weight.
 BITS, MOST_FEATURES = 20, 4096
