@@ -18,6 +18,8 @@ from .common import WORD, fresh, scratch
 STEPS = 40
 #: Parts that each source is split into where its rows meet its plan, so that no task holds a whole source.
 SALTS = 64
+#: Sources whose plan is broadcast, at most (some 100 bytes each); more of them are joined by key.
+MOST_SENT = 50_000
 
 
 def _weights(shares: Column, a: Column) -> Column:
@@ -84,42 +86,65 @@ def temperatures(tokens: DataFrame, entropy: float | None, repeats: float, epoch
     else:
         size = F.round(F.col("total") * float(epochs))
     one = one.withColumn("size", size.cast("double"))
-    each = one.select("exponent", "size", F.explode(F.arrays_zip("all", "w")).alias("x"))
-    budget = F.round(F.round(F.col("x.w"), 9) * F.col("size")).cast("long")
+    budget = F.transform("w", lambda w: F.round(F.round(w, 9) * F.col("size")).cast("long"))
     if epochs is None:
-        budget = F.greatest(budget, F.col("x.all.tokens"))
+        budget = F.zip_with(budget, F.transform("all", lambda x: x["tokens"]), lambda b, t: F.greatest(b, t))
+    one = one.withColumn("budget", budget).withColumn("stream", F.aggregate("budget", F.lit(0).cast("long"), lambda s, b: s + b))
+    each = one.select("exponent", "stream", F.explode(F.arrays_zip("all", "w", "budget")).alias("x"))
     return each.select(
         F.col("x.all.source_").alias("source_"), F.col("x.all.tokens").alias("tokens"), "exponent",
-        F.round(F.col("x.w"), 9).alias("weight"), budget.alias("budget"),
+        F.round(F.col("x.w"), 9).alias("weight"), F.col("x.budget").alias("budget"), "stream",
     )
 
 
-def draw(units: DataFrame, entropy: float | None = 0.95, repeats: float = 4.0, epochs: float | None = 1.0, block: int = 1_000_000, seed: int = 7) -> DataFrame:
-    """units: id_, source_, n_tokens.  One row for each time that a unit is drawn.
+def plan(units: DataFrame, entropy: float | None = 0.95, repeats: float = 4.0, epochs: float | None = 1.0, block: int = 1_000_000) -> DataFrame:
+    """units: source_, n_tokens.  source_, tokens, exponent, weight, budget, whole (epochs), blocks (of the stream)."""
+    per = units.groupBy("source_").agg(F.sum("n_tokens").alias("tokens"))
+    warm = temperatures(per.filter("tokens > 0"), entropy, repeats, epochs)
+    warm = warm.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("stream") / F.lit(block)))).drop("stream")
+    # sources without tokens never leave the first block
+    cold = per.filter("tokens = 0").select("source_", "tokens", F.lit(1.0).alias("exponent"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(1).cast("long").alias("blocks"))
+    out = warm.unionByName(cold)
+    return out.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int"))
 
-    Adds exponent, weight, epoch, block and place.  An epoch goes through a source
-    in the order of md5(id:epoch:seed); the last one stops before the unit that
-    would pass the budget.  A drawn unit's block is its share of the way through
-    its source's budget; within a block all sources are mixed by the same key.
-    Units without tokens, and sources of such only, take part in whole epochs.
+
+def _key(unit: Column, epoch: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", unit.cast("string"), epoch.cast("string"), F.lit(str(seed))))
+
+
+def walk(units: DataFrame, plans: DataFrame, seed: int, epoch: Column) -> DataFrame:
+    """units: id_, source_, n_tokens.  One row for each unit and epoch, with the plan, key and upto.
+
+    epoch: those to go through, an array.  upto: tokens of the source's stream up to
+    the unit and with it, in the order of key; sums go bin by bin, then within a bin.
     """
-    per = units.groupBy("source_").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("units_"))
-    warm = temperatures(per.filter("tokens > 0"), entropy, repeats, epochs)
-    cold = per.filter("tokens = 0").select("source_", "tokens", F.lit(1.0).alias("exponent"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"))
-    plan = warm.unionByName(cold).withColumn("stream", F.sum("budget").over(W.partitionBy()))
-    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int"))
-    plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("stream") / F.lit(block))))
-    plan = plan.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x = units.withColumn("salt_", F.pmod(F.xxhash64("id_"), F.lit(SALTS)).cast("int")).join(plan, ["source_", "salt_"])
-    x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    x = x.withColumn("key", F.md5(F.concat_ws(":", F.col("id_").cast("string"), F.col("epoch").cast("string"), F.lit(str(seed)))))
-    x = x.withColumn("bin", F.substring("key", 1, 2))
+    # as many bins as a bin has units, about, if all are of one source
+    n, digits = units.count(), 1
+    while 16 ** (2 * digits) < n:
+        digits += 1
+    plans = plans.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = units.withColumn("salt_", F.pmod(F.xxhash64("id_"), F.lit(SALTS)).cast("int")).join(plans, ["source_", "salt_"])
+    x = x.withColumn("epoch", F.explode(epoch))
+    x = x.withColumn("key", _key(F.col("id_"), F.col("epoch"), seed))
+    x = x.withColumn("bin", F.substring("key", 1, digits))
     sums = x.groupBy("source_", "epoch", "bin").agg(F.sum("n_tokens").alias("sum_"))
     before = W.partitionBy("source_", "epoch").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source_", "epoch", "bin", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"))
     local = F.sum("n_tokens").over(W.partitionBy("source_", "epoch", "bin").orderBy("key", "id_").rowsBetween(W.unboundedPreceding, 0))
     x = x.withColumn("upto", local).join(sums, ["source_", "epoch", "bin"])
-    x = x.withColumn("upto", F.col("upto") + F.col("before_") + F.col("epoch") * F.col("tokens"))
+    return x.withColumn("upto", F.col("upto") + F.col("before_") + F.col("epoch") * F.col("tokens"))
+
+
+def draw(units: DataFrame, seed: int = 7, **how) -> DataFrame:
+    """units: id_, source_, n_tokens.  One row for each time that a unit is drawn; how: see ``plan``.
+
+    Adds exponent, weight, epoch, block and place.  An epoch goes through a source
+    in the order of md5(id:epoch:seed); the last one stops before the unit that
+    would pass the budget.  A drawn unit's block is its share of the way through
+    its source's budget; within a block all sources are mixed by the same key.
+    Units without tokens, and sources of such only, take part in whole epochs.
+    """
+    x = walk(units, plan(units, **how), seed, F.sequence(F.lit(0), F.col("whole")))
     x = x.filter((F.col("epoch") < F.col("whole")) | ((F.col("upto") <= F.col("budget")) & (F.col("n_tokens") > 0)))
     at = (F.col("upto") - F.col("n_tokens")) * F.col("blocks") / F.greatest(F.col("budget"), F.lit(1))
     x = x.withColumn("block", F.least(F.floor(at), F.col("blocks") - 1).cast("long"))
@@ -144,14 +169,32 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return out.withColumn("source_", F.when(F.col("source_") != "\0", F.col("source_"))).withColumnsRenamed({"id_": key, "source_": source})
 
 
-def mix_rows(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+def mix_rows(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
     """As ``mix``, but returns docs' own columns, each row as often as it is drawn.
 
-    Rows equal in all columns are drawn together.
+    A row is told by a 64-bit hash of all its columns; rows equal in all columns are
+    drawn together, null values and null sources count as values, a null, empty or
+    wordless text has no tokens and is drawn in whole epochs only, and an empty table
+    gives an empty result.  Texts are not shuffled: an epoch's order is by key, so the
+    last, partial epoch is told by one cut for each source, and rows meet only those.
     """
-    (h, n) = fresh(docs, "row_", "epoch_")
-    docs = docs.withColumn(h, F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})))
-    units = docs.groupBy(F.col(h).alias("id_"), F.col(source).alias("src")).agg(F.sum(tokens(F.col(text))).alias("n_tokens"))
-    units = scratch(units.select("id_", F.coalesce("src", F.lit("\0")).alias("source_"), "n_tokens"), "mix-units")
-    drawn = draw(units, **how).select(F.col("id_").alias(h), F.col("epoch").alias(n))
-    return docs.join(drawn, h).drop(h, n)
+    (row, src, n, cut) = fresh(docs, "row_", "source_", "times_", "cut_")
+    null = F.lit("\0")
+    told = docs.withColumn(row, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))).withColumn(src, F.coalesce(F.col(source).cast("string"), null))
+    units = told.groupBy(F.col(row).alias("id_"), F.col(src).alias("source_")).agg(F.sum(tokens(F.col(text))).alias("n_tokens"))
+    units = scratch(units, "mix-units")
+    plans = scratch(plan(units, **how), "mix-plan")
+    last = walk(units, plans, seed, F.array("whole")).filter((F.col("upto") <= F.col("budget")) & (F.col("n_tokens") > 0))
+    cuts = last.groupBy("source_").agg(F.max(F.struct("key", "id_")).alias(cut))
+    cuts = scratch(plans.select("source_", "whole").join(cuts, "source_", "left").select(F.col("source_").alias(src), F.col("whole").alias(n), cut), "mix-cuts")
+    if cuts.count() <= MOST_SENT:
+        told = told.join(F.broadcast(cuts), src)
+    else:
+        (salt,) = fresh(told, "salt_")
+        cuts = cuts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = told.withColumn(salt, F.pmod(F.col(row), F.lit(SALTS)).cast("int")).join(cuts, [src, salt]).drop(salt)
+    within = F.struct(_key(F.col(row), F.col(n), seed).alias("key"), F.col(row).alias("id_")) <= F.col(cut)
+    times = F.col(n) + F.when(F.coalesce(within, F.lit(False)) & (tokens(F.col(text)) > 0), 1).otherwise(0)
+    # a sequence down from 0 would not be empty
+    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return told.withColumn(n, F.explode(copies)).select(*docs.columns)
