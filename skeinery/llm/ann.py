@@ -5,12 +5,13 @@ growing batches: a greedy search from the entry point proposes neighbours, relax
 distance pruning (factor ``alpha``) keeps those that no kept one makes redundant, and
 edges back to the new point are pruned alike.  A query's beam search visits each
 shard's graph; the best of all shards are merged.  Equal vectors are one point of the
-graph, with as many ids as a result can show.
+graph, with as many ids as a result can show.  Graphs are built and searched in double
+precision around the shard's mean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,27 @@ from pyspark.sql import Window as W
 
 from .common import scratch
 
-#: Points of a shard, out-degree, beam while building and while searching, pruning factor, queries of a block.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, QUERIES = 8_000, 32, 64, 128, 1.2, 20_000
+#: Points of a shard, out-degree, beam while building and while searching, pruning factor, queries searched at a time.
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, QUERIES = 8_000, 32, 64, 128, 1.2, 256
+#: Components beyond this are divided by the largest, so that no square overflows.
+HUGE = 1e150
+
+
+def centred(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both moved by the mean of x, which leaves distances as they are but keeps their digits."""
+    top = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
+    if top > HUGE:
+        x, q = x / top, q / top
+    mean = x.mean(axis=0)
+    return x - mean, q - mean
+
+
+def norms(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths along the last axis."""
+    top = np.abs(d).max(axis=-1, initial=0)
+    scale = np.where(top > HUGE, top, 1.0)
+    d = d / scale[..., None] if (top > HUGE).any() else d
+    return np.sqrt((d * d).sum(axis=-1)) * scale
 
 
 def _near(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -37,7 +57,7 @@ def beam_search(x: np.ndarray, nbrs: np.ndarray, entry: int, q: np.ndarray, beam
     """
     b, n = len(q), len(x)
     ids = np.full((b, beam), -1)
-    dist = np.full((b, beam), np.inf, np.float32)
+    dist = np.full((b, beam), np.inf)
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, n + 1), bool)  # the last column stands for no point
     ids[:, 0], done[:, 0] = entry, False
@@ -55,7 +75,7 @@ def beam_search(x: np.ndarray, nbrs: np.ndarray, entry: int, q: np.ndarray, beam
         new = np.where(new < 0, n, new)
         fresh = ~seen[live[:, None], new]
         seen[live[:, None], new] = True
-        d = np.where(fresh, _near(x, np.minimum(new, n - 1), q[live]), np.inf).astype(np.float32)
+        d = np.where(fresh, _near(x, np.minimum(new, n - 1), q[live]), np.inf)
         all_d = np.concatenate([dist[live], d], axis=1)
         order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
         take = lambda a, z: np.take_along_axis(np.concatenate([a[live], z], axis=1), order, axis=1)
@@ -94,7 +114,7 @@ def prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int, alph
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 1) -> tuple[np.ndarray, int]:
     """Neighbours (n, degree) and the entry point, the one nearest to the mean."""
     n = len(x)
-    x = x.astype(np.float32)
+    x, _ = centred(x, x[:0])
     entry = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
     nbrs = np.full((n, degree), -1)
     order = np.random.default_rng(seed).permutation(n)
@@ -162,40 +182,59 @@ def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     return scratch(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX), "ann-index")
 
 
+class _Graph:
+    """One shard, ready for queries."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        self.x = _matrix(t, "v")
+        self.nbrs = t.column("nbrs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        self.entry = int(np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))[0])
+        ids = t.column("ids").combine_chunks()
+        self.many = ids.value_lengths().to_numpy(zero_copy_only=False)
+        self.off = np.append(0, np.cumsum(self.many))
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False)
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, ...]]:
+        x, around = centred(self.x, q)
+        found, _ = beam_search(x, self.nbrs, self.entry, around, max(beam, k + 1))
+        exact = norms(self.x[np.maximum(found, 0)] - q[:, None, :])
+        for r in range(len(found)):
+            met = np.flatnonzero(found[r] >= 0)
+            top = met[np.argsort(exact[r][met], kind="stable")]
+            # the nearest points with k + 1 ids between them, and all that tie with the last
+            last = min(int(np.searchsorted(np.cumsum(self.many[found[r][top]]), k + 1)), len(top) - 1)
+            top = top[exact[r][top] <= exact[r][top[last]]]
+            pid = found[r][top]
+            n = self.many[pid]
+            v = self.ids[np.repeat(self.off[pid] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            s = np.repeat(exact[r][top], n)
+            v, s = v[v != own[r]], s[v != own[r]]
+            best = np.lexsort((v, s))[:k]
+            yield np.full(len(best), own[r]), v[best], s[best]
+
+
 def _search(k: int, beam: int) -> Callable:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(left) or not len(right):
-            return empty
-        left = left.sort_by("node")
-        x, q = _matrix(left, "v"), _matrix(right, "v")
-        flat = left.column("nbrs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(left), -1)
-        entry = int(np.flatnonzero(left.column("entry").to_numpy(zero_copy_only=False))[0])
-        ids = left.column("ids").combine_chunks()
-        ids_off, ids = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))), ids.flatten().to_numpy(zero_copy_only=False)
-        own = right.column("query_id").to_numpy(zero_copy_only=False)
-        narrow, out = x.astype(np.float32), []
-        for i in range(0, len(q), 256):
-            found, _ = beam_search(narrow, flat, entry, q[i : i + 256].astype(np.float32), max(beam, k + 1))
-            d = x[np.maximum(found, 0)] - q[i : i + 256, None, :]
-            exact = np.where(found < 0, np.inf, np.sqrt((d * d).sum(axis=2)))
-            for r in range(len(found)):
-                top = np.argsort(exact[r], kind="stable")
-                top = top[np.isfinite(exact[r][top])]
-                n = np.diff(ids_off)[found[r][top]]
-                # the nearest points with k + 1 ids between them, and all that tie with the last
-                last = min(int(np.searchsorted(np.cumsum(n), k + 1)), len(top) - 1)
-                top = top[exact[r][top] <= exact[r][top[last]]]
-                pid = found[r][top]
-                n = np.diff(ids_off)[pid]
-                v = ids[np.repeat(ids_off[pid] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                s = np.repeat(exact[r][top], n)
-                ok = v != own[i + r]
-                v, s = v[ok], s[ok]
-                best = np.lexsort((v, s))[:k]
-                out.append((np.full(len(best), own[i + r]), v[best], s[best]))
-        a, b, c = map(np.concatenate, zip(*out, strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+    """Rows in the order of dim, shard and kind: a shard's graph, then the queries, however many, that visit it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, graph = None, [], None
+        for b in batches:
+            dim, shard, kind = (b.column(c).to_numpy() for c in ("dim", "shard", "kind"))
+            cut = np.flatnonzero(np.append(True, (np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(kind) != 0))) if len(b) else []
+            for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
+                piece = pa.Table.from_batches([b.slice(i, j - i)])
+                if (dim[i], shard[i]) != now:
+                    now, parts, graph = (dim[i], shard[i]), [], None
+                if kind[i] == 0:
+                    parts.append(piece)
+                    continue
+                graph = graph or _Graph(pa.concat_tables(parts))
+                parts = []
+                own, q = piece.column("node").to_numpy(), _matrix(piece, "v")
+                for a in range(0, len(q), QUERIES):
+                    cols = map(np.concatenate, zip(*graph.nearest(own[a : a + QUERIES], q[a : a + QUERIES], k, beam), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -203,16 +242,16 @@ def _search(k: int, beam: int) -> Callable:
 def search(idx: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
     """queries: query_id, v.  query_id, rank, vec_id, score of each query's k nearest points other than its own id.
 
-    Every query visits every shard, in blocks of QUERIES queries; distances are
-    computed again in double precision.
+    Every query visits every shard; a task holds one shard's graph and streams the
+    queries past it.  Scores are distances of the original vectors, in double precision.
     """
-    blocks = max(1, -(-queries.count() // QUERIES))
-    # new columns, as both sides of the cogroup come from one table
-    shards = idx.select((F.col("dim") + 0).alias("dim"), (F.col("shard") + 0).alias("shard")).distinct()
-    asked = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards, "dim")
-    graph = idx.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by = ["dim", "shard", "block"]
-    found = graph.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+    shards = idx.select("dim", "shard").distinct()
+    asked = queries.withColumn("dim", F.size("v")).join(shards, "dim")
+    graph = idx.select("dim", "shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "v", "ids", "nbrs", "entry")
+    none = [F.lit(None).cast(graph.schema[c].dataType).alias(c) for c in ("ids", "nbrs", "entry")]
+    both = graph.unionByName(asked.select("dim", "shard", F.lit(1).alias("kind"), F.col("query_id").alias("node"), "v", *none))
+    dealt = both.repartition(max(1, shards.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "node")
+    found = dealt.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

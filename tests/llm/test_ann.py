@@ -1,6 +1,9 @@
 """Nearest neighbours against brute force."""
 
+import os
+
 import numpy as np
+import pytest
 
 from skeinery.llm import ann
 
@@ -39,3 +42,50 @@ def test_recall_and_exact_scores(spark):
     assert [i for _, i in sorted(got[500].values(), key=lambda t: t[1])] == list(range(501, 511))
     assert [i for _, i in got[5500].values()] == [5600]
     assert ann.neighbours(df.limit(0)).count() == 0
+
+
+def recall(spark, rows, every=50, **how):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.neighbours(df, 10, every, **how).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    want = brute(rows, 10, every)
+    assert got.keys() == want.keys()
+    for q, d in want.items():
+        assert sorted(got[q]) == list(range(1, len(d) + 1))
+    return sum(len({i for i, _ in got[q].values()} & {i for _, i in d}) for q, d in want.items()) / sum(len(d) for d in want.values())
+
+
+@pytest.mark.parametrize("offset", [0.0, 100.0, 1000.0])
+def test_recall_off_centre(spark, offset):
+    x = np.random.default_rng(8).normal(scale=0.01, size=(2500, 24)).astype(np.float32) + np.float32(offset)
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float64))], shard=900) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e20, 1e38, 1e250])
+def test_large_components(spark, size):
+    x = np.random.default_rng(9).normal(size=(400, 8))
+    x[::2] *= size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, 10, 50, shard=150).collect()
+    assert len(got) == 80 and all(np.isfinite(r.score) for r in got)
+    if size < 1e100:
+        assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], shard=150) >= 0.9
+
+
+def test_recall_on_the_table(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    rows = [(r.vec_id, [float(c) for c in r.embedding] if r.embedding is not None else None) for r in spark.read.parquet(path).collect()]
+    x, ids = np.array([v for _, v in rows if v and any(v)]), np.array([i for i, v in rows if v and any(v)])
+    got = {}
+    for r in ann.neighbours(spark.read.parquet(path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        hits, total = hits + len(best & got[q]), total + len(best)
+    assert hits / total >= 0.9
