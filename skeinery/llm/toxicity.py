@@ -1,13 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and word beginnings is trained in numpy from
-confirmed toxic documents (positive) and any documents (unlabelled).  With class
-prior p and logistic loss l the risk is
+Linear classifiers over hashed words and word beginnings are trained in numpy from
+confirmed toxic documents (positive) and documents whose label is not looked at
+(unlabelled).  With class prior p and logistic loss l the risk is
 
     p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)])
 
 whose second part can't fall below zero, where plain unbiased estimates overfit.
-Training uses samples of documented size; scoring is one pass without a shuffle.
+Each classifier sees all positives and a part of the unlabelled; their mean scores.
+Training uses labelled rows up to a documented number; scoring is one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import buffers, words
 from .rolling import BYTE, STEP, mix, powers, prefix
 
-#: Feature slots, and at most so many of them carry a weight.
-BITS, MOST_FEATURES = 20, 4096
-#: Documents to train from, at most: confirmed toxic ones, and any.
-POSITIVES, UNLABELLED = 3_000, 6_000
+#: Feature slots are 2^BITS; classifiers.
+BITS, CLASSIFIERS = 20, 3
+#: Labelled rows to train from, at most: confirmed toxic ones, and any (their label hidden).
+POSITIVES, UNLABELLED = 4_000, 12_000
 #: Bytes of a word's beginning that make a feature beside the word.
 BEGINNINGS = (4, 5, 6)
 SLAB = 2_000_000
@@ -73,7 +75,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _pieces(off):
             f, at = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             out += [np.unique(f[at[k] : at[k + 1]]).tobytes() for k in range(j - i)]
-        yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(out, pa.binary())], names=["positive", "f"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("positive"), pa.array(out, pa.binary())], names=["id", "positive", "f"])
 
 
 @dataclass
@@ -89,66 +91,88 @@ class Model:
         return out
 
 
-def select(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.ndarray:
-    """Slots that toxic documents have clearly more often than documents have at large, best first."""
+def select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
+    """Slots that toxic documents have clearly more often than documents at large, or clearly less often.
+
+    Only slots that are found often enough on their side count: in five documents
+    (all, if there are fewer) and in one of a hundred.
+    """
     a = np.bincount(np.concatenate(pos), minlength=1 << BITS)
     b = np.bincount(np.concatenate(unl), minlength=1 << BITS)
-    p, q = a / len(pos), (b + 1) / (len(unl) + 1)
+    p, q = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
     z = (p - q) / np.sqrt(q / len(pos))
-    ok = np.flatnonzero((a >= max(5, 0.01 * len(pos))) & (p > 4 * q) & (z > 4))
-    return np.sort(ok[np.argsort(-z[ok], kind="stable")][:MOST_FEATURES])
+    least = lambda n: max(min(5, n), 0.01 * n)
+    more = (a >= least(len(pos))) & (p > 4 * q) & (z > 4)
+    fewer = (b >= least(len(unl))) & (q > 4 * p) & (z < -4)
+    return np.flatnonzero(more | fewer)
+
+
+def sparse(docs: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows and columns of the features in use, and the number of documents."""
+    cols = [c[c >= 0] for c in (place[d] for d in docs)]
+    return np.repeat(np.arange(len(docs)), [len(c) for c in cols]), np.concatenate(cols), len(docs)
+
+
+def risk(w: np.ndarray, b: float, pos: tuple, unl: tuple, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The non-negative risk, the gradient to go down (weights, then bias), and is the corrected part negative.
+
+    Where it is, the risk stands at its floor; the gradient is then that of the
+    corrected part turned round, which leads back above it.
+    """
+    (pr, pc, n_p), (ur, uc, n_u) = pos, unl
+    fp = b + np.bincount(pr, w[pc], n_p)
+    fu = b + np.bincount(ur, w[uc], n_u)
+    sp, su = (1 / (1 + np.exp(-np.clip(f, -30, 30))) for f in (fp, fu))
+    corrected = np.mean(np.logaddexp(0, fu)) - prior * np.mean(np.logaddexp(0, fp))
+    if corrected >= 0:
+        gp, gu = prior * (sp - 1) / n_p - prior * sp / n_p, su / n_u
+    else:
+        gp, gu = prior * sp / n_p, -su / n_u
+    grad = np.append(np.bincount(pc, gp[pr], len(w)) + np.bincount(uc, gu[ur], len(w)), gp.sum() + gu.sum())
+    return prior * np.mean(np.logaddexp(0, -fp)) + max(0.0, corrected), grad, corrected < 0
+
+
+def descend(pos: tuple, unl: tuple, n: int, prior: float, steps: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
+    """Adam on the risk."""
+    x = np.append(np.zeros(n), np.log(prior / (1 - prior)))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, steps + 1):
+        grad = risk(x[:-1], x[-1], pos, unl, prior)[1]
+        grad[:-1] += l2 * x[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return x[:-1], float(x[-1])
 
 
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Adam on the non-negative risk; where the corrected part is negative its gradient is turned round."""
+    """The mean of CLASSIFIERS linear classifiers; without positives every score is near 0."""
     if not pos or not unl:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0, prior)
-    slots = select(pos, unl, prior)
+    slots = select(pos, unl)
     place = np.full(1 << BITS, -1)
     place[slots] = np.arange(len(slots))
-
-    def sparse(docs):
-        cols = [c[c >= 0] for c in (place[d] for d in docs)]
-        rows = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
-        return rows, np.concatenate(cols), len(docs)
-
-    (pr, pc, n_p), (ur, uc, n_u) = sparse(pos), sparse(unl)
-    w, b = np.zeros(len(slots)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for t in range(1, steps + 1):
-        fp = b + np.bincount(pr, w[pc], n_p)
-        fu = b + np.bincount(ur, w[uc], n_u)
-        sp, su = sigmoid(fp), sigmoid(fu)
-        corrected = np.mean(np.logaddexp(0, fu)) - prior * np.mean(np.logaddexp(0, fp))
-        if corrected >= 0:
-            gp, gu = prior * (sp - 1) / n_p - prior * sp / n_p, su / n_u
-        else:
-            gp, gu = prior * sp / n_p, -su / n_u
-        grad = np.append(np.bincount(pc, gp[pr], len(slots)) + np.bincount(uc, gu[ur], len(slots)) + l2 * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(slots, w, b, prior)
+    toxic = sparse(pos, place)
+    found = [descend(toxic, sparse(part, place), len(slots), prior, steps, rate, l2) for c in range(CLASSIFIERS) if (part := unl[c::CLASSIFIERS])]
+    return Model(slots, np.mean([w for w, _ in found], axis=0), float(np.mean([b for _, b in found])), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Learns from labelled rows of the training folds; see ``held_out``.
 
     The prior is the toxic share of those rows.  Positives are up to POSITIVES toxic
-    documents, unlabelled ones up to UNLABELLED documents whatever their label, each
-    those of least hash of doc_id.
+    ones; up to UNLABELLED rows of either label are the unlabelled, so the prior is
+    theirs; each those of least hash of doc_id.  Rows whose toxic is null are no
+    labels; a doc_id that is labelled twice is toxic if either label says so.
     """
     ids = labels.filter(~held_out(F.col(key)) & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("toxic"))
     n, k = ids.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     prior = min(max((k or 0) / max(n, 1), 1e-3), 0.5)
-    by = [F.xxhash64("id"), F.col("id")]
-    pos = [r[0] for r in ids.filter("toxic = 1").select("id").orderBy(*by).limit(POSITIVES).collect()]
-    free = docs.select(F.col(key).alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    unl = [r[0] for r in free.orderBy(*by).limit(UNLABELLED).collect()]
+    first = lambda rows, most: [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").select("id").limit(most).collect()]
+    pos, unl = first(ids.filter("toxic = 1"), POSITIVES), first(ids, UNLABELLED)
     chosen = docs.sparkSession.createDataFrame([(i, 1) for i in pos] + [(i, 0) for i in unl], "id long, positive int")
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select("positive", "text").mapInArrow(_collect, "positive int, f binary").collect()
+    rows = rows.select("id", "positive", "text").mapInArrow(_collect, "id long, positive int, f binary").collect()
+    rows.sort(key=lambda r: (r.id, r.f))
     both = [[np.frombuffer(r.f, np.uint32) for r in rows if r.positive == c] for c in (1, 0)]
     return train(*both, prior)
 

@@ -1,4 +1,4 @@
-"""Positive-unlabelled learning: held-out accuracy, the risk's floor, and odd texts."""
+"""Positive-unlabelled learning: held-out accuracy, the risk with its floor and gradient, and odd texts."""
 
 import random
 
@@ -54,10 +54,53 @@ def test_no_examples(spark):
 
 def test_long_text_counts_a_feature_once():
     model = toxicity.train([np.array([5, 9], np.uint32)] * 40, [np.array([5, 9], np.uint32)] * 10 + [np.array([7], np.uint32)] * 90, 0.1)
-    assert 0 <= model.prior <= 1 and set(model.slots.tolist()) <= {5, 9}
+    # what toxic texts lack counts against
+    assert 0 <= model.prior <= 1 and model.slots.tolist() == [5, 7, 9] and (np.sign(model.weights) == [1, -1, 1]).all()
     one, many = (toxicity.features(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in (b"word", b"word " * 2000))
     table = np.zeros(1 << toxicity.BITS, np.float32)
     table[one[0][0]] = 1
     model.bias = 0.0
     a, b = (toxicity.scores(model, table, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in (b"word", b"word " * 2000))
     assert a == b and len(many[0]) == 2000
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    docs = lambda n: [np.unique(rng.integers(0, 6, rng.integers(0, 5))).astype(np.uint32) for _ in range(n)]
+    place = np.full(1 << toxicity.BITS, -1)
+    place[:6] = np.arange(6)
+    floors = 0
+    for trial in range(60):
+        pos, unl = docs(7), docs(11)
+        w, b, prior = rng.normal(size=6) * 2, float(rng.normal()) - 2, rng.uniform(0.1, 0.9)
+        if trial % 2:  # positives that stand far above the rest
+            w[0] = 9
+            pos, unl = [np.union1d(d, [0]).astype(np.uint32) for d in pos], [d[d > 0] for d in unl]
+        loss = lambda x: np.log1p(np.exp(-x))
+
+        def parts(w, b):
+            fp = [b + sum(w[i] for i in d) for d in pos]
+            fu = [b + sum(w[i] for i in d) for d in unl]
+            minus = np.mean([loss(-f) for f in fu]) - prior * np.mean([loss(-f) for f in fp])
+            return prior * np.mean([loss(f) for f in fp]), minus
+
+        value, grad, floor = toxicity.risk(w, b, toxicity.sparse(pos, place), toxicity.sparse(unl, place), prior)
+        plus, minus = parts(w, b)
+        assert floor == (minus < 0) and abs(value - plus - max(0, minus)) < 1e-9
+        floors += floor
+        # above the floor the gradient is the risk's; at it, that of the corrected part turned round
+        of = (lambda w, b: -parts(w, b)[1]) if floor else (lambda w, b: sum(parts(w, b)))
+        x = np.append(w, b)
+        for i in range(7):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((of(up[:-1], up[-1]) - of(down[:-1], down[-1])) / 2e-5 - grad[i]) < 1e-4
+    assert 5 < floors < 55
+
+
+def test_few_positives_are_learnt_from():
+    unl = [np.array([k % 50 + 100], np.uint32) for k in range(300)]
+    model = toxicity.train([np.array([7, 8], np.uint32)] * 4, unl, 0.05)
+    assert set(model.slots.tolist()) >= {7, 8}
+    assert model.weights[np.isin(model.slots, [7, 8])].sum() > 2
