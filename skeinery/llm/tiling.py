@@ -5,9 +5,10 @@ longest matches that don't overlap are marked, longest first, found by Karp-Rabi
 hashes of every length tried; what the tiles cover of the item is its coverage, so a
 passage whose parts were put in another order is caught as well.
 
-The benchmark is the small side.  It is cut into blocks of a bounded number of tokens,
-and each block is sent to the executors in turn, whatever their number; documents
-stream past and are never shuffled.
+The benchmark is the small side.  It is cut into blocks of a bounded number of tokens.
+The driver broadcasts each block and forgets it; a task holds one block at a time and
+goes through all of them for each batch of documents, so documents stream past once
+and are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, fresh, words
+from .common import buffers, words
 from .rolling import BYTE, STEP, mix, powers, prefix, ranges
 
 SLAB = 4_000_000
@@ -127,6 +128,15 @@ class Index:
         self.seeds, self.owner = seeds[order], owner[order]
         self.lengths = sorted({min(k, x) for x in np.diff(self.off).tolist() if x})
 
+    def state(self) -> dict:
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def shared(self, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (text, item) that share a seed."""
         pairs = [np.zeros(0, np.int64)]
@@ -146,45 +156,62 @@ class Index:
         return both // (len(self.ids) + 1), both % (len(self.ids) + 1)
 
 
-def _search(index: Index, threshold: float) -> Callable:
+class Blocks:
+    """The benchmark's blocks, broadcast one by one."""
+
+    def __init__(self, benchmark: DataFrame, text: str, key: str, k: int, most: int):
+        sc = benchmark.sparkSession.sparkContext
+        self.sent = [sc.broadcast(Index(ids, texts, k).state()) for ids, texts in _blocks(benchmark, text, key, most)]
+
+    def each(self) -> Iterator[Index]:
+        for x in self.sent:
+            # with one block it stays in memory; of several one is held at a time
+            yield Index.of(x.value if len(self.sent) == 1 else x.load_from_path(x._path))
+
+
+def best_tiles(blocks: Blocks, threshold: float, data: np.ndarray, off: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Item covered most, its coverage and tiles, and items covered to the threshold, of each text."""
+    n = len(off) - 1
+    best, item, tiles, hits = np.zeros(n), [None] * n, np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for index in blocks.each():
+        i = 0
+        while i < n and len(index.seeds):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
+            x, at = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            for t, k in zip(*index.shared(x, at), strict=True):
+                own = index.tokens[index.off[k] : index.off[k + 1]]
+                found = tile(own, x[at[t] : at[t + 1]], min(index.k, len(own)))
+                share = sum(f[2] for f in found) / len(own)
+                hits[i + t] += share >= threshold
+                # of equal coverage the smaller item is named
+                if share > best[i + t] or (share == best[i + t] and share and index.ids[k] < item[i + t]):
+                    best[i + t], item[i + t], tiles[i + t] = share, index.ids[k], len(found)
+            i = j
+    return item, best, tiles, hits
+
+
+def _search(blocks: Blocks, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = buffers(b.column("text"))
-            n = len(off) - 1
-            best, item, tiles, hits = np.zeros(n), [None] * n, np.zeros(n, np.int32), np.zeros(n, np.int32)
-            i = 0
-            while i < n and len(index.seeds):
-                j = max(i + 1, int(np.searchsorted(off, off[i] + SLAB, side="right")) - 1)
-                x, at = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                for t, k in zip(*index.shared(x, at), strict=True):
-                    own = index.tokens[index.off[k] : index.off[k + 1]]
-                    found = tile(own, x[at[t] : at[t + 1]], min(index.k, len(own)))
-                    share = sum(f[2] for f in found) / len(own)
-                    hits[i + t] += share >= threshold
-                    # of equal coverage the smaller item is named
-                    if share > best[i + t] or (share == best[i + t] and share and index.ids[k] < item[i + t]):
-                        best[i + t], item[i + t], tiles[i + t] = share, index.ids[k], len(found)
-                i = j
+            item, best, tiles, hits = best_tiles(blocks, threshold, *buffers(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(item, pa.int64()), pa.array(best), pa.array(tiles), pa.array(hits)], names=["doc_id", "item_id", "coverage", "n_tiles", "n_items"])
 
     return run
 
 
-def _hits(index: Index, threshold: float) -> Callable:
+def _hits(blocks: Blocks, threshold: float) -> Callable:
     @F.arrow_udf("int")
     def hits(t: pa.Array) -> pa.Array:
-        b = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(t), np.int64)), t], names=["doc_id", "text"])
-        (r,) = _search(index, threshold)(iter([b]))
-        return r.column("n_items")
+        return pa.array(best_tiles(blocks, threshold, *buffers(t))[3])
 
     return hits
 
 
-def blocks(benchmark: DataFrame, text: str, key: str, most: int) -> Iterator[tuple[list[int], pa.Array]]:
+def _blocks(benchmark: DataFrame, text: str, key: str, most: int) -> Iterator[tuple[list[int], pa.Array]]:
     """The items in blocks of ``most`` words (or one item); one block at a time is on the driver."""
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["id", "text"])
     ids, texts, size = [], [], 0
-    for r in rows.toLocalIterator():
+    for r in rows.filter("id is not null").toLocalIterator():
         n = len(r.text) // 2 + 1
         if ids and size + n > most:
             yield ids, pa.array(texts, pa.string())
@@ -202,29 +229,15 @@ def coverage(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
     null: none shares a seed), coverage: that share of its tokens, n_items: items
     covered to ``threshold`` or more, contaminated: there is one.  Items of fewer
     than k tokens must occur whole; items without tokens match nothing.  Null and
-    empty texts cover nothing, repeated rows are judged each (where the benchmark
-    takes more than one block, rows of one doc_id come back as one, with their best),
-    other columns are left out, empty tables on either side give no hit.
+    empty texts cover nothing, repeated rows are judged each, whatever the number of
+    blocks; other columns are left out, empty tables on either side give no hit.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, coverage double, n_tiles int, n_items int"
-    out = None
-    for ids, texts in blocks(benchmark.filter(F.col(item).isNotNull()), text, item, most):
-        index = Index(ids, texts, k)
-        part = rows.mapInArrow(_search(index, threshold), schema)
-        out = part if out is None else out.unionByName(part)
-        last = part
-    if out is not last:
-        top = F.max(F.struct("coverage", (-F.col("item_id")).alias("neg"), "n_tiles")).alias("top")
-        # one row for a document and block; rows of one doc_id that repeat give their best
-        out = out.groupBy("doc_id").agg(top, F.sum("n_items").cast("int").alias("n_items"))
-        out = out.select("doc_id", (-F.col("top.neg")).alias("item_id"), "top.coverage", "top.n_tiles", "n_items")
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+    found = rows.mapInArrow(_search(Blocks(benchmark, text, item, k, most), threshold), "doc_id long, item_id long, coverage double, n_tiles int, n_items int")
+    return found.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5, text: str = "text", item: str = "item_id", most: int = BLOCK_TOKENS) -> DataFrame:
-    """docs' rows that cover no test item to ``threshold``, as they are; one pass for each block, no shuffle."""
-    (flag,) = fresh(docs, "hits_")
-    for ids, texts in blocks(benchmark.filter(F.col(item).isNotNull()), text, item, most):
-        docs = docs.withColumn(flag, _hits(Index(ids, texts, k), threshold)(F.coalesce(F.col(text), F.lit("")))).filter(F.col(flag) == 0).drop(flag)
-    return docs
+    """docs' rows that cover no test item to ``threshold``, as they are; no shuffle.  Odd cases are as in ``coverage``."""
+    hits = _hits(Blocks(benchmark, text, item, k, most), threshold)
+    return docs.filter(hits(F.coalesce(F.col(text), F.lit(""))) == 0)
