@@ -26,6 +26,15 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, _UNESCAPE, "$1$2$3")
 
 
+def _merge(blocks: Column, x: Column) -> Column:
+    """Adds a turn to the last block if that has its role, else opens a block."""
+    n = F.size(blocks)
+    last = F.get(blocks, n - 1)
+    block = lambda texts: F.array(F.struct(x["role"].alias("role"), texts.alias("texts")))
+    longer = F.concat(F.slice(blocks, F.lit(1), F.greatest(n - 1, F.lit(0))), block(F.concat(last["texts"], F.array(x["text"]))))
+    return F.when((n > 0) & (last["role"] == x["role"]), longer).otherwise(F.concat(blocks, block(F.array(x["text"]))))
+
+
 def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row for each conv_id: formatted text and its pieces with the loss mask.
 
@@ -45,20 +54,23 @@ def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     t = df.groupBy(F.col("conv_id")).agg(F.sort_array(F.collect_list(turns)).alias("t"))
 
-    def pieces(x: Column, i: Column) -> Column:
-        # a block opens where the role differs from the turn before, and closes where it differs from the next
-        opens = (i == 0) | (F.get(F.col("t"), i - 1)["role"] != x["role"])
-        closes = (i == F.size("t") - 1) | (F.get(F.col("t"), i + 1)["role"] != x["role"])
-        head = F.concat(F.when(opens, F.concat(F.lit("<s>"), escape(x["role"]))).otherwise(""), F.lit("[INST]"))
-        tail = F.when(closes, "[/INST]</s>").otherwise("[/INST]")
-        no = F.lit(False)
-        return F.array(
-            F.struct(head.alias("piece"), no.alias("loss")),
-            F.struct(escape(x["text"]).alias("piece"), (x["role"] == loss_role).alias("loss")),
-            F.struct(tail.alias("piece"), no.alias("loss")),
-        )
-
-    t = t.select("conv_id", F.flatten(F.transform("t", pieces)).alias("pieces"))
+    blocks = F.aggregate("t", F.array().cast("array<struct<role:string,texts:array<string>>>"), _merge)
+
+    def pieces(block: Column) -> Column:
+        n, no = F.size(block["texts"]), F.lit(False)
+
+        def of(text: Column, i: Column) -> Column:
+            head = F.concat(F.when(i == 0, F.concat(F.lit("<s>"), escape(block["role"]))).otherwise(""), F.lit("[INST]"))
+            tail = F.when(i == n - 1, "[/INST]</s>").otherwise("[/INST]")
+            return F.array(
+                F.struct(head.alias("piece"), no.alias("loss")),
+                F.struct(escape(text).alias("piece"), (block["role"] == loss_role).alias("loss")),
+                F.struct(tail.alias("piece"), no.alias("loss")),
+            )
+
+        return F.flatten(F.transform(block["texts"], of))
+
+    t = t.select("conv_id", F.flatten(F.transform(blocks, pieces)).alias("pieces"))
     return t.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "pieces")
 
 
