@@ -45,7 +45,7 @@ def greedy(runs: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[
     return cuts
 
 
-def minimax(runs: list[tuple[int, int]], n_shards: int) -> tuple[int, list[tuple[int, int]]]:
+def smallest(runs: list[tuple[int, int]], n_shards: int) -> tuple[int, list[tuple[int, int]]]:
     """The smallest feasible capacity and its cuts."""
     if not runs:
         return 0, []
@@ -62,6 +62,35 @@ def minimax(runs: list[tuple[int, int]], n_shards: int) -> tuple[int, list[tuple
     return high, greedy(runs, high, n_shards)
 
 
+def minimax(runs: list[tuple[int, int]], n_shards: int) -> tuple[int, list[tuple[int, int]]]:
+    """The smallest feasible capacity and its cuts.
+
+    runs: sizes descend.  A group that exceeds an even share of what is left fills a
+    shard alone, and the capacity of the others is searched anew, as long as that
+    raises no shard above the smallest capacity.
+    """
+    capacity, cuts = smallest(runs, n_shards)
+    rest, alone, largest = [list(r) for r in runs], [], 0
+    total, left = sum(s * n for s, n in runs), n_shards
+    while left > 1 and rest and rest[0][0] * left > total:
+        size = rest[0][0]
+        alone.append(size)
+        largest, total, left = max(largest, size), total - size, left - 1
+        rest[0][1] -= 1
+        if not rest[0][1]:
+            rest.pop(0)
+    if not alone:
+        return capacity, cuts
+    other, more = smallest([tuple(r) for r in rest], left)
+    if max(largest, other) > capacity:
+        return capacity, cuts
+    before = {s: alone.count(s) for s in alone}
+    own = [(s, 1 + alone[:i].count(s)) for i, s in enumerate(alone)]
+    if not rest:
+        own = own[:-1]
+    return capacity, own + [(s, n + before.get(s, 0)) for s, n in more]
+
+
 def _numbered(df: DataFrame, over: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Numbers rows from 0 within ``over`` in two levels: bucket by bucket, then within a bucket.
 
