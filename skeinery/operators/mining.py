@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -21,16 +21,56 @@ STOPWORDS = [
 ]
 
 
-def tokens(df: DataFrame, key: str, text: str, pattern: str = r"[a-z]{2,}") -> DataFrame:
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("w"))
+#: English words that term statistics leave out: Spark's own list.
+def stop_words() -> list[str]:
+    from pyspark.ml.feature import StopWordsRemover
 
+    return StopWordsRemover.loadDefaultStopWords("english")
 
-def tfidf(tok: DataFrame, key: str, least: int, most: float) -> DataFrame:
-    """key, w, x: smooth idf, unit length; terms in fewer than ``least`` or over ``most`` of the documents are out."""
+
+def _accents() -> tuple[str, str]:
+    """Small Latin letters with marks, and the letters below the marks, as compatibility decomposition has it."""
+    import unicodedata
+
+    found = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xDF, 0x250) if chr(c).islower()]
+    pairs = [(a, d[0]) for a, d in found if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(a for a, _ in pairs), "".join(d for _, d in pairs)
+
+
+#: Three characters or more, apostrophes and hyphens inside.
+TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_'-]+[\p{L}\p{N}_]"
+
+
+def tokens(df: DataFrame, key: str, text: str, grams: int = 1, stop: list[str] | None = None, pattern: str = TERM) -> DataFrame:
+    """key, w: a row for each word, and for each run of up to ``grams`` words, of a text.
+
+    Words are lower case without accents; stop words are out before runs are formed.
+    """
+    words = F.regexp_extract_all(F.translate(F.lower(text), *_accents()), F.lit(pattern), F.lit(0))
+    drop = stop_words() if stop is None else stop
+    if drop:
+        words = F.filter(words, lambda w: ~w.isin(drop))
+    df = df.select(key, words.alias("ws"))
+
+    def runs(n: int) -> Column:
+        at = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice("ws", i, n), " "))
+
+    return df.select(key, F.explode(F.concat("ws", *[runs(n) for n in range(2, grams + 1)])).alias("w"))
+
+
+def tfidf(tok: DataFrame, key: str, least: int, most: float, features: int = 6000) -> DataFrame:
+    """key, w, x: smooth idf, unit length.
+
+    Terms in fewer than ``least`` or over ``most`` of the documents are out; of the
+    others the ``features`` most frequent count (ties: by term), so the vocabulary that
+    is broadcast has a bound.
+    """
     tf = tok.groupBy(key, "w").agg(F.count("*").alias("tf"))
-    n = tf.select(key).distinct().agg(F.count("*").alias("n"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
-    x = tf.join(df, "w").withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    n = tok.select(F.count_distinct(key).alias("n"))
+    terms = tf.groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
+    terms = terms.filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n"))).orderBy(F.desc("total"), "w").limit(features)
+    x = tf.join(F.broadcast(terms), "w").withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return x.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).select(key, "w", "x")
 
 
@@ -38,20 +78,25 @@ def cluster_terms(weights: DataFrame, members: DataFrame, key: str, by: str, n:
     """The terms of greatest mean weight in each cluster."""
     size = members.groupBy(by).agg(F.count("*").alias("size"))
     s = weights.join(members, key).groupBy(by, "w").agg(F.sum("x").alias("s")).join(size, by)
-    s = s.withColumn("m", F.round(F.col("s") / F.col("size"), 6))
+    s = s.withColumn("m", F.round(F.col("s") / F.col("size"), 6)).filter("m > 0")
     s = s.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("m"), "w"))).filter(F.col("k") <= n)
     return s.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda a: a["w"]), ", ").alias("terms"))
 
 
-def class_terms(tok: DataFrame, by: str, n: int) -> DataFrame:
-    """Topic names by class-based tf-idf: term share in the class times ln(1 + mean class size / corpus count)."""
+def class_terms(tok: DataFrame, by: str, n: int, named: int = 4) -> DataFrame:
+    """Topics by class-based tf-idf: term share in the class times ln(1 + mean class size / corpus count).
+
+    by, name (the class and its ``named`` first terms), representation (its ``n`` first terms).
+    """
     c = tok.groupBy(by, "w").agg(F.count("*").alias("tf"))
     total = c.groupBy("w").agg(F.sum("tf").alias("f"))
     a = c.groupBy(by).agg(F.sum("tf").alias("s")).agg(F.avg("s").alias("a"))
     x = c.join(total, "w").crossJoin(F.broadcast(a))
     x = x.withColumn("x", F.round(F.col("tf") / F.sum("tf").over(W.partitionBy(by)) * F.ln(1 + F.col("a") / F.col("f")), 8))
     x = x.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("x"), "w"))).filter(F.col("k") <= n)
-    return x.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda s: s["w"]), "_").alias("name"))
+    terms = F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda s: s["w"])
+    x = x.groupBy(by).agg(terms.alias("terms"))
+    return x.select(by, F.concat_ws("_", F.col(by).cast("string"), F.array_join(F.slice("terms", 1, named), "_")).alias("name"), F.array_join("terms", ", ").alias("representation"))
 
 
 def labels(df: DataFrame, by: str, text: str, n: int = 6) -> DataFrame:
@@ -82,39 +127,55 @@ def fallback_wants(desires: DataFrame, tops: DataFrame) -> DataFrame:
 
 # -- regression --------------------------------------------------------------
 
+#: Levels of all factors together, at most: the design is dense, and a task holds its square.
+MOST_LEVELS = 1_500
+
 
 def ols(df: DataFrame, y: str, numeric: list[str], factors: list[str]) -> DataFrame:
     """term, coef, se, z, p, r2: least squares with fixed effects and HC3 errors.
 
-    Factors are coded against their first level.  Two passes: one sums X'X, X'y and
-    the target's moments, the other the squared leave-one-out errors times xx'.  What
-    reaches the driver has the size of the design (terms squared), not of the data.
+    Factors are coded against their first level; over MOST_LEVELS levels in all are
+    refused.  The columns in use are kept, then two passes go over them: one sums X'X,
+    X'y and the target's moments, the other the squared leave-one-out errors times
+    xx'.  What reaches the driver has the size of the design (terms squared).
     """
-    df = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in factors]).dropna()
-    levels = {c: [r[0] for r in df.select(c).distinct().orderBy(c).collect()] for c in factors}
+    df = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in factors]).dropna().persist()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in factors])).alias("x")
+    found = df.select(pairs).select("x.c", "x.v").distinct().limit(MOST_LEVELS + 1).collect() if factors else []
+    if len(found) > MOST_LEVELS:
+        df.unpersist()
+        raise ValueError(f"the factors have over {MOST_LEVELS} levels")
+    levels = {c: sorted(r.v for r in found if r.c == c) for c in factors}
     names = ["const", *numeric, *[f"{c}={v}" for c in factors for v in levels[c][1:]]]
     k = len(names)
     if df.isEmpty():
         return df.sparkSession.createDataFrame([], "term string, coef double, se double, z double, p double, r2 double")
 
     def design(pdf):
+        import pandas as pd
+
         x = np.zeros((len(pdf), k))
         x[:, 0] = 1
         for i, c in enumerate(numeric, 1):
             x[:, i] = pdf[c].to_numpy()
         at = 1 + len(numeric)
         for c in factors:
-            for v in levels[c][1:]:
-                x[:, at] = pdf[c].to_numpy() == v
-                at += 1
+            code = pd.Categorical(pdf[c], categories=levels[c]).codes
+            some = np.flatnonzero(code > 0)
+            x[some, at + code[some] - 1] = 1
+            at += max(0, len(levels[c]) - 1)
         return x
 
     def summed(f):
         def run(parts):
             import pandas as pd
 
+            total = None  # one sum for each task
             for pdf in parts:
-                yield pd.DataFrame({"m": [f(design(pdf), pdf["y"].to_numpy()).ravel().tolist()]})
+                m = f(design(pdf), pdf["y"].to_numpy())
+                total = m if total is None else total + m
+            if total is not None:
+                yield pd.DataFrame({"m": [total.ravel().tolist()]})
 
         sums = df.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
         return np.array([r.v for r in sums.orderBy("i").collect()])
@@ -130,6 +191,7 @@ def ols(df: DataFrame, y: str, numeric: list[str], factors: list[str]) -> DataFr
         return (x * (e * e)[:, None]).T @ x
 
     cov = inv @ summed(meat).reshape(k, k) @ inv
+    df.unpersist()
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     r2 = 1 - (syy - b @ xy) / max(syy - sy * sy / n, 1e-12)
     z = np.where(se > 0, b / np.where(se > 0, se, 1), 0.0)

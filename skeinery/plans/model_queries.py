@@ -138,34 +138,43 @@ def f13_confirmed_row_join(spark, d):
 # -- extraction --------------------------------------------------------------
 
 
-def _f(pattern: str, most: int) -> str:
-    return f"list_slice(list_sort(list_distinct(regexp_extract_all(question, {q(pattern)}))), 1, {most})"
-
-
 def _lv(x: str) -> str:
     return f"CAST(greatest(1, least(5, round_even({x}, 0))) AS INT)"
 
 
-_HINT = "CASE primary_desire " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in p.DESIRE_JOBS.items()) + " END"
+def _case(col: str, table: dict, other: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in table.items()) + f" ELSE {other} END"
+
+
 _LIST = lambda rows: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(v)} END" for c, v in rows) + "], lambda x: x IS NOT NULL)"
-EXTRACT = f"""r1 AS (SELECT *, {_f(p.UID, 12)} AS uids, {_f(p.ROOM_ID, 12)} AS rooms, {_f(p.TIMESTAMP, 12)} AS times, {_f(ex.AMOUNT, 8)} AS amounts, {m('question_flat', ex.BAN_STATE)} AS ban, {m('question_flat', ex.BAN_WHY)} AS why, {m('question_flat', ex.SCAM)} AS scam,
-  {m('question_flat', ex.TRANSACTION)} AS trade, {m('question_flat', ex.GAME)} AND {m('question_flat', ex.COMPLAINT)} AS game, {m('question_flat', ex.ABUSE)} AS abuse, {_HINT} AS hint FROM enriched),
-r2 AS (SELECT *, CASE WHEN game THEN 'fix_product_flow' WHEN primary_desire = 'protect_from_abuse_or_scam' OR scam THEN 'avoid_scam' WHEN abuse THEN 'protect_community' WHEN has_user_claim OR ban THEN 'prove_innocence' WHEN hint IS NOT NULL THEN hint
-  WHEN trade THEN 'buy_or_sell_diamonds' WHEN desire__grow_audience_or_community THEN 'grow_channel' WHEN desire__recover_access THEN 'recover_access' WHEN has_status_or_svip_terms THEN 'gain_status' ELSE 'other' END AS job_to_be_done,
-  CASE WHEN scam OR contains(lower(question_flat), 'betray') THEN 'betrayed' WHEN {m('question_flat', ex.URGENT)} THEN 'urgent' WHEN has_user_claim OR {m('question_flat', ex.CONFUSED)} THEN 'confused' WHEN {m('question_flat', ex.ANGRY)} THEN 'angry' ELSE 'unknown' END AS user_emotion,
-  {_LIST([('has_image_url', 'screenshots'), ('has_url', 'urls'), ('len(times) > 0', 'timestamps'), ('len(uids) > 0', 'uid'), ('len(rooms) > 0', 'room_or_group_id'), ('why', 'ban_reason'), ('len(amounts) > 0', 'money_amount'), ('has_user_claim', 'user_claim')])} AS pres,
-  {_LIST([('ban AND len(times) = 0', ex.MISSING['ban_time']), ('ban AND NOT why', ex.MISSING['ban_reason']), ('ban AND NOT has_user_claim', ex.MISSING['claim']), ('(has_money_terms OR scam) AND len(amounts) = 0', ex.MISSING['amount']), ('(has_money_terms OR scam) AND len(uids) < 2', ex.MISSING['party']), ('(has_money_terms OR scam) AND NOT has_url', ex.MISSING['proof']), ('desire__grow_audience_or_community AND len(rooms) = 0', ex.MISSING['room'])])} AS gone,
-  {_lv('1 + urgency_signal / 2 + CAST(has_user_claim AS INT) + CAST(scam AS INT)')} AS urgency_level, {_lv('1 + 2 * CAST(ban AS INT) + 2 * CAST(scam AS INT) + CAST(has_status_or_svip_terms AS INT)')} AS trust_risk_level,
-  {_lv('1 + 3 * CAST(has_money_terms AS INT) + CAST(scam AS INT)')} AS money_risk_level, {_lv(f"1 + 3 * CAST({m('question_flat', ex.UNSAFE)} AS INT)")} AS safety_policy_risk_level FROM r1),
+_ALL = lambda pattern: f"regexp_extract_all(question, {q(pattern)})"
+_Q = lambda pattern: m("question", pattern)
+EXTRACT = f"""r1 AS (SELECT *, {_ALL(ex.UID)} AS au, {_ALL(ex.ROOM)} AS ar, {_ALL(ex.TIMESTAMP)} AS ats, {_ALL(ex.BAN_WHY)} AS aw, list_slice({_ALL(ex.AMOUNT)}, 1, 8) AS amounts, {_Q(ex.BAN_STATE)} AS ban, {_Q(ex.CLAIM)} AS claim, {_Q(ex.SCAM)} AS scam,
+  {_Q(ex.STATUS)} AS stat, {_Q(ex.MONEY)} AS mon, {_Q(ex.URL)} AS link, {_Q(ex.IMAGE)} AS img, {_case('primary_desire', ex.PRIMARY_JOB, 'NULL')} AS hint FROM enriched),
+r2 AS (SELECT *, CASE WHEN {_Q(ex.GAME)} AND NOT ban THEN 'fix_product_flow' WHEN primary_desire = 'protect_from_abuse_or_scam' OR {_Q(ex.SCAM_REPORT)} THEN 'avoid_scam' WHEN {_Q(ex.ABUSE_REPORT)} AND NOT ban THEN 'protect_community' WHEN claim OR ban THEN 'prove_innocence'
+  WHEN hint IS NOT NULL THEN hint WHEN scam THEN 'avoid_scam' WHEN {_Q(ex.TRANSACTION)} THEN 'buy_or_sell_diamonds' WHEN len(ar) > 0 OR {_Q(ex.PLACE)} THEN 'grow_channel' WHEN {_Q(ex.ACCOUNT)} THEN 'recover_access' WHEN stat THEN 'gain_status' ELSE 'other' END AS job_to_be_done,
+  CASE WHEN scam OR contains(lower(question_flat), 'betray') THEN 'betrayed' WHEN {m('question_flat', ex.FEELS_URGENT)} THEN 'urgent' WHEN claim OR {m('question_flat', ex.FEELS_CONFUSED)} THEN 'confused' WHEN {m('question_flat', ex.FEELS_ANGRY)} THEN 'angry' ELSE 'unknown' END AS user_emotion,
+  {_LIST([('img', 'screenshots'), ('link', 'urls'), ('len(ats) > 0', 'timestamps'), ('len(au) > 0', 'uid'), ('len(ar) > 0', 'room_or_group_id'), ('len(aw) > 0', 'ban_reason'), ('len(amounts) > 0', 'money_amount'), ('claim', 'user_claim')])} AS pres,
+  {_LIST([('ban AND len(ats) = 0', ex.MISSING['ban_time']), ('ban AND len(aw) = 0', ex.MISSING['ban_reason']), ('ban AND NOT claim', ex.MISSING['claim']), ('(mon OR scam) AND len(amounts) = 0', ex.MISSING['amount']), ('(mon OR scam) AND len(au) < 2', ex.MISSING['party']), ('(mon OR scam) AND NOT img AND NOT link', ex.MISSING['proof']), (f'{_Q(ex.PLACE)} AND len(ar) = 0', ex.MISSING['room'])])} AS gone,
+  {_lv(f"1 + len({_ALL(ex.URGENT)}) / 2 + CAST(claim AS INT) + CAST(scam AS INT)")} AS urgency_level, {_lv('1 + 2 * CAST(ban AS INT) + 2 * CAST(scam AS INT) + CAST(stat AS INT)')} AS trust_risk_level,
+  {_lv('1 + 3 * CAST(mon AS INT) + CAST(scam AS INT)')} AS money_risk_level, {_lv(f"1 + 3 * CAST({_Q(ex.UNSAFE)} AS INT)")} AS safety_policy_risk_level,
+  array_to_string(list_slice(list_sort(list_distinct(au)), 1, 12), '|') AS uids, array_to_string(list_slice(list_sort(list_distinct(ar)), 1, 12), '|') AS room_or_group_ids, array_to_string(list_slice(ats, 1, 12), '|') AS timestamps, array_to_string(list_slice(list_sort(list_distinct(aw)), 1, 8), '|') AS ban_reasons,
+  array_to_string(amounts, '|') AS money_amounts, CAST(len({_ALL(ex.URL)}) AS BIGINT) AS links FROM r1),
 rules AS (SELECT *, array_to_string(CASE WHEN len(pres) > 0 THEN pres ELSE ['none'] END, '|') AS present, array_to_string(CASE WHEN len(gone) > 0 THEN gone ELSE [{q(ex.MISSING['none'])}] END, '|') AS missing,
   CASE WHEN context_depth_score >= 60 THEN 'forensic' WHEN context_depth_score >= 35 THEN 'rich' ELSE 'adequate' END AS manager_note_quality, substr(question_flat, 1, 180) AS literal_request,
+  {_case('job_to_be_done', ex.ACTUAL, q(ex.ACTUAL['other']))} AS actual_user_want, {_case('job_to_be_done', ex.NEXT_STEP, q(ex.NEXT_STEP_ELSE))} AS support_next_step, {_case('job_to_be_done', ex.IDEA, q(ex.IDEA_ELSE))} AS product_opportunity,
   greatest(trust_risk_level, money_risk_level, safety_policy_risk_level) >= 4 AS needs_human_review FROM r2)"""
-_RULE_COLS = ["source_row", "job_to_be_done", "user_emotion", "urgency_level", "trust_risk_level", "money_risk_level", "safety_policy_risk_level", "manager_note_quality", "literal_request", "needs_human_review"]
+_RULE_COLS = [
+    "source_row", "job_to_be_done", "user_emotion", "urgency_level", "trust_risk_level", "money_risk_level", "safety_policy_risk_level", "manager_note_quality", "literal_request", "actual_user_want",
+    "support_next_step", "product_opportunity", "needs_human_review",
+]
+_RULE_LISTS = ["uids", "room_or_group_ids", "timestamps", "ban_reasons"]
 
 
-@query(f"{W}{ENRICHED}, {EXTRACT} SELECT {', '.join(_RULE_COLS)}, present, missing FROM rules")
+@query(f"{W}{ENRICHED}, {EXTRACT} SELECT {', '.join(_RULE_COLS)}, present, missing, {', '.join(_RULE_LISTS)}, money_amounts, links FROM rules")
 def n01_rules_extraction(spark, d):
-    return ex.rules(enriched(spark, d)).select(*_RULE_COLS, F.array_join("evidence_present", "|").alias("present"), F.array_join("evidence_missing", "|").alias("missing"))
+    lists = {"present": "evidence_present", "missing": "evidence_missing", **{c: c for c in _RULE_LISTS}, "money_amounts": "amounts"}
+    return ex.rules(enriched(spark, d)).select(*_RULE_COLS, *[F.array_join(c, "|").alias(k) for k, c in lists.items()], F.col("url_count").alias("links"))
 
 
 RECORDS = """VALUES ('1', '1', 'wants refund of diamonds', 'wants money back now', 'avoid_scam', 'angry', 'check the payment and call the seller', 'a receipt workflow for every diamond sale', 0.9, false),
@@ -212,7 +221,7 @@ def n06_alias_normalisation(spark, d):
     return ex.normalised(records(spark)).select("expected_row", F.col("job_to_be_done").alias("job"), F.col("_normalized_job_to_be_done_from").alias("job_from"), F.col("user_emotion").alias("emotion"), F.col("_normalized_user_emotion_from").alias("emotion_from"))
 
 
-@query(f"{W}{ENRICHED}, {EXTRACT}, {REC}, mr AS (SELECT *, '1' || expected_row AS k FROM rec), b AS (SELECT * FROM rules WHERE source_row IN (SELECT k FROM mr)) SELECT b.source_row, CASE WHEN {_conc('mr.literal_request', 'literal_request')} THEN mr.literal_request ELSE b.literal_request END AS literal_request, CASE WHEN {_conc('mr.support_next_step', 'support_next_step')} THEN mr.support_next_step ELSE '' END AS support_next_step, b.needs_human_review OR coalesce(mr.needs_human_review, false) AS needs_human_review, greatest(0.55, CAST(coalesce(mr.confidence, 0) AS DOUBLE)) AS confidence FROM b JOIN mr ON b.source_row = mr.k")
+@query(f"{W}{ENRICHED}, {EXTRACT}, {REC}, mr AS (SELECT *, '1' || expected_row AS k FROM rec), b AS (SELECT * FROM rules WHERE source_row IN (SELECT k FROM mr)) SELECT b.source_row, CASE WHEN {_conc('mr.literal_request', 'literal_request')} THEN mr.literal_request ELSE b.literal_request END AS literal_request, CASE WHEN {_conc('mr.support_next_step', 'support_next_step')} THEN mr.support_next_step ELSE b.support_next_step END AS support_next_step, b.needs_human_review OR coalesce(mr.needs_human_review, false) AS needs_human_review, greatest(0.55, CAST(coalesce(mr.confidence, 0) AS DOUBLE)) AS confidence FROM b JOIN mr ON b.source_row = mr.k")
 def n02_hybrid_merge(spark, d):
     m_ = records(spark).withColumn("source_row", F.concat(F.lit("1"), "expected_row"))
     base = ex.rules(enriched(spark, d).join(F.broadcast(m_.select("source_row")), "source_row", "left_semi"))
@@ -367,16 +376,39 @@ def e03_sql_parameters(spark, d):
 # -- journeys and trends -----------------------------------------------------
 
 
+def asked(spark, d):
+    """The tickets with what the assignment stage adds: title, review flag, confidence (made up from the key)."""
+    k = F.col("source_row").cast("long")
+    return cleaned(spark, d).withColumns({"want_title": F.concat(F.lit("want "), F.col("want_id").cast("string")), "needs_llm_review": k % 5 == 0, "assignment_confidence": (k % 97) / 97})
+
+
 def journeys(spark, d):
-    return lo.journeys(cleaned(spark, d))
+    return lo.journeys(asked(spark, d))
+
+
+_EV = f"""asked AS (SELECT *, 'want ' || want_id AS want_title, CAST(source_row AS BIGINT) % 5 = 0 AS needs_llm_review, CAST(source_row AS BIGINT) % 97 / 97 AS assignment_confidence FROM cleaned),
+ev AS (SELECT *, {BUCKET} AS s, row_number() OVER (PARTITION BY uid ORDER BY date NULLS LAST, source_row) AS k, count(*) OVER (PARTITION BY uid) AS nn FROM asked WHERE uid <> '')"""
+
+
+def _path_sql(value: str, name: str) -> str:
+    return f"""p_{name} AS (SELECT uid, string_agg(v, ' -> ' ORDER BY r) FILTER (r <= 9) || CASE WHEN max(r) > 9 THEN ' -> ...' ELSE '' END AS {name} FROM
+  (SELECT uid, v, row_number() OVER (PARTITION BY uid ORDER BY k) AS r FROM (SELECT uid, k, {value} AS v, lag({value}) OVER (PARTITION BY uid ORDER BY k) AS b FROM ev WHERE trim(coalesce({value}, '')) <> '') WHERE b IS NULL OR b <> v) GROUP BY uid)"""
 
 
-_EV = f"ev AS (SELECT *, {BUCKET} AS s, row_number() OVER (PARTITION BY uid ORDER BY date NULLS LAST, source_row) AS k FROM cleaned WHERE uid <> '')"
-JOUR = f"""{CLEANED}, {_EV}, chg AS (SELECT *, lag(want_id) OVER (PARTITION BY uid ORDER BY k) AS b FROM ev), pth AS (SELECT uid, string_agg(w, ' -> ' ORDER BY r) FILTER (r <= 9) || CASE WHEN max(r) > 9 THEN ' -> ...' ELSE '' END AS want_path FROM (SELECT uid, 'want ' || want_id AS w, row_number() OVER (PARTITION BY uid ORDER BY k) AS r FROM chg WHERE b IS NULL OR b <> want_id) GROUP BY uid),
-js AS (SELECT uid, {CNT} AS records, CAST(count(DISTINCT want_id) AS BIGINT) AS unique_wants, CAST(count(*) FILTER (s IN ('failed', 'open')) AS BIGINT) AS failed, CASE WHEN max(date) IS NULL THEN 0 ELSE date_diff('day', CAST(min(date) AS DATE), CAST(max(date) AS DATE)) END AS days, first(question_flat ORDER BY k) AS fq, last(question_flat ORDER BY k) AS lq FROM ev GROUP BY uid HAVING count(*) >= 2),
-jr0 AS (SELECT *, lower(want_path || ' ' || fq || ' ' || lq) AS tx FROM js JOIN pth USING (uid)),
-jr AS (SELECT uid, records, unique_wants, failed, CAST(days AS INT) AS span_days, want_path, round(records + 2 * unique_wants + 2.5::DOUBLE * failed + least(days / 30, 12), 2) AS severity_score, CASE WHEN unique_wants >= 4 AND records >= 5 AND {lo.POWER_SQL} THEN 'multi_problem_power_user'
-  {' '.join(f"WHEN {' OR '.join(f'''contains(tx, '{w}')''' for w in ws)} THEN '{k}'" for k, ws in lo.PATTERNS.items())} ELSE 'general_repeat_user' END AS pattern FROM jr0)"""
+_ACT = " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in lo.RECOMMENDED.items())
+_COUNTED = "v || ' (' || n || ')'"
+_KINDS = " ".join("WHEN " + " OR ".join(f"contains(tx, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in lo.PATTERNS.items())
+JOUR = f"""{CLEANED}, {_EV}, {_path_sql('want_title', 'want_path')}, {_path_sql('category', 'category_path')}, {_path_sql('status_en', 'status_path')}, tw AS ({top_sql("ev", "uid", "want_title", 4, "top_wants", "k", _COUNTED)}),
+js AS (SELECT uid, {CNT} AS records, coalesce(strftime(min(date), '%Y-%m-%d'), '') AS first_date, coalesce(strftime(max(date), '%Y-%m-%d'), '') AS last_date,
+  CAST(CASE WHEN max(date) IS NULL THEN 0 ELSE date_diff('day', CAST(min(date) AS DATE), CAST(max(date) AS DATE)) END AS INT) AS active_days, CAST(count(DISTINCT want_id) AS BIGINT) AS unique_wants,
+  CAST(count(DISTINCT category) AS BIGINT) AS unique_categories, CAST(count(DISTINCT manager) AS BIGINT) AS managers_touched, CAST(count(*) FILTER (s = 'resolved') AS BIGINT) AS resolved_records,
+  CAST(count(*) FILTER (s IN ('failed', 'open')) AS BIGINT) AS failed_or_open_records, round(avg(CAST(s IN ('failed', 'open') AS INT)), 3) AS failed_or_open_share, CAST(count(*) FILTER (needs_llm_review) AS BIGINT) AS review_queue_records,
+  round(round(avg(assignment_confidence), 8), 3) AS avg_assignment_confidence, last(status_en ORDER BY k) AS latest_status, last(want_title ORDER BY k) AS latest_want,
+  substr(first(question_flat ORDER BY k), 1, 220) AS first_question, substr(last(question_flat ORDER BY k), 1, 220) AS last_question FROM ev GROUP BY uid HAVING count(*) >= 2),
+jr0 AS (SELECT js.*, top_wants, want_path, category_path, status_path, lower(want_path || ' ' || top_wants || ' ' || first_question || ' ' || last_question) AS tx FROM js JOIN p_want_path USING (uid) JOIN p_category_path USING (uid) JOIN p_status_path USING (uid) JOIN tw USING (uid)),
+jr1 AS (SELECT * EXCLUDE (tx), round(round(records + 2 * unique_wants + 2.5::DOUBLE * failed_or_open_records + 0.75::DOUBLE * review_queue_records + least(active_days / 30, 12), 8), 2) AS severity_score,
+  CASE WHEN unique_wants >= 4 AND records >= 5 THEN 'multi_problem_power_user' {_KINDS} ELSE 'general_repeat_user' END AS journey_pattern FROM jr0),
+jr AS (SELECT *, CASE journey_pattern {_ACT} END AS recommended_action FROM jr1)"""
 
 
 @query(f"{W}{JOUR} SELECT * FROM jr")
@@ -384,61 +416,82 @@ def o01_journeys(spark, d):
     return journeys(spark, d)
 
 
+@query(f"{W}{CLEANED}, {_EV} SELECT uid, CAST(k AS INT) AS event_index, source_row, coalesce(strftime(date, '%Y-%m-%d'), '') AS date, CAST(coalesce(date_diff('day', CAST(min(date) OVER (PARTITION BY uid) AS DATE), CAST(date AS DATE)), 0) AS INT) AS days_since_first, want_title, category, status_en AS status, manager, substr(question_flat, 1, 280) AS question FROM ev WHERE nn >= 2")
+def o01_journey_events(spark, d):
+    return lo.events(asked(spark, d))
+
+
 @query(f"{W}{JOUR} SELECT uid, severity_score FROM jr")
 def d10_severity(spark, d):
     return journeys(spark, d).select("uid", "severity_score")
 
 
-@query(f"{W}{JOUR} SELECT uid, pattern FROM jr")
+@query(f"{W}{JOUR} SELECT uid, journey_pattern AS pattern FROM jr")
 def e08_journey_pattern(spark, d):
-    return journeys(spark, d).select("uid", "pattern")
+    return journeys(spark, d).select("uid", F.col("journey_pattern").alias("pattern"))
 
 
-_ACT = " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in lo.RECOMMENDED.items())
+@query(f"{W}{JOUR} SELECT journey_pattern AS pattern, recommended_action AS recommended, {CNT} AS users FROM jr GROUP BY ALL")
+def e09_recommended_action(spark, d):
+    return journeys(spark, d).groupBy(F.col("journey_pattern").alias("pattern"), F.col("recommended_action").alias("recommended")).agg(F.count("*").alias("users"))
 
 
-@query(f"{W}{JOUR} SELECT pattern, CASE pattern {_ACT} END AS recommended, {CNT} AS users FROM jr GROUP BY pattern")
-def e09_recommended_action(spark, d):
-    return journeys(spark, d).groupBy("pattern", t.lookup("pattern", lo.RECOMMENDED).alias("recommended")).agg(F.count("*").alias("users"))
+_JT = top_sql("jv", "journey_pattern", "want_title", 4, "top_wants", piece=_COUNTED)
 
 
-@query(f"{W}{JOUR} SELECT pattern, {CNT} AS users, CAST(sum(records) AS BIGINT) AS records, round(median(span_days), 4) AS median_days, round(round(avg(severity_score), 8), 4) AS mean_severity FROM jr GROUP BY pattern")
+@query(f"{W}{JOUR}, jv AS (SELECT journey_pattern, asked.want_title, source_row FROM asked JOIN jr USING (uid)), jt AS ({_JT}) SELECT jr.journey_pattern, {CNT} AS users, CAST(sum(records) AS BIGINT) AS records, median(records) AS median_records_per_user, median(active_days) AS median_active_days, round(round(avg(unique_wants), 8), 6) AS avg_unique_wants, round(round(avg(failed_or_open_share), 8), 6) AS failed_or_open_share, CAST(sum(review_queue_records) AS BIGINT) AS review_queue_records, any_value(jt.top_wants) AS top_wants, any_value(recommended_action) AS recommended_action FROM jr LEFT JOIN jt ON jr.journey_pattern = jt.journey_pattern GROUP BY jr.journey_pattern")
 def g20_archetypes(spark, d):
-    return journeys(spark, d).groupBy("pattern").agg(F.count("*").alias("users"), F.sum("records").alias("records"), F.round(F.median("span_days"), 4).alias("median_days"), g.r4(F.avg("severity_score")).alias("mean_severity"))
+    return lo.archetypes(journeys(spark, d), asked(spark, d))
 
 
-@query(f"{W}{JOUR} SELECT uid, span_days FROM jr WHERE span_days >= 90 AND failed > 0")
+@query(f"{W}{JOUR} SELECT uid, active_days FROM jr WHERE active_days >= 90 AND failed_or_open_records > 0")
 def o03_long_cases(spark, d):
-    return journeys(spark, d).filter("span_days >= 90 AND failed > 0").select("uid", "span_days")
+    return journeys(spark, d).filter("active_days >= 90 AND failed_or_open_records > 0").select("uid", "active_days")
 
 
-@query(f"{W}{JOUR} SELECT CAST(sum(records) AS BIGINT) AS records, CAST(count(*) FILTER (span_days >= 90) AS BIGINT) AS long_cases, CAST(count(*) AS BIGINT) AS users FROM jr")
+@query(f"{W}{JOUR} SELECT CAST(sum(records) AS BIGINT) AS records, CAST(count(*) FILTER (active_days >= 90) AS BIGINT) AS long_cases, CAST(count(*) AS BIGINT) AS users, CAST(count(DISTINCT journey_pattern) AS BIGINT) AS archetypes FROM jr")
 def o19_journey_totals(spark, d):
-    return journeys(spark, d).agg(F.sum("records").alias("records"), F.count_if(F.col("span_days") >= 90).alias("long_cases"), F.count("*").alias("users"))
+    return journeys(spark, d).agg(F.sum("records").alias("records"), F.count_if(F.col("active_days") >= 90).alias("long_cases"), F.count("*").alias("users"), F.countDistinct("journey_pattern").alias("archetypes"))
+
+
+TREND = f"""{CLEANED}, {_EV}, mo AS (SELECT month, count(*) AS n FROM cleaned WHERE month <> '' GROUP BY month), lastm AS (SELECT max(month) AS lm, count(*) AS k FROM mo), med AS (SELECT median(n) AS md FROM mo, lastm WHERE month < lm),
+cm AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS i, row_number() OVER (ORDER BY month DESC) AS back FROM mo, lastm, med WHERE NOT (k >= 3 AND month = lm AND n < 0.4 * md)),
+nm AS (SELECT count(*) AS nm, string_agg(month, ', ' ORDER BY month) FILTER (back <= 2) AS recent_months, string_agg(month, ', ' ORDER BY month) FILTER (back BETWEEN 3 AND 4) AS prior_months, strftime(CAST(max(month) || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS forecast_month FROM cm),
+rows_ AS (SELECT a.*, i, back, {BUCKET} IN ('failed', 'open') AS f FROM asked a JOIN cm USING (month)),
+grid AS (SELECT w.want_id, i, back, coalesce(c.n, 0) AS y FROM (SELECT DISTINCT want_id FROM rows_) w, cm LEFT JOIN (SELECT want_id, month, count(*) AS n FROM rows_ GROUP BY ALL) c ON c.want_id = w.want_id AND c.month = cm.month),
+gs AS (SELECT want_id, regr_slope(y, i) AS sl, avg(y) FILTER (back <= 3) AS l3 FROM grid GROUP BY want_id),
+t1 AS (SELECT want_id, CAST(count(*) FILTER (back <= 2) AS BIGINT) AS recent_records, CAST(count(*) FILTER (back BETWEEN 3 AND 4) AS BIGINT) AS prior_records, round(coalesce(avg(CAST(f AS INT)) FILTER (back <= 2), 0), 3) AS recent_failed_or_open_share,
+  round(coalesce(avg(CAST(needs_llm_review AS INT)) FILTER (back <= 2), 0), 3) AS recent_review_queue_share, CAST(count(DISTINCT uid) FILTER (back <= 2) AS BIGINT) AS recent_unique_users FROM rows_ GROUP BY want_id),
+t2 AS (SELECT *, recent_records / greatest(least(nm, 2), 1) AS ra, prior_records / greatest(least(nm - 2, 2), 1) AS pa, CASE WHEN nm >= 3 THEN sl ELSE 0 END AS sl2 FROM t1 JOIN gs USING (want_id), nm),
+t3 AS (SELECT want_id, recent_months, coalesce(prior_months, '') AS prior_months, recent_records, prior_records, round(ra, 2) AS recent_avg_per_month, CASE WHEN pa = 0 THEN 0 ELSE round(round((ra - pa) / pa, 8), 3) END AS growth_ratio, round(round(sl2, 8), 2) AS monthly_slope,
+  round(round(CASE WHEN nm >= 3 THEN greatest(0, l3 + sl) ELSE ra END, 8), 1) AS forecast_next_month, forecast_month, recent_failed_or_open_share, recent_review_queue_share, recent_unique_users FROM t2),
+tr AS (SELECT *, round(round(forecast_next_month * (1 + greatest(growth_ratio, -0.5)) * (1 + recent_failed_or_open_share), 8), 2) AS momentum_score, CASE WHEN growth_ratio >= 0.35 AND recent_records >= 20 THEN 'rising' WHEN growth_ratio <= -0.35 AND prior_records >= 20 THEN 'falling' WHEN monthly_slope >= 5 THEN 'slow_rise' WHEN monthly_slope <= -5 THEN 'slow_decline' ELSE 'stable' END AS trend_label FROM t3)"""
 
 
-TREND = f"""{CLEANED}, mo AS (SELECT month, count(*) AS n FROM cleaned WHERE month <> '' GROUP BY month), lastm AS (SELECT max(month) AS lm, count(*) AS k FROM mo), med AS (SELECT median(n) AS md FROM mo, lastm WHERE month < lm),
-cm AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS i, row_number() OVER (ORDER BY month DESC) AS back FROM mo, lastm, med WHERE NOT (k >= 3 AND month = lm AND n < 0.4 * md)), nm AS (SELECT count(*) AS nm FROM cm),
-grid AS (SELECT w.want_id, cm.month, i, back, coalesce(c.n, 0) AS y, coalesce(f, 0) AS f FROM (SELECT DISTINCT want_id FROM cleaned) w, cm LEFT JOIN (SELECT want_id, month, count(*) AS n, count(*) FILTER ({BUCKET} IN ('failed', 'open')) AS f FROM cleaned GROUP BY ALL) c ON c.want_id = w.want_id AND c.month = cm.month),
-t1 AS (SELECT want_id, CAST(sum(CASE WHEN back <= 2 THEN y ELSE 0 END) AS BIGINT) AS recent_records, CAST(sum(CASE WHEN back BETWEEN 3 AND 4 THEN y ELSE 0 END) AS BIGINT) AS prior_records, sum(CASE WHEN back <= 2 THEN f ELSE 0 END) AS rf, regr_slope(y, i) AS sl, avg(y) FILTER (back <= 3) AS l3 FROM grid GROUP BY want_id),
-t2 AS (SELECT *, recent_records / 2 AS ra, prior_records / 2 AS pa, CASE WHEN prior_records = 0 THEN 0 ELSE (recent_records / 2 - prior_records / 2) / (prior_records / 2) END AS gr FROM t1),
-t3 AS (SELECT want_id, recent_records, prior_records, round(ra, 2) AS recent_avg, round(pa, 2) AS prior_avg, round(round(gr, 8), 3) AS growth_ratio, round(round(sl, 8), 2) AS monthly_slope, round(round(greatest(0, l3 + sl), 8), 1) AS forecast, CASE WHEN recent_records = 0 THEN 0 ELSE round(rf / recent_records, 3) END AS failed_share FROM t2),
-tr AS (SELECT *, round(round(forecast * (1 + greatest(growth_ratio, -0.5)) * (1 + failed_share), 8), 2) AS momentum_score, CASE WHEN growth_ratio >= 0.35 AND recent_records >= 20 THEN 'rising' WHEN growth_ratio <= -0.35 AND prior_records >= 20 THEN 'falling' WHEN monthly_slope >= 5 THEN 'slow_rise' WHEN monthly_slope <= -5 THEN 'slow_decline' ELSE 'stable' END AS trend_label FROM t3)"""
+def trends(spark, d):
+    return lo.trends(asked(spark, d), "want_id")
 
 
 @query(f"{W}{TREND} SELECT * FROM tr")
 def h08_trends(spark, d):
-    return lo.trends(cleaned(spark, d), "want_id")
+    return trends(spark, d)
 
 
 @query(f"{W}{TREND} SELECT want_id, momentum_score FROM tr")
 def d13_momentum(spark, d):
-    return lo.trends(cleaned(spark, d), "want_id").select("want_id", "momentum_score")
+    return trends(spark, d).select("want_id", "momentum_score")
+
+
+#: Titles of wants as the warning list shows them; two wants share one.
+WARN = "CASE want_id WHEN 0 THEN 'Get back in' WHEN 3 THEN 'Get back in' ELSE 'want ' || want_id END"
 
 
-@query(f"{W}{TREND} SELECT want_id, trend_label, momentum_score FROM tr ORDER BY momentum_score DESC, want_id LIMIT 5")
+@query(f"{W}{TREND}, lb AS (SELECT *, {WARN} AS title FROM tr), dup AS (SELECT title, count(*) AS c FROM lb GROUP BY title) SELECT want_id, CASE WHEN c > 1 THEN title || ' [' || want_id || ']' ELSE title END AS label, trend_label, momentum_score FROM lb JOIN dup USING (title) ORDER BY momentum_score DESC, want_id LIMIT 5")
 def o16_early_warnings(spark, d):
-    return lo.trends(cleaned(spark, d), "want_id").orderBy(F.desc("momentum_score"), "want_id").limit(5).select("want_id", "trend_label", "momentum_score")
+    x = trends(spark, d).withColumn("title", F.expr(WARN))
+    # one row a want
+    label = F.when(F.count("*").over(Window.partitionBy("title")) > 1, F.concat("title", F.lit(" ["), F.col("want_id").cast("string"), F.lit("]"))).otherwise(F.col("title"))
+    return x.withColumn("label", label).orderBy(F.desc("momentum_score"), "want_id").limit(5).select("want_id", "label", "trend_label", "momentum_score")
 
 
 @query(f"{W}{TREND} SELECT month FROM cm")
@@ -479,11 +532,10 @@ def o05_kpis(spark, d):
     return s.agg(F.sum("n").alias("tickets"), F.round(F.median("n"), 4).alias("median_want"), F.max_by("want_id", F.struct("n", -F.col("want_id"))).alias("top_want"))
 
 
-@query(f"{W}{TREND}, mm AS (SELECT want_id, month, count(*) AS n FROM cleaned WHERE month <> '' GROUP BY ALL) SELECT want_id, month, CAST(n AS BIGINT) AS n, coalesce(forecast, 0.0) AS forecast FROM mm LEFT JOIN tr USING (want_id)")
+@query(f"{W}{TREND}, mm AS (SELECT want_id, month, count(*) AS n FROM cleaned WHERE month <> '' GROUP BY ALL) SELECT want_id, month, CAST(n AS BIGINT) AS n, coalesce(forecast_next_month, 0.0) AS forecast FROM mm LEFT JOIN tr USING (want_id)")
 def o06_forecast_join(spark, d):
-    x = cleaned(spark, d)
-    mm = x.filter("month <> ''").groupBy("want_id", "month").agg(F.count("*").alias("n"))
-    return mm.join(lo.trends(x, "want_id").select("want_id", "forecast"), "want_id", "left").na.fill(0.0, ["forecast"])
+    mm = cleaned(spark, d).filter("month <> ''").groupBy("want_id", "month").agg(F.count("*").alias("n"))
+    return mm.join(trends(spark, d).select("want_id", F.col("forecast_next_month").alias("forecast")), "want_id", "left").na.fill(0.0, ["forecast"])
 
 
 @query(f"{W}{ENRICHED}, {EXTRACT}, u AS (SELECT job_to_be_done, unnest(string_split(missing, '|')) AS v, source_row FROM rules) {top_sql('u', 'job_to_be_done', 'v', 3, 'top_missing')}")
@@ -537,39 +589,41 @@ def a17_chart_frame(spark, d):
 
 # -- text mining -------------------------------------------------------------
 
-DOCTOK = "tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents WHERE lang = 'en')"
+_STOP = "[" + ", ".join(map(q, mi.stop_words())) + "]"
+DOCTOK = f"""wd AS (SELECT doc_id, source, list_filter(regexp_extract_all(strip_accents(lower(text)), {q(mi.TERM)}), lambda w: NOT list_contains({_STOP}, w)) AS ws FROM documents),
+tk AS (SELECT doc_id, source, unnest(ws) AS w FROM wd), tk2 AS (SELECT * FROM tk UNION ALL SELECT doc_id, source, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM wd)"""
 
 
-def english(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text", "source")
+def corpus(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", "source")
 
 
-@query("WITH tk AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents WHERE lang = 'en') SELECT w, CAST(count(*) AS BIGINT) AS n FROM tk WHERE w NOT IN ('the', 'of', 'and') GROUP BY w ORDER BY n DESC, w LIMIT 200")
+@query(f"WITH {DOCTOK} SELECT w, CAST(count(*) AS BIGINT) AS n FROM tk GROUP BY w ORDER BY n DESC, w LIMIT 200")
 def k04_token_frequencies(spark, d):
-    x = mi.tokens(english(spark, d), "doc_id", "text").filter(~F.col("w").isin("the", "of", "and"))
-    return x.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(200)
+    return mi.tokens(corpus(spark, d), "doc_id", "text").groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(200)
 
 
-K05 = f"""{DOCTOK}, tf AS (SELECT doc_id, w, count(*) AS tf FROM tk GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM tk), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), vc AS (SELECT w, df FROM df, nd WHERE df >= 3 AND df <= 0.82 * n),
+K05 = f"""{DOCTOK}, tf AS (SELECT doc_id, w, count(*) AS tf FROM tk2 GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM tk2), df AS (SELECT w, count(*) AS df, sum(tf) AS total FROM tf GROUP BY w), vc AS (SELECT w, df FROM df, nd WHERE df >= 3 AND df <= 0.82 * n ORDER BY total DESC, w LIMIT 6000),
 wt AS (SELECT doc_id, w, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN vc USING (w), nd), tfidf AS (SELECT doc_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM wt)"""
 
 
 @query(f"WITH {K05} SELECT w, {CNT} AS docs, round(sum(x), 4) AS weight FROM tfidf GROUP BY w")
 def k05_tfidf(spark, d):
-    x = mi.tfidf(mi.tokens(english(spark, d), "doc_id", "text"), "doc_id", 3, 0.82)
+    x = mi.tfidf(mi.tokens(corpus(spark, d), "doc_id", "text", 2), "doc_id", 3, 0.82)
     return x.groupBy("w").agg(F.count("*").alias("docs"), F.round(F.sum("x"), 4).alias("weight"))
 
 
-@query(f"WITH {K05}, cs AS (SELECT source, count(*) AS size FROM documents WHERE lang = 'en' GROUP BY 1), s AS (SELECT source, w, round(sum(x) / any_value(size), 6) AS m FROM tfidf JOIN documents USING (doc_id) JOIN cs USING (source) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m DESC, w) AS k FROM s) SELECT source, string_agg(w, ', ' ORDER BY k) AS terms FROM r WHERE k <= 12 GROUP BY source")
+@query(f"WITH {K05}, cs AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), s AS (SELECT source, w, round(sum(x) / any_value(size), 6) AS m FROM tfidf JOIN documents USING (doc_id) JOIN cs USING (source) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m DESC, w) AS k FROM s WHERE m > 0) SELECT source, string_agg(w, ', ' ORDER BY k) AS terms FROM r WHERE k <= 12 GROUP BY source")
 def k06_cluster_terms(spark, d):
-    docs = english(spark, d)
-    return mi.cluster_terms(mi.tfidf(mi.tokens(docs, "doc_id", "text"), "doc_id", 3, 0.82), docs.select("doc_id", F.col("source")), "doc_id", "source", 12)
+    docs = corpus(spark, d)
+    return mi.cluster_terms(mi.tfidf(mi.tokens(docs, "doc_id", "text", 2), "doc_id", 3, 0.82), docs.select("doc_id", "source"), "doc_id", "source", 12)
 
 
-@query(f"WITH {DOCTOK}, cl AS (SELECT source, w, count(*) AS tf FROM tk JOIN documents USING (doc_id) GROUP BY ALL), tot AS (SELECT w, sum(tf) AS f FROM cl GROUP BY w), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM cl GROUP BY source)), x AS (SELECT source, w, round(tf / sum(tf) OVER (PARTITION BY source) * ln(1 + a / f), 8) AS x FROM cl JOIN tot USING (w), a), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, w) AS k FROM x) SELECT source, string_agg(w, '_' ORDER BY k) AS name FROM r WHERE k <= 4 GROUP BY source")
+@query(f"WITH {DOCTOK}, cl AS (SELECT source, w, count(*) AS tf FROM tk2 GROUP BY ALL), tot AS (SELECT w, sum(tf) AS f FROM cl GROUP BY w), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM cl GROUP BY source)), x AS (SELECT source, w, round(tf / sum(tf) OVER (PARTITION BY source) * ln(1 + a / f), 8) AS x FROM cl JOIN tot USING (w), a), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, w) AS k FROM x), sz AS (SELECT source, {CNT} AS docs FROM documents GROUP BY source) SELECT source, docs, source || '_' || string_agg(w, '_' ORDER BY k) FILTER (k <= 4) AS name, string_agg(w, ', ' ORDER BY k) AS representation FROM r JOIN sz USING (source) WHERE k <= 10 GROUP BY source, docs")
 def k18_class_tfidf(spark, d):
-    docs = english(spark, d)
-    return mi.class_terms(mi.tokens(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id"), "source", 4)
+    docs = corpus(spark, d)
+    topics = mi.class_terms(mi.tokens(docs.select(F.col("source").alias("s"), "text"), "s", "text", 2).withColumnRenamed("s", "source"), "source", 10)
+    return topics.join(docs.groupBy("source").agg(F.count("*").alias("docs")), "source")
 
 
 @query(f"{W}{CLEANED}, tk AS (SELECT want_id, unnest(regexp_extract_all(question_flat, '[A-Za-z][A-Za-z\\-'']{{2,}}')) AS w FROM cleaned), n AS (SELECT want_id, lower(w) AS w, count(*) AS n FROM tk WHERE length(w) > 3 AND lower(w) NOT IN ({', '.join(map(q, mi.STOPWORDS))}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY want_id ORDER BY n DESC, w) AS k FROM n) SELECT want_id, string_agg(w, '_' ORDER BY k) AS label FROM r WHERE k <= 6 GROUP BY want_id")
@@ -597,7 +651,7 @@ def k16_fallback_want(spark, d):
 
 @query()
 def k01_ols_hc3(spark, d):
-    return mi.ols(enriched(spark, d), "context_depth_score", ["char_count"], ["manager", "category", "question_kind"])
+    return mi.ols(enriched(spark, d), "context_depth_score", [], ["manager", "category", "question_kind", "role", "status_en", "month"])
 
 
 @query()

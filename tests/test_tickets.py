@@ -97,3 +97,53 @@ def test_projection_bands(spark):
     assert got[2].best == 0 and got[2].margin == 0.0 and got[3].score == 0.0 and got[4].best is None
     band = lambda s, m: spark.range(1).select(vectors.confidence_band(F.lit("x"), F.lit(s), F.lit(m), F.lit(0.4), 0.1).alias("b")).first().b
     assert [band(0.5, 0.2), band(0.45, 0.1), band(0.39, 0.3)] == ["high", "medium", "low"]
+
+
+# one text for each branch of the extractor: text, primary desire, job, emotion, urgency, trust, money, safety, missing
+EXTRACTED = [
+    ("the fishing game took my points", "", "fix_product_flow", "unknown", 1, 2, 1, 1, ["none obvious from rules preview"]),
+    ("he owes me", "", "avoid_scam", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("hello", "protect_from_abuse_or_scam", "avoid_scam", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("they harass me", "", "protect_community", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("banned after a game", "", "prove_innocence", "unknown", 1, 3, 1, 1, ["exact ban/review timestamp", "copied ban/review reason", "user's own claim/denial"]),
+    ("it was unfair", "", "prove_innocence", "confused", 2, 1, 1, 1, ["none obvious from rules preview"]),
+    ("my followers", "grow_audience_or_community", "grow_channel", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("a fraud", "", "avoid_scam", "betrayed", 2, 3, 5, 4, ["amount/currency/diamond quantity", "buyer/seller/counterparty UID", "payment or chat proof screenshots"]),
+    ("recharge of 500 diamonds", "play_or_entertainment", "buy_or_sell_diamonds", "unknown", 1, 1, 4, 1, ["buyer/seller/counterparty UID", "payment or chat proof screenshots"]),
+    ("open the room", "", "grow_channel", "unknown", 1, 1, 1, 1, ["room/group/channel ID"]),
+    ("my login", "", "recover_access", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("the badge", "", "gain_status", "unknown", 1, 2, 1, 1, ["none obvious from rules preview"]),
+    ("hm", "", "other", "unknown", 1, 1, 1, 1, ["none obvious from rules preview"]),
+    ("wtf, please help now", "", "other", "urgent", 2, 1, 1, 1, ["none obvious from rules preview"]),
+]
+
+
+def test_extraction_by_rules(spark):
+    from skeinery.operators import extraction
+
+    rows = [(str(i), text, desire, 36.0 if i else None) for i, (text, desire, *_) in enumerate(EXTRACTED)]
+    df = spark.createDataFrame(rows, "source_row string, question string, primary_desire string, context_depth_score double").selectExpr("*", "question AS question_flat")
+    got = {int(r.source_row): r for r in extraction.rules(df).collect()}
+    for i, (_, _, job, emotion, *levels, missing) in enumerate(EXTRACTED):
+        r = got[i]
+        assert (r.job_to_be_done, r.user_emotion, r.evidence_missing) == (job, emotion, missing), EXTRACTED[i]
+        assert [r.urgency_level, r.trust_risk_level, r.money_risk_level, r.safety_policy_risk_level] == levels, EXTRACTED[i]
+    assert got[0].manager_note_quality == "adequate" and got[1].manager_note_quality == "rich"
+    text = "ids 12345678 12345678 87654321 my_abcdef 2026-04-02 14:30 https://x.io/a.png 5 beans, category b"
+    r = extraction.rules(spark.createDataFrame([("1", text, text, "", 1.0)], "source_row string, question string, question_flat string, primary_desire string, context_depth_score double")).first()
+    assert (r.uids, r.room_or_group_ids, r.timestamps, r.ban_reasons, r.url_count) == (["12345678", "87654321"], ["my_abcdef"], ["2026-04-02 14:30"], ["category b"], 1)
+    assert r.evidence_present == ["screenshots", "urls", "timestamps", "uid", "room_or_group_id", "ban_reason", "money_amount"] and "buyer/seller/counterparty UID" not in r.evidence_missing
+    assert r.support_next_step.startswith("Check ban history") and r.product_opportunity.startswith("Expose ban reason") and (r.money_risk_level, r.needs_human_review) == (4, True)
+
+
+def test_trends_of_few_months(spark):
+    from skeinery.operators import longitudinal
+
+    rows = [(1, "2026-01", "u", "Closed", "", True), (1, "2026-01", "v", "Failed", "", False), (2, "2026-02", "", "Closed", "", False)]
+    df = spark.createDataFrame(rows, "want_id int, month string, uid string, status_en string, status_cn string, needs_llm_review boolean")
+    got = {r.want_id: r for r in longitudinal.trends(df, "want_id").collect()}
+    assert (got[1].monthly_slope, got[1].recent_avg_per_month, got[1].forecast_next_month, got[1].recent_failed_or_open_share, got[1].recent_review_queue_share) == (0.0, 1.0, 1.0, 0.5, 0.5)
+    assert (got[2].recent_months, got[2].prior_months, got[2].forecast_month, got[2].recent_unique_users) == ("2026-01, 2026-02", "", "2026-03", 1)
+    one = longitudinal.trends(df.filter("month = '2026-01'"), "want_id").first()
+    assert (one.recent_avg_per_month, one.forecast_next_month) == (2.0, 2.0)
+    assert longitudinal.trends(df.limit(0), "want_id").count() == 0
