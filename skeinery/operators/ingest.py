@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,12 +42,29 @@ def drop_summaries(df: DataFrame, question: str = "question", uid: str = "uid")
     return df.filter((F.trim(F.coalesce(question, F.lit(""))) != "") | (F.trim(F.coalesce(uid, F.lit(""))) != ""))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df, and the number of each row as read, from 1: counts by partition are added up, rows are not sorted.
+
+    The partition and the place in it are the halves of a monotonic id; what is
+    broadcast is one number for each partition of the scan.
+    """
+    df = df.withColumn("id_", F.monotonically_increasing_id())
+    df = df.withColumns({"part_": F.shiftright("id_", 33), "place_": F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = df.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("part_", F.coalesce(before, F.lit(0)).alias("start_"))
+    return df.join(F.broadcast(starts), "part_"), (F.col("start_") + F.col("place_") + 1).cast("string")
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Canonical columns of a raw export; a missing one is empty, a missing row number counts the rows as read."""
     src = {k: resolve(df.columns, a) for k, a in ALIASES.items()}
     col = lambda k: t.flat(F.col(f"`{src[k]}`")) if src[k] else F.lit("")
     svip = next((c for c in df.columns if "SVIP" in c.upper()), None)
-    number = col("source_row") if src["source_row"] else F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("string")
+    if src["source_row"]:
+        number = col("source_row")
+    else:
+        df, number = numbered(df)
     question = t.clean_text(F.col(f"`{src['question']}`")) if src["question"] else F.lit("")
     date = t.day_first(col("date_raw"))
     out = df.select(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as t
 
@@ -16,21 +17,59 @@ def mean_vectors(df: DataFrame, by: str, vector: str = "v") -> DataFrame:
     return x.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
 
 
+#: Centroids that travel to the executors, at most; they are one for each want or topic.
+MOST_CENTROIDS = 5_000
+
+
+def collected(centroids: DataFrame, by: str) -> tuple[list, np.ndarray]:
+    """Ids, ascending, and centroids as a matrix; more than MOST_CENTROIDS are refused."""
+    rows = centroids.select(by, "c").orderBy(by).limit(MOST_CENTROIDS + 1).collect()
+    if len(rows) > MOST_CENTROIDS:
+        raise ValueError(f"over {MOST_CENTROIDS} centroids")
+    return [r[0] for r in rows], np.array([r.c for r in rows], np.float64).reshape(len(rows), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; zero rows stay zero."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
+def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have a vector, as a mask, and their vectors."""
+    has = ~np.asarray(vectors.is_null())
+    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return has, flat.reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 0))
+
+
 def nearest(df: DataFrame, centroids: DataFrame, by: str, vector: str = "v") -> DataFrame:
     """df with best, score and margin (best less second; one centroid: the score), by cosine; ties to the smaller id.
 
-    Centroids are few (one for each want or topic), so they travel as one array in
-    one row, and each vector finds its two best in its own row: no pairs are made.
+    Centroids are few, so they travel as one matrix; a batch of vectors is compared in
+    one product.  Without a vector, or without centroids, all three are null.
     """
-    one = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(by).alias("id"), t.l2("c").alias("c")))).alias("cs_"))
-    u = t.l2(vector)
-    out = df.crossJoin(F.broadcast(one)).withColumn("u_", F.when(F.col(vector).isNotNull(), u))
-    out = out.withColumn("s_", F.array_sort(F.transform("cs_", lambda c: F.struct((-F.round(t.dot(F.col("u_"), c["c"]), 12)).alias("n"), c["id"].alias("id")))))
-    first, second = F.get("s_", F.lit(0)), F.get("s_", F.lit(1))
-    score = -first["n"]
-    has = F.col(vector).isNotNull()
-    out = out.withColumns({"best": F.when(has, first["id"]), "score": F.when(has, score), "margin": F.when(has, score - F.coalesce(-second["n"], F.lit(0.0)))})
-    return out.drop("cs_", "u_", "s_")
+    ids, c = collected(centroids, by)
+    c = unit(c) if len(ids) else c
+
+    @F.arrow_udf("struct<at:int,score:double,margin:double>")
+    def best(v: pa.Array) -> pa.Array:
+        has, x = matrix(v)
+        has = has & (len(ids) > 0)
+        at, score, margin = np.zeros(len(v), np.int32), np.zeros(len(v)), np.zeros(len(v))
+        if has.any():
+            s = np.round(unit(x) @ c.T, 12)
+            first = np.argmax(s, axis=1)  # the first of equal ones has the smaller id
+            top = s[np.arange(len(s)), first]
+            s[np.arange(len(s)), first] = -np.inf
+            second = s.max(axis=1) if len(ids) > 1 else np.zeros(len(s))
+            at[has], score[has], margin[has] = first, top, top - second
+        cols = [pa.array(a, mask=~has) for a in (at, score, margin)]
+        return pa.StructArray.from_arrays(cols, names=["at", "score", "margin"])
+
+    kind = centroids.schema[by].dataType.simpleString()
+    names = F.array(*map(F.lit, ids)).cast(f"array<{kind}>")
+    out = df.withColumn("s_", best(F.col(vector)))
+    return out.withColumns({"best": F.get(names, F.col("s_.at")), "score": F.col("s_.score"), "margin": F.col("s_.margin")}).drop("s_")
 
 
 def threshold(confirmed: DataFrame, score: str = "own") -> DataFrame:
@@ -74,12 +113,24 @@ def uncertainty(score: Column, margin: Column, risk: Column, top: Column, least_
 
 def cluster_confidence(df: DataFrame, centroids: DataFrame, own: str, by: str, vector: str = "v") -> DataFrame:
     """clip(1 - distance to the own centre / mean distance to all, 0, 1)"""
-    one = centroids.agg(F.collect_list(F.struct(F.col(by).alias("id"), "c")).alias("cs_"))
-    dist = lambda c: F.sqrt(F.aggregate(F.zip_with(vector, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    x = df.crossJoin(F.broadcast(one)).withColumn("d_", F.transform("cs_", lambda c: F.struct(c["id"].alias("id"), dist(c["c"]).alias("d"))))
-    mean = F.aggregate("d_", F.lit(0.0), lambda s, d: s + d["d"]) / F.size("d_")
-    mine = F.get(F.filter("d_", lambda d: d["id"] == F.col(own)), F.lit(0))["d"]
-    return x.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - mine / F.when(mean == 0, 1.0).otherwise(mean)))).drop("cs_", "d_")
+    ids, c = collected(centroids, by)
+    place = {v: i for i, v in enumerate(ids)}
+
+    @F.arrow_udf("double")
+    def confidence(v: pa.Array, mine: pa.Array) -> pa.Array:
+        has, x = matrix(v)
+        at = np.array([place.get(m, -1) for m in mine.to_pylist()])[has]
+        out = np.full(len(v), np.nan)
+        if has.any() and ids:
+            d = np.empty((len(x), len(ids)))
+            for i in range(len(ids)):  # differences, as a product of equal vectors would not be 0
+                d[:, i] = np.sqrt(((x - c[i]) ** 2).sum(axis=1))
+            mean = d.mean(axis=1)
+            found = np.clip(1 - d[np.arange(len(x)), np.maximum(at, 0)] / np.where(mean == 0, 1.0, mean), 0, 1)
+            out[has] = np.where(at < 0, np.nan, found)
+        return pa.array(out, mask=np.isnan(out))
+
+    return df.withColumn("confidence", confidence(F.col(vector), F.col(own)))
 
 
 def cosine_silhouette(df: DataFrame, label: str, vector: str = "v") -> DataFrame:

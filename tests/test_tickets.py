@@ -147,3 +147,14 @@ def test_trends_of_few_months(spark):
     one = longitudinal.trends(df.filter("month = '2026-01'"), "want_id").first()
     assert (one.recent_avg_per_month, one.forecast_next_month) == (2.0, 2.0)
     assert longitudinal.trends(df.limit(0), "want_id").count() == 0
+
+
+def test_rows_are_numbered_as_read(spark, tmp_path):
+    from skeinery.operators import ingest as ing
+
+    path = f"file://{tmp_path}/raw"
+    spark.range(1000).repartition(7).selectExpr("concat('question ', id) AS question").write.parquet(path)
+    raw = spark.read.option("maxPartitionBytes", 1).parquet(path)
+    rows = ing.canonical(raw).select("source_row", "question").collect()
+    assert sorted(int(r.source_row) for r in rows) == list(range(1, 1001)) and len({r.question for r in rows}) == 1000
+    assert [r.question for r in sorted(rows, key=lambda r: int(r.source_row))] == [r.question for r in raw.collect()]
