@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as p
 from ..functions import text as t
+from . import grouping as g
 
 # Patterns of the rule extractor, which has its own besides those of the features.
 URL = r"(?i)https?://\S+"
@@ -206,3 +207,17 @@ def hybrid(base: DataFrame, model: DataFrame) -> DataFrame:
 def parse(raw: Column, schema: str) -> Column:
     """A struct from text with a JSON object somewhere in it, null if there is none."""
     return F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), schema)
+
+
+def taxonomy(x: DataFrame, by: str = "want_id", text: str = "want_text", similarity: str = "centroid_similarity") -> DataFrame:
+    """Wants by size, share, top jobs and emotions, risks, and the texts and next steps nearest to the centre."""
+    s = x.groupBy(by).agg(
+        F.count("*").alias("size"), *[F.round(F.round(F.avg(c), 8), 2).alias(a) for c, a in (("money_risk_level", "avg_money_risk"), ("trust_risk_level", "avg_trust_risk"), ("urgency_level", "avg_urgency"))],
+        *[F.round(g.share(F.col(c) >= 4), 6).alias(a) for c, a in (("money_risk_level", "high_money_risk_share"), ("trust_risk_level", "high_trust_risk_share"))],
+    )
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("size").alias("all_")))).withColumn("share", F.round(F.col("size") / F.col("all_"), 6)).drop("all_")
+    for c, a in (("job_to_be_done", "top_jobs"), ("user_emotion", "top_emotions")):
+        s = g.same(s, g.top_list(x, [by], c, 3, a, "{v}:{n}"), [by])
+    order = [F.desc(similarity), F.col("first_pos")]
+    s = g.same(s, g.examples(x, [by], order, F.col(text), 3), [by])
+    return g.same(s, g.examples(x.filter(F.col("support_next_step").isNotNull()), [by], order, F.col("support_next_step"), 2, "next_step_"), [by])

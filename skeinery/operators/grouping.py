@@ -37,6 +37,23 @@ def top_list(df: DataFrame, by: list[str], value: str, n: int, name: str, style:
     return x.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r_", piece.alias("s")))), lambda s: s["s"]), ", ").alias(name))
 
 
+def top_lists(df: DataFrame, by: list[str], tops: dict[str, tuple[str, int]], blanks: bool = False, first: str = "first_pos") -> DataFrame:
+    """by and a column for each of tops, name: (column, n), as in ``top_list``, in one pass; blanks: they count as a value."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("t_"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v_")) for k, (c, _) in tops.items()])).alias("x")
+    x = df.select(*by, F.col(first).alias("f_"), each).select(*by, "f_", "x.t_", "x.v_")
+    x = x if blanks else x.filter(F.trim("v_") != "")
+    x = x.groupBy(*by, "t_", "v_").agg(F.count("*").alias("n_"), F.min("f_").alias("f_"))
+    x = x.withColumn("r_", F.row_number().over(W.partitionBy(*by, "t_").orderBy(F.desc("n_"), "f_", "v_"))).filter(F.col("r_") <= max(n for _, n in tops.values()))
+    of = lambda k, n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("t_") == k) & (F.col("r_") <= n), F.struct("r_", "v_")))), lambda s: s["v_"]), ", ")
+    return x.groupBy(*by).agg(*[of(k, n).alias(k) for k, (_, n) in tops.items()])
+
+
+def examples(df: DataFrame, by: list[str], order: list[Column], text: Column, n: int, name: str = "example_") -> DataFrame:
+    """by, name1 .. n: texts of the first rows of each group, '' where there are fewer."""
+    x = df.withColumn("k_", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("k_") <= n)
+    return x.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("k_") == i, text)), F.lit("")).alias(f"{name}{i}") for i in range(1, n + 1)])
+
+
 def same(df: DataFrame, other: DataFrame, by: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys meet, as rows of one group."""
     renamed = other.select(*[F.col(c).alias(f"k_{c}") if c in by else F.col(c) for c in other.columns])
@@ -103,25 +120,39 @@ def z_score(a: Column, na: Column, b: Column, nb: Column) -> Column:
 
 
 def backlog(e: DataFrame) -> DataFrame:
-    """Opportunity backlog by issue: volume, users, shares, lift and z of the last 30 days against the 90 before, score."""
-    x = windowed(e, 120)
+    """Opportunity backlog by issue: volume, users, shares, lift and z of the last 30 days against the 90 before, tops, examples, score."""
+    again = e.filter(F.coalesce("uid", F.lit("")) != "").groupBy("uid").agg(F.count("*").alias("n_")).filter("n_ >= 2").select("uid", F.lit(True).alias("again_"))
+    x = windowed(e.join(again, "uid", "left"), 120).withColumn("first_pos", F.col("source_row").cast("long"))
     s = x.groupBy("issue_id", "issue_label").agg(
         F.count("*").alias("tickets"), users().alias("unique_users"), F.count_if("recent_").alias("recent_tickets"), F.count_if("prior_").alias("baseline_tickets"),
-        share("is_unresolved").alias("u"), share("trust_money_flag").alias("risk"), share(F.col("context_depth_band").isin("rich", "forensic")).alias("rich"),
-        F.avg("context_depth_score").alias("ctx"),
+        F.avg(F.coalesce("again_", F.lit(False)).cast("int")).alias("again"), share("is_unresolved").alias("u"), share("trust_money_flag").alias("risk"),
+        share(F.col("context_depth_band").isin("rich", "forensic")).alias("rich"), F.avg("context_depth_score").alias("ctx"), F.avg("urgency_signal").alias("urg"),
     )
-    every = W.partitionBy()
-    r, b = F.sum("recent_tickets").over(every), F.sum("baseline_tickets").over(every)
-    s = s.withColumns({"n_r": r, "n_b": b})
+    total = s.agg(F.sum("recent_tickets").alias("n_r"), F.sum("baseline_tickets").alias("n_b"))
+    s = s.crossJoin(F.broadcast(total))
     rs, bs = F.col("recent_tickets") / F.greatest("n_r", F.lit(1)), F.col("baseline_tickets") / F.greatest("n_b", F.lit(1))
     s = s.withColumns({"l": lift(rs, bs), "z": z_score(F.col("recent_tickets"), F.col("n_r"), F.col("baseline_tickets"), F.col("n_b"))})
     rise = F.least(F.greatest(F.col("l") - 1, F.lit(0.0)), F.lit(3.0))
     score = F.sqrt(F.col("tickets").cast("double")) * (1 + 2.2 * F.col("u") + 1.2 * rise + 1.4 * F.col("risk")) + 8 * F.col("rich") + 0.06 * F.col("ctx")
+    by = ["issue_id", "issue_label"]
+    s = same(s, top_lists(x, by, {"top_desires": ("primary_desire", 5), "top_categories": ("category", 4), "top_managers": ("manager", 4)}), by)
+    s = same(s, examples(x, by, [F.desc("context_depth_score"), F.desc("char_count"), F.col("first_pos")], t.compact("question_flat", 420), 3), by)
+    two = lambda c, n: F.round(F.round(c, 8), n)
     return s.select(
-        "issue_id", "issue_label", "tickets", "unique_users", "recent_tickets", "baseline_tickets",
-        F.round("u", 4).alias("unresolved_share"), F.round("risk", 4).alias("trust_money_risk"), F.round("rich", 4).alias("rich_or_forensic_share"),
-        r4(F.col("ctx")).alias("avg_context_score"), F.round("l", 4).alias("recent_lift"), F.round("z", 4).alias("recent_z"), F.round(score, 4).alias("opportunity_score"),
-    )
+        *by, "tickets", "unique_users", two(F.col("again"), 4).alias("repeat_user_share"), F.round("u", 4).alias("unresolved_share"), two(F.col("ctx"), 2).alias("avg_context_score"),
+        F.round("rich", 4).alias("rich_or_forensic_share"), two(F.col("urg"), 3).alias("urgency_avg"), F.round("risk", 4).alias("trust_money_risk"), "recent_tickets", "baseline_tickets",
+        two(F.col("l"), 3).alias("recent_lift"), two(F.col("z"), 3).alias("trend_z"), "top_desires", "top_categories", "top_managers", "example_1", "example_2", "example_3",
+        two(score, 2).alias("opportunity_score"),
+    ).na.fill("", ["top_desires", "top_categories", "top_managers"])
+
+
+def cluster_summary(e: DataFrame, by: str = "issue_id") -> DataFrame:
+    """Clusters by size, share, scores, their most frequent values (blanks count) and three examples."""
+    x = e.withColumn("first_pos", F.col("source_row").cast("long"))
+    s = x.groupBy(by).agg(F.count("*").alias("tickets"), F.round(F.round(F.avg("context_depth_score"), 8), 2).alias("avg_context_score"), F.round(share("is_unresolved"), 4).alias("unresolved_share"))
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("tickets").alias("all_")))).withColumn("share", F.round(F.col("tickets") / F.col("all_"), 4)).drop("all_")
+    s = same(s, top_lists(x, [by], {"top_desires": ("primary_desire", 4), "top_categories": ("category", 4), "top_managers": ("manager", 4)}, blanks=True), [by])
+    return same(s, examples(x, [by], [F.desc("context_depth_score"), F.col("first_pos")], F.col("model_text"), 3), [by])
 
 
 def emerging(e: DataFrame) -> DataFrame:
@@ -176,10 +207,15 @@ def repeat_users(e: DataFrame, least: int = 2) -> DataFrame:
     )
     s = s.filter(F.col("tickets") >= least)
     span = F.when(F.col("dated_") == F.col("tickets"), F.datediff("last_date", "first_date"))
+    x = x.withColumnRenamed("pos_", "first_pos")
+    s = s.join(top_lists(x, ["uid"], {"managers_seen": ("manager", 5), "top_desires": ("primary_desire", 5), "top_issues": ("issue_label", 5)}), "uid", "left")
+    s = s.join(examples(x, ["uid"], [F.desc("context_depth_score"), F.col("date").asc_nulls_last(), F.col("first_pos")], t.compact("question_flat", 420), 2, "high_context_example_"), "uid", "left")
+    two = lambda c, n: F.round(F.round(c, 8), n)
     return s.select(
         "uid", persona().alias("persona"), "tickets", "unique_issues", "first_date", "last_date", span.cast("int").alias("span_days"),
-        F.round("u_", 4).alias("unresolved_share"), r4(F.col("c_")).alias("avg_context_score"),
-    )
+        F.round("u_", 4).alias("unresolved_share"), two(F.col("c_"), 2).alias("avg_context_score"),
+        "managers_seen", "top_desires", "top_issues", "high_context_example_1", "high_context_example_2",
+    ).na.fill("", ["managers_seen", "top_desires", "top_issues"])
 
 
 def manager_residuals(e: DataFrame) -> DataFrame:

@@ -117,23 +117,44 @@ def g02_desire_summary(spark, d):
     return g.desire_summary(enriched(spark, d))
 
 
-@query(f"{W}{ISSUE}, t AS ({top_sql('iss', 'issue_id', 'primary_desire', 4, 'top_desires')}) SELECT s.*, top_desires FROM (SELECT issue_id, {CNT} AS size, round(count(*) / (SELECT count(*) FROM iss), 4) AS share, {av('context_depth_score', 'avg_context_score')} FROM iss GROUP BY issue_id) s JOIN t USING (issue_id)")
+def tops_sql(src: str, by: str, tops: dict, blanks: bool = False) -> str:
+    """CTE bodies t_<name>, one for each top list."""
+    full = f"(SELECT *, 1 AS one_ FROM {src})"
+    make = lambda c, n, k: top_sql(full, by, c, n, k) if not blanks else top_sql(full, by, c, n, k).replace(f"WHERE trim(coalesce(CAST({c} AS VARCHAR), '')) <> ''", "")
+    return ", ".join(f"t_{k} AS ({make(c, n, k)})" for k, (c, n) in tops.items())
+
+
+def ex_sql(src: str, by: str, order: str, text: str, n: int, name: str = "example_") -> str:
+    cols = ", ".join(f"coalesce(max({text}) FILTER (k_ = {i}), '') AS {name}{i}" for i in range(1, n + 1))
+    return f"exs AS (SELECT {by}, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS k_ FROM {src}) GROUP BY {by})"
+
+
+SHORT = "CASE WHEN length(question_flat) <= 420 THEN question_flat ELSE rtrim(substr(question_flat, 1, 417)) || '...' END"
+_CT = {"top_desires": ("primary_desire", 4), "top_categories": ("category", 4), "top_managers": ("manager", 4)}
+
+
+@query(
+    f"""{W}{ISSUE}, {tops_sql('iss', 'issue_id', _CT, True)}, {ex_sql('iss', 'issue_id', 'context_depth_score DESC, CAST(source_row AS BIGINT)', 'model_text', 3)},
+s AS (SELECT issue_id, {CNT} AS tickets, round(count(*) / (SELECT count(*) FROM iss), 4) AS share, {av('context_depth_score', 'avg_context_score', 2)}, {sh('is_unresolved', 'unresolved_share')} FROM iss GROUP BY issue_id)
+SELECT s.*, top_desires, top_categories, top_managers, example_1, example_2, example_3 FROM s JOIN t_top_desires USING (issue_id) JOIN t_top_categories USING (issue_id) JOIN t_top_managers USING (issue_id) JOIN exs USING (issue_id)"""
+)
 def g03_cluster_summary(spark, d):
-    e = issues(spark, d).withColumn("first_pos", F.col("source_row").cast("long"))
-    s = e.groupBy("issue_id").agg(F.count("*").alias("size"), g.r4(F.avg("context_depth_score")).alias("avg_context_score"))
-    s = s.withColumn("share", F.round(F.col("size") / F.sum("size").over(Window.partitionBy()), 4))
-    return s.join(g.top_list(e, ["issue_id"], "primary_desire", 4, "top_desires"), "issue_id")
+    return g.cluster_summary(issues(spark, d))
 
 
 Z = "({a} / {na} - {b} / {nb}) / sqrt(greatest((({a} + {b}) / ({na} + {nb})) * (1 - ({a} + {b}) / ({na} + {nb})) * (1.0 / {na} + 1.0 / {nb}), 1e-9))"
 G04 = f"""mx AS (SELECT max(date) AS top FROM iss), w AS (SELECT iss.*, coalesce(date >= top - INTERVAL 30 DAY, false) AS r, coalesce(date >= top - INTERVAL 120 DAY AND date < top - INTERVAL 30 DAY, false) AS b FROM iss, mx),
 tot AS (SELECT greatest(count(*) FILTER (r), 1) AS nr, greatest(count(*) FILTER (b), 1) AS nb FROM w),
-s AS (SELECT issue_id, issue_label, {CNT} AS tickets, {USERS}, CAST(count(*) FILTER (r) AS BIGINT) AS recent_tickets, CAST(count(*) FILTER (b) AS BIGINT) AS baseline_tickets,
-  avg(CAST(is_unresolved AS INT)) AS u, avg(CAST(trust_money_flag AS INT)) AS risk, avg(CAST(context_depth_band IN ('rich', 'forensic') AS INT)) AS rich, avg(context_depth_score) AS ctx FROM w GROUP BY ALL),
+rep AS (SELECT uid FROM w WHERE uid <> '' GROUP BY uid HAVING count(*) >= 2),
+s AS (SELECT issue_id, issue_label, {CNT} AS tickets, {USERS}, CAST(count(*) FILTER (r) AS BIGINT) AS recent_tickets, CAST(count(*) FILTER (b) AS BIGINT) AS baseline_tickets, avg(CAST(uid IN (SELECT uid FROM rep) AS INT)) AS again,
+  avg(CAST(is_unresolved AS INT)) AS u, avg(CAST(trust_money_flag AS INT)) AS risk, avg(CAST(context_depth_band IN ('rich', 'forensic') AS INT)) AS rich, avg(context_depth_score) AS ctx, avg(urgency_signal) AS urg FROM w GROUP BY ALL),
 s2 AS (SELECT s.*, (recent_tickets / nr + 0.0005::DOUBLE) / (baseline_tickets / nb + 0.0005::DOUBLE) AS l, {Z.format(a='recent_tickets', na='nr', b='baseline_tickets', nb='nb')} AS z FROM s, tot),
-backlog AS (SELECT issue_id, issue_label, tickets, unique_users, recent_tickets, baseline_tickets, round(u, 4) AS unresolved_share, round(risk, 4) AS trust_money_risk, round(rich, 4) AS rich_or_forensic_share,
-  round(round(ctx, 8), 4) AS avg_context_score, round(l, 4) AS recent_lift, round(z, 4) AS recent_z,
-  round(sqrt(tickets) * (1 + 2.2::DOUBLE * u + 1.2::DOUBLE * least(greatest(l - 1, 0), 3) + 1.4::DOUBLE * risk) + 8 * rich + 0.06::DOUBLE * ctx, 4) AS opportunity_score FROM s2)"""
+{tops_sql('w', 'issue_id', {'top_desires': ('primary_desire', 5), 'top_categories': ('category', 4), 'top_managers': ('manager', 4)})}, {ex_sql('w', 'issue_id', 'context_depth_score DESC, char_count DESC, CAST(source_row AS BIGINT)', SHORT, 3)},
+backlog AS (SELECT issue_id, issue_label, tickets, unique_users, round(round(again, 8), 4) AS repeat_user_share, round(u, 4) AS unresolved_share, round(round(ctx, 8), 2) AS avg_context_score, round(rich, 4) AS rich_or_forensic_share,
+  round(round(urg, 8), 3) AS urgency_avg, round(risk, 4) AS trust_money_risk, recent_tickets, baseline_tickets, round(round(l, 8), 3) AS recent_lift, round(round(z, 8), 3) AS trend_z, coalesce(top_desires, '') AS top_desires, coalesce(top_categories, '') AS top_categories,
+  coalesce(top_managers, '') AS top_managers, example_1, example_2, example_3,
+  round(round(sqrt(tickets) * (1 + 2.2::DOUBLE * u + 1.2::DOUBLE * least(greatest(l - 1, 0), 3) + 1.4::DOUBLE * risk) + 8 * rich + 0.06::DOUBLE * ctx, 8), 2) AS opportunity_score
+  FROM s2 LEFT JOIN t_top_desires USING (issue_id) LEFT JOIN t_top_categories USING (issue_id) LEFT JOIN t_top_managers USING (issue_id) LEFT JOIN exs USING (issue_id))"""
 
 
 @query(f"{W}{ISSUE}, {G04} SELECT * FROM backlog")
@@ -167,13 +188,16 @@ def d12_emergence_score(spark, d):
     return g.emerging(issues(spark, d)).select("issue_id", "emergence_score")
 
 
-G06 = """n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY CAST(source_row AS BIGINT)) AS rn FROM iss WHERE uid <> ''),
+G06 = f"""n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY CAST(source_row AS BIGINT)) AS rn FROM iss WHERE uid <> ''),
 s AS (SELECT uid, CAST(count(*) AS BIGINT) AS tickets, CAST(count(DISTINCT issue_id) AS BIGINT) AS unique_issues, min(date) AS first_date, max(date) AS last_date, count(date) AS dated, avg(CAST(is_unresolved AS INT)) AS u, avg(context_depth_score) AS c,
   list(DISTINCT primary_desire) AS ds, string_agg(lower(issue_label), ' ') FILTER (rn <= 20) AS ls FROM n GROUP BY uid HAVING count(*) >= 2),
+{tops_sql('n', 'uid', {'managers_seen': ('manager', 5), 'top_desires': ('primary_desire', 5), 'top_issues': ('issue_label', 5)})}, {ex_sql('n', 'uid', 'context_depth_score DESC, date NULLS LAST, CAST(source_row AS BIGINT)', SHORT, 2, 'high_context_example_')},
 personas AS (SELECT uid, CASE WHEN list_contains(ds, 'earn_or_transact_money') AND (list_contains(ds, 'protect_from_abuse_or_scam') OR contains(ls, 'scam') OR contains(ls, 'diamonds')) THEN 'commerce_dispute_or_scam_risk'
   WHEN list_contains(ds, 'clear_name_or_get_fairness') AND u >= 0.25 THEN 'repeat_ban_appeal_or_fairness_seeker' WHEN list_contains(ds, 'grow_audience_or_community') THEN 'creator_channel_operator'
   WHEN list_contains(ds, 'gain_status_or_privileges') THEN 'svip_status_optimizer' WHEN list_contains(ds, 'recover_access') THEN 'account_recovery_repeat_user' WHEN len(ds) >= 4 THEN 'multi_problem_power_user' ELSE 'general_repeat_user' END AS persona,
-  tickets, unique_issues, first_date, last_date, CASE WHEN dated = tickets THEN CAST(date_diff('day', CAST(first_date AS DATE), CAST(last_date AS DATE)) AS INT) END AS span_days, round(u, 4) AS unresolved_share, round(round(c, 8), 4) AS avg_context_score FROM s)"""
+  tickets, unique_issues, first_date, last_date, CASE WHEN dated = tickets THEN CAST(date_diff('day', CAST(first_date AS DATE), CAST(last_date AS DATE)) AS INT) END AS span_days, round(u, 4) AS unresolved_share, round(round(c, 8), 2) AS avg_context_score,
+  coalesce(managers_seen, '') AS managers_seen, coalesce(top_desires, '') AS top_desires, coalesce(top_issues, '') AS top_issues, high_context_example_1, high_context_example_2
+  FROM s LEFT JOIN t_managers_seen USING (uid) LEFT JOIN t_top_desires USING (uid) LEFT JOIN t_top_issues USING (uid) LEFT JOIN exs USING (uid))"""
 
 
 @query(f"{W}{ISSUE}, {G06} SELECT * FROM personas")

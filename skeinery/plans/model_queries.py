@@ -15,7 +15,7 @@ from ..operators import mining as mi
 from ..operators import vectors as ve
 from ..sources.tables import PHRASES, table, tickets
 from . import catalog
-from .group_queries import CNT, G01, G02_SQL, G04, G05, G06, ISSUE, av, issues, top_sql
+from .group_queries import CNT, G01, G02_SQL, G04, G05, G06, ISSUE, av, ex_sql, issues, sh, top_sql
 from .oracle import CLEANED, ENRICHED, FLAT, m, q
 from .registry import query
 from .row_queries import BUCKET, MONEY_AMOUNT, cleaned, enriched
@@ -266,11 +266,19 @@ def n11_side_by_side(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", F.col("quality").alias("a"), F.col("toxic").alias("b"), (F.col("quality") != F.col("toxic")).alias("differs"))
 
 
-@query(f"{W}{ENRICHED}, {EXTRACT}, a AS ({top_sql('rules', 'want_id', 'job_to_be_done', 3, 'top_jobs', piece='''v || ':' || n''')}) SELECT want_id, {CNT} AS size, {av('urgency_level', 'avg_urgency')}, {av('money_risk_level', 'avg_money_risk')}, round(avg(CAST(trust_risk_level >= 4 AS INT)), 4) AS high_trust_share, any_value(top_jobs) AS top_jobs FROM rules JOIN a USING (want_id) GROUP BY want_id")
+_WANT_TEXT = "concat_ws(' ', literal_request, actual_user_want)"
+_SIM = "CAST(source_row AS BIGINT) % 101 / 101"
+_PIECE = "v || ':' || n"
+G10 = f"""{EXTRACT}, rw AS (SELECT *, {_WANT_TEXT} AS want_text, {_SIM} AS sim FROM rules), tj AS ({top_sql('rw', 'want_id', 'job_to_be_done', 3, 'top_jobs', piece=_PIECE)}), te AS ({top_sql('rw', 'want_id', 'user_emotion', 3, 'top_emotions', piece=_PIECE)}),
+{ex_sql('rw', 'want_id', 'sim DESC, CAST(source_row AS BIGINT)', 'want_text', 3)}, nx AS (SELECT want_id, max(support_next_step) FILTER (k_ = 1) AS next_step_1, max(support_next_step) FILTER (k_ = 2) AS next_step_2 FROM (SELECT *, row_number() OVER (PARTITION BY want_id ORDER BY sim DESC, CAST(source_row AS BIGINT)) AS k_ FROM rw) GROUP BY want_id),
+tax AS (SELECT want_id, {CNT} AS size, round(count(*) / (SELECT count(*) FROM rw), 6) AS share, {av('money_risk_level', 'avg_money_risk', 2)}, {av('trust_risk_level', 'avg_trust_risk', 2)}, {av('urgency_level', 'avg_urgency', 2)},
+  {sh('money_risk_level >= 4', 'high_money_risk_share', 6)}, {sh('trust_risk_level >= 4', 'high_trust_risk_share', 6)} FROM rw GROUP BY want_id)"""
+
+
+@query(f"{W}{ENRICHED}, {G10} SELECT tax.*, top_jobs, top_emotions, example_1, example_2, example_3, coalesce(next_step_1, '') AS next_step_1, coalesce(next_step_2, '') AS next_step_2 FROM tax JOIN tj USING (want_id) JOIN te USING (want_id) JOIN exs USING (want_id) JOIN nx USING (want_id)")
 def g10_want_taxonomy(spark, d):
-    x = ex.rules(enriched(spark, d)).withColumn("first_pos", F.col("source_row").cast("long"))
-    s = x.groupBy("want_id").agg(F.count("*").alias("size"), g.r4(F.avg("urgency_level")).alias("avg_urgency"), g.r4(F.avg("money_risk_level")).alias("avg_money_risk"), F.round(F.avg((F.col("trust_risk_level") >= 4).cast("int")), 4).alias("high_trust_share"))
-    return s.join(g.top_list(x, ["want_id"], "job_to_be_done", 3, "top_jobs", "{v}:{n}"), "want_id")
+    x = ex.rules(enriched(spark, d)).withColumns({"first_pos": F.col("source_row").cast("long"), "want_text": F.concat_ws(" ", "literal_request", "actual_user_want")})
+    return ex.taxonomy(x.withColumn("centroid_similarity", F.col("first_pos") % 101 / 101))
 
 
 @query(f"{W}{ENRICHED}, {EXTRACT}, s AS (SELECT job_to_be_done AS job, count(*) AS volume, avg(money_risk_level) AS m, avg(trust_risk_level) AS t, avg(urgency_level) AS u FROM rules GROUP BY 1) SELECT job, CAST(volume AS BIGINT) AS volume, round(round(volume * (coalesce(m, 1) + coalesce(t, 1) + coalesce(u, 1)) / 3, 8), 4) AS priority FROM s ORDER BY priority DESC LIMIT 8")
@@ -311,16 +319,14 @@ _ANY = lambda *ws: " OR ".join(f"contains(lb, '{w}')" for w in ws)
 E06 = f"""act AS (SELECT *, CASE WHEN issue_id = -1 OR starts_with(issue_label, '-1_') THEN {q(ACTIONS['split'])} WHEN issue_id = -999 THEN {q(ACTIONS['fix'])} WHEN trust_money_risk >= 0.35 AND unresolved_share >= 0.20 THEN {q(ACTIONS['escalate'])}
   WHEN recent_lift >= 1.8 AND recent_tickets >= 10 THEN {q(ACTIONS['watch'])} WHEN tickets >= 100 AND unresolved_share < 0.10 AND avg_context_score < 14 THEN {q(ACTIONS['automate'])} WHEN avg_context_score >= 24 AND rich_or_forensic_share >= 0.25 THEN {q(ACTIONS['casebook'])}
   WHEN {_ANY('dealer', 'diamonds', 'seller', 'scam')} THEN {q(ACTIONS['money'])} WHEN {_ANY('blocked', 'unban', 'ban')} THEN {q(ACTIONS['ban'])} WHEN {_ANY('account', 'restore', 'deleted')} THEN {q(ACTIONS['account'])} WHEN {_ANY('channel', 'group', 'limit')} THEN {q(ACTIONS['channel'])} ELSE {q(ACTIONS['review'])} END AS action
-  FROM (SELECT *, lower(concat_ws(' ', issue_label, top_desires)) AS lb FROM backlog JOIN tops USING (issue_id)))"""
+  FROM (SELECT *, lower(concat_ws(' ', issue_label, top_desires)) AS lb FROM backlog))"""
 
 
 def acted(spark, d):
-    e = issues(spark, d)
-    tops = g.top_list(e.withColumn("first_pos", F.col("source_row").cast("long")), ["issue_id"], "primary_desire", 3, "top_desires")
-    return g.backlog(e).join(tops, "issue_id").withColumn("action", issue_action())
+    return g.backlog(issues(spark, d)).withColumn("action", issue_action())
 
 
-@query(f"{W}{ISSUE}, {G04}, tops AS ({top_sql('iss', 'issue_id', 'primary_desire', 3, 'top_desires')}), {E06} SELECT issue_id, top_desires, action FROM act")
+@query(f"{W}{ISSUE}, {G04}, {E06} SELECT issue_id, top_desires, action FROM act")
 def e06_issue_action(spark, d):
     return acted(spark, d).select("issue_id", "top_desires", "action")
 
