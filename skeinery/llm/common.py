@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,28 +18,45 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Only where all executors are threads of the driver (tests) a temporary folder takes
+    its place; a cluster without the setting is refused, as its machines share no
+    temporary folder.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skeinery-")
-        sc.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="skeinery-")
+    return _local[sc.applicationId]
 
 
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a later loss of executors recomputes nothing that
-    stands before the table.
+    stands before the table.  ``clear`` removes the tables of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinery-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skeinery-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; results that weren't written yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skeinery-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
