@@ -79,4 +79,4 @@ def drop_later_copies(docs: DataFrame, length: int = 100, text: str = "text", ke
         return out if kept else {c: x for c, x in out.items() if c != "kept"}
 
     rows = docs.selectExpr(f"`{key}` as doc_id", f"`{text}` as text")
-    return without(rows, "byte", length, max(1, 2 * length // 5), True, factors(length), finish, schema, **how)
+    return without(rows, "byte", length, max(1, 3 * length // 10), True, factors(length), finish, schema, **how)

@@ -40,6 +40,7 @@ HOT_RUNS = 100_000
 _ENTRY, _PART = "part int, db int, kind int, blob binary", pa.schema([("part", pa.int32()), ("db", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 COUNTED, KNOWN, HOT, RUNS, WINDOWS, SPANS = range(6)
 _RUN_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u2", "<u8"]  # key, th, document, start, windows - 1, minimizer
+_SEGMENT_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u2", "u1"]  # the same without the minimizer, and the text
 _WINDOW_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u8", "<u8", "u1"]  # key, th, document, start, two hashes, known to recur
 _SPAN_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u4"]  # key, th, document, first symbol, end
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -99,7 +100,10 @@ def home(key: np.ndarray, th: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def seeds(unit: str, w: int, k: int, n_parts: int, n_docs: int) -> Callable:
-    """Map side of the count: one entry for each minimizer and batch; the others of a batch are known to recur."""
+    """Map side of the count: one entry for each minimizer and batch; the others of a batch are known to recur.
+
+    n_parts: parts in which minimizers are counted, coarser than the groups of segments, so that an entry names a document for several runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,23 +236,24 @@ def exposed(unit: str, w: int, n_parts: int, hot: np.ndarray, later: bool) -> Ca
             # rows that repeat a document have told of its runs as often
             order = order[np.append(True, (np.diff(d[order]) != 0) | (s[order][1:] != s[order][:-1]))]
             d, s, n, v = d[order], s[order].astype(np.int64), n[order].astype(np.int64) + 1, v[order]
-            is_hot = np.isin(v, hot)
+            is_hot, pieces = np.isin(v, hot), {}
             for i, t in slabs(*buffers(left.column("text").combine_chunks()), unit):
                 lo, hi = np.searchsorted(d, [i, i + len(t.off) - 1])
                 for heat in (False, True):
                     at = lo + np.flatnonzero(is_hot[lo:hi] == heat)
-                    if len(at):
-                        first = t.off[d[at] - i] + s[at]
-                        args = (rows, t, first, d[at], s[at], n[at], v[at], own_key, own_th)
-                        _windows(*args, db) if heat else _segments(*args)
+                    first = t.off[d[at] - i] + s[at]
+                    if heat and len(at):
+                        _windows(rows, t, first, d[at], s[at], n[at], own_key, own_th, db)
+                    elif len(at):
+                        for p, x in split(bucket_of(v[at], n_parts)):
+                            pieces.setdefault(p, []).append((at[x], t.cut(first[x], n[at[x]] + w - 1)))
+            for p, parts in pieces.items():  # one entry for a bucket of documents and a group
+                x = np.concatenate([a for a, _ in parts])
+                what = np.concatenate([b for _, b in parts])
+                rows.append((p, -1, RUNS, pack(*docs_of(d[x], own_key, own_th), s[x].astype(np.uint32), (n[x] - 1).astype(np.uint16), what)))
         return pa.Table.from_batches([batch(rows)])
 
-    def _segments(rows, t, first, d, s, n, v, key, th):
-        for p, x in split(bucket_of(v, n_parts)):
-            what = t.cut(first[x], n[x] + w - 1)
-            rows.append((p, -1, RUNS, pack(*docs_of(d[x], key, th), s[x].astype(np.uint32), (n[x] - 1).astype(np.uint16), v[x], what)))
-
-    def _windows(rows, t, first, d, s, n, v, key, th, db):
+    def _windows(rows, t, first, d, s, n, key, th, db):
         # one window of each content leaves the bucket; the others are settled here
         at = ranges(first, n)
         x = t.symbols(0, t.n)
@@ -291,7 +296,7 @@ def compared(w: int, n_docs: int, later: bool, repeated: Callable) -> Callable:
             if not blobs:
                 continue
             if kind == RUNS:
-                key, th, d, s, n, v, what = unpack(blobs, [*_RUN_TYPES, "u1"], doc=2)
+                key, th, d, s, n, what = unpack(blobs, _SEGMENT_TYPES, doc=2)
                 s, n = s.astype(np.int64), n.astype(np.int64) + 1
                 flags = repeated(n, what, ranked(key, th)[d] << 32 | s)
                 del what
@@ -338,7 +343,7 @@ def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, repeated: C
     n_docs = primes_from(max(2, -(-size // bucket)))
     n_parts = max(1, -(-size * BUCKET // (GROUP * bucket)))
     n_tasks = max(1, -(-size // TASK))
-    entries = d.filter(F.octet_length("text") >= w).select("key", "th", "text").mapInArrow(seeds(unit, w, k, n_parts, n_docs), _ENTRY)
+    entries = d.filter(F.octet_length("text") >= w).select("key", "th", "text").mapInArrow(seeds(unit, w, k, n_tasks, n_docs), _ENTRY)
     entries = entries.repartition(n_tasks, "part").groupBy("part").applyInArrow(recurring(n_docs, hot), _ENTRY)
     entries = scratch(entries, "repeats")
     heat = [np.frombuffer(r[0], "<u8") for r in entries.filter(F.col("kind") == HOT).select("blob").collect()]
