@@ -93,7 +93,7 @@ def desire_summary(e: DataFrame) -> DataFrame:
 def issues(e: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds issue_id and issue_label from the cluster; none: -999."""
     e = e.withColumn("issue_id", F.coalesce("cluster_id", F.lit(-999)))
-    e = e.join(F.broadcast(labels), "issue_id", "left")
+    e = e.join(labels, "issue_id", "left")
     return e.withColumn("issue_label", F.coalesce("issue_label", F.concat(F.lit("cluster_"), F.col("issue_id").cast("string"))))
 
 

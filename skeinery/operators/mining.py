@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,21 @@ STOPWORDS = [
 ]
 
 
-#: English words that term statistics leave out: Spark's own list.
+@cache
 def stop_words() -> list[str]:
+    """English words that term statistics leave out: Spark's own list, from its library as it is installed, else by its session."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    for jar in glob.glob(os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
     from pyspark.ml.feature import StopWordsRemover
 
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def _accents() -> tuple[str, str]:

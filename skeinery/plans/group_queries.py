@@ -559,7 +559,7 @@ def j06_keyed_union(spark, d):
     return first_of(u, ["k"], ["src"])
 
 
-@query("SELECT doc_id, 'a' AS part FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id, 'b' FROM labels WHERE quality = 0")
+@query("SELECT doc_id, 'a' AS part FROM documents UNION ALL SELECT doc_id, 'b' FROM labels WHERE quality = 0")
 def j01_union(spark, d):
-    a = table(spark, d, "documents").filter("doc_id < 50").select("doc_id").withColumn("part", F.lit("a"))
+    a = table(spark, d, "documents").select("doc_id").withColumn("part", F.lit("a"))
     return a.unionByName(table(spark, d, "labels").filter("quality = 0").select("doc_id").withColumn("part", F.lit("b")))

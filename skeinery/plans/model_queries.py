@@ -587,10 +587,17 @@ def o18_uid_timeline(spark, d):
     return x.select("uid", "source_row", F.row_number().over(w).alias("k"), F.lead("source_row").over(w).isNull().alias("latest"))
 
 
-@query(f"{W}{ENRICHED} SELECT desire, CAST(n AS BIGINT) AS n, score FROM (SELECT primary_desire AS desire, count(*) AS n, round(round(avg(context_depth_score), 8), 4) AS score FROM enriched GROUP BY 1) ORDER BY n DESC, desire LIMIT 12")
-def a17_chart_frame(spark, d):
-    s = enriched(spark, d).groupBy(F.col("primary_desire").alias("desire")).agg(F.count("*").alias("n"), g.r4(F.avg("context_depth_score")).alias("score"))
-    return s.orderBy(F.desc("n"), "desire").limit(12)
+@query(f"{W}{ENRICHED} SELECT desire, CAST(n AS VARCHAR) AS n FROM (SELECT primary_desire AS desire, count(*) AS n FROM enriched GROUP BY 1) ORDER BY n DESC, desire LIMIT 12")
+def a17_chart_page(spark, d):
+    """A bar chart written as a page, read back from its table."""
+    from ..sources import sinks
+
+    s = enriched(spark, d).groupBy(F.col("primary_desire").alias("desire")).agg(F.count("*").alias("n"))
+    path = sinks.scratch_path(spark, "chart") + ".html"
+    sinks.bar_chart(s.orderBy(F.desc("n"), "desire").limit(12), "desire", "n", path, "What users want")
+    line = spark.read.text(path)
+    cells = line.select(F.regexp_extract_all("value", F.lit(r"<td>([^<]*)</td>"), F.lit(1)).alias("c")).filter("size(c) = 2")
+    return cells.select(F.col("c")[0].alias("desire"), F.col("c")[1].alias("n"))
 
 
 # -- text mining -------------------------------------------------------------
@@ -643,9 +650,14 @@ def k20_embedding_text(spark, d):
     return cleaned(spark, d).select("source_row", F.substring(F.concat_ws(" | ", *[F.when(~F.lower(c).isin("", "nan", "none", "other"), F.col(c)) for c in parts]), 1, 1600).alias("model_input"))
 
 
-@query(f"{W}{CLEANED}, g3 AS (SELECT source_row, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS gram FROM (SELECT source_row, ' ' || unnest(string_split(lower(question_flat), ' ')) || ' ' AS w FROM cleaned WHERE CAST(source_row AS BIGINT) >= 0)), b AS (SELECT source_row, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 384 AS bucket, count(*) AS n FROM g3 GROUP BY ALL) SELECT bucket, {CNT} AS rows_, round(sum(x), 3) AS weight FROM (SELECT bucket, n / sqrt(sum(n * n) OVER (PARTITION BY source_row)) AS x FROM b) GROUP BY bucket")
+GRAMS = """gw AS (SELECT source_row, ' ' || unnest(string_split(lower(question_flat), ' ')) || ' ' AS w FROM cleaned),
+gg AS (SELECT source_row, unnest(list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)), list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)))) AS gram FROM gw),
+gb AS (SELECT source_row, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 384 AS bucket, count(*) AS n FROM gg GROUP BY ALL)"""
+
+
+@query(f"{W}{CLEANED}, {GRAMS} SELECT bucket, {CNT} AS rows_, round(sum(x), 3) AS weight FROM (SELECT bucket, n / sqrt(sum(n * n) OVER (PARTITION BY source_row)) AS x FROM gb) GROUP BY bucket")
 def d15_hashed_ngrams(spark, d):
-    x = mi.hashed_grams(cleaned(spark, d), "source_row", "question_flat", (3, 3), 384)
+    x = mi.hashed_grams(cleaned(spark, d), "source_row", "question_flat", (3, 5), 384)
     return x.groupBy("bucket").agg(F.count("*").alias("rows_"), F.round(F.sum("x"), 3).alias("weight"))
 
 

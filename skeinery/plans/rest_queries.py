@@ -10,7 +10,7 @@ from ..operators import ingest, mining
 from ..sources import models, sinks
 from ..sources.tables import inventory, list_runs, metadata, raw_csv, table
 from .group_queries import CNT, ISSUE_ROWS, LABELS
-from .model_queries import vectors
+from .model_queries import GRAMS, vectors
 from .oracle import CLEANED, ENRICHED
 from .registry import query
 from .row_queries import cleaned, enriched
@@ -87,16 +87,17 @@ def k11_fallback_choice(spark, d):
     return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.when((noise > 0.4) | (found < 8), "kmeans").otherwise("density").alias("method"))
 
 
-@query(f"{W}{CLEANED} SELECT source_row, CAST(length(question_flat) AS VARCHAR) AS output, 'ok' AS status FROM cleaned WHERE want_id = 1")
+@query(f"{W}{CLEANED} SELECT source_row, CAST(length(question_flat) AS VARCHAR) AS output, 'ok' AS status FROM cleaned")
 def a21_model_client(spark, d):
-    x = cleaned(spark, d).filter("want_id = 1").select("source_row", "question_flat")
+    x = cleaned(spark, d).select("source_row", "question_flat")
     return models.call(x, "source_row", "question_flat", lambda texts: [str(len(t)) for t in texts]).select("source_row", "output", "status")
 
 
-@query()
+@query(f"{W}{CLEANED}, {GRAMS} SELECT source_row, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY source_row)), 9) AS x FROM gb")
 def a20_hashed_embedding(spark, d):
     """Texts as 384 hashed 3- to 5-grams, the stand-in for an embedding service."""
-    return mining.hashed_grams(cleaned(spark, d), "source_row", "question_flat")
+    x = mining.hashed_grams(cleaned(spark, d), "source_row", "question_flat")
+    return x.select("source_row", "bucket", F.round("x", 9).alias("x"))
 
 
 @query(f"{W}{CLEANED} SELECT source_row, category FROM cleaned WHERE category = '2-HIGH'")
@@ -107,10 +108,12 @@ def a19_filtered_download(spark, d):
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
-def a14_sheets(spark, d):
-    path = sinks.scratch_path(spark, "sheets")
-    (name,) = sinks.export_sheets({"nations: [all]": table(spark, d, "nation").select("n_nationkey", "n_name")}, path)
-    return raw_csv(spark, f"{path}/{name}")
+def a14_workbook(spark, d):
+    path = sinks.scratch_path(spark, "book") + ".xlsx"
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name")
+    name, _ = sinks.export_workbook({"nations: [all]": nations, "nations? [all]": nations}, path)
+    header, rows = sinks.read_workbook(spark, path, name)
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in header))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")

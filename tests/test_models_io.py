@@ -1,6 +1,7 @@
 """Regression, extraction checks, sinks, catalog, streams and the driver entry."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skeinery.operators import extraction, mining
@@ -96,3 +97,52 @@ def test_every_ticket_is_embedded(spark):
     d = "/root/testdata/sf0.001"
     got = entry.queries()["a20_hashed_embedding"](spark, d)
     assert got.select("source_row").distinct().count() == spark.read.parquet(f"{d}/orders.parquet").count()
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    path = f"file://{tmp_path}/book.xlsx"
+    df = spark.createDataFrame([(1, "a<&>\x01é", 1.5, True), (None, None, float("nan"), None)], "n long, t string, x double, ok boolean").coalesce(1)
+    names = sinks.export_workbook({"all: rows": df, "ALL? rows": df, "": df.limit(0)}, path)
+    assert names == ["all_ rows", "ALL_ rows_2", "sheet"]
+    header, rows = sinks.read_workbook(spark, path, names[0])
+    assert header == ["n", "t", "x", "ok"] and rows == [["1", "a<&>é", "1.5", "1"], ["", "", "nan", ""]]
+    assert sinks.read_workbook(spark, path, "sheet") == (header, [])
+    with zipfile.ZipFile(f"{tmp_path}/book.xlsx") as z:
+        assert z.testzip() is None and "[Content_Types].xml" in z.namelist()
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 1)
+    with pytest.raises(ValueError):
+        sinks.export_workbook({"x": df}, path)
+
+
+def test_chart_page(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/chart.html"
+    df = spark.createDataFrame([("a<b", 3), (None, None), ("c", -1)], "k string, n int").coalesce(1)
+    sinks.bar_chart(df, "k", "n", path, "A & B")
+    page = sinks.read_text(spark, path)
+    assert page.count("<rect") == 3 and "<td>a&lt;b</td><td>3</td>" in page and "<h1>A &amp; B</h1>" in page
+    monkeypatch.setattr(sinks, "MOST_BARS", 2)
+    with pytest.raises(ValueError):
+        sinks.bar_chart(df, "k", "n", path, "x")
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The other queries are there without the corpus operators; a missing dependency isn't hidden."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/skeinery", tmp_path / "skeinery", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0 and int(out.stdout.split()[0]) > 200 and out.stdout.split()[1] == "False", out.stderr
+    (tmp_path / "skeinery" / "llm").mkdir()
+    (tmp_path / "skeinery" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "skeinery" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.returncode != 0 and "a_module_that_is_not_there" in out.stderr
