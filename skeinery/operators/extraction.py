@@ -221,3 +221,9 @@ def taxonomy(x: DataFrame, by: str = "want_id", text: str = "want_text", similar
     order = [F.desc(similarity), F.col("first_pos")]
     s = g.same(s, g.examples(x, [by], order, F.col(text), 3), [by])
     return g.same(s, g.examples(x.filter(F.col("support_next_step").isNotNull()), [by], order, F.col("support_next_step"), 2, "next_step_"), [by])
+
+
+def run_summary(x: DataFrame, order: str) -> DataFrame:
+    """rows_, ok, bad_output, error of a run's records, and the model and backend of its first one."""
+    of = lambda s: F.count_if(F.col("_status") == s).alias(s)
+    return x.agg(F.count("*").alias("rows_"), of("ok"), of("bad_output"), of("error"), F.min_by("_model", order).alias("model"), F.min_by("_backend", order).alias("backend"))

@@ -156,3 +156,20 @@ def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm
         "stable",
     )
     return s.withColumns({"momentum_score": momentum, "trend_label": label})
+
+
+def timeline_seed(x: DataFrame, by: str, month: str = "month", series: int = 5, choices: int = 12) -> DataFrame:
+    """The ``choices`` largest groups of a timeline: total, place, seeded (one of the first ``series``), and the months shown.
+
+    Months are the complete ones; where there are none, all but the last.
+    """
+    all_ = x.filter(F.col(month) != "")
+    totals = all_.groupBy(by).agg(F.count("*").alias("total")).orderBy(F.desc("total"), by).limit(choices)
+    totals = totals.withColumn("place", F.row_number().over(W.orderBy(F.desc("total"), by)))
+    text = lambda df, name: df.agg(F.array_join(F.sort_array(F.collect_list(month)), ", ").alias(name), F.count("*").alias(f"n_{name}"))
+    names = all_.select(month).distinct()
+    last = names.agg(F.max(month).alias("last_"))
+    rest = text(names.crossJoin(F.broadcast(last)).filter(F.col(month) < F.col("last_")), "rest")
+    shown = text(complete_months(x, month), "full").crossJoin(F.broadcast(rest))
+    shown = shown.select(F.when(F.col("n_full") > 0, F.col("full")).otherwise(F.col("rest")).alias("months"))
+    return totals.withColumn("seeded", F.col("place") <= series).crossJoin(F.broadcast(shown))

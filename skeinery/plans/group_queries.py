@@ -514,9 +514,9 @@ def i05_browse(spark, d):
     return cleaned(spark, d).filter("date IS NOT NULL").select("source_row", "date").orderBy(F.desc("date"), "source_row").limit(100)
 
 
-@query()
+@query(f"{W}{CLEANED} SELECT source_row, category FROM cleaned ORDER BY md5(source_row || ':42'), source_row LIMIT 500")
 def i06_fixed_sample(spark, d):
-    return cleaned(spark, d).select("source_row", "category").orderBy(F.xxhash64("source_row", F.lit(42)), "source_row").limit(500)
+    return cleaned(spark, d).select("source_row", "category").orderBy(F.md5(F.concat("source_row", F.lit(":42"))), "source_row").limit(500)
 
 
 @query(f"{W}{CLEANED} SELECT DISTINCT category FROM cleaned WHERE category IS NOT NULL ORDER BY 1")

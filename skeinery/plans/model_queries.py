@@ -103,6 +103,15 @@ def k13_silhouette(spark, d):
     return ve.cosine_silhouette(vectors(spark, d), "label").select(F.round("silhouette", 5).alias("silhouette"))
 
 
+@query()
+def k13_before_and_after_merge(spark, d):
+    """The silhouette of the clusters and of those that are left when near ones are merged."""
+    x, c = vectors(spark, d), centroids(spark, d)
+    merged = x.join(mi.merge_centroids(c, "label", 0.2), "label")
+    one = lambda df, by, name: ve.cosine_silhouette(df, by).select(F.lit(name).alias("labels"), F.round("silhouette", 5).alias("silhouette"))
+    return one(x, "label", "before").unionByName(one(merged, "parent", "after"))
+
+
 @query(f"{W}{PROJ} SELECT vec_id, band FROM pj")
 def d07_confidence_band(spark, d):
     return projected(spark, d).select("vec_id", "band")
@@ -550,9 +559,14 @@ def o07_missing_evidence(spark, d):
     return g.top_list(x, ["job_to_be_done"], "v", 3, "top_missing")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS ok, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS bad FROM labels")
+_STATUS = "CASE WHEN quality = 1 THEN 'ok' WHEN toxic = 1 THEN 'error' ELSE 'bad_output' END"
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS rows_, CAST(count(*) FILTER (s = 'ok') AS BIGINT) AS ok, CAST(count(*) FILTER (s = 'bad_output') AS BIGINT) AS bad_output, CAST(count(*) FILTER (s = 'error') AS BIGINT) AS error, arg_min('model_' || doc_id % 3, doc_id) AS model, arg_min('backend_' || doc_id % 2, doc_id) AS backend FROM (SELECT *, {_STATUS} AS s FROM labels)")
 def o12_run_summary(spark, d):
-    return table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("bad"))
+    k = F.col("doc_id")
+    x = table(spark, d, "labels").select(k.alias("row"), F.expr(_STATUS).alias("_status"), F.concat(F.lit("model_"), (k % 3).cast("string")).alias("_model"), F.concat(F.lit("backend_"), (k % 2).cast("string")).alias("_backend"))
+    return ex.run_summary(x, "row")
 
 
 @query(f"{W}{CLEANED} SELECT source_row, strftime(date, '%Y-%m-%d') AS day, month, 'Want ' || want_id AS title FROM cleaned")
@@ -567,10 +581,19 @@ def o14_prepared_assignments(spark, d):
     return x.select("source_row", F.coalesce(F.nullif(F.col("human"), F.lit("")), "label", F.concat(F.lit("want "), F.col("want_id").cast("string"))).alias("title"))
 
 
-@query(f"{W}{CLEANED} SELECT want_id, {CNT} AS total FROM cleaned WHERE month <> '' GROUP BY 1 ORDER BY total DESC, want_id LIMIT 5")
+@query(f"{W}{TREND}, tt AS (SELECT want_id, count(*) AS total FROM cleaned WHERE month <> '' GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY total DESC, want_id) AS place FROM tt), ml AS (SELECT coalesce((SELECT string_agg(month, ', ' ORDER BY month) FROM cm), (SELECT string_agg(month, ', ' ORDER BY month) FROM mo, lastm WHERE month < lm), '') AS months) SELECT want_id, CAST(total AS BIGINT) AS total, CAST(place AS INT) AS place, place <= 5 AS seeded, months FROM rk, ml WHERE place <= 12")
 def o15_timeline_seed(spark, d):
-    s = cleaned(spark, d).filter("month <> ''").groupBy("want_id").agg(F.count("*").alias("total"))
-    return s.orderBy(F.desc("total"), "want_id").limit(5)
+    return lo.timeline_seed(cleaned(spark, d), "want_id")
+
+
+_NB = f"nb AS (SELECT * FROM cleaned WHERE {m('question', p.NO_BAN)})"
+
+
+@query(f"{W}{CLEANED}, {_NB} SELECT * FROM (SELECT DISTINCT 'category' AS facet, category AS value FROM nb UNION SELECT DISTINCT 'manager', manager FROM nb UNION SELECT DISTINCT 'status_en', status_en FROM nb) WHERE trim(coalesce(value, '')) <> ''")
+def o17_facet_lists(spark, d):
+    x = cleaned(spark, d).filter(F.col("question").rlike(p.NO_BAN))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("category", "manager", "status_en")])).alias("x")
+    return x.select(each).select("x.facet", "x.value").filter(F.trim(F.coalesce("value", F.lit(""))) != "").distinct()
 
 
 @query(f"{W}{CLEANED} SELECT source_row FROM cleaned WHERE {m('question', p.NO_BAN)} AND category = '2-HIGH' AND contains(lower(question), 'please')")

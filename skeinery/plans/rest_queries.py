@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators import density, ingest, mining
 from ..operators import grouping as g
-from ..operators import ingest, mining
 from ..sources import models, sinks
 from ..sources.tables import inventory, list_runs, metadata, raw_csv, table
 from .group_queries import CNT, ISSUE_ROWS, LABELS
@@ -73,10 +73,15 @@ def k03_mix_residuals(spark, d):
 
 
 @query()
-def k09_density_substitute(spark, d):
-    """Spark has no density clustering: k-means with the same rule for the number of clusters stands in, without a noise class."""
-    v = vectors(spark, d)
-    return mining.kmeans(v, "vec_id", "v", mining.want_count(v.count()))
+def k09_density(spark, d):
+    """Density clusters with a noise class and probabilities; all rows are clustered from a hierarchy of a sample."""
+    return density.density(vectors(spark, d), "vec_id", "v")
+
+
+@query()
+def k11_fallback(spark, d):
+    """Density clusters, or k-means where they are no use."""
+    return density.with_fallback(vectors(spark, d), "vec_id", "v")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN avg(CAST(label = 0 AS INT)) > 0.4 OR count(DISTINCT CASE WHEN label <> 0 THEN label END) < 8 THEN 'kmeans' ELSE 'density' END AS method FROM embeddings")

@@ -146,3 +146,31 @@ def test_entry_without_the_subpackage(tmp_path):
     (tmp_path / "corpus_pipeline.py").write_text("")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode != 0 and "a_module_that_is_not_there" in out.stderr
+
+
+def test_embedding_source(spark, tmp_path):
+    from skeinery.sources import models
+
+    assert list(models.requests(["aaaa"] * 5, batch=2)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(models.requests(["a" * 400, "b" * 40, "c" * 40], budget=60)) == [(0, 1), (1, 3)]
+    log = tmp_path / "log"
+    rows = [(1, "abc"), (2, "abc"), (3, "fail"), (4, None), (5, " "), (6, "four"), (7, "flaky")]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+
+    def client(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}:{','.join(texts)}\n")
+        if "fail" in texts or ("flaky" in texts and open(log).read().count("flaky") < 2):
+            raise OSError("no answer")
+        return [[3.0, 4.0 * len(x)] for x in texts]
+
+    cache = f"file://{tmp_path}/cache"
+    got = {r.id: r for r in models.embed(df, "id", "t", client, cache, batch=1, retries=2, wait=0.01).collect()}
+    assert got[1].vector == got[2].vector == pytest.approx([3 / 153**0.5, 12 / 153**0.5])
+    assert got[3].vector is None and "no answer" in got[3].error and got[4].vector is got[5].vector is None
+    assert got[7].vector is not None and got[7].error is None
+    lines = log.read_text().split("\n")
+    assert sum("abc" in x for x in lines) == 1 and sum("fail" in x for x in lines) == 3
+    log.write_text("")
+    again = models.embed(df.union(spark.createDataFrame([(8, "new")], "id long, t string")), "id", "t", client, cache, batch=1, retries=0).collect()
+    assert {x.split(":")[1] for x in log.read_text().split()} == {"fail", "new"} and sum(r.vector is not None for r in again) == 5
