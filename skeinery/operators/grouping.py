@@ -163,8 +163,7 @@ def emerging(e: DataFrame) -> DataFrame:
         F.count("*").alias("tickets"), *[F.count_if(days(n)).alias(f"last_{n}_tickets") for n in (30, 60, 90)], F.count_if("prior_").alias("prior_tickets"),
         F.coalesce(F.avg(F.when(days(30), F.col("is_unresolved").cast("int"))), F.lit(0.0)).alias("ru"),
     )
-    every = W.partitionBy()
-    s = s.withColumns({"n_r": F.sum("last_30_tickets").over(every), "n_p": F.sum("prior_tickets").over(every)})
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("last_30_tickets").alias("n_r"), F.sum("prior_tickets").alias("n_p"))))  # one row
     rs, ps = F.col("last_30_tickets") / F.greatest("n_r", F.lit(1)), F.col("prior_tickets") / F.greatest("n_p", F.lit(1))
     s = s.withColumns(
         {
@@ -275,7 +274,8 @@ def co_occurrence(nodes: DataFrame, least: int = 8) -> tuple[DataFrame, DataFram
     both = edges.select(F.col("a").alias("node"), "weight").unionByName(edges.select(F.col("b").alias("node"), "weight"))
     names = nodes.select("node").distinct()
     deg = names.join(both.groupBy("node").agg(F.sum("weight").alias("weighted_degree"), F.count("*").alias("degree")), "node", "left").na.fill(0)
-    deg = deg.withColumn("centrality", F.round(F.col("degree") / F.greatest(F.count("*").over(W.partitionBy()) - 1, F.lit(1)), 6))
+    deg = deg.crossJoin(F.broadcast(names.agg(F.count("*").alias("all_"))))  # one row
+    deg = deg.withColumn("centrality", F.round(F.col("degree") / F.greatest(F.col("all_") - 1, F.lit(1)), 6)).drop("all_")
     return edges.filter(F.col("weight") >= least), deg
 
 

@@ -85,6 +85,22 @@ def s02_sessions(spark, d):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
+@query("SELECT DISTINCT event_id, user_id FROM events")
+def s03_stream_dedup(spark, d):
+    """Extension: each event once, as a stream that remembers keys within its watermark."""
+    e = table(spark, d, "events")
+    stream = events.once(events.read(spark, f"{d}/events.parquet", e.schema))
+    return events.drained(stream.select("event_id", "user_id"), sinks.scratch_path(spark, "dedup"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY user_id")
+def s04_stream_state(spark, d):
+    """Extension: a running count for each user, kept as state of a stream; its last state."""
+    e = table(spark, d, "events")
+    users = events.running_users(events.read(spark, f"{d}/events.parquet", e.schema))
+    return events.latest(users, "user_id", "n", sinks.scratch_path(spark, "state")).select("user_id", "n", F.substring("last", 1, 10).alias("last_day"))
+
+
 @query(f"{W}{ENRICHED} SELECT context_depth_band, CAST(count(*) AS BIGINT) AS n FROM enriched GROUP BY 1")
 def a11_parquet_sink(spark, d):
     path = sinks.scratch_path(spark, "enriched")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,11 +32,14 @@ def b04_drop_noise_columns(spark, d):
     return ingest.drop_noise(x)
 
 
-@query("SELECT 'Date ' AS date_raw, 'MANAGER' AS manager, CAST(NULL AS VARCHAR) AS uid, '分类' AS category")
+@query("SELECT n_name, n_nationkey % 3 <> 0 AS dated, CASE n_nationkey % 3 WHEN 1 THEN ' Date ' WHEN 2 THEN 'DATE' END AS header FROM nation")
 def b03_alias_resolution(spark, d):
-    cols = ["Date ", "MANAGER", "分类", "x"]
-    found = [ingest.resolve(cols, ingest.ALIASES[k]) for k in ("date_raw", "manager", "uid", "category")]
-    return spark.createDataFrame([tuple(found)], "date_raw string, manager string, uid string, category string")
+    """The header that an export of each nation has for the date: none, or one by another spelling."""
+    out = []
+    for r in table(spark, d, "nation").select("n_name", "n_nationkey").collect():  # a code table
+        header = ingest.resolve([["x"], ["x", " Date "], ["DATE", "x"]][r.n_nationkey % 3], ingest.ALIASES["date_raw"])
+        out.append((r.n_name, header is not None, header))
+    return spark.createDataFrame(out, "n_name string, dated boolean, header string")
 
 
 @query(f"{W}{CLEANED}, {TOPICS} SELECT c.source_row, coalesce(topic, cluster_id, -999) AS issue_id, coalesce(name, 'cluster_' || coalesce(cluster_id, -999)) AS issue_label FROM cleaned c LEFT JOIN topics USING (source_row)")
@@ -137,32 +142,38 @@ def a16_markdown(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line").filter("line <> '' AND line <> '<!-- regions -->'")
 
 
-@query("SELECT 2 AS runs, 'run_b' AS latest")
+@query("SELECT 'run_' || r_regionkey AS run FROM region WHERE r_regionkey % 2 = 0")
 def a08_run_discovery(spark, d):
+    """A folder for each region, of which every other one holds the table that makes it a run."""
     root = sinks.scratch_path(spark, "runs")
-    for name in ("run_a", "run_b"):
-        table(spark, d, "region").write.parquet(f"{root}/{name}/enriched")
-    table(spark, d, "region").write.parquet(f"{root}/run_c/other")
+    for r in table(spark, d, "region").select("r_regionkey").collect():  # a code table
+        spark.range(1).write.parquet(f"{root}/run_{r.r_regionkey}/{'other' if r.r_regionkey % 2 else 'enriched'}")
     found = list_runs(spark, root, "run_", "enriched")
-    return spark.createDataFrame([(len(found), found[-1].rsplit("/", 1)[-1])], "runs int, latest string")
+    assert found == sorted(found)
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in found], "run string")
 
 
-@query("SELECT 5 AS rows_, CAST(NULL AS VARCHAR) AS absent")
+@query("SELECT count(*) AS rows_, max(n_name) AS last_name, CAST(NULL AS VARCHAR) AS absent FROM nation")
 def a09_json_metadata(spark, d):
     path = sinks.scratch_path(spark, "meta") + ".json"
-    sinks.write_text(spark, path, '{\n "rows_": 5,\n "more": [1]\n}\n')
-    return metadata(spark, path, "rows_ int, absent string")
+    r = table(spark, d, "nation").agg(F.count("*").alias("n"), F.max("n_name").alias("name")).first()
+    sinks.write_text(spark, path, json.dumps({"rows_": r.n, "last_name": r.name, "more": [1]}, indent=1))
+    return metadata(spark, path, "rows_ long, last_name string, absent string")
+
+
+def _files(spark, d):
+    """A folder with a file for each nation: its name, in two formats."""
+    root = sinks.scratch_path(spark, "files")
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect():  # a code table
+        sinks.write_text(spark, f"{root}/n{r.n_nationkey}.{'json' if r.n_nationkey % 2 else 'csv'}", r.n_name)
+    return inventory(spark, root)
 
 
-@query("SELECT 'json' AS extension, true AS live, CAST(1 AS BIGINT) AS n")
+@query("SELECT 'n' || n_nationkey || '.' || CASE WHEN n_nationkey % 2 = 1 THEN 'json' ELSE 'csv' END AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'json' ELSE 'csv' END AS extension, CAST(length(n_name) AS BIGINT) AS bytes FROM nation")
 def o11_run_inventory(spark, d):
-    root = sinks.scratch_path(spark, "inv")
-    sinks.write_text(spark, f"{root}/a.json", "{}")
-    return inventory(spark, root).filter("extension = 'json'").groupBy("extension", "live").agg(F.count("*").alias("n"))
+    return _files(spark, d).filter("NOT name LIKE '.%'").select("name", "extension", "bytes")
 
 
-@query("SELECT true AS live")
+@query("SELECT count(*) AS files, count(*) > 0 AS live FROM nation")
 def o09_live_run(spark, d):
-    root = sinks.scratch_path(spark, "live")
-    sinks.write_text(spark, f"{root}/log.jsonl", "{}")
-    return inventory(spark, root).agg(F.max("live").alias("live"))
+    return _files(spark, d).filter("NOT name LIKE '.%'").agg(F.count("*").alias("files"), F.max("live").alias("live"))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """A stream of the files below a path, or of one file; event times without a zone are taken as the session's."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        source, path = source.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(e: DataFrame, width: str, slide: str | None = None, late: str = "2 hours") -> DataFrame:
@@ -48,3 +53,24 @@ def running_users(e: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
 
     return e.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, last string", "n long, last string", "update", "NoTimeout")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over all that is there, into a table at path (output ``append``), and reads the table."""
+    spark = stream.sparkSession
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/table")
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+def latest(stream: DataFrame, key: str, order: str, path: str) -> DataFrame:
+    """Runs a stream of updates over all that is there; the last row of each key, which is that of the greatest ``order``."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is repeated after a failure replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    x = spark.read.schema(stream.schema).parquet(f"{path}/table").select(*stream.columns)
+    return x.groupBy(key).agg(F.max_by(F.struct(*[c for c in x.columns if c != key]), order).alias("x")).select(key, "x.*")

@@ -174,3 +174,15 @@ def test_embedding_source(spark, tmp_path):
     log.write_text("")
     again = models.embed(df.union(spark.createDataFrame([(8, "new")], "id long, t string")), "id", "t", client, cache, batch=1, retries=0).collect()
     assert {x.split(":")[1] for x in log.read_text().split()} == {"fail", "new"} and sum(r.vector is not None for r in again) == 5
+
+
+def test_stream_tables(spark, tmp_path):
+    e = spark.sql("SELECT id % 300 AS event_id, id % 5 AS user_id, timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts FROM range(400)")
+    e.coalesce(1).write.parquet(f"{tmp_path}/in")
+    (file,) = [f for f in (tmp_path / "in").iterdir() if f.name.endswith(".parquet")]
+    for path in (f"{tmp_path}/in", str(file)):
+        tag = "a" if path.endswith("in") else "b"
+        out = events.drained(events.once(events.read(spark, path, e.schema)).select("event_id"), f"{tmp_path}/once{tag}")
+        assert sorted(r.event_id for r in out.collect()) == list(range(300))
+        last = events.latest(events.running_users(events.read(spark, path, e.schema)), "user_id", "n", f"{tmp_path}/last{tag}")
+        assert sorted((r.user_id, r.n) for r in last.collect()) == [(i, 80) for i in range(5)]
