@@ -270,19 +270,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, radius: int = 3, text: str = "t
     return rows.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs' rows, one of each component: that of its smallest doc_id.
-
-    Of rows that repeat this doc_id one text stays, and of equal rows one.
-    """
-    member = near_duplicates(docs, n, radius, text, key)
-    (k,) = fresh(docs, "key_")
-    null = F.lit(-(2**63)).cast("long")
-    lead = member.filter("doc_id <=> component_id").select(F.coalesce("doc_id", null).alias(k)).distinct()
-    # both the join and the choice go by k, so texts are dealt once
-    return docs.withColumn(k, F.coalesce(F.col(key).cast("long"), null)).join(lead, k, "left_semi").dropDuplicates([k]).drop(k)
-
-
 # -- similar texts -----------------------------------------------------------
 
 #: Min-hash views that deal texts to shards, and shingles that a view takes.  Texts of similarity 0.8 miss each other in

@@ -4,6 +4,10 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from skeinery.llm import chat, mixing, sharding, urls
 
@@ -129,3 +133,68 @@ def test_mixing_rows_shows_all(spark):
     assert out.columns == df.columns
     seen = [r.doc_id for r in out.collect()]
     assert set(seen) == set(range(90)) and max(seen.count(i) for i in range(90)) <= 2
+
+
+@pytest.mark.parametrize("sent", [50_000, 0])
+@pytest.mark.parametrize("how", [{"entropy": None, "repeats": 2.0, "epochs": None}, {"entropy": 0.95, "repeats": 4.0, "epochs": 1.0}, {"entropy": 0.5, "repeats": 1.5, "epochs": 2.5}])
+def test_mixing_rows_are_those_drawn(spark, monkeypatch, how, sent):
+    """Rows told by one cut a source are those of the walk through all units."""
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 11)), "big" if i % 3 else "s%d" % (i % 5), None) for i in range(300)]
+    rows += [(900, "", "empty", 1), (901, None, None, 2), (902, "one two", None, 3), (902, "three", None, None), rows[5], rows[5], (None, None, None, None), (903, "long " * 50_000, "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_ int").selectExpr("*", "1 AS salt_", "2 AS times_", "'x' AS source_").repartition(5)
+    got = Counter(tuple(r) for r in mixing.mix_rows(df, **how).collect())
+    told = df.withColumn("id_", F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns)))
+    units = told.groupBy("id_", F.coalesce("source", F.lit("\0")).alias("source_2")).agg(F.sum(mixing.tokens(F.col("text"))).alias("n_tokens")).withColumnRenamed("source_2", "source_")
+    drawn = Counter(r.id_ for r in mixing.draw(units, **how).collect())
+    want = Counter()
+    for r in told.collect():
+        if drawn[r.id_]:
+            want[tuple(r)[:-1]] += drawn[r.id_]
+    assert got == want and len(got) > 100
+    if how["epochs"] is None:
+        assert len(got) == len({tuple(r) for r in df.collect()})
+    assert mixing.mix_rows(df.limit(0), **how).count() == 0 and mixing.mix_rows(df, **how).columns == df.columns
+
+
+def test_shards_take_very_long_texts(spark):
+    rows = [(i, "x" * (10 + i % 3)) for i in range(60)] + [(100, "y" * 3_000_000), (101, "y" * 3_000_000), (102, None), (None, "z"), (100, "y" * 3_000_000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS shard", "1 AS size").repartition(4), 6).collect()
+    assert len(out) == len(rows) and len({r.shard for r in out if r.size > 1_000_000}) == 1
+    # the group that exceeds an even share stands alone, and the other shards are near equal
+    alone = next(r.shard for r in out if r.size > 1_000_000)
+    load = Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert sum(r.shard == alone for r in out) == 3
+    rest = [load[s] for s in range(6) if s != alone]
+    assert min(rest) > 0 and max(rest) - min(rest) <= 2 * 13 * 21
+
+
+def test_minimax_is_least_with_groups_of_any_size():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = sorted((rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(rng.randrange(1, 14))), reverse=True)
+        n = rng.randrange(1, 6)
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        capacity, cuts = sharding.minimax(runs, n)
+
+        def fits(c):
+            shards, room = 1, c
+            for s in sizes:
+                if s > c:
+                    return False
+                if s > room:
+                    shards, room = shards + 1, c
+                room -= s
+            return shards <= n
+
+        least = next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
+        assert capacity == least
+        # the cuts that come back keep to it
+        at, seen, load = [], Counter(), Counter()
+        for s in sizes:
+            at.append(sum(s < c or (s == c and seen[s] >= k) for c, k in cuts))
+            seen[s] += 1
+            load[at[-1]] += s
+        assert at == sorted(at) and max(at) < n and max(load.values()) <= least
