@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +92,21 @@ class Model:
         return out
 
 
+def found_in(docs: list[np.ndarray]) -> np.ndarray:
+    """Documents by slot; a document has each of its slots once."""
+    out = np.zeros(1 << BITS, np.int32)
+    for d in docs:
+        out[d] += 1
+    return out
+
+
 def select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     """Slots that toxic documents have clearly more often than documents at large, or clearly less often.
 
     Only slots that are found often enough on their side count: in five documents
     (all, if there are fewer) and in one of a hundred.
     """
-    a = np.bincount(np.concatenate(pos), minlength=1 << BITS)
-    b = np.bincount(np.concatenate(unl), minlength=1 << BITS)
+    a, b = found_in(pos), found_in(unl)
     p, q = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
     z = (p - q) / np.sqrt(q / len(pos))
     least = lambda n: max(min(5, n), 0.01 * n)
@@ -149,7 +157,7 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int
     if not pos or not unl:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0, prior)
     slots = select(pos, unl)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[slots] = np.arange(len(slots))
     toxic = sparse(pos, place)
     found = [descend(toxic, sparse(part, place), len(slots), prior, steps, rate, l2) for c in range(CLASSIFIERS) if (part := unl[c::CLASSIFIERS])]
@@ -171,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     pos, unl = first(ids.filter("toxic = 1"), POSITIVES), first(ids, UNLABELLED)
     chosen = docs.sparkSession.createDataFrame([(i, 1) for i in pos] + [(i, 0) for i in unl], "id long, positive int")
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select("id", "positive", "text").mapInArrow(_collect, "id long, positive int, f binary").collect()
-    rows.sort(key=lambda r: (r.id, r.f))
-    both = [[np.frombuffer(r.f, np.uint32) for r in rows if r.positive == c] for c in (1, 0)]
+    rows = rows.select("id", "positive", "text").mapInArrow(_collect, "id long, positive int, f binary").toArrow()
+    rows = rows.sort_by([("id", "ascending"), ("f", "ascending")])  # views into the table, no copies
+    both = [[np.frombuffer(x.as_buffer(), np.uint32) for x in rows.filter(pc.equal(rows["positive"], c))["f"]] for c in (1, 0)]
     return train(*both, prior)
 
 
