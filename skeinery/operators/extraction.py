@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as p
 from ..functions import text as t
+from ..sources.sinks import stored
 from . import grouping as g
 
 # Patterns of the rule extractor, which has its own besides those of the features.
@@ -211,6 +212,7 @@ def parse(raw: Column, schema: str) -> Column:
 
 def taxonomy(x: DataFrame, by: str = "want_id", text: str = "want_text", similarity: str = "centroid_similarity") -> DataFrame:
     """Wants by size, share, top jobs and emotions, risks, and the texts and next steps nearest to the centre."""
+    x = stored(x.select(by, text, similarity, "first_pos", "job_to_be_done", "user_emotion", "support_next_step", "money_risk_level", "trust_risk_level", "urgency_level"), "taxonomy")
     s = x.groupBy(by).agg(
         F.count("*").alias("size"), *[F.round(F.round(F.avg(c), 8), 2).alias(a) for c, a in (("money_risk_level", "avg_money_risk"), ("trust_risk_level", "avg_trust_risk"), ("urgency_level", "avg_urgency"))],
         *[F.round(g.share(F.col(c) >= 4), 6).alias(a) for c, a in (("money_risk_level", "high_money_risk_share"), ("trust_risk_level", "high_trust_risk_share"))],

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import patterns as p
 from ..functions import text as t
+from ..sources.sinks import stored
 
 FEATURE_RATES = ["has_image_url", "has_timestamp", "has_room_or_group_id", "has_long_uid_or_case_id", "has_ban_reason_language", "has_user_claim", "has_money_terms", "has_status_or_svip_terms"]
 
@@ -119,8 +120,16 @@ def z_score(a: Column, na: Column, b: Column, nb: Column) -> Column:
     return (a / na - b / nb) / F.sqrt(var)
 
 
+#: Columns that the backlog needs.
+BACKLOG = [
+    "issue_id", "issue_label", "source_row", "uid", "date", "primary_desire", "category", "manager", "is_unresolved", "trust_money_flag", "context_depth_band", "context_depth_score",
+    "urgency_signal", "char_count", "question_flat",
+]
+
+
 def backlog(e: DataFrame) -> DataFrame:
     """Opportunity backlog by issue: volume, users, shares, lift and z of the last 30 days against the 90 before, tops, examples, score."""
+    e = stored(e.select(*BACKLOG), "backlog")
     again = e.filter(F.coalesce("uid", F.lit("")) != "").groupBy("uid").agg(F.count("*").alias("n_")).filter("n_ >= 2").select("uid", F.lit(True).alias("again_"))
     x = windowed(e.join(again, "uid", "left"), 120).withColumn("first_pos", F.col("source_row").cast("long"))
     s = x.groupBy("issue_id", "issue_label").agg(
@@ -148,7 +157,7 @@ def backlog(e: DataFrame) -> DataFrame:
 
 def cluster_summary(e: DataFrame, by: str = "issue_id") -> DataFrame:
     """Clusters by size, share, scores, their most frequent values (blanks count) and three examples."""
-    x = e.withColumn("first_pos", F.col("source_row").cast("long"))
+    x = stored(e.select(by, F.col("source_row").cast("long").alias("first_pos"), "context_depth_score", "is_unresolved", "primary_desire", "category", "manager", "model_text"), "clusters")
     s = x.groupBy(by).agg(F.count("*").alias("tickets"), F.round(F.round(F.avg("context_depth_score"), 8), 2).alias("avg_context_score"), F.round(share("is_unresolved"), 4).alias("unresolved_share"))
     s = s.crossJoin(F.broadcast(s.agg(F.sum("tickets").alias("all_")))).withColumn("share", F.round(F.col("tickets") / F.col("all_"), 4)).drop("all_")
     s = same(s, top_lists(x, [by], {"top_desires": ("primary_desire", 4), "top_categories": ("category", 4), "top_managers": ("manager", 4)}, blanks=True), [by])
@@ -197,6 +206,7 @@ def persona() -> Column:
 def repeat_users(e: DataFrame, least: int = 2) -> DataFrame:
     """Users with two tickets or more: span, shares, persona.  Labels are those of the first 20 tickets by number."""
     x = e.filter(F.col("uid").isNotNull() & (F.col("uid") != "")).withColumn("pos_", F.col("source_row").cast("long"))
+    x = stored(x.select("uid", "pos_", "date", "issue_id", "issue_label", "is_unresolved", "context_depth_score", "primary_desire", "manager", "question_flat"), "personas")
     x = x.withColumn("n_", F.row_number().over(W.partitionBy("uid").orderBy("pos_")))
     early = F.collect_list(F.when(F.col("n_") <= 20, F.struct("n_", F.lower("issue_label").alias("s"))))
     s = x.groupBy("uid").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as t
+from ..sources.sinks import stored
 from .grouping import top_list
 from .ingest import status_bucket
 
@@ -52,8 +53,9 @@ def journeys(x: DataFrame, least: int = 2, title: str = "want_title", review: st
     """
     w = W.partitionBy("uid").orderBy(F.col("date").asc_nulls_last(), "source_row")
     e = x.filter("uid <> ''").withColumns({"k_": F.row_number().over(w), "s_": status_bucket(), "n_": F.count("*").over(W.partitionBy("uid"))}).filter(F.col("n_") >= least)
+    short = F.substring(F.trim(F.coalesce("question_flat", F.lit(""))), 1, 220).alias("q_")
+    e = stored(e.select("uid", "k_", "s_", "date", "want_id", title, "category", "manager", "status_en", review, confidence, short), "journeys")
     bad = F.col("s_").isin("failed", "open")
-    flat = F.trim(F.coalesce("question_flat", F.lit("")))
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     two = lambda c, n: F.round(F.round(c, 8), n)
     s = e.groupBy("uid").agg(
@@ -63,7 +65,7 @@ def journeys(x: DataFrame, least: int = 2, title: str = "want_title", review: st
         F.count_if(F.col("s_") == "resolved").alias("resolved_records"), F.count_if(bad).alias("failed_or_open_records"), F.round(F.avg(bad.cast("int")), 3).alias("failed_or_open_share"),
         F.count_if(review).alias("review_queue_records"), two(F.avg(confidence), 3).alias("avg_assignment_confidence"),
         F.trim(F.max_by("status_en", "k_")).alias("latest_status"), F.max_by(title, "k_").alias("latest_want"),
-        F.substring(F.min_by(flat, "k_"), 1, 220).alias("first_question"), F.substring(F.max_by(flat, "k_"), 1, 220).alias("last_question"),
+        F.min_by("q_", "k_").alias("first_question"), F.max_by("q_", "k_").alias("last_question"),
     )
     s = s.join(top_list(e, ["uid"], title, 4, "top_wants", "{v} ({n})", "k_"), "uid", "left")
     for value, name in ((title, "want_path"), ("category", "category_path"), ("status_en", "status_path")):
@@ -91,6 +93,7 @@ def events(x: DataFrame, least: int = 2, title: str = "want_title") -> DataFrame
 
 def archetypes(j: DataFrame, x: DataFrame, title: str = "want_title") -> DataFrame:
     """Journeys by pattern: users, records, medians, means, the wants that their records ask for most, what to do."""
+    j = stored(j, "archetypes")
     r6 = lambda c: F.round(F.round(c, 8), 6)
     s = j.groupBy("journey_pattern").agg(
         F.count("*").alias("users"), F.sum("records").alias("records"), F.median("records").alias("median_records_per_user"), F.median("active_days").alias("median_active_days"),
