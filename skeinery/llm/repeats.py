@@ -11,7 +11,8 @@ Symbols are bytes or words.  What becomes of a group is for the operator to say
    order, symbol by symbol.
 3. A group with more than ``hot`` runs is filed under the whole window instead: its
    prefix is lengthened to the full depth, and a bucket of documents sends one
-   window of each content.  Such windows are compared by 128 bits of hashes.
+   window of each content.  Such windows are compared by 128 bits of hashes, first
+   those of a part of the buckets, then what is left of all.
 4. The answer goes back to the texts, which are dealt by document once.
 
 No step holds more than one bucket of a bounded number of bytes, or ``hot`` runs, and
@@ -44,6 +45,8 @@ _SEGMENT_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u2", "u1"]  # the same without t
 _WINDOW_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u8", "<u8", "u1"]  # key, th, document, start, two hashes, known to recur
 _SPAN_TYPES = ["<i8", "<i8", "<u4", "<u4", "<u4"]  # key, th, document, first symbol, end
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Parts of the buckets of documents whose hot windows meet first, and how far apart they are put.
+FAN, STRIDE = 64, 101
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -192,21 +195,22 @@ def classes(*hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def again(a: np.ndarray, b: np.ndarray, pos: np.ndarray, known: np.ndarray, later: bool) -> np.ndarray:
-    """Which windows, told apart by two hashes, also start earlier (later=True) or anywhere else (or are known to)."""
+def settled(a: np.ndarray, b: np.ndarray, pos: np.ndarray, known: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Windows told apart by two hashes: which come first of their class, and which also start earlier (later=True) or anywhere else (or are known to)."""
     if not len(a):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, bool)
     order, cut = classes(a, b)
     size = np.diff(np.append(cut, len(a)))
     p = pos[order]
     low = np.repeat(np.minimum.reduceat(p, cut), size)
-    out = np.empty(len(a), bool)
+    lead, again = np.empty(len(a), bool), np.empty(len(a), bool)
+    lead[order] = p == low
     if later:
-        out[order] = p > low
+        again[order] = p > low
     else:
         more = (np.maximum.reduceat(p, cut) > np.minimum.reduceat(p, cut)) | np.logical_or.reduceat(known[order], cut)
-        out[order] = np.repeat(more, size)
-    return out
+        again[order] = np.repeat(more, size)
+    return lead, again
 
 
 def spans(flags: np.ndarray, starts: np.ndarray, lengths: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,35 +265,38 @@ def exposed(unit: str, w: int, n_parts: int, hot: np.ndarray, later: bool) -> Ca
         d, s = np.repeat(d, n), ranges(s, n)
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((th, key))] = np.arange(len(key))
-        pos = rank[d] << 32 | s
-        order, cut = classes(a, b)
-        size = np.diff(np.append(cut, len(a)))
-        least = np.repeat(np.minimum.reduceat(pos[order], cut), size)
-        lead = np.zeros(len(a), bool)
-        lead[order] = pos[order] == least
-        more = np.zeros(len(a), bool)
-        more[order] = np.repeat(np.maximum.reduceat(pos[order], cut), size) > least if not later else pos[order] > least
+        lead, more = settled(a, b, rank[d] << 32 | s, np.zeros(len(a), bool), later)
         done = np.flatnonzero(more & ~lead)
         if len(done):
             k, h, i = docs_of(d[done], key, th)
             rows.append((db % n_parts, db, SPANS, pack(k, h, i, s[done].astype(np.uint32), (s[done] + w).astype(np.uint32))))
-        x = np.flatnonzero(lead)
-        for p, y in split(bucket_of(a[x], n_parts)):
-            f = x[y]
-            rows.append((p, -1, WINDOWS, pack(*docs_of(d[f], key, th), s[f].astype(np.uint32), a[f], b[f], more[f].astype(np.uint8))))
+        rows += _leads(np.flatnonzero(lead), d, s, a, b, more, key, th, n_parts, db % FAN * STRIDE)
 
     return run
 
 
-def compared(w: int, n_docs: int, later: bool, repeated: Callable) -> Callable:
-    """Takes all runs of some groups; gives the spans to remove, by bucket of documents."""
+def _leads(x: np.ndarray, d, s, a, b, more, key, th, n_parts: int, shift: int) -> list:
+    """Entries of the windows x, by their content's group; shift: that many groups further on."""
+    rows = []
+    for p, y in split((bucket_of(a[x], n_parts) + shift) % n_parts):
+        f = x[y]
+        rows.append((p, -1, WINDOWS, pack(*docs_of(d[f], key, th), s[f].astype(np.uint32), a[f], b[f], more[f].astype(np.uint8))))
+    return rows
+
+
+def compared(w: int, n_docs: int, n_parts: int, later: bool, repeated: Callable, last: bool) -> Callable:
+    """Takes all runs of some groups; gives the spans to remove, by bucket of documents.
+
+    Windows of hot groups come from FAN parts of the buckets; unless this is the last
+    step, the first one of each content goes on to where all of it meets.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         mine: dict[int, list] = {RUNS: [], WINDOWS: []}
         rows: list = []
         for kind, db, blob in zip(t.column("kind").to_pylist(), t.column("db").to_pylist(), t.column("blob").combine_chunks(), strict=True):
             if kind == SPANS:
-                rows.append((0, db, SPANS, blob.as_py()))
+                rows.append((db % n_parts, db, SPANS, blob.as_py()))
             else:
                 mine[kind].append(blob.as_buffer())
         for kind, blobs in mine.items():
@@ -303,11 +310,14 @@ def compared(w: int, n_docs: int, later: bool, repeated: Callable) -> Callable:
             else:
                 key, th, d, s, a, b, known = unpack(blobs, _WINDOW_TYPES, doc=2)
                 s, n = s.astype(np.int64), np.ones(len(s), np.int64)
-                flags = again(a, b, ranked(key, th)[d] << 32 | s, known != 0, later)
+                lead, flags = settled(a, b, ranked(key, th)[d] << 32 | s, known != 0, later)
+                if not last:
+                    rows += _leads(np.flatnonzero(lead), d, s, a, b, flags, key, th, n_parts, 0)
+                    flags &= ~lead
             blobs.clear()
             i, a, b = spans(flags, s, n, w)
             i = d[i]
-            rows += [(0, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b[at].astype(np.uint32))) for db, at in split(home(key[i], th[i], n_docs))]
+            rows += [(db % n_parts, db, SPANS, pack(*docs_of(i[at], key, th), a[at].astype(np.uint32), b[at].astype(np.uint32))) for db, at in split(home(key[i], th[i], n_docs))]
         return pa.Table.from_batches([batch(rows)])
 
     return run
@@ -351,7 +361,9 @@ def without(docs: DataFrame, unit: str, w: int, k: int, later: bool, repeated: C
     d = d.withColumn("db", F.pmod(F.col("key").bitwiseXOR(F.col("th")), F.lit(n_docs)).cast("int")).repartition(n_tasks, "db")
     runs = entries.filter(F.col("kind") == KNOWN)
     shown = d.groupBy("db").cogroup(runs.groupBy("db")).applyInArrow(exposed(unit, w, n_parts, heat, later), _ENTRY)
-    cut = shown.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(w, n_docs, later, repeated), _ENTRY)
+    cut = shown.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(w, n_docs, n_parts, later, repeated, not len(heat)), _ENTRY)
+    if len(heat):
+        cut = cut.repartition(n_tasks, "part").groupBy("part").applyInArrow(compared(w, n_docs, n_parts, later, repeated, True), _ENTRY)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         own_key, own_th = _keys(left)
