@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import patterns as p
+from ..sources.sinks import stored
 
 # Words that label nothing.
 STOPWORDS = [
@@ -94,6 +95,13 @@ def cluster_terms(weights: DataFrame, members: DataFrame, key: str, by: str, n:
     return s.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda a: a["w"]), ", ").alias("terms"))
 
 
+def described(summary: DataFrame, x: DataFrame, key: str, text: str, by: str, n: int = 10) -> DataFrame:
+    """A summary of clusters with top_terms, the terms of greatest mean tf-idf weight in each."""
+    x = stored(x.select(key, text, by), "described")
+    terms = cluster_terms(tfidf(tokens(x, key, text, 2), key, 3, 0.82), x.select(key, by), key, by, n)
+    return summary.join(terms.withColumnRenamed("terms", "top_terms"), by, "left").na.fill("", ["top_terms"])
+
+
 def class_terms(tok: DataFrame, by: str, n: int, named: int = 4) -> DataFrame:
     """Topics by class-based tf-idf: term share in the class times ln(1 + mean class size / corpus count).
 

@@ -130,17 +130,7 @@ def ex_sql(src: str, by: str, order: str, text: str, n: int, name: str = "exampl
 
 
 SHORT = "CASE WHEN length(question_flat) <= 420 THEN question_flat ELSE rtrim(substr(question_flat, 1, 417)) || '...' END"
-_CT = {"top_desires": ("primary_desire", 4), "top_categories": ("category", 4), "top_managers": ("manager", 4)}
-
-
-@query(
-    f"""{W}{ISSUE}, {tops_sql('iss', 'issue_id', _CT, True)}, {ex_sql('iss', 'issue_id', 'context_depth_score DESC, CAST(source_row AS BIGINT)', 'model_text', 3)},
-s AS (SELECT issue_id, {CNT} AS tickets, round(count(*) / (SELECT count(*) FROM iss), 4) AS share, {av('context_depth_score', 'avg_context_score', 2)}, {sh('is_unresolved', 'unresolved_share')} FROM iss GROUP BY issue_id)
-SELECT s.*, top_desires, top_categories, top_managers, example_1, example_2, example_3 FROM s JOIN t_top_desires USING (issue_id) JOIN t_top_categories USING (issue_id) JOIN t_top_managers USING (issue_id) JOIN exs USING (issue_id)"""
-)
-def g03_cluster_summary(spark, d):
-    return g.cluster_summary(issues(spark, d))
-
+CLUSTER_TOPS = {"top_desires": ("primary_desire", 4), "top_categories": ("category", 4), "top_managers": ("manager", 4)}
 
 Z = "({a} / {na} - {b} / {nb}) / sqrt(greatest((({a} + {b}) / ({na} + {nb})) * (1 - ({a} + {b}) / ({na} + {nb})) * (1.0 / {na} + 1.0 / {nb}), 1e-9))"
 G04 = f"""mx AS (SELECT max(date) AS top FROM iss), w AS (SELECT iss.*, coalesce(date >= top - INTERVAL 30 DAY, false) AS r, coalesce(date >= top - INTERVAL 120 DAY AND date < top - INTERVAL 30 DAY, false) AS b FROM iss, mx),

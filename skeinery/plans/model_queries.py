@@ -15,7 +15,7 @@ from ..operators import mining as mi
 from ..operators import vectors as ve
 from ..sources.tables import PHRASES, table, tickets
 from . import catalog
-from .group_queries import CNT, G01, G02_SQL, G04, G05, G06, ISSUE, av, ex_sql, issues, sh, top_sql
+from .group_queries import CLUSTER_TOPS, CNT, G01, G02_SQL, G04, G05, G06, ISSUE, av, ex_sql, issues, sh, top_sql, tops_sql
 from .oracle import CLEANED, ENRICHED, FLAT, m, q
 from .registry import query
 from .row_queries import BUCKET, MONEY_AMOUNT, cleaned, enriched
@@ -464,6 +464,13 @@ def o03_long_cases(spark, d):
     return journeys(spark, d).filter("active_days >= 90 AND failed_or_open_records > 0").select("uid", "active_days")
 
 
+@query(f"{W}{JOUR}, worst AS (SELECT uid FROM jr ORDER BY severity_score DESC, uid LIMIT 1) SELECT uid, CAST(k AS INT) AS event_index, source_row, want_title, status_en AS status FROM ev WHERE uid = (SELECT uid FROM worst)")
+def o19_worst_journey(spark, d):
+    """The events of the user whose journey is the most severe."""
+    worst = journeys(spark, d).orderBy(F.desc("severity_score"), "uid").limit(1).select("uid")
+    return lo.events(asked(spark, d)).join(F.broadcast(worst), "uid").select("uid", "event_index", "source_row", "want_title", "status")
+
+
 @query(f"{W}{JOUR} SELECT CAST(sum(records) AS BIGINT) AS records, CAST(count(*) FILTER (active_days >= 90) AS BIGINT) AS long_cases, CAST(count(*) AS BIGINT) AS users, CAST(count(DISTINCT journey_pattern) AS BIGINT) AS archetypes FROM jr")
 def o19_journey_totals(spark, d):
     return journeys(spark, d).agg(F.sum("records").alias("records"), F.count_if(F.col("active_days") >= 90).alias("long_cases"), F.count("*").alias("users"), F.countDistinct("journey_pattern").alias("archetypes"))
@@ -626,8 +633,27 @@ def a17_chart_page(spark, d):
 # -- text mining -------------------------------------------------------------
 
 _STOP = "[" + ", ".join(map(q, mi.stop_words())) + "]"
-DOCTOK = f"""wd AS (SELECT doc_id, source, list_filter(regexp_extract_all(strip_accents(lower(text)), {q(mi.TERM)}), lambda w: NOT list_contains({_STOP}, w)) AS ws FROM documents),
-tk AS (SELECT doc_id, source, unnest(ws) AS w FROM wd), tk2 AS (SELECT * FROM tk UNION ALL SELECT doc_id, source, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM wd)"""
+
+
+def words_sql(src: str, key: str, by: str, text: str) -> str:
+    """tk: words, tk2: words and pairs of words, of src's texts, with key and by."""
+    return f"""wd AS (SELECT {key}, {by}, list_filter(regexp_extract_all(strip_accents(lower({text})), {q(mi.TERM)}), lambda w: NOT list_contains({_STOP}, w)) AS ws FROM {src}),
+tk AS (SELECT {key}, {by}, unnest(ws) AS w FROM wd), tk2 AS (SELECT * FROM tk UNION ALL SELECT {key}, {by}, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM wd)"""
+
+
+def tfidf_sql(src: str, key: str, by: str, text: str) -> str:
+    return f"""{words_sql(src, key, by, text)}, tf AS (SELECT {key}, w, count(*) AS tf FROM tk2 GROUP BY ALL), nd AS (SELECT count(DISTINCT {key}) AS n FROM tk2), df AS (SELECT w, count(*) AS df, sum(tf) AS total FROM tf GROUP BY w), vc AS (SELECT w, df FROM df, nd WHERE df >= 3 AND df <= 0.82 * n ORDER BY total DESC, w LIMIT 6000),
+wt AS (SELECT {key}, w, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN vc USING (w), nd), tfidf AS (SELECT {key}, w, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM wt)"""
+
+
+def terms_sql(src: str, key: str, by: str, n: int) -> str:
+    """by, terms: the terms of greatest mean weight."""
+    return f"""SELECT {by}, string_agg(w, ', ' ORDER BY k) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m DESC, w) AS k FROM (SELECT {by}, w, round(sum(x) / any_value(size), 6) AS m
+  FROM tfidf JOIN (SELECT {key}, {by}, count(*) OVER (PARTITION BY {by}) AS size FROM {src}) USING ({key}) GROUP BY ALL) WHERE m > 0) WHERE k <= {n} GROUP BY {by}"""
+
+
+DOCTOK = words_sql("documents", "doc_id", "source", "text")
+K05 = tfidf_sql("documents", "doc_id", "source", "text")
 
 
 def corpus(spark, d):
@@ -639,22 +665,27 @@ def k04_token_frequencies(spark, d):
     return mi.tokens(corpus(spark, d), "doc_id", "text").groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(200)
 
 
-K05 = f"""{DOCTOK}, tf AS (SELECT doc_id, w, count(*) AS tf FROM tk2 GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM tk2), df AS (SELECT w, count(*) AS df, sum(tf) AS total FROM tf GROUP BY w), vc AS (SELECT w, df FROM df, nd WHERE df >= 3 AND df <= 0.82 * n ORDER BY total DESC, w LIMIT 6000),
-wt AS (SELECT doc_id, w, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN vc USING (w), nd), tfidf AS (SELECT doc_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM wt)"""
-
-
 @query(f"WITH {K05} SELECT w, {CNT} AS docs, round(sum(x), 4) AS weight FROM tfidf GROUP BY w")
 def k05_tfidf(spark, d):
     x = mi.tfidf(mi.tokens(corpus(spark, d), "doc_id", "text", 2), "doc_id", 3, 0.82)
     return x.groupBy("w").agg(F.count("*").alias("docs"), F.round(F.sum("x"), 4).alias("weight"))
 
 
-@query(f"WITH {K05}, cs AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), s AS (SELECT source, w, round(sum(x) / any_value(size), 6) AS m FROM tfidf JOIN documents USING (doc_id) JOIN cs USING (source) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m DESC, w) AS k FROM s WHERE m > 0) SELECT source, string_agg(w, ', ' ORDER BY k) AS terms FROM r WHERE k <= 12 GROUP BY source")
+@query(f"WITH {K05} {terms_sql('documents', 'doc_id', 'source', 12)}")
 def k06_cluster_terms(spark, d):
     docs = corpus(spark, d)
     return mi.cluster_terms(mi.tfidf(mi.tokens(docs, "doc_id", "text", 2), "doc_id", 3, 0.82), docs.select("doc_id", "source"), "doc_id", "source", 12)
 
 
+@query(
+    f"""{W}{ISSUE}, {tops_sql('iss', 'issue_id', CLUSTER_TOPS, True)}, {ex_sql('iss', 'issue_id', 'context_depth_score DESC, CAST(source_row AS BIGINT)', 'model_text', 3)}, {tfidf_sql('iss', 'source_row', 'issue_id', 'model_text')}, ct AS ({terms_sql('iss', 'source_row', 'issue_id', 10)}),
+s AS (SELECT issue_id, {CNT} AS tickets, round(count(*) / (SELECT count(*) FROM iss), 4) AS share, {av('context_depth_score', 'avg_context_score', 2)}, {sh('is_unresolved', 'unresolved_share')} FROM iss GROUP BY issue_id)
+SELECT s.*, coalesce(terms, '') AS top_terms, top_desires, top_categories, top_managers, example_1, example_2, example_3 FROM s JOIN t_top_desires USING (issue_id) JOIN t_top_categories USING (issue_id) JOIN t_top_managers USING (issue_id) JOIN exs USING (issue_id) LEFT JOIN ct USING (issue_id)"""
+)
+def g03_cluster_summary(spark, d):
+    return mi.described(g.cluster_summary(issues(spark, d)), issues(spark, d), "source_row", "model_text", "issue_id")
+
+
 @query(f"WITH {DOCTOK}, cl AS (SELECT source, w, count(*) AS tf FROM tk2 GROUP BY ALL), tot AS (SELECT w, sum(tf) AS f FROM cl GROUP BY w), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM cl GROUP BY source)), x AS (SELECT source, w, round(tf / sum(tf) OVER (PARTITION BY source) * ln(1 + a / f), 8) AS x FROM cl JOIN tot USING (w), a), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, w) AS k FROM x), sz AS (SELECT source, {CNT} AS docs FROM documents GROUP BY source) SELECT source, docs, source || '_' || string_agg(w, '_' ORDER BY k) FILTER (k <= 4) AS name, string_agg(w, ', ' ORDER BY k) AS representation FROM r JOIN sz USING (source) WHERE k <= 10 GROUP BY source, docs")
 def k18_class_tfidf(spark, d):
     docs = corpus(spark, d)
