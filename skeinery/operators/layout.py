@@ -1,0 +1,124 @@
+"""Maps of vectors in few dimensions that keep neighbours together (uniform manifold approximation and projection).
+
+The map is laid out in numpy for a sample of bounded size; every other row is put
+at the weighted mean of its nearest sampled points, so all rows have a place and
+nothing on the driver grows with the table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .vectors import matrix, unit
+
+#: Rows that the map is laid out from, at most, and neighbours of a point.
+SAMPLE, NEIGHBOURS = 3_000, 15
+
+
+def nearest(q: np.ndarray, x: np.ndarray, k: int, skip_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and cosine distances of the k nearest, nearest first; rows are of unit length."""
+    d = np.maximum(1 - q @ x.T, 0)
+    if skip_own:
+        np.fill_diagonal(d, np.inf)
+    at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+    at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
+    return at, np.take_along_axis(d, at, axis=1)
+
+
+def memberships(d: np.ndarray) -> np.ndarray:
+    """Fuzzy weights of each point's neighbours: 1 for the nearest, and log2(k) in all."""
+    rho, k = d[:, :1], d.shape[1]
+    low, high = np.zeros(len(d)), np.full(len(d), np.inf)
+    sigma = np.ones(len(d))
+    for _ in range(50):
+        much = np.exp(-np.maximum(d - rho, 0) / sigma[:, None]).sum(axis=1) > np.log2(max(k, 2))
+        high = np.where(much, sigma, high)
+        low = np.where(much, low, sigma)
+        sigma = np.where(np.isinf(high), sigma * 2, (low + high) / 2)
+        sigma = np.clip(sigma, 1e-9, 1e9)
+    return np.exp(-np.maximum(d - rho, 0) / sigma[:, None])
+
+
+def curve(least: float, spread: float = 1.0) -> tuple[float, float]:
+    """a and b for which 1 / (1 + a x^2b) is nearest to the wanted decay: flat up to ``least``, then exponential."""
+    x = np.linspace(0, 3 * spread, 300)[1:]
+    y = np.where(x < least, 1.0, np.exp(-(x - least) / spread))
+    a, b = 1.0, 1.0
+    for _ in range(100):  # Gauss-Newton with a damped step
+        p = x ** (2 * b)
+        f = 1 / (1 + a * p)
+        j = np.stack([-p * f * f, -a * p * 2 * np.log(x) * f * f], axis=1)
+        step = np.linalg.solve(j.T @ j + 1e-6 * np.eye(2), j.T @ (y - f))
+        a, b = max(1e-3, a + 0.5 * step[0]), max(1e-3, b + 0.5 * step[1])
+    return float(a), float(b)
+
+
+def lay_out(x: np.ndarray, dims: int, neighbours: int = NEIGHBOURS, least: float = 0.1, epochs: int = 200, seed: int = 42) -> np.ndarray:
+    """Coordinates (n, dims) of the rows of x; the start is their principal components."""
+    n = len(x)
+    if n < 3:
+        return np.zeros((n, dims))
+    rng = np.random.default_rng(seed)
+    u = unit(x)
+    at, d = nearest(u, u, min(neighbours, n - 1), skip_own=True)
+    w = np.zeros((n, n), np.float32)
+    w[np.arange(n)[:, None], at] = memberships(d)
+    w = w + w.T - w * w.T
+    i, j = np.nonzero(w)
+    weight = w[i, j] / w.max()
+    del w
+    centred = u - u.mean(axis=0)
+    _, vec = np.linalg.eigh(centred.T @ centred)
+    y = centred @ vec[:, ::-1][:, :dims]
+    y = np.pad(y, ((0, 0), (0, dims - y.shape[1])))
+    y = y / max(np.abs(y).max(), 1e-12) * 10 + rng.normal(scale=1e-3, size=y.shape)
+    a, b = curve(least)
+    for e in range(epochs):
+        rate = 1 - e / epochs
+        on = rng.random(len(i)) < weight
+        p, q = i[on], j[on]
+        delta = y[p] - y[q]
+        sq = (delta * delta).sum(axis=1)
+        pull = np.where(sq > 0, -2 * a * b * np.power(np.maximum(sq, 1e-12), b - 1) / (1 + a * np.power(sq, b)), 0.0)
+        move = np.clip(pull[:, None] * delta, -4, 4)
+        step = np.zeros_like(y)
+        for c in range(dims):
+            step[:, c] += np.bincount(p, move[:, c], n)
+        for _ in range(5):  # points drawn at random push away
+            q = rng.integers(0, n, len(p))
+            delta = y[p] - y[q]
+            sq = (delta * delta).sum(axis=1)
+            push = 2 * b / ((0.001 + sq) * (1 + a * np.power(sq, b)))
+            move = np.where((p != q)[:, None], np.clip(push[:, None] * delta, -4, 4), 0.0)
+            for c in range(dims):
+                step[:, c] += np.bincount(p, move[:, c], n)
+        # all moves of an epoch are made together, so a point's are limited as one
+        y = y + rate * np.clip(step, -4, 4)
+    return y
+
+
+def project(df: DataFrame, key: str, vector: str, dims: int = 2, least: float = 0.1, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """key, x1 .. x<dims> of every row; without a vector they are null.
+
+    The map is that of up to ``sample`` rows with a vector, those of least hash of the key.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).select(key, vector).limit(sample).collect()
+    x = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    y, u = lay_out(x, dims, neighbours, least, seed=seed), unit(x) if len(x) else x
+
+    @F.arrow_udf("array<double>")
+    def place(v: pa.Array) -> pa.Array:
+        has, q = matrix(v)
+        out = np.zeros((len(q), dims))
+        for i in range(0, len(q), 2_048):
+            at, d = nearest(unit(q[i : i + 2_048]), u, min(neighbours, len(u)))
+            w = memberships(d)
+            w = np.where(d[:, :1] < 1e-12, d < 1e-12, w)  # a sampled point stays where it is
+            out[i : i + len(at)] = (w[:, :, None] * y[at]).sum(axis=1) / w.sum(axis=1)[:, None]
+        found = iter(out.tolist())
+        return pa.array([next(found) if h else None for h in has], pa.list_(pa.float64()))
+
+    return df.select(key, place(F.col(vector)).alias("y")).select(key, *[F.get("y", F.lit(c)).alias(f"x{c + 1}") for c in range(dims)])

@@ -10,6 +10,7 @@ from ..functions import patterns as p
 from ..functions import text as t
 from ..operators import extraction as ex
 from ..operators import grouping as g
+from ..operators import layout
 from ..operators import longitudinal as lo
 from ..operators import mining as mi
 from ..operators import vectors as ve
@@ -739,9 +740,21 @@ def k10_kmeans(spark, d):
 
 @query()
 def k08_projection_2d(spark, d):
+    """A map that keeps neighbours together; ``mining.pca`` is the linear one."""
+    return layout.project(vectors(spark, d), "vec_id", "v", 2)
+
+
+@query()
+def k08_principal_components(spark, d):
     return mi.pca(vectors(spark, d), "vec_id", "v", 2)
 
 
+@query()
+def k08_projection_10d(spark, d):
+    """Coordinates for clustering: ten, with neighbours as near as they come."""
+    return layout.project(vectors(spark, d), "vec_id", "v", 10, least=0.0)
+
+
 @query()
 def k07_truncated_svd(spark, d):
     return mi.svd(vectors(spark, d), "vec_id", "v", 8)

@@ -1,0 +1,31 @@
+"""Maps keep neighbours together and clusters apart."""
+
+import numpy as np
+
+from skeinery.operators import layout
+
+
+def test_weights_and_curve():
+    rng = np.random.default_rng(1)
+    w = layout.memberships(np.sort(rng.random((50, 15)), axis=1))
+    assert np.allclose(w[:, 0], 1) and np.allclose(w.sum(axis=1), np.log2(15), atol=1e-3)
+    a, b = layout.curve(0.1)
+    assert abs(a - 1.58) < 0.05 and abs(b - 0.895) < 0.02
+
+
+def test_neighbours_stay_together(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(5, 16))
+    truth = np.repeat(np.arange(5), 60)
+    x = centres[truth] + rng.normal(scale=0.15, size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(3)
+    for sample in (1_000, 150):
+        rows = {r.id: (r.x1, r.x2) for r in layout.project(df, "id", "v", 2, sample=sample).collect()}
+        assert len(rows) == 301 and rows[999] == (None, None)
+        y = np.array([rows[i] for i in range(300)])
+        d = ((y[:, None] - y[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1)[:, :10]
+        assert (truth[near] == truth[:, None]).mean() > 0.95
+    assert layout.lay_out(x[:2], 2).shape == (2, 2)
+    assert {tuple(r) for r in layout.project(df, "id", "v", 8, sample=100).select("x8").limit(2).collect()}
