@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, factors, mixing, sharding, simhash, subtrees, tiling, toxicity, urls
+from . import ann, chat, factors, merkle, mixing, sharding, simhash, subtrees, tiling, toxicity, urls, variants
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -143,6 +143,88 @@ SELECT page_id, host, path, rule, CASE
 FROM t
 """
 
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+#: The table of the CRC-32, and with it the CRC of a list of bytes; and the bytes of a text of code points below 2048.
+CRC = r"""
+crc_steps(i, k, v) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+CRC_OF = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
+BYTES = "flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(192 + (unicode(ch) >> 6) AS BIGINT), CAST(128 + (unicode(ch) & 63) AS BIGINT)] END))"
+OP11_SQL = f"""
+WITH RECURSIVE {CRC.strip()}, runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {CRC_OF.format(bytes=BYTES.format(text="id || ':' || run"))} AS h FROM counted, crc),
+noisy AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, min(near) FILTER (m = top) AS near
+  FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), walk(word, goal) AS (
+  SELECT word, word FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON w.goal = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, goal AS root, n, n_near, form_n
+FROM f JOIN (SELECT w.word, w.goal FROM walk w JOIN f ON w.goal = f.word WHERE f.form IS NULL) USING (word)
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf_sql(n: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c=n if c == "n_chars" else c) for c in merkle.FIELDS) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC.strip()}, hit AS (
+  SELECT *, n_chars + CASE WHEN {CRC_OF.format(bytes=BYTES.format(text="CAST(doc_id AS VARCHAR)"))} % 7 = 0 THEN 1 ELSE 0 END AS more FROM documents, crc
+), leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("coalesce(more, n_chars)")} AS other FROM hit
+), placed AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), tree(lang, level, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), sub AS (
+  SELECT lang, h AS subroot, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper(level, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM sub
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, pos // 2, n
+), steps AS (
+  SELECT id, t.level, (p.pos >> t.level) & 1 AS slot, s.h FROM placed p JOIN (SELECT DISTINCT lang, level, n FROM tree) t ON p.lang IS NOT DISTINCT FROM t.lang AND t.n > 1
+    LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = t.level AND s.pos = xor(p.pos >> t.level, 1)
+  UNION ALL
+  SELECT id, depth + t.level, (sub.pos >> t.level) & 1, s.h FROM placed p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang, (SELECT DISTINCT level, n FROM upper WHERE n > 1) t
+    LEFT JOIN upper s ON s.level = t.level AND s.pos = xor(sub.pos >> t.level, 1)
+), proofs AS (
+  SELECT id, string_agg(coalesce(h, ''), '' ORDER BY level) AS proof, list(slot || coalesce(h, '') ORDER BY level) AS steps FROM steps GROUP BY id
+), folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(other, coalesce(steps, [])), lambda h, x: sha256(CASE WHEN x[1] = '1' THEN substr(x, 2) || h ELSE h || substr(x, 2) END)) AS folded_root
+  FROM placed p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN proofs USING (id)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
@@ -154,5 +236,7 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_previous_factors": op9_previous_factors,
     "op10_url_rules": op10_url_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL = {"op1_chat_format": OP1_SQL, "op5_temperature_mix": OP5_SQL, "op10_url_rules": OP10_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op5_temperature_mix": OP5_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
