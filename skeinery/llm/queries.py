@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, factors, merkle, mixing, sharding, simhash, subtrees, tiling, toxicity, urls, variants
+from . import ann, chat, factors, merkle, mixing, ngramjoin, sharding, simhash, subtrees, tiling, toxicity, urls, variants
 from .common import table
 
 #: Fixed values of the conversation that every run formats besides the table.
@@ -225,6 +225,30 @@ SELECT *, folded_root = root AS verified FROM folded
 """
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles and a similarity of 0.85 are this query's contract."""
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+#: Every pair of documents that share a shingle is counted.
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w
+), sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+each AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+linked AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM sized UNION SELECT l.b, r.root FROM reach r JOIN linked l ON l.a = r.doc_id
+)
+SELECT doc_id, n AS n_shingles, component_id FROM sized JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
@@ -238,5 +262,6 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
-SQL = {"op1_chat_format": OP1_SQL, "op5_temperature_mix": OP5_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op5_temperature_mix": OP5_SQL, "op10_url_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_ngram_jaccard": OP13_SQL}
