@@ -1,200 +1,537 @@
-"""Density clustering with a noise class, and its fallback.
-
-The hierarchy of densities is built in numpy on a sample of bounded size; every row
-then joins the cluster of its nearest sampled point if it is dense enough for it, so
-all rows are clustered and nothing on the driver grows with the table.
+"""Density clustering of whole tables, with a noise class, and its fallback.
+
+Two points meet at the greatest of their distance and both core distances (that to
+the ``neighbours``-th point, itself included).  What is connected at each distance is
+all that the clusters depend on, and it is worked out in four steps, none of which
+looks at a sample or brings points to the driver:
+
+1. Points are dealt to cells around pivots, and cells are cut into blocks of bounded
+   size.  Core distances come from pairs of blocks that triangle bounds can't rule out.
+2. The least spanning trees of the pairs of blocks hold together whatever a whole tree
+   would.  Pairs farther apart than a way over the pivots are left out.
+3. Rounds over the table of edges grow groups until they have ``least`` points: for each
+   point, the distance at which it first was in such a group, and the group's seed.
+4. What is left, seeds and the distances at which they meet, is the condensed hierarchy.
+   There are n / least seeds at most; from sums by branch the clusters are chosen.
+
+Equal vectors are one point with a weight.  Where several groups meet at the same
+distance they meet at once, so the result doesn't depend on the order of equal edges.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
 from .mining import kmeans, want_count
 from .vectors import matrix
 
-#: Rows that the hierarchy is built from, at most.
-SAMPLE = 3_000
+#: Points of a block, about; two blocks are compared in a task.
+BLOCK = 1_500
+#: Cells, at most; their centres travel to the tasks.
+PIVOTS = 256
+#: Edges of a tree of groups that one task grows in a round; the others wait for the next.
+LIGHTEST = 20_000
 #: Share of noise beyond which, and clusters under which, k-means takes over.
 MOST_NOISE, LEAST_CLUSTERS = 0.40, 8
 
+_EDGE = "u long, v long, d double"
 
-@dataclass
-class Density:
-    """Sampled points, their core distances, clusters (-1: noise), and by cluster the distance at which it is born and its greatest density."""
-
-    x: np.ndarray
-    core: np.ndarray
-    labels: np.ndarray
-    probability: np.ndarray
-    born: np.ndarray
-    densest: np.ndarray
 
+def cluster_size(n: int) -> int:
+    """The least size of a cluster among n points."""
+    return max(5, min(80, n // 40))
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0))
+
+# -- points, cells and blocks --------------------------------------------------
 
 
-def spanning_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of the least spanning tree of a full distance matrix, shortest first."""
-    n = len(d)
-    best, by, out = d[0].copy(), np.zeros(n, int), []
-    best[0] = np.inf
-    inside = np.zeros(n, bool)
-    inside[0] = True
-    for _ in range(n - 1):
-        k = int(np.argmin(np.where(inside, np.inf, best)))
-        out.append((by[k], k, best[k]))
-        inside[k] = True
-        closer = ~inside & (d[k] < best)
+def _rows(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of rows to one point, by differences."""
+    d = x - p
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
+class Cells:
+    """Pivots, the blocks of each cell and what bounds distances between them.  All of it is of bounded size but a number for each block."""
+
+    def __init__(self, nodes: DataFrame, block: int, most: int):
+        n = nodes.count()
+        rows = nodes.orderBy(F.xxhash64("id"), "id").select("v").limit(min(most, max(1, 2 * n // block))).collect()
+        self.pivots = np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1)
+        self.block = block
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each row and its distance."""
+        d = np.stack([_rows(x, p) for p in self.pivots], axis=1)
+        at = np.argmin(d, axis=1)
+        return at, d[np.arange(len(x)), at]
+
+    def dealt(self, nodes: DataFrame) -> DataFrame:
+        """nodes with cell, far (distance from the pivot) and block."""
+
+        @F.arrow_udf("struct<cell:int,far:double>")
+        def place(v: pa.Array) -> pa.Array:
+            at, far = self.near(matrix(v)[1])
+            return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(far)], names=["cell", "far"])
+
+        x = stored(nodes.withColumn("p", place("v")).select("id", "v", "w", "p.cell", "p.far"), "density-cells")
+        found = sorted(x.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect())  # a row for each pivot
+        blocks = [max(1, -(-n // self.block)) for _, n, _ in found]
+        self.cell = np.repeat([c for c, *_ in found], blocks).astype(int)
+        self.radius = np.repeat([r for *_, r in found], blocks)
+        first, many = dict(zip([c for c, *_ in found], np.cumsum([0, *blocks]), strict=False)), dict(zip([c for c, *_ in found], blocks, strict=True))
+        pick = lambda m: F.element_at(F.create_map(*[F.lit(int(v)) for kv in m.items() for v in kv]), F.col("cell"))
+        return x.withColumn("block", (pick(first) + F.pmod(F.xxhash64("id"), pick(many))).cast("int"))
+
+    def apart(self) -> np.ndarray:
+        """Least possible distances between points of two blocks."""
+        c = self.pivots[self.cell]
+        d = np.stack([_rows(c, p) for p in c]) if len(c) else np.zeros((0, 0))
+        return np.maximum(0, d - self.radius[:, None] - self.radius[None, :])
+
+
+def _met(x: DataFrame, pairs: list[tuple[int, int]], columns: list[str], run: Callable, schema: str) -> DataFrame:
+    """run on the points of each pair of blocks; ``side`` says which block a point is of."""
+    spark = x.sparkSession
+    sides = [(k, s, b) for k, p in enumerate(pairs) for s, b in enumerate(p[: 1 + (p[0] != p[1])])]
+    sides = spark.createDataFrame(sides, "pair int, side int, block int")
+    dealt = x.select("block", *columns).join(sides, "block").repartition(max(1, min(len(pairs), 4 * spark.sparkContext.defaultParallelism + len(pairs) // 8)), "pair")
+    return dealt.groupBy("pair").applyInArrow(run, schema)
+
+
+def _table(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x = matrix(t.column("v").combine_chunks())[1]
+    return t.column("id").to_numpy(), x, t.column("w").to_numpy(), t.column("side").to_numpy()
+
+
+def _nearest(weighed: np.ndarray, w: np.ndarray, many: int) -> np.ndarray:
+    """The ``many`` least distances, each as often as its point weighs."""
+    o = np.argsort(weighed, kind="stable")[:many]
+    return np.repeat(weighed[o], np.minimum(w[o], many))[:many]
+
+
+def core_distances(x: DataFrame, cells: Cells, many: int) -> DataFrame:
+    """id, core: the distance to the ``many``-th nearest point."""
+
+    def own(t: pa.Table) -> pa.Table:
+        ids, p, w = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())[1], t.column("w").to_numpy()
+        near = [_nearest(_rows(p, q), w, many) for q in p]
+        bound = [float(d[-1]) if len(d) == many else np.inf for d in near]
+        return pa.table({"id": ids, "block": t.column("block"), "near": pa.array([d.tolist() for d in near], pa.list_(pa.float64())), "bound": bound})
+
+    inner = stored(x.select("id", "v", "w", "block").groupBy("block").applyInArrow(own, "id long, block int, near array<double>, bound double"), "density-near")
+    reach = dict(inner.groupBy("block").agg(F.max("bound")).collect())  # a number for each block
+    k = np.array([reach.get(b, 0.0) for b in range(len(cells.cell))])
+    i, j = np.nonzero(np.triu(cells.apart() <= np.maximum(k[:, None], k[None, :]), 1))
+
+    def cross(t: pa.Table) -> pa.Table:
+        ids, p, w, side = _table(t)
+        bound, out, who = t.column("bound").to_numpy(), [], []
+        other = [np.flatnonzero(side != s) for s in (0, 1)]
+        for r in range(len(p)):
+            o = other[side[r]]
+            d = _rows(p[o], p[r])
+            ok = d <= bound[r]
+            if ok.any():
+                who.append(ids[r])
+                out.append(_nearest(d[ok], w[o][ok], many).tolist())
+        return pa.table({"id": pa.array(who, pa.int64()), "near": pa.array(out, pa.list_(pa.float64()))})
+
+    found = inner.select("id", "near")
+    if len(i):
+        with_bound = x.join(inner.select("id", "bound"), "id")
+        found = found.unionByName(_met(with_bound, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "bound"], cross, "id long, near array<double>"))
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, many)
+    return found.groupBy("id").agg(merged.alias("near")).select("id", F.array_max("near").alias("core"))
+
+
+def _spanning(p: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and distances of the edges of a least spanning tree."""
+    n = len(p)
+    left = np.arange(1, n)
+    best, by = np.maximum(_rows(p[1:], p[0]), np.maximum(core[1:], core[0])), np.zeros(n - 1, int)
+    a, b, d = np.empty(n - 1, int), np.empty(n - 1, int), np.empty(n - 1)
+    rest = p[1:].copy()
+    for k in range(n - 1):
+        at = int(np.argmin(best))
+        a[k], b[k], d[k] = by[at], left[at], best[at]
+        x, c, new = rest[at].copy(), core[left[at]], left[at]
+        last = len(left) - 1 - k  # what is left stays in front
+        for v in (left, best, by, rest):
+            v[at] = v[last]
+        best[last] = np.inf
+        if last:
+            far = np.maximum(_rows(rest[:last], x), np.maximum(core[left[:last]], c))
+            closer = far < best[:last]
+            best[:last][closer], by[:last][closer] = far[closer], new
+    return a, b, d
+
+
+def _minimax(d: np.ndarray) -> np.ndarray:
+    """The least greatest step on a way between each two points."""
+    n, out = len(d), np.zeros_like(d)
+    if n < 2:
+        return out
+    inside, best = [0], d[0].copy()
+    reach = np.zeros((n, n))
+    todo = np.ones(n, bool)
+    todo[0] = False
+    by = np.zeros(n, int)
+    while todo.any():
+        k = int(np.argmin(np.where(todo, best, np.inf)))
+        reach[k, inside] = np.maximum(reach[by[k], inside], best[k])
+        reach[inside, k] = reach[k, inside]
+        inside.append(k)
+        todo[k] = False
+        closer = todo & (d[k] < best)
         best[closer], by[closer] = d[k][closer], k
-    out.sort(key=lambda e: e[2])
-    a, b, w = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(a, int), np.array(b, int), np.array(w, float)
+    return reach
 
 
-def hierarchy(d: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, densities at which points leave, and by label the distance of birth and greatest density.
+def edges(x: DataFrame, cells: Cells) -> DataFrame:
+    """u, v, d: edges that connect at each distance what all pairs of points (x: with core) connect."""
+    least = dict(x.groupBy("block").agg(F.min("core")).collect())  # numbers for each block and each pivot
+    least = np.array([least.get(b, np.inf) for b in range(len(cells.cell))])
+    centre = np.full(len(cells.pivots), np.inf)
+    for c, core in x.filter("far = 0").groupBy("cell").agg(F.max("core")).collect():
+        centre[c] = core
+    hop = np.maximum(np.stack([_rows(cells.pivots, p) for p in cells.pivots]) if len(cells.pivots) else np.zeros((0, 0)), np.maximum(centre[:, None], centre[None, :]))
+    way = _minimax(hop)[np.ix_(cells.cell, cells.cell)]
+    widest = dict(x.groupBy("cell").agg(F.max(F.greatest("core", "far"))).collect())
+    step = np.array([max(widest.get(c, 0.0), centre[c]) for c in cells.cell])
+    apart = np.maximum(cells.apart(), np.maximum(least[:, None], least[None, :]))
+    same = cells.cell[:, None] == cells.cell[None, :]
+    i, j = np.nonzero(np.triu(same | ~(apart > np.maximum(way, np.maximum(step[:, None], step[None, :])))))
 
-    d: mutual reachability distances.  A split counts where both sides have ``least``
-    points; of nested clusters those of the greatest stability (sum over points of the
-    density at which they leave less that of birth) are chosen, never the root.
-    """
-    n = len(d)
-    a, b, w = spanning_tree(d)
-    up, node = list(range(n)), list(range(n))
-    children, size, at = {}, dict.fromkeys(range(n), 1), {}
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for k in range(n - 1):  # single linkage
-        i, j = root(a[k]), root(b[k])
-        new = n + k
-        children[new], at[new], size[new] = (node[i], node[j]), w[k], size[node[i]] + size[node[j]]
-        up[j] = i
-        node[i] = new
-
-    def leaves(v: int) -> list[int]:
-        out, todo = [], [v]
-        while todo:
-            v = todo.pop()
-            todo += children.get(v, ())
-            out += [v] if v < n else []
-        return out
+    def tree(t: pa.Table) -> pa.Table:
+        ids, p, _, _ = _table(t)
+        a, b, d = _spanning(p, t.column("core").to_numpy())
+        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d})
 
-    density = lambda x: 1 / max(x, 1e-12)
-    clusters = [{"birth": 0.0, "parent": -1, "left": {}, "stability": 0.0}]
-    todo = [(2 * n - 2, 0)] if n > 1 else []
-    while todo:
-        v, c = todo.pop()
-        if v < n:
-            continue
-        level, (i, j) = density(at[v]), children[v]
-        if size[i] >= least and size[j] >= least:
-            for side in (i, j):
-                clusters[c]["stability"] += size[side] * (level - clusters[c]["birth"])
-                clusters.append({"birth": level, "parent": c, "left": {}, "stability": 0.0})
-                todo.append((side, len(clusters) - 1))
-            continue
-        for side in (i, j):
-            if size[side] >= least:
-                todo.append((side, c))
-            else:
-                for p in leaves(side):
-                    clusters[c]["left"][p] = level
-                    clusters[c]["stability"] += level - clusters[c]["birth"]
-    total, chosen = [c["stability"] for c in clusters], [False] * len(clusters)
-    for k in range(len(clusters) - 1, 0, -1):
-        under = [j for j in range(k + 1, len(clusters)) if clusters[j]["parent"] == k]
-        below = sum(total[j] for j in under)
-        chosen[k] = not under or total[k] >= below
-        total[k] = max(total[k], below)
-    labels, leave, born, densest = np.full(n, -1), np.zeros(n), [], []
-    for k in range(1, len(clusters)):
-        up_ = clusters[k]["parent"]
-        while up_ > 0 and not chosen[up_]:
-            up_ = clusters[up_]["parent"]
-        chosen[k] = chosen[k] and up_ <= 0
-    for k, on in enumerate(chosen):
-        if on:
-            todo, members = [k], {}
-            while todo:
-                c = todo.pop()
-                members |= clusters[c]["left"]
-                todo += [j for j in range(len(clusters)) if clusters[j]["parent"] == c]
-            for p, level in members.items():
-                labels[p], leave[p] = len(born), level
-            born.append(1 / max(clusters[k]["birth"], 1e-12))
-            densest.append(max(members.values()))
-    return labels, leave, np.array(born), np.array(densest)
-
-
-def fit(x: np.ndarray, least: int, neighbours: int | None = None) -> Density:
-    """least: points that a cluster has at least; neighbours: those that make the core distance (default as the rule has it)."""
-    if len(x) < 2:
-        return Density(x, np.zeros(len(x)), np.full(len(x), -1), np.zeros(len(x)), np.zeros(0), np.zeros(0))
-    neighbours = neighbours or max(5, least // 3)
-    d = _distances(x, x)
-    np.fill_diagonal(d, 0)
-    core = np.partition(d, min(neighbours, len(x)) - 1, axis=1)[:, min(neighbours, len(x)) - 1]
-    labels, leave, born, densest = hierarchy(np.maximum(d, np.maximum(core[:, None], core[None, :])), least)
-    probability = np.where(labels < 0, 0.0, np.minimum(1.0, leave / np.append(densest, 1.0)[labels]))
-    return Density(x, core, labels, probability, born, densest)
-
-
-def assign(m: Density, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster and probability of each point, by the nearest sampled point in terms of mutual reachability."""
-    if not len(m.born):
-        return np.full(len(q), -1), np.zeros(len(q))
-    d = np.maximum(_distances(q, m.x), m.core[None, :])
-    near = np.argmin(d, axis=1)
-    far = d[np.arange(len(q)), near]
-    label = m.labels[near]
-    label = np.where((label >= 0) & (far <= np.append(m.born, 0.0)[label]), label, -1)
-    level = 1 / np.maximum(far, 1e-12)
-    return label, np.where(label < 0, 0.0, np.minimum(1.0, level / np.append(m.densest, 1.0)[label]))
+    found = _met(x, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "core"], tree, _EDGE)
+    return found.groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
-def cluster_size(n: int) -> int:
-    """The least size of a cluster among n points."""
-    return max(5, min(80, n // 40))
+# -- groups --------------------------------------------------------------------
+
+
+def _both(e: DataFrame) -> DataFrame:
+    """Edges from either end: c, o, d."""
+    return e.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("o"), "d"), F.struct(F.col("v").alias("c"), F.col("u").alias("o"), "d"))).alias("x")).select("x.*")
 
 
-def density(df: DataFrame, key: str, vector: str, least: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def _grown(least: int) -> Callable:
+    """Within a tree of small groups: joins that no edge to elsewhere can come before.
+
+    Rows: tree, u, v, d, su, sv (sizes); v null: the shortest way out of u.  Edges are
+    taken in order; a group whose shortest way out is shorter must wait, and so must
+    what comes to it.  A group that reaches ``least`` takes in whatever comes.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        u, d = t.column("u").to_numpy(), t.column("d").to_numpy()
+        v = t.column("v").to_pylist()
+        su, sv = t.column("su").to_pylist(), t.column("sv").to_pylist()
+        up: dict[int, int] = {}
+        size: dict[int, int] = {}
+        out: dict[int, float] = {}
+        big: dict[int, float | None] = {}
+        members: dict[int, list[int]] = {}
+        for k in range(len(u)):
+            for c, s in ((int(u[k]), su[k]), (v[k], sv[k])):
+                if c is not None and c not in up:
+                    up[c], size[c], out[c], members[c], big[c] = c, s, np.inf, [c], None
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for k in range(len(u)):
+            if v[k] is None:
+                out[int(u[k])] = min(out[int(u[k])], d[k])
+        at: dict[int, float] = {}
+        for k in np.argsort(d, kind="stable"):
+            if v[k] is None:
+                continue
+            a, b = root(int(u[k])), root(v[k])
+            if a == b:
+                continue
+            waits = [c for c in (a, b) if size[c] < least and out[c] < d[k]]
+            if waits or (size[a] >= least and size[b] >= least):
+                out[a], out[b] = min(out[a], d[k]), min(out[b], d[k])
+                continue
+            for c in (a, b):  # who is in a large group now for the first time
+                if size[c] < least and size[a] + size[b] >= least:
+                    at |= dict.fromkeys(members[c], float(d[k]))
+            if size[a] < size[b]:
+                a, b = b, a
+            up[b] = a
+            size[a] += size[b]
+            out[a] = min(out[a], out[b])
+            members[a] += members[b]
+        moved = [c for c in up if len(members[root(c)]) > 1]
+        return pa.table({"c": pa.array(moved, pa.int64()), "to": pa.array([root(c) for c in moved], pa.int64()), "at": pa.array([at.get(c) for c in moved], pa.float64())})
+
+    return run
+
+
+def groups(nodes: DataFrame, e: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, w, comp, at) and edges between large groups (u, v, d).
+
+    at: the distance at which a point was first connected to ``least`` points, null if
+    never; comp: the group that it was of then, or later came to as a part too small
+    to count.  In each round every small group looks at its shortest edge.  Groups
+    whose edges lead to a large one go there, each at the length of its own edge; the
+    others make up trees around two that are each other's nearest, which ``_grown``
+    joins as far as the rest of the table can't matter.
+    """
+    member = stored(nodes.select("id", "w", F.col("id").alias("comp"), F.lit(None).cast("double").alias("at")), "density-member")
+    e = stored(e, "density-edges")
+    if least <= 1:
+        raise ValueError("a cluster has two points at least")
+    member = stored(member.withColumn("at", F.when(F.col("w") >= least, 0.0)), "density-member")
+    while True:
+        size = stored(member.groupBy("comp").agg(F.sum("w").alias("size")), "density-size")
+        near = _both(e).join(size.filter(F.col("size") < least).withColumnRenamed("comp", "c"), "c").groupBy("c")
+        near = near.agg(F.min(F.struct("d", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "o")).alias("m")).select("c", "m.d", "m.o")
+        near = stored(near, "density-nearest")
+        back = near.select(F.col("c").alias("o"), F.col("o").alias("again"))
+        # a large group, or the lesser of two that are each other's nearest, is where a way ends
+        ways = near.join(back, "o", "left").select("c", "d", F.when(F.col("again") == F.col("c"), F.least("c", "o")).otherwise(F.col("o")).alias("to"))
+        ways = stored(ways, "density-ways")
+        for _ in range(3):  # eight steps; who is farther off waits
+            on = ways.select(F.col("c").alias("to"), F.col("to").alias("on"))
+            ways = ways.join(on, "to", "left").select("c", "d", F.coalesce("on", "to").alias("to"))
+        ways = stored(ways, "density-ways")
+        large = size.filter(F.col("size") >= least).select(F.col("comp").alias("to"))
+        taken = ways.join(large, "to").select("c", "to", F.col("d").alias("at"))
+
+        ends = ways.join(back.select(F.col("o").alias("to"), F.col("again").alias("twin")), "to")
+        twin = back.select(F.col("o").alias("twin"), F.col("again").alias("home"))
+        trees = ends.join(twin, "twin").filter(F.col("home") == F.col("to")).select("c", F.col("to").alias("tree"))
+        trees = trees.join(size.withColumnRenamed("comp", "c"), "c")
+        one = trees.select(F.col("c").alias("u"), F.col("tree").alias("tu"), F.col("size").alias("su"))
+        two = trees.select(F.col("c").alias("v"), F.col("tree").alias("tv"), F.col("size").alias("sv"))
+        met = e.join(one, "u", "left").join(two, "v", "left").filter("tu is not null or tv is not null")
+        inner = met.filter("tu = tv").select(F.col("tu").alias("tree"), "u", "v", "d", "su", "sv")
+        inner = inner.withColumn("k", F.row_number().over(W.partitionBy("tree").orderBy("d", "u", "v"))).filter(F.col("k") <= LIGHTEST).drop("k")
+        out = met.filter("not tu <=> tv").select(F.explode(F.array(F.struct(F.col("tu").alias("tree"), "u", "d", F.col("su").alias("su")), F.struct(F.col("tv").alias("tree"), F.col("v").alias("u"), "d", F.col("sv").alias("su")))).alias("x"))
+        out = out.select("x.*").filter("tree is not null").groupBy("tree", "u").agg(F.min("d").alias("d"), F.max("su").alias("su"))
+        out = out.select("tree", "u", F.lit(None).cast("long").alias("v"), "d", "su", F.lit(None).cast("long").alias("sv"))
+        # ways out of groups with no edge inside the tree that is looked at say nothing
+        joined = inner.unionByName(out.join(inner.select("tree").distinct(), "tree", "left_semi"))
+        joined = joined.groupBy("tree").applyInArrow(_grown(least), "c long, to long, at double")
+
+        step = stored(taken.unionByName(joined), "density-step")
+        if not step.limit(1).count():
+            break
+        to = step.withColumnRenamed("c", "comp")
+        member = member.join(to.select("comp", "to", F.col("at").alias("now")), "comp", "left")
+        member = stored(member.select("id", "w", F.coalesce("to", "comp").alias("comp"), F.coalesce("at", "now").alias("at")), "density-member")
+        e = e.join(step.select(F.col("c").alias("u"), F.col("to").alias("tu")), "u", "left").join(step.select(F.col("c").alias("v"), F.col("to").alias("tv")), "v", "left")
+        u, v = F.coalesce("tu", "u"), F.coalesce("tv", "v")
+        e = e.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), "d").filter("u <> v").groupBy("u", "v").agg(F.min("d").alias("d"))
+        e = stored(e, "density-edges")
+    return member, e
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges those of a least spanning forest."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.float64())]))
+    t = t.take(pa.array(np.argsort(t.column("d").to_numpy(), kind="stable")))
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    kept = np.zeros(len(t), bool)
+    for k, (u, v) in enumerate(zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True)):
+        u, v = root(u), root(v)
+        if u != v:
+            up[u] = v
+            kept[k] = True
+    yield from t.filter(pa.array(kept)).to_batches()
+
+
+def forest(e: DataFrame) -> DataFrame:
+    """A least spanning forest of edges: forests of parts, then of fewer parts, then one."""
+    for parts in (64, 8, 1):
+        e = e.repartition(parts).mapInArrow(_forest, _EDGE)
+    return e
+
+
+# -- the hierarchy ---------------------------------------------------------------
+
+
+class Hierarchy:
+    """Branches of the condensed hierarchy: parent, distance at which they begin (from below) and end."""
+
+    def __init__(self, seeds: np.ndarray, born: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray):
+        """Seeds ascending, the distances at which they are born, and a least spanning forest of them."""
+        n = len(seeds)
+        self.seeds = seeds
+        self.parent, self.low, self.high = [-1] * n, born.tolist(), [np.inf] * n
+        alias, up, branch = list(range(n)), list(range(n)), list(range(n))
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        a, b = np.searchsorted(seeds, u), np.searchsorted(seeds, v)
+        o = np.argsort(d, kind="stable")
+        k = 0
+        while k < len(o):
+            now, meet = d[o[k]], {}
+            while k < len(o) and d[o[k]] == now:  # what meets at one distance meets at once
+                x, y = root(a[o[k]]), root(b[o[k]])
+                if x != y:
+                    up[x] = y
+                    meet[y] = meet.pop(y, [branch[y]]) + meet.pop(x, [branch[x]])
+                k += 1
+            for r, found in meet.items():
+                older = [c for c in found if self.low[c] < now]
+                if len(older) > 1:
+                    to = len(self.parent)
+                    self.parent.append(-1)
+                    self.low.append(now)
+                    self.high.append(np.inf)
+                    for c in older:
+                        self.parent[c], self.high[c] = to, now
+                else:
+                    to = older[0] if older else found[0]
+                for c in found:
+                    if c != to and c not in older:  # born just now: no branch of its own
+                        alias.extend(range(len(alias), len(self.parent)))
+                        alias[c] = to
+                branch[r] = to
+        alias.extend(range(len(alias), len(self.parent)))
+        for c in range(len(alias)):
+            while alias[alias[c]] != alias[c]:
+                alias[c] = alias[alias[c]]
+        self.alias = np.array(alias, int)
+        self.parent, self.low, self.high = np.array(self.parent, int), np.array(self.low, float), np.array(self.high, float)
+
+    def branch(self, comp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The branch that points of a seed fall out of, given when they came to it."""
+        c = self.alias[np.searchsorted(self.seeds, comp)]
+        while True:
+            climb = self.high[c] <= at
+            if not climb.any():
+                return c
+            c = np.where(climb, self.parent[c], c)
+
+    def choose(self, weight: np.ndarray, densities: np.ndarray, densest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label of each branch (-1: noise) and by label the greatest density; given sums by branch over the points that fall out of it.
+
+        Of nested branches those of the greatest stability are chosen (the sum over
+        points of the density at which they leave, less that at which the branch
+        begins), never a root.  Labels go by size, then by seed.
+        """
+        n = len(self.parent)
+        level = lambda d: 1 / np.maximum(d, 1e-12)
+        birth = np.where(np.isinf(self.high), 0.0, level(self.high))
+        size, stable = weight.astype(float).copy(), densities - weight * birth
+        best, chosen = np.zeros(n), np.zeros(n, bool)
+        below, leaf = np.zeros(n), np.ones(n, bool)
+        for c in range(n):  # children come before their parents
+            p = self.parent[c]
+            if self.alias[c] != c:
+                continue
+            if p >= 0:
+                chosen[c] = leaf[c] or stable[c] >= below[c]
+                best[c] = max(stable[c], below[c])
+                size[p] += size[c]
+                stable[p] += size[c] * (level(self.low[p]) - birth[p])
+                below[p] += best[c]
+                leaf[p] = False
+        label, of = np.full(n, -1), np.full(n, -1)
+        for c in range(n - 1, -1, -1):  # the topmost that is chosen
+            p = self.parent[c]
+            of[c] = of[p] if p >= 0 and of[p] >= 0 else c if chosen[c] else -1
+        names = np.unique(of[of >= 0])
+        names = names[np.lexsort((names, -size[names]))] if len(names) else names
+        for k, c in enumerate(names):
+            label[of == c] = k
+        top = np.zeros(len(names))
+        ok = label >= 0
+        np.maximum.at(top, label[ok], densest[ok])
+        return label, top
+
+
+def density(df: DataFrame, key: str, vector: str, least: int | None = None, neighbours: int | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """key, cluster (-1: noise, or no vector), probability of every row.
 
-    The hierarchy is that of up to ``sample`` rows with a vector, those of least hash of the key.
+    least: points of a cluster, at least (by default as ``cluster_size`` has it for
+    all rows with a vector); neighbours: those that make the core distance.  Equal
+    vectors have equal results; repeated and null keys are kept; labels go by size.
+    The work in blocks grows with the square of the rows where vectors have no
+    structure; tasks and what is sent to the driver (a number for each block, n / least
+    seeds) stay small.
     """
-    rows = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).select(key, vector).limit(sample).collect()
-    x = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    model = fit(x, least or cluster_size(len(x)))
+    x = df.select(F.col(key).alias("key"), F.transform(F.col(vector), lambda c: c.cast("double") + 0.0).alias("v"))
+    x = stored(x, "density-rows")
+    usable = F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    nodes = x.filter(usable).groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
+    nodes = stored(nodes, "density-nodes")
+    n = nodes.agg(F.sum("w")).first()[0] or 0
+    least = least or cluster_size(n)
+    if n < 2:
+        return df.select(key, F.lit(-1).alias("cluster"), F.lit(0.0).alias("probability"))
+    many = min(neighbours or max(5, least // 3), n)
+
+    cells = Cells(nodes, block, pivots)
+    blocks = stored(cells.dealt(nodes), "density-blocks")
+    blocks = stored(blocks.join(core_distances(blocks, cells, many), "id"), "density-cores")
+    # copies alone can be a cluster; they are connected at their core distance
+    member, e = groups(blocks.select("id", "w"), edges(blocks, cells), least)
+    member = member.join(blocks.select("id", "core"), "id").withColumn("at", F.when(F.col("w") >= least, F.col("core")).otherwise(F.col("at"))).select("id", "w", "comp", "at")
+    member = stored(member, "density-member")
+
+    seeds = sorted(member.filter("at is not null").groupBy("comp").agg(F.min("at")).collect())  # n / least at most
+    links = sorted(forest(e).collect())
+    h = Hierarchy(np.array([s for s, _ in seeds], np.int64), np.array([b for _, b in seeds], float), *(np.array([r[i] for r in links], t) for i, t in enumerate((np.int64, np.int64, float))))
+
+    @F.arrow_udf("int")
+    def branch(comp: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array(h.branch(comp.to_numpy(), at.to_numpy()).astype(np.int32))
+
+    fell = stored(member.filter("at is not null").withColumn("branch", branch("comp", "at")), "density-branch")
+    level = lambda c: 1 / F.greatest(F.col(c), F.lit(1e-12))
+    weight, densities, densest = (np.zeros(len(h.parent)) for _ in range(3))
+    for b, s, t, m in fell.groupBy("branch").agg(F.sum("w"), F.sum(F.col("w") * level("at")), F.max(level("at"))).collect():
+        weight[b], densities[b], densest[b] = s, t, m
+    label, top = h.choose(weight, densities, densest)
 
     @F.arrow_udf("struct<cluster:int,probability:double>")
-    def place(v: pa.Array) -> pa.Array:
-        has, q = matrix(v)
-        label, p = np.full(len(v), -1, np.int32), np.zeros(len(v))
-        for i in range(0, len(q), 2_048):
-            at = np.flatnonzero(has)[i : i + 2_048]
-            label[at], p[at] = assign(model, q[i : i + 2_048])
-        return pa.StructArray.from_arrays([pa.array(label), pa.array(p)], names=["cluster", "probability"])
+    def place(b: pa.Array, at: pa.Array) -> pa.Array:
+        has = ~np.asarray(b.is_null())
+        k = np.where(has, label[np.where(has, b.fill_null(0).to_numpy(), 0)], -1) if len(label) else np.full(len(b), -1)
+        p = np.minimum(1.0, 1 / np.maximum(at.fill_null(1.0).to_numpy(), 1e-12) / np.append(top, 1.0)[k])
+        return pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(np.where(k < 0, 0.0, p))], names=["cluster", "probability"])
 
-    return df.select(key, place(F.col(vector)).alias("p")).select(key, "p.cluster", "p.probability")
+    by_vector = nodes.join(fell.select("id", "branch", "at"), "id", "left").select(F.col("v").alias("_v"), place("branch", "at").alias("p"))
+    out = x.join(by_vector, F.col("v") == F.col("_v"), "left")
+    return out.select(F.col("key").alias(key), F.coalesce("p.cluster", F.lit(-1)).alias("cluster"), F.coalesce("p.probability", F.lit(0.0)).alias("probability"))
 
 
-def with_fallback(df: DataFrame, key: str, vector: str, least: int | None = None, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+def with_fallback(df: DataFrame, key: str, vector: str, least: int | None = None, seed: int = 42) -> DataFrame:
     """key, cluster, method: density clusters, or k-means ones if there is too much noise or too few clusters."""
-    found = density(df, key, vector, least, sample).persist()
+    found = stored(density(df, key, vector, least), "density")
     n, noise, many = found.agg(F.count("*"), F.count_if(F.col("cluster") == -1), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster")))).first()
     if n and (noise > MOST_NOISE * n or many < LEAST_CLUSTERS):
-        found.unpersist()
         return kmeans(df, key, vector, want_count(n), seed).withColumn("method", F.lit("kmeans"))
     return found.select(key, "cluster").withColumn("method", F.lit("density"))
