@@ -146,76 +146,199 @@ def fallback_wants(desires: DataFrame, tops: DataFrame) -> DataFrame:
 
 # -- regression --------------------------------------------------------------
 
-#: Levels of all factors together, at most: the design is dense, and a task holds its square.
+#: Levels of all factors together that a dense design takes; beyond it the factor with the most is absorbed.
 MOST_LEVELS = 1_500
+#: Parts in which the sums of an absorbed factor's levels come together.
+LEVEL_PARTS = 32
+_COEFS = "term string, coef double, se double, z double, p double, r2 double"
 
 
-def ols(df: DataFrame, y: str, numeric: list[str], factors: list[str]) -> DataFrame:
-    """term, coef, se, z, p, r2: least squares with fixed effects and HC3 errors.
+class _Design:
+    """Columns of a design: numeric ones, and for each factor all levels but the first."""
 
-    Factors are coded against their first level; over MOST_LEVELS levels in all are
-    refused.  The columns in use are kept, then two passes go over them: one sums X'X,
-    X'y and the target's moments, the other the squared leave-one-out errors times
-    xx'.  What reaches the driver has the size of the design (terms squared).
-    """
-    df = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in factors]).dropna().persist()
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in factors])).alias("x")
-    found = df.select(pairs).select("x.c", "x.v").distinct().limit(MOST_LEVELS + 1).collect() if factors else []
-    if len(found) > MOST_LEVELS:
-        df.unpersist()
-        raise ValueError(f"the factors have over {MOST_LEVELS} levels")
-    levels = {c: sorted(r.v for r in found if r.c == c) for c in factors}
-    names = ["const", *numeric, *[f"{c}={v}" for c in factors for v in levels[c][1:]]]
-    k = len(names)
-    if df.isEmpty():
-        return df.sparkSession.createDataFrame([], "term string, coef double, se double, z double, p double, r2 double")
+    def __init__(self, numeric: list[str], levels: dict[str, list[str]], const: bool):
+        self.numeric, self.levels, self.const = numeric, levels, const
+        self.names = [*(["const"] if const else []), *numeric, *[f"{c}={v}" for c, vs in levels.items() for v in vs[1:]]]
 
-    def design(pdf):
+    def __call__(self, pdf) -> np.ndarray:
         import pandas as pd
 
-        x = np.zeros((len(pdf), k))
-        x[:, 0] = 1
-        for i, c in enumerate(numeric, 1):
+        x = np.zeros((len(pdf), len(self.names)))
+        x[:, : int(self.const)] = 1
+        for i, c in enumerate(self.numeric, int(self.const)):
             x[:, i] = pdf[c].to_numpy()
-        at = 1 + len(numeric)
-        for c in factors:
-            code = pd.Categorical(pdf[c], categories=levels[c]).codes
+        at = int(self.const) + len(self.numeric)
+        for c, vs in self.levels.items():
+            code = pd.Categorical(pdf[c], categories=vs).codes
             some = np.flatnonzero(code > 0)
             x[some, at + code[some] - 1] = 1
-            at += max(0, len(levels[c]) - 1)
+            at += max(0, len(vs) - 1)
         return x
 
-    def summed(f):
-        def run(parts):
-            import pandas as pd
 
-            total = None  # one sum for each task
-            for pdf in parts:
-                m = f(design(pdf), pdf["y"].to_numpy())
-                total = m if total is None else total + m
-            if total is not None:
-                yield pd.DataFrame({"m": [total.ravel().tolist()]})
+def _summed(df: DataFrame, f) -> np.ndarray:
+    """The sum of f(batch) over all batches: one array from each task."""
+
+    def run(parts):
+        import pandas as pd
+
+        total = None
+        for pdf in parts:
+            m = f(pdf)
+            total = m if total is None else total + m
+        if total is not None:
+            yield pd.DataFrame({"m": [total.ravel().tolist()]})
+
+    sums = df.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r.v for r in sums.orderBy("i").collect()])
+
+
+def _by_level(df: DataFrame, f, width: int) -> DataFrame:
+    """g, m: sums of f(batch), a row of ``width`` numbers for each row of df, by its level g; a task sums before it sends."""
+
+    def partial(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            g, at = np.unique(pdf["g"].to_numpy(dtype=str), return_inverse=True)
+            o = np.argsort(at, kind="stable")
+            m = np.add.reduceat(f(pdf)[o], np.searchsorted(at[o], np.arange(len(g))), axis=0)
+            yield pd.DataFrame({"g": g, "m": m.tolist()})
+
+    def total(pdf):
+        import pandas as pd
+
+        g, at = np.unique(pdf["g"].to_numpy(dtype=str), return_inverse=True)
+        o = np.argsort(at, kind="stable")
+        m = np.add.reduceat(np.stack(pdf["m"].to_numpy())[o].reshape(-1, width), np.searchsorted(at[o], np.arange(len(g))), axis=0)
+        return pd.DataFrame({"g": g, "m": m.tolist()})
+
+    parts = df.mapInPandas(partial, "g string, m array<double>").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(LEVEL_PARTS)).cast("int"))
+    return parts.groupBy("part").applyInPandas(lambda pdf: total(pdf), "g string, m array<double>")
+
+
+def _coefficients(names: list[str], b: np.ndarray, var: np.ndarray, r2: float) -> list[tuple]:
+    se = np.sqrt(np.maximum(var, 0))
+    z = np.where(se > 0, b / np.where(se > 0, se, 1), 0.0)
+    return [(t, float(c), float(s), float(v), math.erfc(abs(v) / math.sqrt(2)), float(r2)) for t, c, s, v in zip(names, b, se, z, strict=True)]
+
 
-        sums = df.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        return np.array([r.v for r in sums.orderBy("i").collect()])
+def ols(df: DataFrame, y: str, numeric: list[str], factors: list[str]) -> DataFrame:
+    """term, coef, se, z, p, r2: least squares with fixed effects and HC3 errors.
 
-    g = summed(lambda x, y_: np.vstack([np.c_[x.T @ x, x.T @ y_], np.r_[np.zeros(k - 2), len(y_), y_.sum(), y_ @ y_][None, :]] if k >= 2 else [np.c_[x.T @ x, x.T @ y_]])).reshape(k + 1, k + 1)
-    xx, xy, (n, sy, syy) = g[:k, :k], g[:k, k], g[k, -3:]
+    Factors are coded against their first level.  The columns in use are kept, then
+    two passes go over them: one sums X'X, X'y and the target's moments, the other the
+    squared leave-one-out errors times xx'.  What reaches the driver has the size of
+    the design (terms squared).  With over MOST_LEVELS levels in all, the factor with
+    the most is absorbed (see ``_absorbed``); if the others still have as many, they
+    are refused.
+    """
+    df = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Unknown")).alias(c) for c in factors]).dropna()
+    df = stored(df, "design")
+    if df.isEmpty():
+        return df.sparkSession.createDataFrame([], _COEFS)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in factors])).alias("x")
+    found = stored(df.select(pairs).select("x.c", "x.v").distinct(), "levels") if factors else None
+    many = dict(found.groupBy("c").count().collect()) if factors else {}
+    absorbed = max(many, key=lambda c: (many[c], c)) if sum(many.values()) > MOST_LEVELS else None
+    if sum(n for c, n in many.items() if c != absorbed) > MOST_LEVELS:
+        raise ValueError(f"the factors but {absorbed} have over {MOST_LEVELS} levels")
+    rows = found.filter(F.col("c") != F.lit(absorbed or "")).collect() if factors else []
+    levels = {c: sorted(r.v for r in rows if r.c == c) for c in factors if c != absorbed}
+    if absorbed:
+        return _absorbed(df.withColumnRenamed(absorbed, "g"), _Design(numeric, levels, False), absorbed)
+    design = _Design(numeric, levels, True)
+    k = len(design.names)
+
+    def moments(pdf):
+        x, v = design(pdf), pdf["y"].to_numpy()
+        return np.concatenate([(x.T @ x).ravel(), x.T @ v, [len(v), v.sum(), v @ v]])
+
+    g = _summed(df, moments)
+    xx, xy, (n, sy, syy) = g[: k * k].reshape(k, k), g[k * k : -3], g[-3:]
     inv = np.linalg.pinv(xx)
     b = inv @ xy
 
-    def meat(x, y_):
-        h = np.einsum("ij,jk,ik->i", x, inv, x)
-        e = (y_ - x @ b) / np.maximum(1 - h, 1e-9)
+    def meat(pdf):
+        x = design(pdf)
+        e = (pdf["y"].to_numpy() - x @ b) / np.maximum(1 - ((x @ inv) * x).sum(axis=1), 1e-9)
         return (x * (e * e)[:, None]).T @ x
 
-    cov = inv @ summed(meat).reshape(k, k) @ inv
-    df.unpersist()
-    se = np.sqrt(np.maximum(np.diag(cov), 0))
+    cov = inv @ _summed(df, meat).reshape(k, k) @ inv
     r2 = 1 - (syy - b @ xy) / max(syy - sy * sy / n, 1e-12)
-    z = np.where(se > 0, b / np.where(se > 0, se, 1), 0.0)
-    rows = [(t, float(c), float(s), float(v), math.erfc(abs(v) / math.sqrt(2)), float(r2)) for t, c, s, v in zip(names, b, se, z, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, p double, r2 double")
+    return df.sparkSession.createDataFrame(_coefficients(design.names, b, np.diag(cov), r2), _COEFS)
+
+
+def _absorbed(df: DataFrame, design: _Design, factor: str) -> DataFrame:
+    """``ols`` with one factor (column g) of any number of levels, by elimination; the same figures as the dense design has.
+
+    A level's rows are looked at as differences from the level's means, so what is
+    solved has the size of the other columns.  Means and sums by level are a table,
+    joined to the rows; a level's coefficient and error come from its own sums.
+    """
+    k, spark = len(design.names), df.sparkSession
+
+    def sums(pdf):
+        return np.column_stack([np.ones(len(pdf)), pdf["y"].to_numpy(), design(pdf)])
+
+    level = _by_level(df, sums, k + 2)
+    level = stored(level.select("g", F.col("m")[0].alias("n"), F.transform(F.slice("m", 2, k + 1), lambda v: v / F.col("m")[0]).alias("mean")), "level-means")
+    # partitions go by level and a salt, so one level's rows are dealt to several tasks
+    x = stored(df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(8))).join(level.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))), ["g", "salt"]).drop("salt"), "level-rows")
+
+    def within(pdf):
+        mean = np.stack(pdf["mean"].to_numpy())
+        return design(pdf) - mean[:, 1:], pdf["y"].to_numpy() - mean[:, 0]
+
+    def moments(pdf):
+        z, v = within(pdf)
+        full = pdf["y"].to_numpy()
+        return np.concatenate([(z.T @ z).ravel(), z.T @ v, [len(v), full.sum(), full @ full, v @ v]])
+
+    s = _summed(x, moments)
+    zz, zy, (n, sy, syy, inner) = s[: k * k].reshape(k, k), s[k * k : -4], s[-4:]
+    inv = np.linalg.pinv(zz) if k else zz
+    b = inv @ zy
+
+    def errors(pdf):
+        z, v = within(pdf)
+        e = (v - z @ b) / np.maximum(1 - 1 / pdf["n"].to_numpy() - ((z @ inv) * z).sum(axis=1), 1e-9)
+        return z, e * e
+
+    def meat(pdf):
+        z, ee = errors(pdf)
+        return np.append((z * ee[:, None]).T @ z, 0.0)
+
+    cov = inv @ _summed(x, meat)[:-1].reshape(k, k) @ inv
+    r2 = 1 - (inner - b @ zy) / max(syy - sy * sy / n, 1e-12)
+
+    def spread(pdf):
+        z, ee = errors(pdf)
+        return np.column_stack([ee, z * ee[:, None]])
+
+    table = stored(level.join(_by_level(x, spread, k + 1).withColumnRenamed("m", "spread"), "g"), "level-table")
+    zero = table.orderBy("g").first()  # the level that the others are compared with
+    n0, m0, s0 = zero.n, np.array(zero.mean), np.array(zero.spread)
+
+    def coefficients(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            n, mean, own = pdf["n"].to_numpy()[:, None], np.stack(pdf["mean"].to_numpy()), np.stack(pdf["spread"].to_numpy())
+            first = (pdf["g"] == zero.g).to_numpy()
+            base = np.where(first[:, None], 0.0, m0[None, :])
+            alone = np.where(first, 0.0, 1.0)
+            d = mean - base
+            c = d[:, 0] - d[:, 1:] @ b
+            r = own[:, 1:] / n - alone[:, None] * s0[1:] / n0
+            var = own[:, 0] / n[:, 0] ** 2 + alone * s0[0] / n0**2 - 2 * ((d[:, 1:] @ inv) * r).sum(axis=1) + ((d[:, 1:] @ cov) * d[:, 1:]).sum(axis=1)
+            names = np.where(first, "const", f"{factor}=" + pdf["g"].to_numpy(dtype=object))
+            yield pd.DataFrame(_coefficients(list(names), c, var, r2), columns=["term", "coef", "se", "z", "p", "r2"])
+
+    out = table.mapInPandas(coefficients, _COEFS)
+    return out.unionByName(spark.createDataFrame(_coefficients(design.names, b, np.diag(cov), r2), _COEFS))
 
 
 # -- clustering --------------------------------------------------------------
@@ -240,7 +363,7 @@ def _ml(df: DataFrame, vector: str) -> DataFrame:
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int | None = None, seed: int = 42) -> DataFrame:
-    """key, cluster by k-means with cosine distance (in place of density clustering, which Spark lacks)."""
+    """key, cluster by k-means with cosine distance, full passes."""
     from pyspark.ml.clustering import KMeans
 
     x = _ml(df.filter(F.col(vector).isNotNull()), vector)
@@ -292,12 +415,21 @@ def merge_centroids(centroids: DataFrame, by: str, distance: float) -> DataFrame
     x = np.array([r.c for r in rows], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     d = 1 - x @ x.T
+    # means of distances between groups, updated by their sizes
     groups = [[i] for i in range(len(rows))]
-    while len(groups) > 1:
-        best = min(((np.mean(d[np.ix_(a, b)]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), key=lambda v: v[0])
-        if best[0] > distance:
+    size = np.ones(len(rows))
+    np.fill_diagonal(d, np.inf)
+    while len(rows) > 1:
+        i, j = sorted(divmod(int(np.argmin(d)), len(rows)))
+        if not d[i, j] <= distance:
             break
-        groups[best[1]] += groups.pop(best[2])
+        groups[i] += groups[j]
+        groups[j] = []
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+    groups = [gr for gr in groups if gr]
     out = [(rows[i][by], min(rows[k][by] for k in gr)) for gr in groups for i in gr]
     kind = centroids.schema[by].dataType
     return centroids.sparkSession.createDataFrame(out, T.StructType([T.StructField(by, kind), T.StructField("parent", kind)]))
