@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.sinks import stored
 
 
 def mean_vectors(df: DataFrame, by: str, vector: str = "v") -> DataFrame:
@@ -19,6 +21,8 @@ def mean_vectors(df: DataFrame, by: str, vector: str = "v") -> DataFrame:
 
 #: Centroids that travel to the executors, at most; they are one for each want or topic.
 MOST_CENTROIDS = 5_000
+#: Vectors that meet a block of centroids in a task, where there are more.
+MOST_VECTORS = 50_000
 
 
 def collected(centroids: DataFrame, by: str) -> tuple[list, np.ndarray]:
@@ -42,12 +46,29 @@ def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return has, flat.reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 0))
 
 
+def _two_best(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and cosines of each row's nearest and second centroid, the first of equal ones; no second: its place is -1."""
+    s = np.round(unit(x) @ c.T, 12)
+    rows = np.arange(len(s))
+    first = np.argmax(s, axis=1)
+    top = s[rows, first]
+    if len(c) < 2:
+        return first, top, np.full(len(s), -1), np.zeros(len(s))
+    s[rows, first] = -np.inf
+    second = np.argmax(s, axis=1)
+    return first, top, second, s[rows, second]
+
+
 def nearest(df: DataFrame, centroids: DataFrame, by: str, vector: str = "v") -> DataFrame:
     """df with best, score and margin (best less second; one centroid: the score), by cosine; ties to the smaller id.
 
-    Centroids are few, so they travel as one matrix; a batch of vectors is compared in
-    one product.  Without a vector, or without centroids, all three are null.
+    Up to MOST_CENTROIDS centroids travel as one matrix, and a batch of vectors is
+    compared in one product; more go in blocks (see ``_nearest_in_blocks``), with the
+    same result.  Without a vector, or without centroids, all three are null.
     """
+    n = centroids.limit(MOST_CENTROIDS + 1).count()
+    if n > MOST_CENTROIDS:
+        return _nearest_in_blocks(df, centroids, by, vector)
     ids, c = collected(centroids, by)
     c = unit(c) if len(ids) else c
 
@@ -57,11 +78,7 @@ def nearest(df: DataFrame, centroids: DataFrame, by: str, vector: str = "v") ->
         has = has & (len(ids) > 0)
         at, score, margin = np.zeros(len(v), np.int32), np.zeros(len(v)), np.zeros(len(v))
         if has.any():
-            s = np.round(unit(x) @ c.T, 12)
-            first = np.argmax(s, axis=1)  # the first of equal ones has the smaller id
-            top = s[np.arange(len(s)), first]
-            s[np.arange(len(s)), first] = -np.inf
-            second = s.max(axis=1) if len(ids) > 1 else np.zeros(len(s))
+            first, top, _, second = _two_best(x, c)
             at[has], score[has], margin[has] = first, top, top - second
         cols = [pa.array(a, mask=~has) for a in (at, score, margin)]
         return pa.StructArray.from_arrays(cols, names=["at", "score", "margin"])
@@ -72,6 +89,38 @@ def nearest(df: DataFrame, centroids: DataFrame, by: str, vector: str = "v") ->
     return out.withColumns({"best": F.get(names, F.col("s_.at")), "score": F.col("s_.score"), "margin": F.col("s_.margin")}).drop("s_")
 
 
+def _nearest_in_blocks(df: DataFrame, centroids: DataFrame, by: str, vector: str) -> DataFrame:
+    """Groups of vectors meet blocks of centroids; each block hands on a row's two best, and the two best of those count.
+
+    A task holds MOST_VECTORS vectors and MOST_CENTROIDS centroids, about, however many
+    there are of either.
+    """
+    df = stored(df.withColumn("row_", F.monotonically_increasing_id()), "nearest-rows")
+    x = df.filter(F.col(vector).isNotNull()).select("row_", F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    c = stored(centroids.select(F.col(by).alias("id"), "c"), "nearest-centroids")
+    groups, blocks = 1 + x.count() // MOST_VECTORS, 1 + c.count() // MOST_CENTROIDS
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = x.withColumn("group", F.pmod(F.xxhash64("row_"), F.lit(groups)).cast("int")).withColumn("block", every(blocks))
+    right = c.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", every(groups))
+
+    def best(t: pa.Table, near: pa.Table) -> pa.Table:
+        near = near.take(pc.sort_indices(near, [("id", "ascending")]))
+        ids, rows = near.column("id").combine_chunks(), t.column("row_").combine_chunks()
+        if not len(near) or not len(t):
+            return pa.table({"row_": rows[:0], "id": ids[:0], "score": pa.array([], pa.float64())})
+        first, top, second, next_ = _two_best(matrix(t.column("v").combine_chunks())[1], unit(matrix(near.column("c").combine_chunks())[1]))
+        two = second >= 0
+        return pa.table({"row_": pa.concat_arrays([rows, rows.filter(pa.array(two))]), "id": pa.concat_arrays([ids.take(pa.array(first)), ids.take(pa.array(second[two]))]), "score": np.append(top, next_[two])})
+
+    kind = centroids.schema[by].dataType.simpleString()
+    found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(best, f"row_ long, id {kind}, score double")
+    two = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, 2)  # two for each block
+    found = found.groupBy("row_").agg(two.alias("t"))
+    score, second = -F.col("t")[0]["s"], F.when(F.size("t") > 1, -F.get("t", F.lit(1))["s"]).otherwise(0.0)
+    found = found.select("row_", F.col("t")[0]["id"].alias("best"), score.alias("score"), (score - second).alias("margin"))
+    return df.join(found, "row_", "left").drop("row_")
+
+
 def threshold(confirmed: DataFrame, score: str = "own") -> DataFrame:
     """One row: the 10th percentile of confirmed self-similarity less 0.03, from 0.25 to 0.55."""
     return confirmed.agg(F.greatest(F.lit(0.25), F.least(F.lit(0.55), F.percentile(score, F.lit(0.10)) - 0.03)).alias("threshold"))
