@@ -165,25 +165,30 @@ def cluster_summary(e: DataFrame, by: str = "issue_id") -> DataFrame:
 
 
 def emerging(e: DataFrame) -> DataFrame:
-    """Issues by growth; unclustered tickets (-999) are out before totals are taken."""
-    x = windowed(e.filter("issue_id <> -999"), 180)
+    """Issues by growth; unclustered tickets (-999) are out before totals are taken.
+
+    An issue goes by its most frequent label (ties: the first in order).  Windows end
+    with the last date of all issues; the prior one has the 150 days before the last 30.
+    """
+    x = windowed(stored(e.filter("issue_id <> -999").select("issue_id", "issue_label", "date", "is_unresolved", "primary_desire", F.col("source_row").cast("long").alias("first_pos")), "emerging"), 180)
     days = lambda n: F.coalesce(F.col("date") >= F.col("max_date") - F.expr(f"INTERVAL {n} DAYS"), F.lit(False))
-    s = x.groupBy("issue_id", "issue_label").agg(
-        F.count("*").alias("tickets"), *[F.count_if(days(n)).alias(f"last_{n}_tickets") for n in (30, 60, 90)], F.count_if("prior_").alias("prior_tickets"),
-        F.coalesce(F.avg(F.when(days(30), F.col("is_unresolved").cast("int"))), F.lit(0.0)).alias("ru"),
+    s = x.groupBy("issue_id").agg(
+        F.coalesce(F.mode("issue_label", True), F.first("issue_id").cast("string")).alias("issue_label"), F.count("*").alias("total_tickets"),
+        *[F.count_if(days(n)).alias(f"last_{n}_tickets") for n in (30, 60, 90)], F.count_if("prior_").alias("p_"), F.coalesce(F.avg(F.when(days(30), F.col("is_unresolved").cast("int"))), F.lit(0.0)).alias("ru"),
     )
-    s = s.crossJoin(F.broadcast(s.agg(F.sum("last_30_tickets").alias("n_r"), F.sum("prior_tickets").alias("n_p"))))  # one row
-    rs, ps = F.col("last_30_tickets") / F.greatest("n_r", F.lit(1)), F.col("prior_tickets") / F.greatest("n_p", F.lit(1))
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("last_30_tickets").alias("n_r"), F.sum("p_").alias("n_p"))))  # one row
+    rs, ps = F.col("last_30_tickets") / F.greatest("n_r", F.lit(1)), F.col("p_") / F.greatest("n_p", F.lit(1))
     s = s.withColumns(
         {
-            "recent_vs_prior_lift": F.round(lift(rs, ps), 4),
-            "recent_vs_prior_z": F.round(z_score(F.col("last_30_tickets"), F.col("n_r"), F.col("prior_tickets"), F.col("n_p")), 4),
+            **{f"last_{n}_share_of_issue": F.round(F.col(f"last_{n}_tickets") / F.col("total_tickets"), 4) for n in (30, 60, 90)},
+            "recent_vs_prior_lift": F.round(lift(rs, ps), 3),
+            "recent_vs_prior_z": F.round(z_score(F.col("last_30_tickets"), F.col("n_r"), F.col("p_"), F.col("n_p")), 3),
             "recent_unresolved_share": F.round("ru", 4),
-            "last_90_share_of_issue": F.round(F.col("last_90_tickets") / F.col("tickets"), 4),
         }
     )
     score = F.sqrt(F.col("last_30_tickets").cast("double")) * F.least(F.col("recent_vs_prior_lift"), F.lit(6.0)) * (1 + F.col("recent_unresolved_share"))
-    return s.withColumn("emergence_score", F.round(score, 4)).drop("ru", "n_r", "n_p")
+    s = s.withColumn("emergence_score", F.round(F.round(score, 8), 2)).drop("ru", "n_r", "n_p", "p_")
+    return same(s, top_lists(x, ["issue_id"], {"top_desires": ("primary_desire", 4)}), ["issue_id"]).na.fill("", ["top_desires"])
 
 
 def persona() -> Column:

@@ -80,14 +80,18 @@ def journeys(x: DataFrame, least: int = 2, title: str = "want_title", review: st
 
 
 def events(x: DataFrame, least: int = 2, title: str = "want_title") -> DataFrame:
-    """The records of users with ``least`` or more, in order: index, days since the first, what was asked."""
+    """The records of users with ``least`` or more, in order: index, days since the first, what was asked and what it was taken for.
+
+    Columns of the assignment and of the model layer that x lacks are empty.
+    """
     every = W.partitionBy("uid")
     w = every.orderBy(F.col("date").asc_nulls_last(), "source_row")
-    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in x.columns else F.lit("")
     e = x.filter("uid <> ''").withColumns({"event_index": F.row_number().over(w), "n_": F.count("*").over(every), "f_": F.min("date").over(every)}).filter(F.col("n_") >= least)
     return e.select(
         "uid", "event_index", "source_row", F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")).alias("date"), F.coalesce(F.datediff("date", "f_"), F.lit(0)).alias("days_since_first"),
-        clean(title).alias("want_title"), clean("category").alias("category"), clean("status_en").alias("status"), clean("manager").alias("manager"), F.substring(clean("question_flat"), 1, 280).alias("question"),
+        clean(title).alias("want_title"), clean("category").alias("category"), clean("status_en").alias("status"), clean("manager").alias("manager"), clean("confidence_band").alias("confidence_band"), F.substring(clean("question_flat"), 1, 280).alias("question"),
+        *[F.substring(clean(c), 1, 180).alias(c) for c in ("actual_user_want", "support_next_step", "product_opportunity")],
     )
 
 
@@ -119,8 +123,8 @@ def complete_months(x: DataFrame, month: str = "month") -> DataFrame:
     return m.select(month, (F.row_number().over(W.orderBy(month)) - 1).alias("i"), F.row_number().over(W.orderBy(F.desc(month))).alias("back"))
 
 
-def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm_review") -> DataFrame:
-    """Last two complete months against the two before, slope over all of them (absent: 0), forecast, momentum, label.
+def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm_review", title: str = "want_title") -> DataFrame:
+    """For each group and title: last two complete months against the two before, slope over all of them (absent: 0), forecast, momentum, label.
 
     Groups without a row in a complete month have no row here.  With fewer than three
     complete months the slope is 0 and the forecast is the recent average; averages
@@ -133,7 +137,7 @@ def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm
     months = F.broadcast(months.withColumns({"m_": F.count("*").over(all_), "recent_months": names(1, 2), "prior_months": names(3, 4), "forecast_month": after}))
     back, bad = F.col("back"), status_bucket().isin("failed", "open")
     rate = lambda c: F.coalesce(F.avg(F.when(back <= 2, c.cast("int"))), F.lit(0.0))
-    s = x.join(months, month).groupBy(by).agg(
+    s = x.join(months, month).filter(F.col(by).isNotNull() & F.col(title).isNotNull()).groupBy(by, title).agg(
         *[F.max(c).alias(c) for c in ("m_", "recent_months", "prior_months", "forecast_month")],
         F.count_if(back <= 2).alias("recent_records"), F.count_if(back.between(3, 4)).alias("prior_records"), F.count_if(back <= 3).alias("l3_"), F.count("*").alias("y_"), F.sum("i").alias("iy_"),
         F.round(rate(bad), 3).alias("recent_failed_or_open_share"), F.round(rate(F.col(review)), 3).alias("recent_review_queue_share"),
@@ -147,7 +151,7 @@ def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm
     two = lambda c, k: F.round(F.round(c, 8), k)
     forecast = F.when(n >= 3, F.greatest(F.lit(0.0), F.col("l3_") / 3 + slope)).otherwise(r)
     s = s.select(
-        by, "recent_months", "prior_months", "recent_records", "prior_records", F.round(r, 2).alias("recent_avg_per_month"), two(t.ratio(r - p, p), 3).alias("growth_ratio"), two(slope, 2).alias("monthly_slope"),
+        by, title, "recent_months", "prior_months", "recent_records", "prior_records", F.round(r, 2).alias("recent_avg_per_month"), F.round(p, 2).alias("prior_avg_per_month"), two(t.ratio(r - p, p), 3).alias("growth_ratio"), two(slope, 2).alias("monthly_slope"),
         two(forecast, 1).alias("forecast_next_month"), "forecast_month", "recent_failed_or_open_share", "recent_review_queue_share", "recent_unique_users",
     )
     momentum = two(F.col("forecast_next_month") * (1 + F.greatest("growth_ratio", F.lit(-0.5))) * (1 + F.col("recent_failed_or_open_share")), 2)

@@ -161,11 +161,12 @@ G05 = f"""x AS (SELECT * FROM iss WHERE issue_id <> -999), mx AS (SELECT max(dat
 w AS (SELECT x.*, coalesce(date >= top - INTERVAL 30 DAY, false) AS r30, coalesce(date >= top - INTERVAL 60 DAY, false) AS r60, coalesce(date >= top - INTERVAL 90 DAY, false) AS r90,
   coalesce(date >= top - INTERVAL 180 DAY AND date < top - INTERVAL 30 DAY, false) AS b FROM x, mx),
 tot AS (SELECT greatest(count(*) FILTER (r30), 1) AS nr, greatest(count(*) FILTER (b), 1) AS nb FROM w),
-s AS (SELECT issue_id, issue_label, {CNT} AS tickets, CAST(count(*) FILTER (r30) AS BIGINT) AS last_30_tickets, CAST(count(*) FILTER (r60) AS BIGINT) AS last_60_tickets, CAST(count(*) FILTER (r90) AS BIGINT) AS last_90_tickets,
+s AS (SELECT issue_id, issue_label, {CNT} AS total_tickets, CAST(count(*) FILTER (r30) AS BIGINT) AS last_30_tickets, CAST(count(*) FILTER (r60) AS BIGINT) AS last_60_tickets, CAST(count(*) FILTER (r90) AS BIGINT) AS last_90_tickets,
   CAST(count(*) FILTER (b) AS BIGINT) AS prior_tickets, coalesce(avg(CAST(is_unresolved AS INT)) FILTER (r30), 0.0) AS ru FROM w GROUP BY ALL),
-s2 AS (SELECT s.*, round((last_30_tickets / nr + 0.0005::DOUBLE) / (prior_tickets / nb + 0.0005::DOUBLE), 4) AS recent_vs_prior_lift, round({Z.format(a='last_30_tickets', na='nr', b='prior_tickets', nb='nb')}, 4) AS recent_vs_prior_z, round(ru, 4) AS recent_unresolved_share FROM s, tot),
-emerging AS (SELECT issue_id, issue_label, tickets, last_30_tickets, last_60_tickets, last_90_tickets, prior_tickets, recent_vs_prior_lift, recent_vs_prior_z, recent_unresolved_share, round(last_90_tickets / tickets, 4) AS last_90_share_of_issue,
-  round(sqrt(last_30_tickets) * least(recent_vs_prior_lift, 6) * (1 + recent_unresolved_share), 4) AS emergence_score FROM s2)"""
+s2 AS (SELECT s.*, round((last_30_tickets / nr + 0.0005::DOUBLE) / (prior_tickets / nb + 0.0005::DOUBLE), 3) AS recent_vs_prior_lift, round({Z.format(a='last_30_tickets', na='nr', b='prior_tickets', nb='nb')}, 3) AS recent_vs_prior_z, round(ru, 4) AS recent_unresolved_share FROM s, tot),
+tops_emerging AS ({top_sql('w', 'issue_id', 'primary_desire', 4, 'top_desires')}),
+emerging AS (SELECT issue_id, issue_label, total_tickets, last_30_tickets, round(last_30_tickets / total_tickets, 4) AS last_30_share_of_issue, last_60_tickets, round(last_60_tickets / total_tickets, 4) AS last_60_share_of_issue, last_90_tickets, round(last_90_tickets / total_tickets, 4) AS last_90_share_of_issue,
+  recent_vs_prior_lift, recent_vs_prior_z, recent_unresolved_share, coalesce(top_desires, '') AS top_desires, round(round(sqrt(last_30_tickets) * least(recent_vs_prior_lift, 6) * (1 + recent_unresolved_share), 8), 2) AS emergence_score FROM s2 LEFT JOIN tops_emerging USING (issue_id))"""
 
 
 @query(f"{W}{ISSUE}, {G05} SELECT * FROM emerging")

@@ -8,11 +8,12 @@ from pyspark.sql import Window
 
 from ..functions import patterns as p
 from ..functions import text as t
+from ..operators import decomposition as de
 from ..operators import extraction as ex
 from ..operators import grouping as g
-from ..operators import layout
 from ..operators import longitudinal as lo
 from ..operators import mining as mi
+from ..operators import minibatch as mb
 from ..operators import vectors as ve
 from ..sources.tables import PHRASES, table, tickets
 from . import catalog
@@ -393,16 +394,16 @@ def e03_sql_parameters(spark, d):
 
 
 def asked(spark, d):
-    """The tickets with what the assignment stage adds: title, review flag, confidence (made up from the key)."""
+    """The tickets with what the assignment stage adds: title, review flag, confidence and its band (made up from the key)."""
     k = F.col("source_row").cast("long")
-    return cleaned(spark, d).withColumns({"want_title": F.concat(F.lit("want "), F.col("want_id").cast("string")), "needs_llm_review": k % 5 == 0, "assignment_confidence": (k % 97) / 97})
+    return cleaned(spark, d).withColumns({"want_title": F.concat(F.lit("want "), F.col("want_id").cast("string")), "needs_llm_review": k % 5 == 0, "assignment_confidence": (k % 97) / 97, "confidence_band": F.when(k % 97 >= 70, "high").when(k % 97 >= 30, "medium").otherwise("low")})
 
 
 def journeys(spark, d):
     return lo.journeys(asked(spark, d))
 
 
-_EV = f"""asked AS (SELECT *, 'want ' || want_id AS want_title, CAST(source_row AS BIGINT) % 5 = 0 AS needs_llm_review, CAST(source_row AS BIGINT) % 97 / 97 AS assignment_confidence FROM cleaned),
+_EV = f"""asked AS (SELECT *, 'want ' || want_id AS want_title, CAST(source_row AS BIGINT) % 5 = 0 AS needs_llm_review, CAST(source_row AS BIGINT) % 97 / 97 AS assignment_confidence, CASE WHEN CAST(source_row AS BIGINT) % 97 >= 70 THEN 'high' WHEN CAST(source_row AS BIGINT) % 97 >= 30 THEN 'medium' ELSE 'low' END AS confidence_band FROM cleaned),
 ev AS (SELECT *, {BUCKET} AS s, row_number() OVER (PARTITION BY uid ORDER BY date NULLS LAST, source_row) AS k, count(*) OVER (PARTITION BY uid) AS nn FROM asked WHERE uid <> '')"""
 
 
@@ -432,9 +433,18 @@ def o01_journeys(spark, d):
     return journeys(spark, d)
 
 
-@query(f"{W}{CLEANED}, {_EV} SELECT uid, CAST(k AS INT) AS event_index, source_row, coalesce(strftime(date, '%Y-%m-%d'), '') AS date, CAST(coalesce(date_diff('day', CAST(min(date) OVER (PARTITION BY uid) AS DATE), CAST(date AS DATE)), 0) AS INT) AS days_since_first, want_title, category, status_en AS status, manager, substr(question_flat, 1, 280) AS question FROM ev WHERE nn >= 2")
+_MODEL = ["actual_user_want", "support_next_step", "product_opportunity"]
+
+
+@query(
+    f"""{W}{ENRICHED}, {EXTRACT}, {_EV} SELECT ev.uid, CAST(k AS INT) AS event_index, source_row, coalesce(strftime(ev.date, '%Y-%m-%d'), '') AS date,
+  CAST(coalesce(date_diff('day', CAST(min(ev.date) OVER (PARTITION BY ev.uid) AS DATE), CAST(ev.date AS DATE)), 0) AS INT) AS days_since_first, want_title, ev.category, ev.status_en AS status, ev.manager, confidence_band,
+  substr(ev.question_flat, 1, 280) AS question, {", ".join(f"substr(trim(rules.{c}), 1, 180) AS {c}" for c in _MODEL)} FROM ev JOIN rules USING (source_row) WHERE nn >= 2"""
+)
 def o01_journey_events(spark, d):
-    return lo.events(asked(spark, d))
+    """Events with what the rules extractor, as the model layer, says of each ticket."""
+    said = ex.rules(enriched(spark, d)).select("source_row", *_MODEL)
+    return lo.events(asked(spark, d).join(said, "source_row", "left"))
 
 
 @query(f"{W}{JOUR} SELECT uid, severity_score FROM jr")
@@ -486,7 +496,7 @@ gs AS (SELECT want_id, regr_slope(y, i) AS sl, avg(y) FILTER (back <= 3) AS l3 F
 t1 AS (SELECT want_id, CAST(count(*) FILTER (back <= 2) AS BIGINT) AS recent_records, CAST(count(*) FILTER (back BETWEEN 3 AND 4) AS BIGINT) AS prior_records, round(coalesce(avg(CAST(f AS INT)) FILTER (back <= 2), 0), 3) AS recent_failed_or_open_share,
   round(coalesce(avg(CAST(needs_llm_review AS INT)) FILTER (back <= 2), 0), 3) AS recent_review_queue_share, CAST(count(DISTINCT uid) FILTER (back <= 2) AS BIGINT) AS recent_unique_users FROM rows_ GROUP BY want_id),
 t2 AS (SELECT *, recent_records / greatest(least(nm, 2), 1) AS ra, prior_records / greatest(least(nm - 2, 2), 1) AS pa, CASE WHEN nm >= 3 THEN sl ELSE 0 END AS sl2 FROM t1 JOIN gs USING (want_id), nm),
-t3 AS (SELECT want_id, recent_months, coalesce(prior_months, '') AS prior_months, recent_records, prior_records, round(ra, 2) AS recent_avg_per_month, CASE WHEN pa = 0 THEN 0 ELSE round(round((ra - pa) / pa, 8), 3) END AS growth_ratio, round(round(sl2, 8), 2) AS monthly_slope,
+t3 AS (SELECT want_id, 'want ' || want_id AS want_title, recent_months, coalesce(prior_months, '') AS prior_months, recent_records, prior_records, round(ra, 2) AS recent_avg_per_month, round(pa, 2) AS prior_avg_per_month, CASE WHEN pa = 0 THEN 0 ELSE round(round((ra - pa) / pa, 8), 3) END AS growth_ratio, round(round(sl2, 8), 2) + 0.0 AS monthly_slope,
   round(round(CASE WHEN nm >= 3 THEN greatest(0, l3 + sl) ELSE ra END, 8), 1) AS forecast_next_month, forecast_month, recent_failed_or_open_share, recent_review_queue_share, recent_unique_users FROM t2),
 tr AS (SELECT *, round(round(forecast_next_month * (1 + greatest(growth_ratio, -0.5)) * (1 + recent_failed_or_open_share), 8), 2) AS momentum_score, CASE WHEN growth_ratio >= 0.35 AND recent_records >= 20 THEN 'rising' WHEN growth_ratio <= -0.35 AND prior_records >= 20 THEN 'falling' WHEN monthly_slope >= 5 THEN 'slow_rise' WHEN monthly_slope <= -5 THEN 'slow_decline' ELSE 'stable' END AS trend_label FROM t3)"""
 
@@ -694,6 +704,15 @@ def k18_class_tfidf(spark, d):
     return topics.join(docs.groupBy("source").agg(F.count("*").alias("docs")), "source")
 
 
+@query(f"WITH {DOCTOK}, tp AS (SELECT d.doc_id, coalesce(label, -1) AS topic FROM documents d LEFT JOIN embeddings ON d.doc_id = vec_id), cl AS (SELECT topic, w, count(*) AS tf FROM tk2 JOIN tp USING (doc_id) GROUP BY ALL), tot AS (SELECT w, sum(tf) AS f FROM cl GROUP BY w), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM cl GROUP BY topic)), x AS (SELECT topic, w, round(tf / sum(tf) OVER (PARTITION BY topic) * ln(1 + a / f), 8) AS x FROM cl JOIN tot USING (w), a), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY x DESC, w) AS k FROM x), sz AS (SELECT topic, {CNT} AS count FROM tp GROUP BY topic) SELECT CAST(topic AS INT) AS topic, count, topic || '_' || string_agg(w, '_' ORDER BY k) FILTER (k <= 4) AS name, string_agg(w, ', ' ORDER BY k) AS representation FROM r JOIN sz USING (topic) WHERE k <= 10 GROUP BY topic, count")
+def k18_topics(spark, d):
+    """Topics of the documents' vector clusters; those without a vector are in none, topic -1, which has terms and a count as well."""
+    found = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic"))
+    docs = corpus(spark, d).join(found, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(-1)))
+    terms = mi.class_terms(mi.tokens(docs.select(F.col("topic").alias("t"), "text"), "t", "text", 2).withColumnRenamed("t", "topic"), "topic", 10)
+    return terms.join(docs.groupBy("topic").agg(F.count("*").alias("count")), "topic").select("topic", "count", "name", "representation")
+
+
 @query(f"{W}{CLEANED}, tk AS (SELECT want_id, unnest(regexp_extract_all(question_flat, '[A-Za-z][A-Za-z\\-'']{{2,}}')) AS w FROM cleaned), n AS (SELECT want_id, lower(w) AS w, count(*) AS n FROM tk WHERE length(w) > 3 AND lower(w) NOT IN ({', '.join(map(q, mi.STOPWORDS))}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY want_id ORDER BY n DESC, w) AS k FROM n) SELECT want_id, string_agg(w, '_' ORDER BY k) AS label FROM r WHERE k <= 6 GROUP BY want_id")
 def k19_cluster_labels(spark, d):
     return mi.labels(cleaned(spark, d), "want_id", "question_flat")
@@ -740,8 +759,8 @@ def k10_kmeans(spark, d):
 
 @query()
 def k08_projection_2d(spark, d):
-    """A map that keeps neighbours together; ``mining.pca`` is the linear one."""
-    return layout.project(vectors(spark, d), "vec_id", "v", 2)
+    """Coordinates of a map, by principal components."""
+    return mi.pca(vectors(spark, d), "vec_id", "v", 2)
 
 
 @query()
@@ -751,8 +770,8 @@ def k08_principal_components(spark, d):
 
 @query()
 def k08_projection_10d(spark, d):
-    """Coordinates for clustering: ten, with neighbours as near as they come."""
-    return layout.project(vectors(spark, d), "vec_id", "v", 10, least=0.0)
+    """Coordinates for clustering: ten principal components."""
+    return mi.pca(vectors(spark, d), "vec_id", "v", 10)
 
 
 @query()
@@ -760,6 +779,28 @@ def k07_truncated_svd(spark, d):
     return mi.svd(vectors(spark, d), "vec_id", "v", 8)
 
 
+def weighed(spark, d):
+    """Weights of the terms of all documents."""
+    return mi.tfidf(mi.tokens(corpus(spark, d), "doc_id", "text", 2), "doc_id", 3, 0.82)
+
+
+@query()
+def k07_sparse_decomposition(spark, d):
+    """Coordinates of every document in the space of its tf-idf weights' first 80 singular vectors."""
+    return de.decompose(weighed(spark, d), "doc_id")[0]
+
+
+@query()
+def k07_components(spark, d):
+    """Singular values of the tf-idf weights, with the strongest terms of each component."""
+    return de.decompose(weighed(spark, d), "doc_id")[1].select("component", F.round("value", 6).alias("value"), "terms")
+
+
+@query()
+def k10_minibatch_kmeans(spark, d):
+    return mb.minibatch_kmeans(vectors(spark, d), "vec_id", "v").select("vec_id", "cluster", F.round("far", 6).alias("far"))
+
+
 @query()
 def k17_merge_centroids(spark, d):
     return mi.merge_centroids(centroids(spark, d), "label", 0.2)

@@ -79,7 +79,7 @@ def k03_mix_residuals(spark, d):
 
 @query()
 def k09_density(spark, d):
-    """Density clusters with a noise class and probabilities; all rows are clustered from a hierarchy of a sample."""
+    """Density clusters of the whole table, with a noise class and probabilities."""
     return density.density(vectors(spark, d), "vec_id", "v")
 
 
@@ -103,6 +103,39 @@ def a21_model_client(spark, d):
     return models.call(x, "source_row", "question_flat", lambda texts: [str(len(t)) for t in texts]).select("source_row", "output", "status")
 
 
+class Unsteady:
+    """A service that fails each second request once; ``answer`` is what it says otherwise."""
+
+    def __init__(self, answer):
+        self.answer, self.calls = answer, 0
+
+    def __call__(self, texts):
+        self.calls += 1
+        if self.calls % 2:
+            raise ConnectionError("try again")
+        return [self.answer(t) for t in texts]
+
+
+def _replied(text):
+    return json.dumps({"chars": len(text)} | ({"kind": "long" if len(text) > 40 else "short"} if len(text) % 5 else {}))
+
+
+@query(f"""{W}{CLEANED} SELECT source_row, CASE WHEN length(question_flat) % 5 = 0 THEN 'bad_output' ELSE 'ok' END AS status, CASE WHEN length(question_flat) % 5 = 0 THEN 'lacks kind' END AS error,
+  CAST(length(question_flat) AS BIGINT) AS chars, CAST(2 AS INT) AS attempts FROM cleaned""")
+def a21_checked_replies(spark, d):
+    """Replies of a service that fails and is asked again, checked for their fields."""
+    x = models.call(cleaned(spark, d).select("source_row", "question_flat"), "source_row", "question_flat", Unsteady(_replied), wait=0.0, fields=["chars", "kind"])
+    return x.select("source_row", "status", "error", F.get_json_object("output", "$.chars").cast("long").alias("chars"), "attempts")
+
+
+@query(f"""{W}{CLEANED}, s AS (SELECT source_row, trim(question_flat) AS s FROM cleaned), v AS (SELECT source_row, s, length(s) AS a, length(s) - length(replace(s, 'e', '')) AS e FROM s)
+SELECT source_row, CASE WHEN s <> '' THEN round(a / sqrt(a * a + e * e + 1), 9) END AS v1, CASE WHEN s <> '' THEN round(e / sqrt(a * a + e * e + 1), 9) END AS v2, length(s) > 32000 AS cut FROM v""")
+def a20_embedding_source(spark, d):
+    """Vectors of a service that fails and is asked again; equal texts are sent once."""
+    x = models.embed(cleaned(spark, d), "source_row", "question_flat", Unsteady(lambda t: [float(len(t)), float(t.count("e")), 1.0]), wait=0.0)
+    return x.select("source_row", F.round(F.col("vector")[0], 9).alias("v1"), F.round(F.col("vector")[1], 9).alias("v2"), "cut")
+
+
 @query(f"{W}{CLEANED}, {GRAMS} SELECT source_row, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY source_row)), 9) AS x FROM gb")
 def a20_hashed_embedding(spark, d):
     """Texts as 384 hashed 3- to 5-grams, the stand-in for an embedding service."""

@@ -27,16 +27,17 @@ def requests(texts: list[str], batch: int = BATCH, budget: int = REQUEST_TOKENS)
 
 
 def embed(df: DataFrame, key: str, text: str, client: Callable[[list[str]], list[list[float]]], cache: str | None = None, batch: int = BATCH, budget: int = REQUEST_TOKENS, retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """key, vector (unit length), error of every row.
+    """key, vector (unit length), error, cut of every row.
 
     Equal texts are sent once.  cache: a Parquet folder of vectors by fingerprint of
     the text; what it has isn't sent, and what is new is added.  A request that fails
     is repeated after 1, 2, 4 .. times ``wait`` seconds; after ``retries`` repeats its
     texts have an error and no vector, and stop nothing.  Longer texts are cut to
-    TEXT_TOKENS, as the service does; null and blank ones have no vector.
+    TEXT_TOKENS, as the service does, and cut says so; null and blank ones have no vector.
     """
     spark = df.sparkSession
-    x = df.select(F.col(key).alias("key"), F.substring(F.trim(F.col(text)), 1, TEXT_TOKENS * 4).alias("text"))
+    whole = F.trim(F.col(text))
+    x = df.select(F.col(key).alias("key"), F.substring(whole, 1, TEXT_TOKENS * 4).alias("text"), F.coalesce(F.length(whole) > TEXT_TOKENS * 4, F.lit(False)).alias("cut"))
     x = x.withColumn("fingerprint", F.when(F.coalesce("text", F.lit("")) != "", F.md5("text")))
     todo = x.filter("fingerprint IS NOT NULL").select("fingerprint", "text").dropDuplicates(["fingerprint"])
     schema = "fingerprint string, vector array<double>"
@@ -74,29 +75,52 @@ def embed(df: DataFrame, key: str, text: str, client: Callable[[list[str]], list
         new = new.persist()  # sent once, though read twice
         new.filter("vector IS NOT NULL").select("fingerprint", "vector").write.mode("append").parquet(cache)
     found = new if known is None else new.unionByName(known, allowMissingColumns=True)
-    return x.select("key", "fingerprint").join(found, "fingerprint", "left").select(F.col("key").alias(key), "vector", "error")
+    return x.select("key", "fingerprint", "cut").join(found, "fingerprint", "left").select(F.col("key").alias(key), "vector", "error", "cut")
 
 
-def call(df: DataFrame, key: str, prompt: str, client: Callable[[list[str]], list[str]], batch: int = 256) -> DataFrame:
-    """key, output, status, error of each row: ``client`` takes a list of prompts and gives as many texts.
+def call(df: DataFrame, key: str, prompt: str, client: Callable[[list[str]], list[str]], batch: int = BATCH, budget: int = REQUEST_TOKENS, retries: int = 3, wait: float = 1.0, fields: list[str] | None = None) -> DataFrame:
+    """key, output, status, error, attempts of each row: ``client`` takes a list of prompts and gives as many texts.
 
-    An exception marks the rows of its batch and stops nothing.  The client is sent to
-    the executors, so it opens its connections when called.
+    A request takes as many prompts as ``batch`` and the token ``budget`` allow, one
+    at least.  A request that fails is repeated after 1, 2, 4 .. times ``wait``
+    seconds; after ``retries`` repeats its rows have status error and stop nothing.
+    fields: what each output must have as a JSON object; others have status
+    bad_output and say what is wrong.  The client is sent to the executors, so it
+    opens its connections when called; a row whose task is run again is asked again.
     """
 
+    def fault(out: str) -> str | None:
+        import json
+
+        try:
+            got = json.loads(out)
+        except (TypeError, ValueError) as e:
+            return f"no JSON: {e}"[:200]
+        if not isinstance(got, dict):
+            return "no JSON object"
+        lacks = [f for f in fields or [] if got.get(f) is None]
+        return f"lacks {', '.join(lacks)}" if lacks else None
+
     def run(parts: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in parts:
-            for i in range(0, len(pdf), batch):
-                x = pdf.iloc[i : i + batch]
-                try:
-                    out, status, error = list(client(x[prompt].tolist())), "ok", None
-                    if len(out) != len(x):
-                        raise ValueError(f"{len(out)} outputs for {len(x)} prompts")
-                except Exception as e:
-                    out, status, error = [None] * len(x), "error", f"{type(e).__name__}: {e}"[:200]
-                yield pd.DataFrame({"key": x[key].tolist(), "output": out, "status": status, "error": error})
+            texts = [t or "" for t in pdf[prompt].tolist()]
+            for i, j in requests(texts, batch, budget):
+                out, error, attempt = [None] * (j - i), None, 0
+                for attempt in range(retries + 1):
+                    try:
+                        out, error = list(client(texts[i:j])), None
+                        if len(out) != j - i:
+                            raise ValueError(f"{len(out)} outputs for {j - i} prompts")
+                        break
+                    except Exception as e:
+                        out, error = [None] * (j - i), f"{type(e).__name__}: {e}"[:200]
+                        if attempt < retries:
+                            time.sleep(wait * 2**attempt)
+                faults = [fault(o) if fields and error is None else None for o in out]
+                status = ["error" if error else "bad_output" if f else "ok" for f in faults]
+                yield pd.DataFrame({"key": pdf[key].iloc[i:j].tolist(), "output": out, "status": status, "error": [error or f for f in faults], "attempts": attempt + 1})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, prompt).mapInPandas(run, f"key {kind}, output string, status string, error string").withColumnRenamed("key", key)
+    return df.select(key, prompt).mapInPandas(run, f"key {kind}, output string, status string, error string, attempts int").withColumnRenamed("key", key)
