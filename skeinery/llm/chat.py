@@ -26,13 +26,14 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, _UNESCAPE, "$1$2$3")
 
 
-def _merge(blocks: Column, x: Column) -> Column:
-    """Adds a turn to the last block if that has its role, else opens a block."""
-    n = F.size(blocks)
-    last = F.get(blocks, n - 1)
-    block = lambda texts: F.array(F.struct(x["role"].alias("role"), texts.alias("texts")))
-    longer = F.concat(F.slice(blocks, F.lit(1), F.greatest(n - 1, F.lit(0))), block(F.concat(last["texts"], F.array(x["text"]))))
-    return F.when((n > 0) & (last["role"] == x["role"]), longer).otherwise(F.concat(blocks, block(F.array(x["text"]))))
+def _blocks(t: Column, bounds: Column) -> Column:
+    """Adjacent turns of one role as one block: role and texts.  bounds: where blocks begin and end."""
+
+    def block(x: Column) -> Column:
+        own = F.slice(t, x["from"] + 1, x["to"] - x["from"])
+        return F.struct(F.get(t, x["from"])["role"].alias("role"), F.transform(own, lambda y: y["text"]).alias("texts"))
+
+    return F.transform(bounds, block)
 
 
 def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -54,7 +55,12 @@ def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     t = df.groupBy(F.col("conv_id")).agg(F.sort_array(F.collect_list(turns)).alias("t"))
 
-    blocks = F.aggregate("t", F.array().cast("array<struct<role:string,texts:array<string>>>"), _merge)
+    # where a role differs from the one before; each block is then cut once, so the work is linear in the turns
+    breaks = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get(F.col("t"), i)["role"] != F.get(F.col("t"), i - 1)["role"]))
+    t = t.select("conv_id", "t", breaks.alias("breaks"))
+    ends = F.concat(F.slice("breaks", F.lit(2), F.size("breaks")), F.array(F.size("t")))
+    t = t.select("conv_id", "t", F.zip_with("breaks", ends, lambda a, b: F.struct(a.alias("from"), b.alias("to"))).alias("bounds"))
+    blocks = _blocks(F.col("t"), F.col("bounds"))
 
     def pieces(block: Column) -> Column:
         n, no = F.size(block["texts"]), F.lit(False)
