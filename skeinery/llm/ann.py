@@ -5,8 +5,10 @@ growing batches: a greedy search from the entry point proposes neighbours, relax
 distance pruning (factor ``alpha``) keeps those that no kept one makes redundant, and
 edges back to the new point are pruned alike.  A query's beam search visits each
 shard's graph; the best of all shards are merged.  Equal vectors are one point of the
-graph, with as many ids as a result can show.  Graphs are built and searched in double
-precision around the shard's mean.
+graph, with as many ids as a result can show.  All distances are taken from
+differences in double precision, so neither an offset nor a far point costs the others
+their digits; points of very different magnitude go to shards of their own, scaled by
+that magnitude, so no square overflows or vanishes.
 """
 
 from __future__ import annotations
@@ -22,18 +24,11 @@ from pyspark.sql import Window as W
 from .common import scratch
 
 #: Points of a shard, out-degree, beam while building and while searching, pruning factor, queries searched at a time.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, QUERIES = 8_000, 32, 64, 128, 1.2, 256
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, QUERIES = 16_000, 32, 64, 128, 1.2, 256
 #: Components beyond this are divided by the largest, so that no square overflows.
 HUGE = 1e150
-
-
-def centred(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both moved by the mean of x, which leaves distances as they are but keeps their digits."""
-    top = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
-    if top > HUGE:
-        x, q = x / top, q / top
-    mean = x.mean(axis=0)
-    return x - mean, q - mean
+#: Vectors whose largest components are so many powers of ten apart, about, go to different shards.
+DECADES = 120
 
 
 def norms(d: np.ndarray) -> np.ndarray:
@@ -94,7 +89,6 @@ def prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int, alph
     safe = np.maximum(cand, 0)
     v = x[safe]
     to_point = np.where(cand < 0, np.inf, np.einsum("bcd,bcd->bc", v - x[points][:, None], v - x[points][:, None]))
-    sq = np.einsum("bcd,bcd->bc", v, v)
     out = np.full((b, degree), -1)
     rows = np.arange(b)
     alive = to_point.copy()
@@ -104,18 +98,17 @@ def prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int, alph
         if not ok.any():
             break
         out[ok, k] = cand[rows, best][ok]
-        p = v[rows, best]
-        d = sq + sq[rows, best][:, None] - 2 * np.einsum("bcd,bd->bc", v, p)
+        far = v - v[rows, best][:, None]
+        d = np.einsum("bcd,bcd->bc", far, far)
         alive[(alpha * alpha * d <= to_point) | ~ok[:, None]] = np.inf
         alive[rows, best] = np.inf
     return out
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 1) -> tuple[np.ndarray, int]:
-    """Neighbours (n, degree) and the entry point, the one nearest to the mean."""
+    """Neighbours (n, degree) and the entry point, the one nearest to the median of each component."""
     n = len(x)
-    x, _ = centred(x, x[:0])
-    entry = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
+    entry = int(np.argmin(((x - np.median(x, axis=0)) ** 2).sum(axis=1)))
     nbrs = np.full((n, degree), -1)
     order = np.random.default_rng(seed).permutation(n)
     order = order[order != entry]
@@ -135,9 +128,9 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
         target = dst[heads]
         extra = np.full((len(target), int(count.max(initial=0))), -1)
         extra[np.repeat(np.arange(len(target)), count), np.arange(len(dst)) - np.repeat(heads, count)] = src
-        for a in range(0, len(target), 512):
-            t = target[a : a + 512]
-            both = np.concatenate([nbrs[t], extra[a : a + 512]], axis=1)
+        for a in range(0, len(target), 256):
+            t = target[a : a + 256]
+            both = np.concatenate([nbrs[t], extra[a : a + 256]], axis=1)
             full = (both >= 0).sum(axis=1) > degree
             fits = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)[:, :degree]
             fits[full] = prune(x, t[full], both[full], degree, alpha) if full.any() else fits[full]
@@ -158,28 +151,38 @@ def _matrix(t: pa.Table, name: str) -> np.ndarray:
 
 def _build(t: pa.Table) -> pa.Table:
     t = t.sort_by("lead")
-    nbrs, entry = build(_matrix(t, "v"))
+    nbrs, entry = build(_matrix(t, "v") * scale(int(t.column("size")[0].as_py())))
     flag = np.zeros(len(t), bool)
     flag[entry] = True
-    cols = {"dim": t.column("dim"), "shard": t.column("shard"), "node": pa.array(np.arange(len(t), dtype=np.int32))}
+    cols = {"dim": t.column("dim"), "size": t.column("size"), "shard": t.column("shard"), "node": pa.array(np.arange(len(t), dtype=np.int32))}
     return pa.table(cols | {"ids": t.column("ids"), "v": t.column("v"), "nbrs": pa.array(list(nbrs.astype(np.int32)), pa.list_(pa.int32())), "entry": pa.array(flag)})
 
 
-INDEX = "dim int, shard int, node int, ids array<long>, v array<double>, nbrs array<int>, entry boolean"
+def scale(size: int) -> float:
+    """What vectors of a class of magnitude are multiplied with."""
+    return 10.0 ** (-DECADES * max(-2, min(2, size)))
+
+
+def _size(v: Column) -> Column:
+    """The class of magnitude of a vector's largest component: 0 for what is usual."""
+    return F.round(F.log10(F.array_max(F.transform(v, F.abs))) / DECADES).cast("int")
+
+
+INDEX = "dim int, size int, shard int, node int, ids array<long>, v array<double>, nbrs array<int>, entry boolean"
 
 
 def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """vectors: vec_id, v.  A row for each different vector: shard, node, its first k + 1 ids, neighbours.
+    """vectors: vec_id, v.  A row for each different vector: shard (of a dimension and class of magnitude), node, its first k + 1 ids, neighbours.
 
     Every row is indexed; of equal vectors the ids beyond the first k + 1 can't be in
     a result, as ties go to the smaller id.
     """
     first = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     points = vectors.withColumn("n_", first).filter(F.col("n_") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    points = scratch(points.withColumn("dim", F.size("v")).withColumn("lead", F.col("ids")[0]), "ann-points")
+    points = scratch(points.withColumn("dim", F.size("v")).withColumn("size", _size(F.col("v"))).withColumn("lead", F.col("ids")[0]), "ann-points")
     shards = max(1, -(-points.count() // shard))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("lead"), F.lit(shards)).cast("int"))
-    return scratch(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX), "ann-index")
+    return scratch(dealt.groupBy("dim", "size", "shard").applyInArrow(_build, INDEX), "ann-index")
 
 
 class _Graph:
@@ -188,6 +191,8 @@ class _Graph:
     def __init__(self, t: pa.Table):
         t = t.combine_chunks()
         self.x = _matrix(t, "v")
+        self.scale = scale(int(t.column("size")[0].as_py()))
+        self.scaled = self.x * self.scale
         self.nbrs = t.column("nbrs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
         self.entry = int(np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))[0])
         ids = t.column("ids").combine_chunks()
@@ -196,8 +201,14 @@ class _Graph:
         self.ids = ids.flatten().to_numpy(zero_copy_only=False)
 
     def nearest(self, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, ...]]:
-        x, around = centred(self.x, q)
-        found, _ = beam_search(x, self.nbrs, self.entry, around, max(beam, k + 1))
+        found = np.empty((len(q), max(beam, k + 1)), int)
+        with np.errstate(over="ignore"):
+            around = q * self.scale
+        far = ~(np.abs(around).max(axis=1) <= HUGE)  # beyond all that is here: by directions from afar
+        found[~far] = beam_search(self.scaled, self.nbrs, self.entry, around[~far], found.shape[1])[0]
+        for r in np.flatnonzero(far):
+            top = np.abs(q[r]).max()
+            found[r] = beam_search(self.x / top, self.nbrs, self.entry, q[r : r + 1] / top, found.shape[1])[0]
         exact = norms(self.x[np.maximum(found, 0)] - q[:, None, :])
         for r in range(len(found)):
             met = np.flatnonzero(found[r] >= 0)
@@ -215,17 +226,19 @@ class _Graph:
 
 
 def _search(k: int, beam: int) -> Callable:
-    """Rows in the order of dim, shard and kind: a shard's graph, then the queries, however many, that visit it."""
+    """Rows in the order of dim, size, shard and kind: a shard's graph, then the queries, however many, that visit it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, graph = None, [], None
         for b in batches:
-            dim, shard, kind = (b.column(c).to_numpy() for c in ("dim", "shard", "kind"))
-            cut = np.flatnonzero(np.append(True, (np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(kind) != 0))) if len(b) else []
+            where = [b.column(c).to_numpy() for c in ("dim", "size", "shard", "kind")]
+            kind = where[-1]
+            cut = np.flatnonzero(np.append(True, np.any([np.diff(c) != 0 for c in where], axis=0))) if len(b) else []
             for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
                 piece = pa.Table.from_batches([b.slice(i, j - i)])
-                if (dim[i], shard[i]) != now:
-                    now, parts, graph = (dim[i], shard[i]), [], None
+                here = tuple(int(c[i]) for c in where[:-1])
+                if here != now:
+                    now, parts, graph = here, [], None
                 if kind[i] == 0:
                     parts.append(piece)
                     continue
@@ -245,12 +258,12 @@ def search(idx: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) ->
     Every query visits every shard; a task holds one shard's graph and streams the
     queries past it.  Scores are distances of the original vectors, in double precision.
     """
-    shards = idx.select("dim", "shard").distinct()
+    shards = idx.select("dim", "size", "shard").distinct()
     asked = queries.withColumn("dim", F.size("v")).join(shards, "dim")
-    graph = idx.select("dim", "shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "v", "ids", "nbrs", "entry")
+    graph = idx.select("dim", "size", "shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "v", "ids", "nbrs", "entry")
     none = [F.lit(None).cast(graph.schema[c].dataType).alias(c) for c in ("ids", "nbrs", "entry")]
-    both = graph.unionByName(asked.select("dim", "shard", F.lit(1).alias("kind"), F.col("query_id").alias("node"), "v", *none))
-    dealt = both.repartition(max(1, shards.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "node")
+    both = graph.unionByName(asked.select("dim", "size", "shard", F.lit(1).alias("kind"), F.col("query_id").alias("node"), "v", *none))
+    dealt = both.repartition(max(1, shards.count()), "dim", "size", "shard").sortWithinPartitions("dim", "size", "shard", "kind", "node")
     found = dealt.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

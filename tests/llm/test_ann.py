@@ -73,6 +73,23 @@ def test_large_components(spark, size):
         assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], shard=150) >= 0.9
 
 
+@pytest.mark.parametrize("far", [1e12, 1e20, 1e250])
+def test_one_far_vector_costs_the_others_nothing(spark, far):
+    x = np.random.default_rng(10).normal(size=(3000, 24))
+    x[7] *= far
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], every=100) >= 0.97
+
+
+def test_two_far_clusters(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(scale=0.01, size=(3000, 24)) + np.where(np.arange(3000) % 2, 1e7, -1e7)[:, None]
+    x[100] = x[102] = x[104]  # copies of a query are its nearest
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(spark, rows, every=100) >= 0.95
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in ann.neighbours(df, 2, 100).collect() if r.query_id == 100} == {102, 104}
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     if not os.path.exists(path):
