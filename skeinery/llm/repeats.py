@@ -168,12 +168,10 @@ def recurring(n_docs: int, hot: int) -> Callable:
 
 def place(key: np.ndarray, th: np.ndarray, of_key: np.ndarray, of_th: np.ndarray) -> np.ndarray:
     """For each (of_key, of_th) the first place in (key, th) that has it."""
-    order = np.lexsort((np.arange(len(key)), th, key))
-    k, t = key[order], th[order]
-    at = np.searchsorted(k, of_key)
-    while (off := t[at] != of_th).any():  # several texts under one key
-        at[off] += 1
-    return order[at]
+    rank = ranked(np.append(key, of_key), np.append(th, of_th))
+    own, of = rank[: len(key)], rank[len(key) :]
+    order = np.argsort(own, kind="stable")
+    return order[np.searchsorted(own[order], of)]
 
 
 def ranked(key: np.ndarray, th: np.ndarray) -> np.ndarray:
