@@ -6,9 +6,9 @@ hashes of every length tried; what the tiles cover of the item is its coverage,
 passage whose parts were put in another order is caught as well.
 
 The benchmark is the small side.  It is cut into blocks of a bounded number of tokens.
-The driver broadcasts each block and forgets it; a task holds one block at a time and
-goes through all of them for each batch of documents, so documents stream past once
-and are never shuffled.
+The driver broadcasts each block and forgets it.  A pass over the documents takes HELD
+blocks at most, which a task keeps; a larger benchmark takes more passes, each from
+the table that the one before has left.  Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, words
+from .common import buffers, scratch, words
 from .rolling import BYTE, STEP, mix, powers, prefix, ranges
 
 SLAB = 4_000_000
 #: Tokens in a block of the benchmark that is sent to the executors, at most (8 bytes each and as much again for seeds).
 BLOCK_TOKENS = 2_000_000
+#: Blocks that a task holds, at most.
+HELD = 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -157,16 +159,26 @@ class Index:
 
 
 class Blocks:
-    """The benchmark's blocks, broadcast one by one."""
+    """Some blocks of the benchmark, HELD at most, sent to the tasks of one pass over the documents."""
 
-    def __init__(self, benchmark: DataFrame, text: str, key: str, k: int, most: int):
-        sc = benchmark.sparkSession.sparkContext
-        self.sent = [sc.broadcast(Index(ids, texts, k).state()) for ids, texts in _blocks(benchmark, text, key, most)]
+    def __init__(self, sent: list):
+        self.sent = sent
 
     def each(self) -> Iterator[Index]:
         for x in self.sent:
-            # with one block it stays in memory; of several one is held at a time
-            yield Index.of(x.value if len(self.sent) == 1 else x.load_from_path(x._path))
+            yield Index.of(x.value)
+
+
+def passes(benchmark: DataFrame, text: str, key: str, k: int, most: int) -> Iterator[tuple[Blocks, bool]]:
+    """The benchmark, as many blocks at a time as a task holds, and whether these are the last: a pass over the documents for each."""
+    sc = benchmark.sparkSession.sparkContext
+    sent: list = []
+    for ids, texts in _blocks(benchmark, text, key, most):
+        if len(sent) == HELD:
+            yield Blocks(sent), False
+            sent = []
+        sent.append(sc.broadcast(Index(ids, texts, k).state()))
+    yield Blocks(sent), True
 
 
 def best_tiles(blocks: Blocks, threshold: float, data: np.ndarray, off: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,11 +202,24 @@ def best_tiles(blocks: Blocks, threshold: float, data: np.ndarray, off: np.ndarr
     return item, best, tiles, hits
 
 
-def _search(blocks: Blocks, threshold: float) -> Callable:
+_FOUND = "item_id long, coverage double, n_tiles int, n_items int"
+
+
+def _search(blocks: Blocks, threshold: float, last: bool) -> Callable:
+    """Documents with what the passes so far have found in them; after the last one without their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             item, best, tiles, hits = best_tiles(blocks, threshold, *buffers(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(item, pa.int64()), pa.array(best), pa.array(tiles), pa.array(hits)], names=["doc_id", "item_id", "coverage", "n_tiles", "n_items"])
+            before = b.column("coverage").to_numpy()
+            named = b.column("item_id").to_pylist()
+            for r in np.flatnonzero(before >= best):
+                # of equal coverage the smaller item is named
+                if before[r] > best[r] or (item[r] is None and named[r] is not None) or (named[r] is not None and named[r] < item[r]):
+                    item[r], best[r], tiles[r] = named[r], before[r], b.column("n_tiles")[int(r)].as_py()
+            hits = hits + b.column("n_items").to_numpy()
+            cols = {"doc_id": b.column("doc_id"), "item_id": pa.array(item, pa.int64()), "coverage": pa.array(best), "n_tiles": pa.array(tiles), "n_items": pa.array(hits.astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(cols if last else cols | {"text": b.column("text")})
 
     return run
 
@@ -233,11 +258,16 @@ def coverage(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
     blocks; other columns are left out, empty tables on either side give no hit.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = rows.mapInArrow(_search(Blocks(benchmark, text, item, k, most), threshold), "doc_id long, item_id long, coverage double, n_tiles int, n_items int")
+    found = rows.selectExpr("doc_id", "CAST(null AS BIGINT) AS item_id", "CAST(0 AS DOUBLE) AS coverage", "0 AS n_tiles", "0 AS n_items", "text")
+    for blocks, last in passes(benchmark, text, item, k, most):
+        found = found.mapInArrow(_search(blocks, threshold, last), f"doc_id long, {_FOUND}" + ("" if last else ", text string"))
+        found = found if last else scratch(found, "tiling-pass")
     return found.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5, text: str = "text", item: str = "item_id", most: int = BLOCK_TOKENS) -> DataFrame:
     """docs' rows that cover no test item to ``threshold``, as they are; no shuffle.  Odd cases are as in ``coverage``."""
-    hits = _hits(Blocks(benchmark, text, item, k, most), threshold)
-    return docs.filter(hits(F.coalesce(F.col(text), F.lit(""))) == 0)
+    for blocks, last in passes(benchmark, text, item, k, most):
+        docs = docs.filter(_hits(blocks, threshold)(F.coalesce(F.col(text), F.lit(""))) == 0)
+        docs = docs if last else scratch(docs, "tiling-pass")
+    return docs
