@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest
 from ..sources import sinks
 from ..sources.tables import first_source, jsonl, raw_csv, table, tickets
-from ..streaming import events
+from ..streaming import events, journeys
 from .oracle import CLEANED, ENRICHED
 from .registry import query
 from .row_queries import cleaned, enriched
@@ -101,6 +101,31 @@ def s04_stream_state(spark, d):
     return events.latest(users, "user_id", "n", sinks.scratch_path(spark, "state")).select("user_id", "n", F.substring("last", 1, 10).alias("last_day"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, coalesce(event_type, '') AS kind FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR AS m FROM e),
+g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS pause FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+j AS (SELECT *, sum(CAST(coalesce(pause >= 21600000000, true) AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nr FROM g),
+k AS (SELECT *, lag(kind) OVER w AS before, row_number() OVER w AS place FROM j WHERE kind <> '' WINDOW w AS (PARTITION BY user_id, nr ORDER BY ts, event_id)),
+p AS (SELECT user_id, nr, string_agg(kind, ' -> ' ORDER BY r) FILTER (r <= 9) || CASE WHEN max(r) > 9 THEN ' -> ...' ELSE '' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id, nr ORDER BY place) AS r FROM k WHERE before IS NULL OR before <> kind) GROUP BY ALL),
+s AS (SELECT user_id, nr, min(ts) AS start, max(ts) AS "end", CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT kind) AS BIGINT) AS kinds, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS errors,
+  CAST(coalesce(max(CASE WHEN pause < 21600000000 THEN pause END), 0) // 1000000 AS BIGINT) AS longest_pause_s FROM j GROUP BY ALL)
+SELECT user_id, start, "end", records, kinds, errors, longest_pause_s, coalesce(path, '') AS path FROM s LEFT JOIN p USING (user_id, nr), mark WHERE "end" + INTERVAL 6 HOUR <= m""")
+def s05_stream_journeys(spark, d):
+    """Extension: journeys that six idle hours end, kept as list, map and value state of a stream and closed by timers."""
+    e = table(spark, d, "events")
+    with journeys.rocks(spark):
+        return events.drained(journeys.stream_journeys(events.read(spark, f"{d}/events.parquet", e.schema), 6 * 3600), sinks.scratch_path(spark, "journeys"))
+
+
+@query("""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL), mark AS (SELECT max(ts) - INTERVAL 2 HOUR AS m FROM events),
+x AS (SELECT event_type, day + to_days(CAST(i AS INT)) AS "end", CASE WHEN i <= 7 THEN n ELSE 0 END AS r, CASE WHEN i <= 7 THEN 0 ELSE n END AS p FROM d, range(1, 22) t(i)),
+s AS (SELECT event_type, "end", CAST(sum(r) AS BIGINT) AS recent_n, CAST(sum(p) AS BIGINT) AS prior_n FROM x GROUP BY ALL)
+SELECT event_type, CAST("end" AS TIMESTAMP) AS "end", recent_n, prior_n, round((recent_n / 7 + 0.5::DOUBLE) / (prior_n / 14 + 0.5::DOUBLE), 4) AS ratio FROM s, mark WHERE "end" <= m""")
+def s06_stream_growth(spark, d):
+    """Extension: the last 7 days against the 14 before them, day by day, as two stateful steps of one stream."""
+    e = table(spark, d, "events")
+    return events.drained(journeys.stream_growth(events.read(spark, f"{d}/events.parquet", e.schema), 7, 14), sinks.scratch_path(spark, "growth"))
+
+
 @query(f"{W}{ENRICHED} SELECT context_depth_band, CAST(count(*) AS BIGINT) AS n FROM enriched GROUP BY 1")
 def a11_parquet_sink(spark, d):
     path = sinks.scratch_path(spark, "enriched")
