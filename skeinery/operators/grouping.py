@@ -302,3 +302,23 @@ def profile(df: DataFrame, cols: list[str]) -> DataFrame:
     ent = F.when(F.count("*") > 1, F.sum(-F.col("p") * F.ln("p")) / F.ln(F.count("*").cast("double"))).otherwise(0.0)
     s = n.groupBy("field").agg(F.count("*").alias("values_"), F.max("p").alias("d"), ent.alias("h"))
     return s.select("field", F.col("values_").alias("distinct_values"), F.round("d", 4).alias("dominance"), F.round("h", 4).alias("entropy"), ((F.col("d") >= 0.85) | (F.col("h") <= 0.35)).alias("degenerate"))
+
+
+def grouping_sets(df: DataFrame, sets: list[list[str]], measures: list[Column]) -> DataFrame:
+    """Columns of all sets (null where a set lacks one), grouping_id and measures: one row for each group of each set.
+
+    grouping_id has a bit for each column, the first the highest: 1 where the row is
+    over all its values, so totals and groups of a null value are told apart.
+    """
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.grouping_id().alias("grouping_id"), *measures)
+
+
+def rollup(df: DataFrame, by: list[str], measures: list[Column]) -> DataFrame:
+    """Subtotals from all columns down to the grand total."""
+    return grouping_sets(df, [by[:i] for i in range(len(by), -1, -1)], measures)
+
+
+def cube(df: DataFrame, by: list[str], measures: list[Column]) -> DataFrame:
+    """Subtotals over every set of the columns."""
+    return grouping_sets(df, [[c for i, c in enumerate(by) if k >> i & 1] for k in range(2 ** len(by))], measures)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import density, ingest, mining
+from ..operators import density, ingest, lookup, mining, quantiles
 from ..operators import grouping as g
-from ..sources import models, sinks
+from ..sources import models, records, sinks
 from ..sources.tables import inventory, list_runs, metadata, raw_csv, table
+from . import catalog
 from .group_queries import CNT, ISSUE_ROWS, LABELS
 from .model_queries import GRAMS, vectors
 from .oracle import CLEANED, ENRICHED
@@ -210,3 +213,77 @@ def o11_run_inventory(spark, d):
 @query("SELECT count(*) AS files, count(*) > 0 AS live FROM nation")
 def o09_live_run(spark, d):
     return _files(spark, d).filter("NOT name LIKE '.%'").agg(F.count("*").alias("files"), F.max("live").alias("live"))
+
+
+# -- subtotals, exact quantiles, lookups, records, lasting tables --------------
+
+def _subtotals():
+    return [F.count("*").alias("tickets"), F.countDistinct(F.nullif(F.col("uid"), F.lit(""))).alias("unique_users"), F.count_if("is_unresolved").alias("unresolved")]
+
+
+_SUBTOTALS_SQL = f"{CNT} AS tickets, CAST(count(DISTINCT nullif(uid, '')) AS BIGINT) AS unique_users, CAST(count(*) FILTER (is_unresolved) AS BIGINT) AS unresolved"
+
+
+@query(f"{W}{CLEANED} SELECT manager, month, want_id, CAST(grouping(manager, month, want_id) AS BIGINT) AS grouping_id, {_SUBTOTALS_SQL} FROM cleaned GROUP BY CUBE (manager, month, want_id)")
+def g33_cube(spark, d):
+    return g.cube(cleaned(spark, d), ["manager", "month", "want_id"], _subtotals())
+
+
+@query(f"{W}{CLEANED} SELECT category, question_kind, status_en, CAST(grouping(category, question_kind, status_en) AS BIGINT) AS grouping_id, {_SUBTOTALS_SQL} FROM cleaned GROUP BY ROLLUP (category, question_kind, status_en)")
+def g33_rollup(spark, d):
+    return g.rollup(cleaned(spark, d), ["category", "question_kind", "status_en"], _subtotals())
+
+
+@query(f"{W}{CLEANED} SELECT manager, month, want_id, CAST(grouping(manager, month, want_id) AS BIGINT) AS grouping_id, {_SUBTOTALS_SQL} FROM cleaned GROUP BY GROUPING SETS ((manager, month), (want_id), ())")
+def g33_grouping_sets(spark, d):
+    return g.grouping_sets(cleaned(spark, d), [["manager", "month"], ["want_id"], []], _subtotals())
+
+
+_PRICES = {"l_extendedprice": [0.05, 0.5, 0.95], "l_quantity": [0.25, 0.75], "l_discount": [0.9]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({s} AS DOUBLE) AS share, round(quantile_cont(CAST({c} AS DOUBLE), {s}), 6) AS value FROM lineitem" for c, ss in _PRICES.items() for s in ss))
+def g25_exact_quantiles(spark, d):
+    """Quantiles of many different values, by histograms that close in on them."""
+    found = quantiles.quantiles(table(spark, d, "lineitem"), _PRICES)
+    return spark.createDataFrame([(c, s, None if v is None else round(v, 6)) for (c, s), v in found.items()], "name string, share double, value double")
+
+
+_NEEDLES = ["Diamonds", "x.io/a", "ss", "no such words"]
+
+
+@query(f"{W}{CLEANED}, n(needle) AS (VALUES {', '.join(f'({n!r})' for n in _NEEDLES)}) SELECT needle, source_row FROM cleaned, n WHERE contains(lower(question), lower(needle))")
+def c16_indexed_search(spark, d):
+    """Texts that contain a needle, by an index of their three-letter pieces."""
+    x = lookup.Index.build(cleaned(spark, d), "source_row", "question", sinks.scratch_path(spark, "pieces"))
+    found = [x.contains(n).select(F.lit(n).alias("needle"), F.col("key").alias("source_row")) for n in _NEEDLES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(f"{W}{CLEANED} SELECT source_row, uid FROM cleaned WHERE contains(uid, '120')")
+def o04_partial_uid_lookup(spark, d):
+    x = lookup.Index.build(cleaned(spark, d), "source_row", "uid", sinks.scratch_path(spark, "uids"))
+    return x.contains("120").select(F.col("key").alias("source_row"), F.col("text").alias("uid"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def a15_committed_records(spark, d):
+    """Orders written as records, copied by a stream that is started twice, and read back."""
+    records.register(spark)
+    path, schema = sinks.scratch_path(spark, "records"), "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders.write.format("records").mode("append").save(f"{path}/in")
+    for _ in range(2):
+        stream = spark.readStream.format("records").schema(schema).load(f"{path}/in")
+        stream.writeStream.format("records").option("path", f"{path}/out").option("name", "copy").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format("records").schema(schema).load(f"{path}/out")
+
+
+@query(f"{W}{CLEANED} SELECT category, month, CAST(count(*) AS BIGINT) AS n FROM cleaned WHERE category <> '' GROUP BY ALL")
+def a13_lasting_views(spark, d):
+    """A table and a view that one session stores and another reads."""
+    path, name = sinks.scratch_path(spark, "store"), f"skeinery_{uuid.uuid4().hex[:12]}"
+    store = catalog.Store(spark.newSession(), path, name)
+    store.table("tickets", cleaned(spark, d).select("source_row", "category", "month"))
+    store.view("by month", "SELECT category, month, count(*) AS n FROM tickets WHERE category <> '' GROUP BY category, month")
+    return spark.table(f"{name}.by_month")

@@ -63,6 +63,11 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(p) else ""
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": "\""}
     df.write.mode("overwrite").options(**keep).csv(path, header=True)
