@@ -126,10 +126,12 @@ def complete_months(x: DataFrame, month: str = "month") -> DataFrame:
 def trends(x: DataFrame, by: str, month: str = "month", review: str = "needs_llm_review", title: str = "want_title") -> DataFrame:
     """For each group and title: last two complete months against the two before, slope over all of them (absent: 0), forecast, momentum, label.
 
-    Groups without a row in a complete month have no row here.  With fewer than three
+    A table without titles has its groups' ids for them; null groups and titles have no row.
+    Groups without a row in a complete month have no row here either.  With fewer than three
     complete months the slope is 0 and the forecast is the recent average; averages
     go by the months that there are.
     """
+    x = x if title in x.columns else x.withColumn(title, F.col(by).cast("string"))
     all_ = W.partitionBy()  # there is a row for each month
     months = complete_months(x, month)
     names = lambda low, high: F.array_join(F.sort_array(F.collect_list(F.when(F.col("back").between(low, high), F.col(month))).over(all_)), ", ")

@@ -12,9 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All strings, null is empty, headers stripped, blank ``Unnamed`` columns dropped; one pass finds the blank ones."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False).na.fill("")
+def raw_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All strings, null is empty, headers stripped, blank ``Unnamed`` columns dropped; one pass finds the blank ones.
+
+    With line breaks inside fields (multi_line) a file is one task; without, large
+    files are split.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False).na.fill("")
     df = df.toDF(*[c.strip() for c in df.columns])
     unnamed = [c for c in df.columns if c.lower().startswith("unnamed") or c.startswith("_c")]
     if unnamed:

@@ -92,7 +92,7 @@ def clusters(spark, x, **how):
     return np.array([got[i].cluster for i in range(len(x))]), np.array([got[i].probability for i in range(len(x))])
 
 
-@pytest.mark.parametrize(("seed", "least", "many", "block"), [(1, 8, 4, 60), (2, 15, 5, 40), (3, 5, 5, 5000)])
+@pytest.mark.parametrize(("seed", "least", "many", "block"), [(2, 15, 5, 40), (3, 5, 5, 5000)])
 def test_equal_to_all_pairs(spark, seed, least, many, block):
     x, _ = blobs(np.random.default_rng(seed), k=6, each=50, noise=60)
     got, p = clusters(spark, x, least=least, neighbours=many, block=block, pivots=7)
