@@ -213,10 +213,10 @@ def f07_group_mean_back_join(spark, d):
 
 
 _ALL = sorted({c for *_, cols in g.REQUIRED for c in cols} | set(g.REQUIRED_ELSE))
-_NEED = " || ".join(f"CASE WHEN list_has_any(d, [{', '.join(map(q, ds))}]) OR regexp_matches(lower(replace(issue_label, '_', ' ')), {q(rx)}) THEN [{', '.join(map(q, cols))}] ELSE [] END" for ds, rx, cols in g.REQUIRED)
+_NEED = " || ".join(f"CASE WHEN list_has_any(coalesce(d, []), [{', '.join(map(q, ds))}]) OR regexp_matches(lower(replace(issue_label, '_', ' ')), {q(rx)}) THEN [{', '.join(map(q, cols))}] ELSE [] END" for ds, rx, cols in g.REQUIRED)
 G08 = f"""per AS (SELECT issue_label, primary_desire, count(*) AS n FROM iss GROUP BY ALL), dom AS (SELECT issue_label, list(primary_desire) AS d FROM (SELECT *, n / sum(n) OVER (PARTITION BY issue_label) AS s FROM per) WHERE s >= 0.25 GROUP BY issue_label),
 s AS (SELECT issue_label, {CNT} AS tickets, avg(context_depth_score) AS c, avg(CAST(is_unresolved AS INT)) AS u, {', '.join(f'1 - avg(CAST({f} AS INT)) AS {f}' for f in _ALL)} FROM iss GROUP BY issue_label HAVING count(*) >= 20),
-w AS (SELECT s.*, list_sort(list_distinct({_NEED})) AS need0 FROM s JOIN dom USING (issue_label)), w2 AS (SELECT *, CASE WHEN len(need0) > 0 THEN need0 ELSE list_sort([{', '.join(map(q, g.REQUIRED_ELSE))}]) END AS need FROM w),
+w AS (SELECT s.*, list_sort(list_distinct({_NEED})) AS need0 FROM s LEFT JOIN dom USING (issue_label)), w2 AS (SELECT *, CASE WHEN len(need0) > 0 THEN need0 ELSE list_sort([{', '.join(map(q, g.REQUIRED_ELSE))}]) END AS need FROM w),
 lng AS (SELECT issue_label, f, CASE f {' '.join(f"WHEN '{f}' THEN {f}" for f in _ALL)} END AS miss FROM (SELECT *, unnest(need) AS f FROM w2)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY issue_label ORDER BY miss DESC, f) AS r FROM lng),
 gp AS (SELECT issue_label, round(avg(miss), 4) AS mean_gap, string_agg(f || ' ' || CAST(round(miss * 100) AS INT) || '%', ', ' ORDER BY r) FILTER (r <= 4) AS top_gaps FROM rk GROUP BY issue_label)"""
