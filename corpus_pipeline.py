@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinery.llm import mixing, sharding, simhash, tiling, toxicity
+from skeinery.llm import mixing, ngramjoin, sharding, simhash, tiling, toxicity
 from skeinery.llm.common import scratch, table
 
 #: Documents that score as much or more are rejected: stricter than the operator's own 0.3, to lose fewer clean ones.
@@ -30,9 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     That of the smallest doc_id, a null one last; of several texts under it one (the
     least by key of the text), of repeated rows one.  Null and wordless texts are
-    alike, so one of them stays; an empty table stays empty.
+    alike, so one of them stays; an empty table stays empty.  Fingerprints find the
+    groups; what connects two of them and was not found is then joined exactly.
     """
-    return simhash.keep_first(docs, 5, 0.8)
+    return simhash.keep_first(docs, 5, 0.8, complete=ngramjoin.missing_links)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

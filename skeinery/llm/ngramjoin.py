@@ -317,3 +317,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, tex
     out = rows.select("doc_id", "id", "size").join(member, "id", "left")
     lead = F.when(F.col("size") > 0, F.col("lead")).otherwise(F.col("doc_id"))
     return out.select(F.nullif("doc_id", last).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(lead, last).alias("component_id"))
+
+
+def _crossing(rows: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
+    """some (id, least, size, root) that share enough of their first n-grams with sets of other components (see ``promising``)."""
+    each = rows.join(some.select("id", "root"), "id").dropDuplicates(["id"]).select("id", "root", F.explode("grams").alias("gram"))
+    mixed = each.groupBy("gram").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("gram")
+    counted = each.join(mixed, "gram").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    need = lambda n: F.ceil(n * num / F.lit(den)).cast("long")
+    small = need(F.col("size"))
+    return some.join(counted, "id").filter(F.col("shared") >= F.least(need(small), small - need(small) + 1)).drop("shared")
+
+
+def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """a, b: what the known components lack, so that no two similar texts stay apart.
+
+    docs: id (one for each different text) and text, repeated rows allowed; known:
+    node, root of the ids that another search has linked.  Texts of equal sets are
+    linked, wordless ones too.  Only sets that share enough with other components are
+    compared, so the better the other search, the less is left to do; with no known
+    links this finds all.  Null and empty texts are alike; an empty table gives none.
+    """
+    docs = docs.select(F.col("id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = scratch(sets(docs, n, lambda size: first_part(size, num, den)), "missing-rows")
+    nodes = scratch(rows.groupBy("id", "size").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "missing-nodes")
+    same = rows.join(nodes.filter("least <> most").select("id", "least"), "id").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+
+    roots = known.select(F.col("node").alias("least"), "root")
+    some = promising(rows, nodes.filter("size > 0").select("id", "least", "size"), num, den).join(roots, "least", "left")
+    some = scratch(some.select("id", "least", "size", F.coalesce("root", "least").alias("root")), "missing-some")
+    few = scratch(_crossing(rows, some, num, den), "missing-few")
+    lists = scratch(ordered(whole_sets(docs, few, n), num, den), "missing-lists")
+    pairs = other_pairs(_prefixes(lists, num, den), few.select(F.col("id").alias("node"), "root"), num, den)
+    links = similar(pairs, scratch(fragmented(lists), "missing-parts"), num, den)
+    text = lambda c: few.select(F.col("id").alias(c), F.col("least").alias(f"t{c}"))
+    return same.unionByName(links.join(text("a"), "a").join(text("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))

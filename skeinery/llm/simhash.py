@@ -11,6 +11,7 @@ bit.  A shard hands on a spanning forest of the links it found, no pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -444,13 +445,15 @@ def similar_links(rows: DataFrame, nodes: DataFrame, n: int, similarity: float,
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(_confirmed(similarity), "a long, b long")
 
 
-def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", complete: Callable | None = None, **how) -> DataFrame:
     """doc_id, g (key of the text), lead_id and lead_g (of the component's first document) of every row.
 
     Texts link if their sets of n-word shingles have this Jaccard similarity or more;
     no pair below it is linked (up to equal 32-bit hashes of shingles).  Pairs to
     compare are searched by fingerprints (see ``similar_links``), so a few at the very
-    border can be missed; the tests measure how many.  Equal texts are one node;
+    border can be missed; ``complete`` (texts by id, components found, n, the
+    similarity as numerator and denominator) returns the links between components
+    that are still missing, as ``ngramjoin.missing_links`` does.  Equal texts are one node;
     texts without words are like one another; texts of fewer than n words are
     compared as a whole.  A null doc_id comes last; repeated rows are each returned;
     an empty table gives an empty result.
@@ -460,7 +463,14 @@ def similar_texts(docs: DataFrame, n: int = 5, similarity: float = 0.8, text: st
     rows = scratch(docs.mapInArrow(_view_batches(n), "doc_id long, g binary, size long, fp long, views array<long>"), "similar")
     nodes = rows.groupBy("g").agg(F.min(F.struct("doc_id", "size", "fp", "views")).alias("m"))
     nodes = scratch(nodes.select("g", F.xxhash64("g").alias("id"), F.col("m.doc_id").alias("least"), "m.size", "m.fp", "m.views"), "similar-texts")
-    roots = components(similar_links(docs.select("doc_id", F.xxhash64("g").alias("id"), "text"), nodes, n, similarity, **how)).withColumnRenamed("node", "id")
+    texts = docs.select("doc_id", F.xxhash64("g").alias("id"), "text")
+    roots = components(similar_links(texts, nodes, n, similarity, **how))
+    if complete:
+        least = Fraction(similarity).limit_denominator(1000)
+        more = scratch(complete(texts.select("id", "text"), roots, n, least.numerator, least.denominator), "similar-missing")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = roots.withColumnRenamed("node", "id")
     member = scratch(nodes.select("g", "id", "least").join(roots, "id", "left").select("g", "least", F.coalesce("root", "id").alias("root")), "similar-member")
     lead = member.groupBy("root").agg(F.min(F.struct("least", "g")).alias("m"))
     member = member.join(lead, "root").select("g", F.col("m.least").alias("lead_id"), F.col("m.g").alias("lead_g"))

@@ -112,3 +112,31 @@ def test_the_first_part_keeps_every_similar_pair():
 
 def test_empty(spark):
     assert ngramjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_missing_links(spark):
+    rng = random.Random(31)
+    texts = [*dict.fromkeys(families(5, 24, 60)), "", " \t", "One", "one", "one  "]
+    sets = [grams(t, 5) for t in texts]
+    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b))]
+    assert len(alike) > 100
+
+    def roots(links):
+        up = list(range(len(texts)))
+        for _ in texts:
+            for i, j in links:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    rows = [*enumerate(texts), *enumerate(texts[:9])] + [(texts.index(""), None)]
+    df = spark.createDataFrame(rows, "id long, text string").selectExpr("*", "1 AS size", "'x' AS grams").repartition(4)
+    for share in (0, 0.5, 0.95):
+        kept = [p for p in alike if rng.random() < share]
+        known = [(i, r) for i, r in enumerate(roots(kept)) if any(i in p for p in kept)]
+        found = [tuple(r) for r in ngramjoin.missing_links(df, spark.createDataFrame(known, "node long, root long")).select("a", "b").collect()]
+        assert {(max(p), min(p)) for p in found} <= set(alike)
+        assert roots(known + found) == roots(alike)
+    everything = spark.createDataFrame([*enumerate(roots(alike))], "node long, root long")
+    left = {(max(p), min(p)) for p in ngramjoin.missing_links(df, everything).collect()}
+    assert all(sets[i] == sets[j] for i, j in left)  # what is connected isn't compared
+    assert ngramjoin.missing_links(df.limit(0), everything).isEmpty()

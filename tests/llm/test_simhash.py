@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from skeinery.llm import simhash
+from skeinery.llm import ngramjoin, simhash
 from skeinery.llm.components import components
 
 
@@ -131,6 +131,10 @@ def test_similar_texts_against_brute_force(spark):
         found = [got[i] == got[j] for i, j in pairs]
         edge = [got[i] == got[j] for i, j in pairs if len(sets[i] & sets[j]) < 0.85 * len(sets[i] | sets[j])]
         assert np.mean(found) >= 0.98 and np.mean(edge) >= 0.9
+        # completed, no pair stays apart; a search that finds next to nothing is completed as well
+        for less in ({}, {"radius": 0}):
+            got = {r.doc_id: r.lead_id for r in simhash.similar_texts(df, complete=ngramjoin.missing_links, **how, **less).collect()}
+            assert got == want
 
 
 def test_jaccard_and_forests():
