@@ -92,55 +92,64 @@ def sets(docs: DataFrame, n: int, size_of: Callable | None = None) -> DataFrame:
 ONE, SHARED, COUNT = 0, 1, 2
 
 
-def _dealt(parts: int) -> Callable:
-    """part and its entries: grams, ids, kind.
+def _dealt(parts: int, rooted: bool) -> Callable:
+    """part and its entries: grams, ids, kind (and roots).
 
-    An n-gram that several sets of a batch hold is known to be shared: it is sent
-    once for the batch, and each of those sets gets a count, dealt by its id.
+    An n-gram that several sets of a batch hold (of different roots, if there are
+    roots) is known to be shared: it is sent once for the batch, and each of those
+    sets gets a count, dealt by its id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = b.column("grams")
             g = grams.flatten().to_numpy().view(np.uint64)
-            ids = np.repeat(b.column("id").to_numpy(), np.diff(grams.offsets.to_numpy()))
-            o = np.lexsort((ids, g))
-            g, ids = g[o], ids[o]
-            later = np.append(False, g[1:] == g[:-1])[: len(g)]
-            new = ~(later & np.append(False, ids[1:] == ids[:-1])[: len(g)])
-            g, ids, later = g[new], ids[new], later[new]
-            hot = later | np.append(later[1:], False)[: len(g)]
+            own, many = b.column("id").to_numpy(), np.diff(grams.offsets.to_numpy())
+            ids = np.repeat(own, many)
+            roots = np.repeat(b.column("root").to_numpy(), many) if rooted else ids
+            o = np.lexsort((ids, roots, g))
+            g, ids, roots = g[o], ids[o], roots[o]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])
+            g, ids, roots = g[new], ids[new], roots[new]
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+            many = np.diff(np.append(first, len(g)))
+            hot = np.repeat(roots[first] != roots[first + many - 1], many)
             own, count = np.unique(ids[hot], return_counts=True)
-            sent = ~later
+            sent = ~hot
+            sent[first] = True
             kind = np.append(np.where(hot[sent], SHARED, ONE), np.full(len(own), COUNT)).astype(np.int8)
             part = np.append(g[sent] % np.uint64(parts), own.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-            g, ids = np.append(g[sent].view(np.int64), count), np.append(ids[sent], own)
+            g, ids, roots = np.append(g[sent].view(np.int64), count), np.append(ids[sent], own), np.append(roots[sent], own)
             o = np.lexsort((ids, part))
-            part, g, ids, kind = part[o], g[o], ids[o], kind[o]
+            part, g, ids, roots, kind = part[o], g[o], ids[o], roots[o], kind[o]
             heads = np.flatnonzero(np.diff(part, prepend=-1))
             many = np.diff(np.append(heads, len(part)))
             cols = [pa.array(part[heads]), _lists(g, many), _lists(ids, many), _lists(kind, many)]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "grams", "ids", "kind"])
+            names = ["part", "grams", "ids", "kind"]
+            if rooted:
+                cols, names = [*cols, _lists(roots, many)], [*names, "roots"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def _looked_up(t: pa.Table) -> pa.Table:
-    """id, shared: how many n-grams of this part a set shares, and the counts that were sent here."""
+    """id, shared: how many n-grams of this part a set shares (with other roots), and the counts that were sent here."""
     flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in t.column(c).chunks)])
     g, ids, kind = flat("grams"), flat("ids"), flat("kind")
+    roots = flat("roots") if "roots" in t.column_names else ids
     known = kind == COUNT
     sets, counts = [ids[known]], [g[known]]
-    g, ids, kind = g[~known], ids[~known], kind[~known]
+    g, ids, roots, kind = g[~known], ids[~known], roots[~known], kind[~known]
     if len(g):
-        ids = np.where(kind == SHARED, 0, ids)  # whose it was is told by the counts
-        o = np.lexsort((kind, ids, g))
-        g, ids, kind = g[o], ids[o], kind[o]
+        o = np.lexsort((ids, roots, g))
+        g, ids, roots, kind = g[o], ids[o], roots[o], kind[o]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        many = np.diff(np.append(first, len(g)))
+        shared = (roots[first] != roots[first + many - 1]) | (np.maximum.reduceat(kind, first) == SHARED)
         new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]) | (kind[1:] != kind[:-1]))
-        g, ids, kind = g[new], ids[new], kind[new]
-        of = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
-        shared = (np.bincount(of) > 1) | (np.bincount(of, weights=kind) > 0)
-        ids = ids[shared[of] & (kind == ONE)]
+        ids = ids[np.repeat(shared, many) & (kind == ONE) & new]  # whose a SHARED one was is told by the counts
         sets.append(ids)
         counts.append(np.ones(len(ids), np.int64))
     own, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -148,8 +157,8 @@ def _looked_up(t: pa.Table) -> pa.Table:
     return pa.table({"id": own, "shared": total})
 
 
-def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """nodes (id, least, size) that share enough of their first n-grams with others.
+def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int, roots: DataFrame | None = None) -> DataFrame:
+    """nodes (id, least, size) that share enough of their first n-grams with others; with roots (doc_id, root), of another root.
 
     Take two similar sets and of their first parts the one that ends first.  All its
     n-grams that the other set holds are in the other's first part, and no more than
@@ -157,7 +166,11 @@ def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     be (see ``first_part``); least of all if the partner is as small as it may be.
     """
     parts = 1 + (rows.agg(F.sum(F.size("grams"))).first()[0] or 0) // LOOKUP
-    dealt = rows.filter("size > 0").select("id", "grams").mapInArrow(_dealt(parts), "part int, grams array<long>, ids array<long>, kind array<byte>")
+    each, entries = rows.filter("size > 0").select("id", "grams"), "part int, grams array<long>, ids array<long>, kind array<byte>"
+    if roots is not None:
+        each = rows.filter("size > 0").join(roots, "doc_id", "left").select("id", "grams", F.coalesce("root", "doc_id").alias("root"))
+        entries += ", roots array<long>"
+    dealt = each.mapInArrow(_dealt(parts, roots is not None), entries)
     counted = dealt.groupBy("part").applyInArrow(_looked_up, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
     need = lambda n: F.ceil(n * num / F.lit(den)).cast("long")
     small = need(F.col("size"))
@@ -319,16 +332,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, tex
     return out.select(F.nullif("doc_id", last).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(lead, last).alias("component_id"))
 
 
-def _crossing(rows: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
-    """some (id, least, size, root) that share enough of their first n-grams with sets of other components (see ``promising``)."""
-    each = rows.join(some.select("id", "root"), "id").dropDuplicates(["id"]).select("id", "root", F.explode("grams").alias("gram"))
-    mixed = each.groupBy("gram").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("gram")
-    counted = each.join(mixed, "gram").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    need = lambda n: F.ceil(n * num / F.lit(den)).cast("long")
-    small = need(F.col("size"))
-    return some.join(counted, "id").filter(F.col("shared") >= F.least(need(small), small - need(small) + 1)).drop("shared")
-
-
 def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """a, b: what the known components lack, so that no two similar texts stay apart.
 
@@ -343,10 +346,11 @@ def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, d
     nodes = scratch(rows.groupBy("id", "size").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "missing-nodes")
     same = rows.join(nodes.filter("least <> most").select("id", "least"), "id").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
 
-    roots = known.select(F.col("node").alias("least"), "root")
-    some = promising(rows, nodes.filter("size > 0").select("id", "least", "size"), num, den).join(roots, "least", "left")
-    some = scratch(some.select("id", "least", "size", F.coalesce("root", "least").alias("root")), "missing-some")
-    few = scratch(_crossing(rows, some, num, den), "missing-few")
+    root = lambda c: known.select(F.col("node").alias(c), "root")
+    few = promising(rows, nodes.filter("size > 0").select("id", "least", "size"), num, den, root("doc_id")).join(root("least"), "least", "left")
+    few = scratch(few.select("id", "least", "size", F.coalesce("root", "least").alias("root")), "missing-few")
+    if few.isEmpty():
+        return same
     lists = scratch(ordered(whole_sets(docs, few, n), num, den), "missing-lists")
     pairs = other_pairs(_prefixes(lists, num, den), few.select(F.col("id").alias("node"), "root"), num, den)
     links = similar(pairs, scratch(fragmented(lists), "missing-parts"), num, den)
