@@ -92,6 +92,16 @@ def sets(docs: DataFrame, n: int, size_of: Callable | None = None) -> DataFrame:
 ONE, SHARED, COUNT = 0, 1, 2
 
 
+def _pieces(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many n-grams, one row at least."""
+    at = b.column("grams").offsets.to_numpy()
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
 def _dealt(parts: int, rooted: bool) -> Callable:
     """part and its entries: grams, ids, kind (and roots).
 
@@ -101,7 +111,7 @@ def _dealt(parts: int, rooted: bool) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, LOOKUP // 4)):
             grams = b.column("grams")
             g = grams.flatten().to_numpy().view(np.uint64)
             own, many = b.column("id").to_numpy(), np.diff(grams.offsets.to_numpy())
@@ -165,7 +175,7 @@ def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int, roots: Data
     size - least_overlap are missing there, so other + 1 are shared, or all that must
     be (see ``first_part``); least of all if the partner is as small as it may be.
     """
-    parts = 1 + (rows.agg(F.sum(F.size("grams"))).first()[0] or 0) // LOOKUP
+    parts = 1 + (rows.agg(F.sum(F.size("grams"))).first()[0] or 0) // (LOOKUP if roots is None else LOOKUP // 2)  # roots make entries larger
     each, entries = rows.filter("size > 0").select("id", "grams"), "part int, grams array<long>, ids array<long>, kind array<byte>"
     if roots is not None:
         each = rows.filter("size > 0").join(roots, "doc_id", "left").select("id", "grams", F.coalesce("root", "doc_id").alias("root"))
