@@ -53,8 +53,13 @@ def sparse_rows(weights: DataFrame, key: str, term: str = "w", value: str = "x")
     return x.select(key, F.col("e.i").alias("i"), F.col("e.x").alias("x")), terms
 
 
+def _tasks(rows: DataFrame) -> DataFrame:
+    """rows in as many tasks as run at once: each task sends sums of the size of q, which more tasks would only repeat."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X'X q in one pass over the rows of X."""
+    """X'X q in one pass over the rows of X; what is shuffled has the size of q for each core, whatever the number of rows."""
     sent = rows.sparkSession.sparkContext.broadcast(q)
     width = q.shape[1]
 
@@ -77,7 +82,7 @@ def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
             total = total + np.frombuffer(block.as_py())
         return pa.table({"part": t.column("part").slice(0, 1), "block": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.select("i", "x").mapInArrow(multiply, "part int, block binary").groupBy("part").applyInArrow(summed, "part int, block binary")
+    sums = _tasks(rows.select("i", "x")).mapInArrow(multiply, "part int, block binary").groupBy("part").applyInArrow(summed, "part int, block binary")
     out = np.zeros_like(q)
     for part, block in sums.collect():  # the size of q in all
         out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(block).reshape(-1, width)
@@ -130,11 +135,17 @@ def decompose(weights: DataFrame, key: str, k: int = COMPONENTS, term: str = "w"
     components as there are rows or terms less one, two at least; a row that is
     orthogonal to all of them is a row of zeros; an empty table has neither.
     """
-    rows, terms = sparse_rows(weights, key, term, value)
+    return decomposed(*sparse_rows(weights, key, term, value), key, k, seed)
+
+
+def decomposed(rows: DataFrame, terms: list[str], key: str, k: int = COMPONENTS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``decompose`` of rows (key, i, x: places among ``terms`` ascending, and values), which are stored once."""
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms")
     rows = stored(rows, "sparse-rows")
     n = rows.count()
     k = min(k, max(2, len(terms) - 1), max(2, n - 1), len(terms), max(n, 0))
-    spark = weights.sparkSession
+    spark = rows.sparkSession
     if not k:
         return rows.select(key, F.array().cast("array<double>").alias("v")), spark.createDataFrame([], "component int, value double, terms string")
     values, v = right_vectors(rows, len(terms), k, seed)

@@ -42,3 +42,13 @@ def test_low_rank_and_small(spark):
     assert [tuple(np.round(np.abs(r.v), 6)) for r in one.collect()] == [(1.0,)] and values.count() == 1
     none, values = decomposition.decompose(weights(spark, x).limit(0), "id")
     assert none.count() == 0 and values.count() == 0
+
+
+def test_sums_of_a_pass_do_not_grow_with_the_files(spark):
+    x = sparse(np.random.default_rng(3), 90, 40)
+    rows, terms = decomposition.sparse_rows(weights(spark, x), "id")
+    q = np.random.default_rng(4).normal(size=(len(terms), 5))
+    many = rows.repartition(60)
+    assert decomposition._tasks(many).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    x = x[:, (x > 0).any(axis=0)]
+    assert np.allclose(decomposition.gram_times(many, q), x.T @ (x @ q))
