@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -53,16 +56,23 @@ def _accents() -> tuple[str, str]:
 TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_'-]+[\p{L}\p{N}_]"
 
 
+#: Words that terms are numbered by, at most; beyond it terms are grouped as they are.
+MOST_CODED = 200_000
+
+
+def _words(text: Column, stop: list[str] | None = None, pattern: str = TERM) -> Column:
+    """Words in lower case without accents, stop words left out."""
+    words = F.regexp_extract_all(F.translate(F.lower(text), *_accents()), F.lit(pattern), F.lit(0))
+    drop = stop_words() if stop is None else stop
+    return F.filter(words, lambda w: ~w.isin(drop)) if drop else words
+
+
 def tokens(df: DataFrame, key: str, text: str, grams: int = 1, stop: list[str] | None = None, pattern: str = TERM) -> DataFrame:
     """key, w: a row for each word, and for each run of up to ``grams`` words, of a text.
 
     Words are lower case without accents; stop words are out before runs are formed.
     """
-    words = F.regexp_extract_all(F.translate(F.lower(text), *_accents()), F.lit(pattern), F.lit(0))
-    drop = stop_words() if stop is None else stop
-    if drop:
-        words = F.filter(words, lambda w: ~w.isin(drop))
-    df = df.select(key, words.alias("ws"))
+    df = df.select(key, _words(F.col(text), stop, pattern).alias("ws"))
 
     def runs(n: int) -> Column:
         at = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -71,25 +81,169 @@ def tokens(df: DataFrame, key: str, text: str, grams: int = 1, stop: list[str] |
     return df.select(key, F.explode(F.concat("ws", *[runs(n) for n in range(2, grams + 1)])).alias("w"))
 
 
-def tfidf(tok: DataFrame, key: str, least: int, most: float, features: int = 6000) -> DataFrame:
-    """key, w, x: smooth idf, unit length.
+def _runs(ws: pa.Array, words: pa.Array, grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and count of the runs of up to ``grams`` words that are all among ``words``, by row and code.
 
-    Terms in fewer than ``least`` or over ``most`` of the documents are out; of the
-    others the ``features`` most frequent count (ties: by term), so the vocabulary that
-    is broadcast has a bound.
+    A word's code is its place from 1; a run's has the codes of its words as digits.
+    """
+    base = len(words) + 1
+    row = np.repeat(np.arange(len(ws)), pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False))
+    word = pc.fill_null(pc.index_in(pc.list_flatten(ws), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    code, rows, codes = word, [row], [word]
+    for n in range(2, min(grams, len(row)) + 1):
+        whole = (row[n - 1 :] == row[: len(row) - n + 1]) & (code[:-1] > 0) & (word[n - 1 :] > 0)
+        code = np.where(whole, code[:-1] * base + word[n - 1 :], 0)
+        rows.append(row[: len(code)])
+        codes.append(code)
+    row, code = np.concatenate(rows), np.concatenate(codes)
+    row, code = row[code > 0], code[code > 0]
+    o = np.lexsort((code, row))
+    row, code = row[o], code[o]
+    heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.zeros(0, int)
+    return row[heads], code[heads], np.diff(np.append(heads, len(row)))
+
+
+def _lists(row: np.ndarray, n: int, **columns: pa.Array) -> pa.Array:
+    """One list of structs for each of n rows."""
+    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def _counted(words: list[str] | None, grams: int) -> Callable:
+    """Counts of a batch's texts: of all words (w, df, total) or, given words, of runs of several of these (code, df, total).
+
+    Batches: ws, and whether the text counts as a document; an empty word counts those that do and have words.
+    """
+    known = None if words is None else pa.array(words, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws = b.column(0)
+            names = pc.unique(pc.list_flatten(ws)) if known is None else known
+            row, code, tf = _runs(ws, names, grams)
+            if known is not None:
+                row, code, tf = (v[code > len(known)] for v in (row, code, tf))
+            found, at = np.unique(code, return_inverse=True)
+            df, total = np.bincount(at, minlength=len(found)), np.bincount(at, tf, minlength=len(found)).astype(np.int64)
+            if known is None:
+                docs = np.count_nonzero(np.bincount(row, minlength=b.num_rows)[b.column(1).to_numpy(zero_copy_only=False)])
+                found, df, total = pa.concat_arrays([names.take(pa.array(found - 1)).cast(pa.string()), pa.array([""])]), np.append(df, docs), np.append(total, docs)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df), pa.array(total)], names=["w" if known is None else "code", "df", "total"])
+
+    return run
+
+
+def _numbered(words: list[str], grams: int) -> None:
+    if (len(words) + 1) ** grams >= 1 << 62:
+        raise ValueError("runs are too long for their codes")
+
+
+def _spelled(spark: SparkSession, x: DataFrame, words: list[str], grams: int) -> DataFrame:
+    """x with w, the term that code stands for; words whose number is checked."""
+    base = len(words) + 1
+    named = spark.createDataFrame(list(enumerate(words, 1)), "digit long, word string") if words else spark.createDataFrame([], "digit long, word string")
+    x = x.withColumn("w", F.lit("")).withColumn("left_", F.col("code"))
+    for _ in range(grams):
+        x = x.withColumn("digit", F.col("left_") % base).join(F.broadcast(named), "digit", "left")
+        x = x.withColumn("w", F.when(F.col("word").isNull(), F.col("w")).when(F.col("w") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "w")))
+        x = x.withColumn("left_", F.floor(F.col("left_") / base).cast("long")).drop("digit", "word")
+    return x.drop("left_")
+
+
+def _repeats(df: DataFrame, key: str) -> bool:
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _plain_rows(df: DataFrame, key: str, text: str, grams: int, least: int, most: float, features: int) -> tuple[DataFrame, list[str]]:
+    """``tfidf_rows`` where keys repeat or words are too many: terms of a key are counted by a shuffle."""
+    tok = tokens(df, key, text, grams)
+    tf = stored(tok.groupBy(key, "w").agg(F.count("*").alias("tf")), "term-counts")
+    n = tf.agg(F.count_distinct(key)).first()[0]
+    terms = tf.groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    terms = terms.filter((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("total"), "w").limit(features)
+    found = sorted(terms.select("w", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect())
+    places = df.sparkSession.createDataFrame([(w, i, f) for i, (w, f) in enumerate(found)], "w string, i int, idf double")
+    x = tf.join(F.broadcast(places), "w").withColumn("x", F.col("tf") * F.col("idf"))
+    x = x.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    return x.select(key, F.col("e.i").alias("i"), F.transform("e.x", lambda v: v / F.col("size")).alias("x")), [w for w, _ in found]
+
+
+def tfidf_rows(df: DataFrame, key: str, text: str, grams: int, least: int, most: float, features: int = 6000) -> tuple[DataFrame, list[str]]:
+    """Rows (key and the other columns of df but text, i, x: places of terms ascending, and weights) and the terms in order.
+
+    Smooth idf, unit length; texts without a term are out, and so are terms in fewer
+    than ``least`` or over ``most`` of the documents; of the others the ``features``
+    most frequent count (ties: by term).  A run is no more frequent than its words, and
+    in no more documents: so words are counted first, and of runs only those of words as
+    frequent as the last word that would be kept.  Texts stay where they are; only
+    where keys repeat are counts brought together by key.
     """
-    tf = tok.groupBy(key, "w").agg(F.count("*").alias("tf"))
-    n = tok.select(F.count_distinct(key).alias("n"))
-    terms = tf.groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
-    terms = terms.filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n"))).orderBy(F.desc("total"), "w").limit(features)
-    x = tf.join(F.broadcast(terms), "w").withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return x.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).select(key, "w", "x")
-
-
-def cluster_terms(weights: DataFrame, members: DataFrame, key: str, by: str, n: int) -> DataFrame:
-    """The terms of greatest mean weight in each cluster."""
-    size = members.groupBy(by).agg(F.count("*").alias("size"))
-    s = weights.join(members, key).groupBy(by, "w").agg(F.sum("x").alias("s")).join(size, by)
+    spark, keep = df.sparkSession, [c for c in df.columns if c not in (key, text)]
+
+    def plain() -> tuple[DataFrame, list[str]]:
+        rows, terms = _plain_rows(df, key, text, grams, least, most, features)
+        return (rows.join(df.select(key, *keep), key) if keep else rows), terms
+
+    if _repeats(df, key):
+        return plain()
+    x = df.select(key, *keep, _words(F.col(text)).alias("ws"))
+    told = x.select("ws", F.col(key).isNotNull().alias("told"))  # a null key is no document
+    sums = [F.sum("df").alias("df"), F.sum("total").alias("total")]
+    words = told.mapInArrow(_counted(None, 1), "w string, df long, total long").groupBy("w").agg(*sums)
+    words = stored(words.filter((F.col("df") >= least) | (F.col("w") == "")), "words")
+    n = (words.filter("w = ''").agg(F.max("df")).first()[0]) or 0
+    words = words.filter((F.col("w") != "") & (F.col("df") >= least))
+    fits = (F.col("df") >= least) & (F.col("df") <= most * n)
+    last = words.filter(fits).orderBy(F.desc("total")).limit(features).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+    often = words.filter(F.col("total") >= F.lit(last.total if last.n == features else 0))
+    found = often.orderBy("w").limit(MOST_CODED + 1).collect()
+    if len(found) > MOST_CODED:
+        return plain()
+    known = [r.w for r in found]
+    _numbered(known, grams)
+    number = {w: k for k, w in enumerate(known, 1)}
+    terms = often.filter(fits)
+    if grams > 1:
+        runs = told.mapInArrow(_counted(known, grams), "code long, df long, total long").groupBy("code").agg(*sums)
+        if last.n == features:
+            runs = runs.filter(F.col("total") >= last.total)
+        terms = terms.unionByName(_spelled(spark, runs.filter(fits), known, grams).select("w", "df", "total"))
+    terms = terms.orderBy(F.desc("total"), "w").limit(features)
+    terms = sorted(terms.select("w", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect())
+    codes = np.zeros(len(terms), np.int64)
+    for k, (w, _) in enumerate(terms):
+        for part in w.split(" "):
+            codes[k] = codes[k] * (len(known) + 1) + number[part]
+    o = np.argsort(codes)
+    codes, idf, listed = codes[o], np.array([f for _, f in terms])[o], pa.array(known, pa.string())
+
+    @F.arrow_udf("array<struct<i:int,x:double>>")
+    def weigh(ws: pa.Array) -> pa.Array:
+        row, code, tf = _runs(ws, listed, grams)
+        at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+        ok = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+        row, at, v = row[ok], at[ok], tf[ok] * idf[at[ok]]
+        v = v / np.sqrt(np.bincount(row, v * v, minlength=len(ws)))[row]
+        back = np.lexsort((o[at], row))
+        return _lists(row, len(ws), i=pa.array(o[at][back].astype(np.int32)), x=pa.array(v[back]))
+
+    rows = x.select(key, *keep, weigh("ws").alias("e")).select(key, *keep, F.col("e.i").alias("i"), F.col("e.x").alias("x"))
+    return rows.filter(F.size("i") > 0), [w for w, _ in terms]
+
+
+def term_weights(rows: DataFrame, terms: list[str], by: list[str]) -> DataFrame:
+    """by, w, docs, s: in how many rows a term is, and the sum of its weights; ``rows`` and ``terms`` as of ``tfidf_rows``."""
+    x = rows.select(*by, F.inline_outer(F.arrays_zip("i", "x"))).groupBy(*by, "i").agg(F.count("*").alias("docs"), F.sum("x").alias("s"))
+    spark = rows.sparkSession
+    named = spark.createDataFrame(list(enumerate(terms)), "i int, w string") if terms else spark.createDataFrame([], "i int, w string")
+    return x.join(F.broadcast(named), "i").select(*by, "w", "docs", "s")
+
+
+def cluster_terms(df: DataFrame, key: str, text: str, by: str, n: int) -> DataFrame:
+    """The terms of greatest mean tf-idf weight in each cluster; words and pairs of words."""
+    size = df.groupBy(by).agg(F.count("*").alias("size"))
+    rows, terms = tfidf_rows(df.select(key, by, text), key, text, 2, 3, 0.82)
+    s = term_weights(rows.filter(F.col(key).isNotNull()), terms, [by]).join(size, by)
     s = s.withColumn("m", F.round(F.col("s") / F.col("size"), 6)).filter("m > 0")
     s = s.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("m"), "w"))).filter(F.col("k") <= n)
     return s.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda a: a["w"]), ", ").alias("terms"))
@@ -97,8 +251,7 @@ def cluster_terms(weights: DataFrame, members: DataFrame, key: str, by: str, n:
 
 def described(summary: DataFrame, x: DataFrame, key: str, text: str, by: str, n: int = 10) -> DataFrame:
     """A summary of clusters with top_terms, the terms of greatest mean tf-idf weight in each."""
-    x = stored(x.select(key, text, by), "described")
-    terms = cluster_terms(tfidf(tokens(x, key, text, 2), key, 3, 0.82), x.select(key, by), key, by, n)
+    terms = cluster_terms(stored(x.select(key, text, by), "described"), key, text, by, n)
     return summary.join(terms.withColumnRenamed("terms", "top_terms"), by, "left").na.fill("", ["top_terms"])
 
 

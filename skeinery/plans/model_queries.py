@@ -678,14 +678,13 @@ def k04_token_frequencies(spark, d):
 
 @query(f"WITH {K05} SELECT w, {CNT} AS docs, round(sum(x), 4) AS weight FROM tfidf GROUP BY w")
 def k05_tfidf(spark, d):
-    x = mi.tfidf(mi.tokens(corpus(spark, d), "doc_id", "text", 2), "doc_id", 3, 0.82)
-    return x.groupBy("w").agg(F.count("*").alias("docs"), F.round(F.sum("x"), 4).alias("weight"))
+    x = mi.term_weights(*weighed(spark, d), [])
+    return x.select("w", "docs", F.round("s", 4).alias("weight"))
 
 
 @query(f"WITH {K05} {terms_sql('documents', 'doc_id', 'source', 12)}")
 def k06_cluster_terms(spark, d):
-    docs = corpus(spark, d)
-    return mi.cluster_terms(mi.tfidf(mi.tokens(docs, "doc_id", "text", 2), "doc_id", 3, 0.82), docs.select("doc_id", "source"), "doc_id", "source", 12)
+    return mi.cluster_terms(corpus(spark, d), "doc_id", "text", "source", 12)
 
 
 @query(
@@ -780,20 +779,20 @@ def k07_truncated_svd(spark, d):
 
 
 def weighed(spark, d):
-    """Weights of the terms of all documents."""
-    return mi.tfidf(mi.tokens(corpus(spark, d), "doc_id", "text", 2), "doc_id", 3, 0.82)
+    """Weights of the terms of all documents, and the terms."""
+    return mi.tfidf_rows(corpus(spark, d).select("doc_id", "text"), "doc_id", "text", 2, 3, 0.82)
 
 
 @query()
 def k07_sparse_decomposition(spark, d):
     """Coordinates of every document in the space of its tf-idf weights' first 80 singular vectors."""
-    return de.decompose(weighed(spark, d), "doc_id")[0]
+    return de.decomposed(*weighed(spark, d), "doc_id")[0]
 
 
 @query()
 def k07_components(spark, d):
     """Singular values of the tf-idf weights, with the strongest terms of each component."""
-    return de.decompose(weighed(spark, d), "doc_id")[1].select("component", F.round("value", 6).alias("value"), "terms")
+    return de.decomposed(*weighed(spark, d), "doc_id")[1].select("component", F.round("value", 6).alias("value"), "terms")
 
 
 @query()
