@@ -255,20 +255,69 @@ def described(summary: DataFrame, x: DataFrame, key: str, text: str, by: str, n:
     return summary.join(terms.withColumnRenamed("terms", "top_terms"), by, "left").na.fill("", ["top_terms"])
 
 
-def class_terms(tok: DataFrame, by: str, n: int, named: int = 4) -> DataFrame:
-    """Topics by class-based tf-idf: term share in the class times ln(1 + mean class size / corpus count).
+def _best(x: DataFrame, by: str, n: int) -> DataFrame:
+    """x with k, the place by x and w within by, up to n."""
+    return x.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("x"), "w"))).filter(F.col("k") <= n)
+
+
+def class_terms(df: DataFrame, by: str, text: str, n: int, named: int = 4) -> DataFrame:
+    """Topics of words and pairs of words by class-based tf-idf: term share in the class times ln(1 + mean class size / corpus count).
 
     by, name (the class and its ``named`` first terms), representation (its ``n`` first terms).
+    A pair is no more frequent in a class than either word, so words are scored first;
+    pairs count only of words that are frequent enough for a pair to get among a class's
+    first n.  Texts stay where they are.
     """
-    c = tok.groupBy(by, "w").agg(F.count("*").alias("tf"))
-    total = c.groupBy("w").agg(F.sum("tf").alias("f"))
-    a = c.groupBy(by).agg(F.sum("tf").alias("s")).agg(F.avg("s").alias("a"))
-    x = c.join(total, "w").crossJoin(F.broadcast(a))
-    x = x.withColumn("x", F.round(F.col("tf") / F.sum("tf").over(W.partitionBy(by)) * F.ln(1 + F.col("a") / F.col("f")), 8))
-    x = x.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("x"), "w"))).filter(F.col("k") <= n)
+    spark, kind = df.sparkSession, df.schema[by].dataType.simpleString()
+    grouped = df.select(F.col(by).alias("by_"), _words(F.col(text)).alias("ws"))
+
+    def counted(words: list[str] | None) -> Callable:
+        known = None if words is None else pa.array(words, pa.string())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(class, w or code, tf) of a batch; without words an empty w has the terms of the class."""
+            for b in batches:
+                ws, classes = b.column(1), pc.dictionary_encode(b.column(0), null_encoding="encode")
+                names = pc.unique(pc.list_flatten(ws)) if known is None else known
+                row, code, tf = _runs(ws, names, 1 if known is None else 2)
+                long = code > (0 if known is None else len(known))
+                c, code, tf = classes.indices.to_numpy()[row[long]], code[long], tf[long]
+                if known is None:  # pairs count among the terms of a class
+                    sizes = pc.list_value_length(ws).fill_null(0).to_numpy(zero_copy_only=False)
+                    c, code, tf = np.append(c, classes.indices.to_numpy()), np.append(code, np.zeros(len(ws), np.int64)), np.append(tf, np.maximum(2 * sizes - 1, 0))
+                o = np.lexsort((code, c))
+                c, code, tf = c[o], code[o], tf[o]
+                heads = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (code[1:] != code[:-1]))) if len(c) else np.zeros(0, int)
+                tf = np.add.reduceat(tf, heads).astype(np.int64) if len(c) else np.zeros(0, np.int64)
+                term = pa.array(code[heads]) if known is not None else pa.concat_arrays([pa.array([""]), names.cast(pa.string())]).take(pa.array(code[heads]))
+                yield pa.RecordBatch.from_arrays([classes.dictionary.take(pa.array(c[heads])), term, pa.array(tf)], names=["by_", "w" if known is None else "code", "tf"])
+
+        return run
+
+    words = grouped.mapInArrow(counted(None), f"by_ {kind}, w string, tf long").groupBy("by_", "w").agg(F.sum("tf").alias("tf"))
+    words = stored(words, "class-words")
+    sizes = words.filter("w = '' and tf > 0").select("by_", F.col("tf").alias("s"))  # a row for each class
+    mean = sizes.agg(F.avg("s")).first()[0] or 0.0
+    words = words.filter("w <> ''")
+
+    def scored(c: DataFrame) -> DataFrame:
+        c = c.withColumn("f", F.sum("tf").over(W.partitionBy("w"))).join(sizes.withColumnRenamed("by_", "of_"), F.col("by_").eqNullSafe(F.col("of_"))).drop("of_")
+        return c.withColumn("x", F.round(F.col("tf") / F.col("s") * F.ln(1 + mean / F.col("f")), 8)).select("by_", "w", "tf", "s", "x")
+
+    x = stored(scored(words), "class-scored")
+    last = _best(x, "by_", n).groupBy("by_").agg(F.count("*").alias("many"), F.min("x").alias("last")).withColumnRenamed("by_", "of_")
+    most = F.col("tf") / F.col("s") * F.ln(1 + mean / F.col("tf"))  # what a term so frequent in the class has at most
+    often = x.join(last, F.col("by_").eqNullSafe(F.col("of_"))).filter((F.col("many") < n) | (most >= F.col("last") - 1e-8)).select("w").distinct()
+    known = sorted(r.w for r in often.limit(MOST_CODED + 1).collect())
+    if len(known) > MOST_CODED:  # pairs as they are
+        pairs = tokens(df.withColumnRenamed(by, "by_"), "by_", text, 2).filter(F.contains("w", F.lit(" "))).groupBy("by_", "w").agg(F.count("*").alias("tf"))
+    else:
+        codes = grouped.mapInArrow(counted(known), f"by_ {kind}, code long, tf long").groupBy("by_", "code").agg(F.sum("tf").alias("tf"))
+        pairs = _spelled(spark, codes, known, 2).select("by_", "w", "tf")
+    x = _best(_best(x, "by_", n).drop("k").unionByName(scored(pairs)), "by_", n)
     terms = F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda s: s["w"])
-    x = x.groupBy(by).agg(terms.alias("terms"))
-    return x.select(by, F.concat_ws("_", F.col(by).cast("string"), F.array_join(F.slice("terms", 1, named), "_")).alias("name"), F.array_join("terms", ", ").alias("representation"))
+    x = x.groupBy("by_").agg(terms.alias("terms"))
+    return x.select(F.col("by_").alias(by), F.concat_ws("_", F.col("by_").cast("string"), F.array_join(F.slice("terms", 1, named), "_")).alias("name"), F.array_join("terms", ", ").alias("representation"))
 
 
 def labels(df: DataFrame, by: str, text: str, n: int = 6) -> DataFrame:

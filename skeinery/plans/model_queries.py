@@ -667,6 +667,10 @@ DOCTOK = words_sql("documents", "doc_id", "source", "text")
 K05 = tfidf_sql("documents", "doc_id", "source", "text")
 
 
+#: Rows of a lookup of two numbers that go to all tasks, at most, so that texts stay where they are.
+MOST_SENT = 1_000_000
+
+
 def corpus(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source")
 
@@ -699,7 +703,7 @@ def g03_cluster_summary(spark, d):
 @query(f"WITH {DOCTOK}, cl AS (SELECT source, w, count(*) AS tf FROM tk2 GROUP BY ALL), tot AS (SELECT w, sum(tf) AS f FROM cl GROUP BY w), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM cl GROUP BY source)), x AS (SELECT source, w, round(tf / sum(tf) OVER (PARTITION BY source) * ln(1 + a / f), 8) AS x FROM cl JOIN tot USING (w), a), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, w) AS k FROM x), sz AS (SELECT source, {CNT} AS docs FROM documents GROUP BY source) SELECT source, docs, source || '_' || string_agg(w, '_' ORDER BY k) FILTER (k <= 4) AS name, string_agg(w, ', ' ORDER BY k) AS representation FROM r JOIN sz USING (source) WHERE k <= 10 GROUP BY source, docs")
 def k18_class_tfidf(spark, d):
     docs = corpus(spark, d)
-    topics = mi.class_terms(mi.tokens(docs.select(F.col("source").alias("s"), "text"), "s", "text", 2).withColumnRenamed("s", "source"), "source", 10)
+    topics = mi.class_terms(docs, "source", "text", 10)
     return topics.join(docs.groupBy("source").agg(F.count("*").alias("docs")), "source")
 
 
@@ -707,8 +711,10 @@ def k18_class_tfidf(spark, d):
 def k18_topics(spark, d):
     """Topics of the documents' vector clusters; those without a vector are in none, topic -1, which has terms and a count as well."""
     found = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic"))
+    if found.count() <= MOST_SENT:
+        found = F.broadcast(found)
     docs = corpus(spark, d).join(found, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(-1)))
-    terms = mi.class_terms(mi.tokens(docs.select(F.col("topic").alias("t"), "text"), "t", "text", 2).withColumnRenamed("t", "topic"), "topic", 10)
+    terms = mi.class_terms(docs, "topic", "text", 10)
     return terms.join(docs.groupBy("topic").agg(F.count("*").alias("count")), "topic").select("topic", "count", "name", "representation")
 
 

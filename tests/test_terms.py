@@ -52,3 +52,26 @@ def test_unique_keys_shuffle_no_terms(spark):
     df = spark.createDataFrame([(i, " ".join(f"word{w}" for w in rng.zipf(1.3, 40) % 500)) for i in range(300)], "id long, text string")
     rows, _ = mining.tfidf_rows(df, "id", "text", 2, 3, 0.82, 50)
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_terms(spark):
+    """Words and pairs as plain counting has them, for classes of few and of many terms and none."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i:03}" for i in range(60)]
+    rows = [(i % 3 if i % 10 else None, " ".join(vocabulary[(w + i % 3 * 7) % 60] for w in rng.zipf(1.4, 25) % 60) + " red herring" * (i % 3 == 1)) for i in range(200)]
+    rows += [(7, "one two"), (8, ""), (9, None)]
+    df = spark.createDataFrame(rows, "c int, text string").repartition(3)
+    tf = Counter(tuple(r) for r in mining.tokens(df, "c", "text", 2).collect())
+    size, f = Counter(), Counter()
+    for (c, w), k in tf.items():
+        size[c] += k
+        f[w] += k
+    mean = sum(size.values()) / len(size)
+    want = {}
+    for c in size:
+        x = sorted((-round(k / size[c] * math.log(1 + mean / f[w]), 8), w) for (b, w), k in tf.items() if b == c)
+        want[c] = ", ".join(w for _, w in x[:10])
+    out = mining.class_terms(df, "c", "text", 10)
+    got = {r.c: r.representation for r in out.collect()}
+    assert got == want
+    assert "red herring" in got[1] and got[7] == "one, one two, two"
