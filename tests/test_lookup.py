@@ -60,3 +60,11 @@ def test_totals_and_null_groups_are_told_apart(spark):
     got = {(r.x, r.y, r.grouping_id): r.s for r in grouping.cube(df, ["x", "y"], [F.sum("v").alias("s")]).collect()}
     assert got[None, None, 3] == 10 and got[None, None, 1] == 3 and got["a", None, 0] == 5 and got["a", None, 1] == 7
     assert len(grouping.rollup(df, ["x", "y"], [F.sum("v").alias("s")]).collect()) == 3 + 2 + 1
+
+
+def test_equal_texts_have_one_posting(spark, tmp_path):
+    """Postings grow with the different texts, not with the rows; all rows are found."""
+    df = spark.range(2000).selectExpr("id", "concat('ticket of kind ', id % 4, ' lost') AS text").repartition(3)
+    index = lookup.Index.build(df, "id", "text", f"{tmp_path}/index")
+    assert index.postings.count() == 4 * len({f"ticket of kind {0} lost"[i : i + 3] for i in range(19)})
+    assert sorted(r.key for r in index.contains("KIND 2").collect()) == list(range(2, 2000, 4))
