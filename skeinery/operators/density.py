@@ -34,6 +34,8 @@ from .vectors import matrix
 
 #: Points of a block, about; two blocks are compared in a task.
 BLOCK = 1_500
+#: Blocks of either side that meet in one task: a block is sent once for so many.
+TOGETHER = 8
 #: Cells, at most; their centres travel to the tasks.
 PIVOTS = 256
 #: Edges of a tree of groups that one task grows in a round; the others wait for the next.
@@ -97,13 +99,32 @@ class Cells:
         return np.maximum(0, d - self.radius[:, None] - self.radius[None, :])
 
 
-def _met(x: DataFrame, pairs: list[tuple[int, int]], columns: list[str], run: Callable, schema: str) -> DataFrame:
-    """run on the points of each pair of blocks; ``side`` says which block a point is of."""
-    spark = x.sparkSession
-    sides = [(k, s, b) for k, p in enumerate(pairs) for s, b in enumerate(p[: 1 + (p[0] != p[1])])]
-    sides = spark.createDataFrame(sides, "pair int, side int, block int")
-    dealt = x.select("block", *columns).join(sides, "block").repartition(max(1, min(len(pairs), 4 * spark.sparkContext.defaultParallelism + len(pairs) // 8)), "pair")
-    return dealt.groupBy("pair").applyInArrow(run, schema)
+def _groups(pairs: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Pairs of blocks by what meets in one task."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for p in pairs:
+        found.setdefault((p[0] // TOGETHER, p[1] // TOGETHER), []).append(p)
+    return dict(enumerate(found.values()))
+
+
+def _met(x: DataFrame, pairs: list[tuple[int, int]], columns: list[str], run: Callable, merge: Callable, schema: str) -> DataFrame:
+    """run on the points of each pair of blocks; ``side`` says which block a point is of; merge: what a task makes of all its pairs' results."""
+    spark, groups_ = x.sparkSession, _groups(pairs)
+    sent = [(g, b) for g, ps in groups_.items() for b in sorted({b for p in ps for b in p})]
+    dealt = x.select("block", *columns).join(spark.createDataFrame(sent, "met int, block int"), "block")
+    dealt = dealt.repartition(max(1, min(len(groups_), 4 * spark.sparkContext.defaultParallelism + len(groups_) // 8)), "met")
+
+    def together(t: pa.Table) -> pa.Table:
+        block = t.column("block").to_numpy()
+        of = {b: t.take(np.flatnonzero(block == b)) for b in np.unique(block).tolist()}
+        out = []
+        for p in groups_[t.column("met")[0].as_py()]:
+            two = [of[b].append_column("side", pa.array(np.full(len(of[b]), s))) for s, b in enumerate(p[: 1 + (p[0] != p[1])]) if b in of]
+            if two:
+                out.append(run(pa.concat_tables(two)))
+        return merge(pa.concat_tables(out))
+
+    return dealt.groupBy("met").applyInArrow(together, schema)
 
 
 def _table(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,10 +165,17 @@ def core_distances(x: DataFrame, cells: Cells, many: int) -> DataFrame:
                 out.append(_nearest(d[ok], w[o][ok], many).tolist())
         return pa.table({"id": pa.array(who, pa.int64()), "near": pa.array(out, pa.list_(pa.float64()))})
 
+    def least(t: pa.Table) -> pa.Table:
+        """Of a point's distances those that can count."""
+        near: dict[int, list[float]] = {}
+        for k, d in zip(t.column("id").to_pylist(), t.column("near").to_pylist(), strict=True):
+            near[k] = sorted(near.get(k, []) + d)[:many]
+        return pa.table({"id": pa.array(list(near), pa.int64()), "near": pa.array(list(near.values()), pa.list_(pa.float64()))})
+
     found = inner.select("id", "near")
     if len(i):
         with_bound = x.join(inner.select("id", "bound"), "id")
-        found = found.unionByName(_met(with_bound, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "bound"], cross, "id long, near array<double>"))
+        found = found.unionByName(_met(with_bound, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "bound"], cross, least, "id long, near array<double>"))
     merged = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, many)
     return found.groupBy("id").agg(merged.alias("near")).select("id", F.array_max("near").alias("core"))
 
@@ -215,7 +243,11 @@ def edges(x: DataFrame, cells: Cells) -> DataFrame:
         a, b, d = _spanning(p, t.column("core").to_numpy())
         return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d})
 
-    found = _met(x, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "core"], tree, _EDGE)
+    def thin(t: pa.Table) -> pa.Table:
+        """A least spanning forest of several trees connects at each distance what they connect."""
+        return pa.Table.from_batches(list(_forest(iter(t.to_batches()))), t.schema)
+
+    found = _met(x, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "core"], tree, thin, _EDGE)
     return found.groupBy("u", "v").agg(F.min("d").alias("d"))
 
 

@@ -152,3 +152,12 @@ def test_fallback(spark):
     assert {r.method for r in out} == {"density"} and len(out) == len(x) + 1
     few = density.with_fallback(df.filter("id < 80"), "id", "v", 8)
     assert {r.method for r in few.collect()} == {"kmeans"} and few.count() == 80
+
+
+def test_blocks_are_sent_once_for_many_pairs(spark, monkeypatch):
+    """All pairs of 40 blocks: what a block is sent with grows with the blocks over TOGETHER."""
+    pairs = [(i, j) for i in range(40) for j in range(i, 40)]
+    groups = density._groups(pairs)
+    assert sorted(p for ps in groups.values() for p in ps) == pairs
+    sent = sum(len({b for p in ps for b in p}) for ps in groups.values())
+    assert sent == 40 * 5 < sum(1 + (i != j) for i, j in pairs) / 7
