@@ -61,8 +61,8 @@ def _node(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(g[at[1:]] - g[at[:-1]] + mix(size + np.uint64(1)))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def _sets(n: int, size_of: Callable | None) -> Callable:
@@ -122,8 +122,7 @@ def _dealt(parts: int, rooted: bool) -> Callable:
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])
             g, ids, roots = g[new], ids[new], roots[new]
-            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
-            many = np.diff(np.append(first, len(g)))
+            first, many = _heads(g)
             hot = np.repeat(roots[first] != roots[first + many - 1], many)
             own, count = np.unique(ids[hot], return_counts=True)
             sent = ~hot
@@ -133,8 +132,7 @@ def _dealt(parts: int, rooted: bool) -> Callable:
             g, ids, roots = np.append(g[sent].view(np.int64), count), np.append(ids[sent], own), np.append(roots[sent], own)
             o = np.lexsort((ids, part))
             part, g, ids, roots, kind = part[o], g[o], ids[o], roots[o], kind[o]
-            heads = np.flatnonzero(np.diff(part, prepend=-1))
-            many = np.diff(np.append(heads, len(part)))
+            heads, many = _heads(part)
             cols = [pa.array(part[heads]), _lists(g, many), _lists(ids, many), _lists(kind, many)]
             names = ["part", "grams", "ids", "kind"]
             if rooted:
@@ -144,29 +142,59 @@ def _dealt(parts: int, rooted: bool) -> Callable:
     return run
 
 
-def _looked_up(t: pa.Table) -> pa.Table:
-    """id, shared: how many n-grams of this part a set shares (with other roots), and the counts that were sent here."""
-    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in t.column(c).chunks)])
-    g, ids, kind = flat("grams"), flat("ids"), flat("kind")
-    roots = flat("roots") if "roots" in t.column_names else ids
+def _flat(t: pa.Table, *names: str) -> Iterator[np.ndarray]:
+    """The entries of columns of lists."""
+    return (np.concatenate([np.zeros(0, np.int8), *(x.flatten().to_numpy() for x in t.column(c).chunks)]) for c in names)
+
+
+def _heads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _answers(parts: int, ids: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """part and lists of what is said of the sets that are dealt to it by id: one row for each part, whatever the number of sets."""
+    part = (ids.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    o = np.lexsort((ids, part))
+    first, many = _heads(part[o])
+    return pa.table({"part": part[o][first], "ids": _lists(ids[o], many)} | {c: _lists(x[o], many) for c, x in columns.items()})
+
+
+def _looked_up(t: pa.Table, parts: int) -> pa.Table:
+    """How many n-grams of this part a set shares (with other roots), and the counts that were sent here."""
+    g, ids, kind = _flat(t, "grams", "ids", "kind")
+    roots = next(_flat(t, "roots")) if "roots" in t.column_names else ids
     known = kind == COUNT
     sets, counts = [ids[known]], [g[known]]
     g, ids, roots, kind = g[~known], ids[~known], roots[~known], kind[~known]
     if len(g):
         o = np.lexsort((ids, roots, g))
         g, ids, roots, kind = g[o], ids[o], roots[o], kind[o]
-        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        many = np.diff(np.append(first, len(g)))
+        first, many = _heads(g)
         shared = (roots[first] != roots[first + many - 1]) | (np.maximum.reduceat(kind, first) == SHARED)
         new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]) | (kind[1:] != kind[:-1]))
         ids = ids[np.repeat(shared, many) & (kind == ONE) & new]  # whose a SHARED one was is told by the counts
         sets.append(ids)
         counts.append(np.ones(len(ids), np.int64))
-    own, at = np.unique(np.concatenate(sets), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+    own, total = _summed(np.concatenate(sets), np.concatenate(counts))
+    return _answers(parts, own, counts=total.astype(np.int32))
+
+
+def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(ids, return_inverse=True)
+    return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+
+
+def _totals(t: pa.Table) -> pa.Table:
+    own, total = _summed(*_flat(t, "ids", "counts"))
     return pa.table({"id": own, "shared": total})
 
 
+def _sum(df: DataFrame, c: Column | str) -> int:
+    return df.agg(F.sum(c)).first()[0] or 0
+
+
 def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int, roots: DataFrame | None = None) -> DataFrame:
     """nodes (id, least, size) that share enough of their first n-grams with others; with roots (doc_id, root), of another root.
 
@@ -175,13 +203,14 @@ def promising(rows: DataFrame, nodes: DataFrame, num: int, den: int, roots: Data
     size - least_overlap are missing there, so other + 1 are shared, or all that must
     be (see ``first_part``); least of all if the partner is as small as it may be.
     """
-    parts = 1 + (rows.agg(F.sum(F.size("grams"))).first()[0] or 0) // (LOOKUP if roots is None else LOOKUP // 2)  # roots make entries larger
+    parts = 1 + _sum(rows, F.size("grams")) // (LOOKUP if roots is None else LOOKUP // 2)  # roots make entries larger
     each, entries = rows.filter("size > 0").select("id", "grams"), "part int, grams array<long>, ids array<long>, kind array<byte>"
     if roots is not None:
         each = rows.filter("size > 0").join(roots, "doc_id", "left").select("id", "grams", F.coalesce("root", "doc_id").alias("root"))
         entries += ", roots array<long>"
     dealt = each.mapInArrow(_dealt(parts, roots is not None), entries)
-    counted = dealt.groupBy("part").applyInArrow(_looked_up, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
+    answers = dealt.groupBy("part").applyInArrow(lambda t: _looked_up(t, parts), "part int, ids array<long>, counts array<int>")
+    counted = answers.groupBy("part").applyInArrow(_totals, "id long, shared long")
     need = lambda n: F.ceil(n * num / F.lit(den)).cast("long")
     small = need(F.col("size"))
     enough = F.least(need(small), small - need(small) + 1)
@@ -192,9 +221,9 @@ def _bit(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(MAP)).cast("long")
 
 
-def _marked(ids: DataFrame) -> bytes:
-    """A map of MAP bits, one for the hash of each least doc_id: at most 4 MB, whatever the number of documents."""
-    bit = _bit("least") + 1  # buckets and their bits are counted from 1
+def _marked(ids: DataFrame, bit: Column) -> bytes:
+    """A map of MAP bits, in which each row has its own: at most 4 MB, whatever the number of documents."""
+    bit = bit + 1  # buckets and their bits are counted from 1
     maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
     out = np.zeros(MAP // 8, np.uint8)
     for b, m in maps:
@@ -202,41 +231,93 @@ def _marked(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _picked(marks: bytes) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = np.frombuffer(marks, np.uint8)
+def _held(marks: bytes, bit: np.ndarray) -> pa.Array:
+    return pa.array((np.frombuffer(marks, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+
+
+def whole_sets(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """id, size, grams of the nodes ``some`` (id, least), each from the rows of its least document; no text is moved.
+
+    Repeated rows come again, and so do the few other sets whose document and id meet
+    bits of the maps; they are as similar to others as their likes in ``some``.
+    """
+    rows, ids = (docs.sparkSession.sparkContext.broadcast(_marked(some, bit)) for bit in (_bit("least"), F.pmod("id", F.lit(MAP))))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bit = b.column("bit").to_numpy()
-            ok = has[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
-            yield b.select(["doc_id", "text"]).filter(pa.array(ok.astype(bool)))
+            yield b.select(["doc_id", "text"]).filter(_held(rows.value, b.column("bit").to_numpy()))
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sets(n, None)(picked(batches)):
+            yield b.filter(_held(ids.value, b.column("id").to_numpy() % MAP)).select(["id", "size", "grams"])
 
+    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(run, "id long, size long, grams array<long>")
 
-def whole_sets(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
-    """id, size, grams of the nodes ``some`` (id, least), each from one of its documents; others' texts aren't moved."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marked(some))
+
+def _spread(parts: int) -> Callable:
+    """part and its entries: grams, ids, sizes; of many sets at once."""
+
+    def sent(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        many = np.concatenate([np.diff(b.column("grams").offsets.to_numpy()) for b in held])
+        g, ids, sizes = (np.concatenate([c(b) for b in held]) for c in (lambda b: b.column("grams").flatten().to_numpy(), lambda b: b.column("id").to_numpy(), lambda b: b.column("size").to_numpy()))
+        part = (g.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        o = np.argsort(part, kind="stable")
+        first, each = _heads(part[o])
+        cols = [pa.array(part[o][first]), *(_lists(x[o], each) for x in (g, np.repeat(ids, many), np.repeat(sizes.astype(np.int32), many)))]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "grams", "ids", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _picked(marks.value)(batches)
+        held, n = [], 0
+        for b in (piece for whole in batches for piece in _pieces(whole, LOOKUP // 4)):
+            held.append(b)
+            n += len(b.column("grams").flatten())
+            if n >= LOOKUP // 4:
+                yield sent(held)
+                held, n = [], 0
+        if held:
+            yield sent(held)
 
-    texts = docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(run, "doc_id long, text string")
-    found = sets(texts, n).withColumnRenamed("doc_id", "least")
-    return found.join(some.select("id", "least"), ["id", "least"]).dropDuplicates(["id"]).select("id", "size", "grams")
+    return run
 
 
-def ordered(full: DataFrame, num: int, den: int) -> DataFrame:
+def _frequent(t: pa.Table, parts: int) -> pa.Table:
+    """The n-grams of this part that several sets hold, with the power of two of their number, to these sets."""
+    g, ids, sizes = _flat(t, "grams", "ids", "sizes")
+    o = np.lexsort((ids, g))
+    g, ids, sizes = g[o], ids[o], sizes[o]
+    new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))[: len(g)]
+    g, ids, sizes = g[new], ids[new], sizes[new]
+    _, many = _heads(g)
+    often = np.repeat(np.frexp(many)[1].astype(np.int8), many)
+    some = np.repeat(many > 1, many)
+    return _answers(parts, ids[some], grams=g[some], sizes=sizes[some], often=often[some])
+
+
+def _arranged(t: pa.Table, num: int, den: int) -> pa.Table:
+    """id, size, lone, grams of the sets that share enough."""
+    g, ids, sizes, often = _flat(t, "grams", "ids", "sizes", "often")
+    o = np.lexsort((g, often, ids))
+    g, ids, sizes, often = g[o], ids[o], sizes[o].astype(np.int64), often[o]
+    first, many = _heads(ids)
+    ok = many >= least_overlap(sizes[first], num, den)
+    keep = np.repeat(ok, many)
+    first, many = first[ok], many[ok]
+    grams = pa.StructArray.from_arrays([pa.array(often[keep].astype(np.int32)), pa.array(g[keep])], names=["often", "gram"])
+    return pa.table({"id": ids[first], "size": sizes[first], "lone": sizes[first] - many, "grams": _lists(grams, many)})
+
+
+def ordered(full: DataFrame, total: int, num: int, den: int) -> DataFrame:
     """id, size, lone, grams: the n-grams that others share, in the global order, of sets that share enough.
 
     The order goes by the number of sets that hold an n-gram, in powers of two, then
-    by hash; lone: how many n-grams come before, which the set has for itself.
+    by hash; lone: how many n-grams come before, which the set has for itself.  Sets
+    may be repeated; total: n-grams of all sets, about.  N-grams meet by hash, and
+    what is said of them goes back to the sets, in lists both times.
     """
-    each = full.select("id", "size", F.explode("grams").alias("gram"))
-    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    often = often.select("gram", F.length(F.bin("sets")).cast("int").alias("often"))
-    shared = each.join(often, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
-    enough = F.ceil(F.col("size") * num / F.lit(den))
-    return shared.filter(F.size("grams") >= enough).select("id", "size", (F.col("size") - F.size("grams")).alias("lone"), "grams")
+    parts = 1 + total // (LOOKUP // 2)
+    spread = full.mapInArrow(_spread(parts), "part int, grams array<long>, ids array<long>, sizes array<int>")
+    answers = spread.groupBy("part").applyInArrow(lambda t: _frequent(t, parts), "part int, ids array<long>, grams array<long>, sizes array<int>, often array<byte>")
+    return answers.groupBy("part").applyInArrow(lambda t: _arranged(t, num, den), "id long, size long, lone long, grams array<struct<often:int,gram:long>>")
 
 
 def _could(a: str, b: str, num: int, den: int) -> Column:
@@ -321,7 +402,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, tex
     rows = scratch(sets(docs, n, lambda size: first_part(size, num, den)), "ngram-rows")
     nodes = rows.filter("size > 0").groupBy("id", "size").agg(F.min("doc_id").alias("least"))
     some = scratch(promising(rows, nodes, num, den), "ngram-some")
-    lists = scratch(ordered(whole_sets(docs, some, n), num, den), "ngram-lists")
+    lists = scratch(ordered(whole_sets(docs, some, n), _sum(some, "size"), num, den), "ngram-lists")
     prefixes = scratch(_prefixes(lists, num, den), "ngram-prefixes")
     parts = scratch(fragmented(lists), "ngram-parts")
 
@@ -361,7 +442,7 @@ def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, d
     few = scratch(few.select("id", "least", "size", F.coalesce("root", "least").alias("root")), "missing-few")
     if few.isEmpty():
         return same
-    lists = scratch(ordered(whole_sets(docs, few, n), num, den), "missing-lists")
+    lists = scratch(ordered(whole_sets(docs, few, n), _sum(few, "size"), num, den), "missing-lists")
     pairs = other_pairs(_prefixes(lists, num, den), few.select(F.col("id").alias("node"), "root"), num, den)
     links = similar(pairs, scratch(fragmented(lists), "missing-parts"), num, den)
     text = lambda c: few.select(F.col("id").alias(c), F.col("least").alias(f"t{c}"))

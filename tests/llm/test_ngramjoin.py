@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skeinery.llm import ngramjoin
@@ -110,6 +111,46 @@ def test_the_first_part_keeps_every_similar_pair():
                 assert shared >= min(least(small, num, den), small - least(small, num, den) + 1)
 
 
+def test_a_part_answers_in_lists(spark):
+    """What step 1 sends back is one row for each two parts, not one for each set and part."""
+    rng = np.random.default_rng(4)
+    ids = np.repeat(rng.integers(-(2**62), 2**62, 300), 20)
+    grams = rng.integers(0, 3000, len(ids))
+    want = {int(i): len({g for g in grams[ids == i] if len(set(ids[grams == g])) > 1}) for i in set(ids)}
+    got, rows = [], 0
+    for part in range(4):
+        o = np.flatnonzero(grams % 4 == part)
+        sent = {c: pa.array([x]) for c, x in (("grams", grams[o]), ("ids", ids[o]), ("kind", np.zeros(len(o), np.int8)))}
+        got.append(ngramjoin._looked_up(pa.table(sent), 4))
+        rows += got[-1].num_rows
+    assert rows <= 16
+    got = pa.concat_tables(got)
+    seen = [ngramjoin._totals(got.filter(pa.compute.equal(got["part"], p))) for p in range(4)]
+    found = {i: n for t in seen for i, n in zip(t["id"].to_pylist(), t["shared"].to_pylist(), strict=True)}
+    assert found == {i: n for i, n in want.items() if n} and sum(t.num_rows for t in seen) == len(found)
+
+
+@pytest.mark.parametrize("lookup", [64, 1 << 21])
+def test_ordered_moves_lists(spark, monkeypatch, lookup):
+    """N-grams are counted and put in order without a row for each; repeated sets count once."""
+    monkeypatch.setattr(ngramjoin, "LOOKUP", lookup)
+    rng = random.Random(5)
+    sets = {i * 7 - 900: sorted(rng.sample(range(-40, 60), rng.randrange(1, 30))) for i in range(80)}
+    sets[1000] = [10**9 + i for i in range(200)]  # nobody else has these
+    rows = [(i, len(g), g) for i, g in sets.items()]
+    full = spark.createDataFrame(rows + rows[:30], "id long, size long, grams array<long>").repartition(6)
+    found = ngramjoin.ordered(full, sum(r[1] for r in rows), 4, 5)
+    assert "explode" not in found._jdf.queryExecution().toString().lower()
+    often = {g: sum(g in x for x in sets.values()) for x in sets.values() for g in x}
+    want = {}
+    for i, x in sets.items():
+        shared = sorted((often[g].bit_length(), g) for g in x if often[g] > 1)
+        if shared and 5 * len(shared) >= 4 * len(x):
+            want[i] = (len(x), len(x) - len(shared), shared)
+    got = found.collect()
+    assert {r.id: (r["size"], r.lone, [tuple(g) for g in r.grams]) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_empty(spark):
     assert ngramjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
