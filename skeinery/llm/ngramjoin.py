@@ -339,19 +339,25 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def leading_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: every set with the few of each of its n-grams that have the least share of their own."""
+def _mixed(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The prefixes and their root (of node, root), of n-grams that different components share."""
+    own = prefixes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = own.groupBy("gram").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("gram")
+    return scratch(own.join(mixed, "gram"), "ngram-mixed")
+
+
+def leading_pairs(prefixes: DataFrame, num: int, den: int, roots: DataFrame | None = None) -> DataFrame:
+    """a, b: every set with the few of each of its n-grams that have the least share of their own; with roots, of other components."""
+    own = prefixes.withColumn("root", F.col("id")) if roots is None else _mixed(prefixes, roots)
     w = W.partitionBy("gram").orderBy(F.col("lone") / F.col("size"), "id")
-    lead = prefixes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LEADERS)
-    x, y = lead.alias("x"), prefixes.alias("y")
-    return _pairs(x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id")) & _could("x", "y", num, den)))
+    lead = own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LEADERS)
+    x, y = lead.alias("x"), own.alias("y")
+    return _pairs(x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _could("x", "y", num, den)))
 
 
 def other_pairs(prefixes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: all sets that share a first n-gram and are in different components (node, root)."""
-    own = prefixes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = own.groupBy("gram").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("gram")
-    own = scratch(own.join(mixed, "gram"), "ngram-mixed")
+    own = _mixed(prefixes, roots)
     x, y = own.alias("x"), own.alias("y")
     return _pairs(x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _could("x", "y", num, den)))
 
@@ -386,6 +392,20 @@ def similar(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame
     return both.filter(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
 
 
+def linked(lists: DataFrame, num: int, den: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) that the leaders have found, what they connect (node, root), and the links that are missing then.
+
+    With known links (a, b; b: the least of a's component) only sets that these leave
+    apart are compared.
+    """
+    prefixes, parts = scratch(_prefixes(lists, num, den), "ngram-prefixes"), scratch(fragmented(lists), "ngram-parts")
+    tried = scratch(leading_pairs(prefixes, num, den, known and known.toDF("node", "root")), "ngram-pairs")
+    links = scratch(similar(tried, parts, num, den), "ngram-links")
+    roots = scratch(components(links.unionByName(known) if known else links), "ngram-roots")
+    rest = other_pairs(prefixes, roots, num, den).join(tried, ["a", "b"], "left_anti")
+    return links, roots, scratch(similar(rest, parts, num, den), "ngram-links")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -403,14 +423,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, tex
     nodes = rows.filter("size > 0").groupBy("id", "size").agg(F.min("doc_id").alias("least"))
     some = scratch(promising(rows, nodes, num, den), "ngram-some")
     lists = scratch(ordered(whole_sets(docs, some, n), _sum(some, "size"), num, den), "ngram-lists")
-    prefixes = scratch(_prefixes(lists, num, den), "ngram-prefixes")
-    parts = scratch(fragmented(lists), "ngram-parts")
-
-    tried = scratch(leading_pairs(prefixes, num, den), "ngram-pairs")
-    links = scratch(similar(tried, parts, num, den), "ngram-links")
-    roots = scratch(components(links), "ngram-roots")
-    rest = other_pairs(prefixes, roots, num, den).join(tried, ["a", "b"], "left_anti")
-    more = scratch(similar(rest, parts, num, den), "ngram-links")
+    links, roots, more = linked(lists, num, den)
     if more.limit(1).count():
         roots = scratch(components(links.unionByName(more)), "ngram-roots")
 
@@ -429,8 +442,9 @@ def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, d
     docs: id (one for each different text) and text, repeated rows allowed; known:
     node, root of the ids that another search has linked.  Texts of equal sets are
     linked, wordless ones too.  Only sets that share enough with other components are
-    compared, so the better the other search, the less is left to do; with no known
-    links this finds all.  Null and empty texts are alike; an empty table gives none.
+    compared, so the better the other search, the less is left to do; of two groups
+    the leaders meet first, and what they connect is left.  With no known links this
+    finds what connects all.  Null and empty texts are alike; an empty table gives none.
     """
     docs = docs.select(F.col("id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = scratch(sets(docs, n, lambda size: first_part(size, num, den)), "missing-rows")
@@ -443,7 +457,8 @@ def missing_links(docs: DataFrame, known: DataFrame, n: int = 5, num: int = 4, d
     if few.isEmpty():
         return same
     lists = scratch(ordered(whole_sets(docs, few, n), _sum(few, "size"), num, den), "missing-lists")
-    pairs = other_pairs(_prefixes(lists, num, den), few.select(F.col("id").alias("node"), "root"), num, den)
-    links = similar(pairs, scratch(fragmented(lists), "missing-parts"), num, den)
+    lead = few.groupBy("root").agg(F.min("id").alias("b"))
+    links, _, more = linked(lists, num, den, scratch(few.join(lead, "root").select(F.col("id").alias("a"), "b").filter("a <> b"), "missing-known"))
+    links = links.unionByName(more)
     text = lambda c: few.select(F.col("id").alias(c), F.col("least").alias(f"t{c}"))
     return same.unionByName(links.join(text("a"), "a").join(text("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))

@@ -151,6 +151,36 @@ def test_ordered_moves_lists(spark, monkeypatch, lookup):
     assert {r.id: (r["size"], r.lone, [tuple(g) for g in r.grams]) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_missing_links_compares_leaders_first(spark, monkeypatch):
+    """Texts that were left out of a large group meet a few of it, not each of it."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(60), 3):
+            w[j] = f"own{i % 40}x{j}"
+        texts.append(" ".join(w))
+    sets = [grams(t, 1) for t in texts]
+    out = range(130, 150)
+    assert all(any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for s in sets[:130]) for i in out)
+    known = spark.createDataFrame([(i, 0) for i in range(130)], "node long, root long")
+    compared, similar = [], ngramjoin.similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(ngramjoin, "similar", counted)
+    found = [tuple(r) for r in ngramjoin.missing_links(spark.createDataFrame([*enumerate(texts)], "id long, text string"), known, 1, 4, 5).collect()]
+    up = [0] * 130 + [*out]
+    for _ in texts:
+        for i, j in found:
+            up[i] = up[j] = min(up[i], up[j])
+    assert set(up) == {0}
+    assert 0 < sum(compared) < 20 * 130 / 2, compared
+
+
 def test_empty(spark):
     assert ngramjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
