@@ -7,13 +7,17 @@ looks at a sample or brings points to the driver:
 
 1. Points are dealt to cells around pivots, and cells are cut into blocks of bounded
    size.  Core distances come from pairs of blocks that triangle bounds can't rule out.
-2. The least spanning trees of the pairs of blocks hold together whatever a whole tree
-   would.  Pairs farther apart than a way over the pivots are left out.
+2. A point meets a near one of a smaller core distance at its own, so what has no such
+   near one is a basin that others run into.  Near pairs and ways over the pivots tell at
+   what distance two basins surely meet; pairs of blocks are looked at for shorter ways.
 3. Rounds over the table of edges grow groups until they have ``least`` points: for each
    point, the distance at which it first was in such a group, and the group's seed.
 4. What is left, seeds and the distances at which they meet, is the condensed hierarchy.
    There are n / least seeds at most; from sums by branch the clusters are chosen.
 
+Products of matrices give bounds of distances; whatever such a bound doesn't rule out is
+worked out by differences, so no distance that counts depends on how a product rounds.
+
 Equal vectors are one point with a weight.  Where several groups meet at the same
 distance they meet at once, so the result doesn't depend on the order of equal edges.
 """
@@ -34,8 +38,10 @@ from .vectors import matrix
 
 #: Points of a block, about; two blocks are compared in a task.
 BLOCK = 1_500
-#: Blocks of either side that meet in one task: a block is sent once for so many.
-TOGETHER = 8
+#: Blocks of either side that meet in one task: a block is sent once for so many, or for up to MOST_TOGETHER where there are enough tasks.
+TOGETHER, MOST_TOGETHER = 8, 32
+#: Pairs of points whose distances are worked out at once.
+AT_ONCE = 1 << 15
 #: Cells, at most; their centres travel to the tasks.
 PIVOTS = 256
 #: Edges of a tree of groups that one task grows in a round; the others wait for the next.
@@ -94,90 +100,208 @@ class Cells:
 
     def apart(self) -> np.ndarray:
         """Least possible distances between points of two blocks."""
-        c = self.pivots[self.cell]
-        d = np.stack([_rows(c, p) for p in c]) if len(c) else np.zeros((0, 0))
-        return np.maximum(0, d - self.radius[:, None] - self.radius[None, :])
+        between = np.stack([_rows(self.pivots, p) for p in self.pivots])
+        return np.maximum(0, between[np.ix_(self.cell, self.cell)] - self.radius[:, None] - self.radius[None, :])
+
+    def together(self, tasks: int) -> int:
+        """Blocks of a side that meet in a task, so that there are some tasks for each of those that run at once."""
+        return max(1, min(MOST_TOGETHER, len(self.cell) // max(4, int(np.ceil(np.sqrt(16 * tasks))))))
 
 
-def _groups(pairs: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+def _groups(pairs: list[tuple[int, int]], together: int = TOGETHER) -> dict[int, list[tuple[int, int]]]:
     """Pairs of blocks by what meets in one task."""
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for p in pairs:
-        found.setdefault((p[0] // TOGETHER, p[1] // TOGETHER), []).append(p)
+        found.setdefault((p[0] // together, p[1] // together), []).append(p)
     return dict(enumerate(found.values()))
 
 
-def _met(x: DataFrame, pairs: list[tuple[int, int]], columns: list[str], run: Callable, merge: Callable, schema: str) -> DataFrame:
-    """run on the points of each pair of blocks; ``side`` says which block a point is of; merge: what a task makes of all its pairs' results."""
-    spark, groups_ = x.sparkSession, _groups(pairs)
+def _met(x: DataFrame, pairs: list[tuple[int, int]], together: int, columns: list[str], run: Callable, schema: str) -> DataFrame:
+    """run on the blocks, by number, that meet in a task, and the pairs of them that do."""
+    spark, groups_ = x.sparkSession, _groups(pairs, together)
     sent = [(g, b) for g, ps in groups_.items() for b in sorted({b for p in ps for b in p})]
-    dealt = x.select("block", *columns).join(spark.createDataFrame(sent, "met int, block int"), "block")
-    dealt = dealt.repartition(max(1, min(len(groups_), 4 * spark.sparkContext.defaultParallelism + len(groups_) // 8)), "met")
+    dealt = x.select("block", *columns).join(F.broadcast(spark.createDataFrame(sent, "met int, block int")), "block")
+    dealt = dealt.repartitionById(len(groups_), "met")  # one task each; by hash, some tasks would get several
 
-    def together(t: pa.Table) -> pa.Table:
-        block = t.column("block").to_numpy()
-        of = {b: t.take(np.flatnonzero(block == b)) for b in np.unique(block).tolist()}
-        out = []
-        for p in groups_[t.column("met")[0].as_py()]:
-            two = [of[b].append_column("side", pa.array(np.full(len(of[b]), s))) for s, b in enumerate(p[: 1 + (p[0] != p[1])]) if b in of]
-            if two:
-                out.append(run(pa.concat_tables(two)))
-        return merge(pa.concat_tables(out))
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        o = np.argsort(t.column("block").to_numpy(), kind="stable")
+        block = t.column("block").to_numpy()[o]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        of = {int(block[i]): t.take(pa.array(o[i:j])) for i, j in zip(starts, [*starts[1:], len(o)], strict=True)}
+        return run(of, [p for p in groups_[t.column("met")[0].as_py()] if p[0] in of and p[1] in of])
 
-    return dealt.groupBy("met").applyInArrow(together, schema)
+    return dealt.groupBy("met").applyInArrow(meet, schema)
 
 
-def _table(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x = matrix(t.column("v").combine_chunks())[1]
-    return t.column("id").to_numpy(), x, t.column("w").to_numpy(), t.column("side").to_numpy()
+# -- core distances --------------------------------------------------------------
 
 
-def _nearest(weighed: np.ndarray, w: np.ndarray, many: int) -> np.ndarray:
-    """The ``many`` least distances, each as often as its point weighs."""
-    o = np.argsort(weighed, kind="stable")[:many]
-    return np.repeat(weighed[o], np.minimum(w[o], many))[:many]
+def _apart(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows r of x and rows c of y, by differences."""
+    out = np.empty(len(r))
+    for k in range(0, len(r), AT_ONCE):
+        out[k : k + AT_ONCE] = _rows(x[r[k : k + AT_ONCE]], y[c[k : k + AT_ONCE]])
+    return out
 
 
-def core_distances(x: DataFrame, cells: Cells, many: int) -> DataFrame:
-    """id, core: the distance to the ``many``-th nearest point."""
+def _bounds(x: np.ndarray, y: np.ndarray, also: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the squared distances of rows of x and rows of y by one product, and by how much of either row they may be too low.
+
+    also: a square that the bounds are compared with; numbers are of a kind that holds it.
+    """
+    c = x.mean(axis=0)
+    x, y = x - c, y - c
+    a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    top = max(a.max(), b.max())
+    kind = np.float32 if 1e-20 < top < 1e30 and also < 1e30 else np.float64
+    if not top < 1e300:
+        return np.zeros((len(x), len(y))), np.full(len(x), np.inf), np.full(len(y), np.inf)
+    off = 2 * (x.shape[1] + 8) * float(np.finfo(kind).eps)  # twice what adding up so many products can lose
+    lose, miss = off * (a + 1e-6 * top), off * (b + 1e-6 * top)
+    left = np.column_stack([-2 * x, a - lose, np.ones(len(x))]).astype(kind)
+    right = np.column_stack([y, np.ones(len(y)), b - miss]).astype(kind)
+    return left @ right.T, 2 * lose, 2 * miss
+
+
+def _up(square: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Rounded up to numbers of a kind."""
+    with np.errstate(over="ignore"):
+        return (square * (1 + 4 * float(np.finfo(kind).eps))).astype(kind)
+
+
+class _Near:
+    """The nearest points that the points of a block have met, each as often as it weighs; distances are worked out at the end."""
+
+    def __init__(self, t: pa.Table, many: int):
+        self.id, self.w = t.column("id").to_numpy(), t.column("w").to_numpy()
+        self.x = matrix(t.column("v").combine_chunks())[1]
+        self.many = many
+        bound = t.column("bound").to_numpy() if "bound" in t.column_names else np.full(len(self.id), np.inf)
+        #: Squares, rounded up, beyond which nothing counts.
+        self.limit = bound**2 * (1 + 1e-12)
+        self.others: list[_Near] = []
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, low: np.ndarray, lose: np.ndarray, miss: np.ndarray, other: _Near, by_column: bool = False) -> None:
+        """Of the other block what is near enough, by ``_bounds``; by_column: this block's points are the columns."""
+        limit = _up(self.limit, low.dtype)
+        at = np.flatnonzero(low <= (limit if by_column else limit[:, None]))
+        if not len(at):
+            return
+        r, c = np.divmod(at, low.shape[1])
+        least = low.ravel()[at].astype(np.float64)
+        most = least + lose[r] + miss[c]
+        self.found.append(((c, r) if by_column else (r, c)) + (np.full(len(at), len(self.others)), least, most))
+        self.others.append(other)
+        self.waiting += len(at)
+        if self.waiting > 4 * self.many * len(self.id):
+            self._trim()
+
+    def _trim(self) -> None:
+        r, c, k, least, most = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        o = _ordered(r, most)
+        last = np.flatnonzero(_rank(r[o]) == self.many - 1)
+        self.limit[r[o[last]]] = np.minimum(self.limit[r[o[last]]], most[o[last]])
+        ok = least <= self.limit[r]
+        self.found, self.waiting = [(r[ok], c[ok], k[ok], least[ok], most[ok])], 0
+
+    def table(self, all_rows: bool) -> pa.Table:
+        n = len(self.id)
+        r, d, who, w = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.found:
+            self._trim()
+            r, c, k, _, _ = self.found[0]
+            o = np.argsort(k, kind="stable")
+            r, c, k = r[o], c[o], k[o]
+            d, who, w = np.empty(len(r)), np.empty(len(r), np.int64), np.empty(len(r), np.int64)
+            starts = np.flatnonzero(np.diff(k, prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(k)], strict=True):
+                y = self.others[k[i]]
+                d[i:j], who[i:j], w[i:j] = _apart(self.x, y.x, r[i:j], c[i:j]), y.id[c[i:j]], y.w[c[i:j]]
+            o = _ordered(r, d)
+            r, d, who, w = r[o], d[o], who[o], w[o]
+        return _listed(self.id, r, d, who, w, self.many, all_rows)
+
+
+def _listed(ids: np.ndarray, r: np.ndarray, d: np.ndarray, who: np.ndarray, w: np.ndarray, many: int, all_rows: bool) -> pa.Table:
+    """Of each row, given in the order of distances, the least that weigh ``many``; bound: the last of them, if they do."""
+    sums = np.cumsum(w)
+    first = np.searchsorted(r, r)  # of the same row
+    before = sums - w - (sums - w)[first]
+    ok = before < many
+    r, d, who, w, full = r[ok], d[ok], who[ok], w[ok], (before + w)[ok] >= many
+    bound = np.full(len(ids), np.inf)
+    bound[r[full]] = d[full]
+    rows = np.arange(len(ids)) if all_rows else np.unique(r)
+    offsets = pa.array(np.append(np.searchsorted(r, rows), len(r)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (d, who, w)]
+    return pa.table([pa.array(ids[rows]), *lists, pa.array(bound[rows])], names=["id", "d", "who", "w", "bound"])
+
+
+def _ordered(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The order by r, a small number, then d."""
+    o = np.argsort(d, kind="stable")
+    return o[np.argsort(r[o].astype(np.uint16 if r.max(initial=0) < 65536 else np.int64), kind="stable")]
+
+
+def _rank(r: np.ndarray) -> np.ndarray:
+    """The place of each among equal ones, given in order."""
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    return np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+
+
+_NEAR = "block int, id long, d array<double>, who array<long>, w array<long>, bound double"
 
-    def own(t: pa.Table) -> pa.Table:
-        ids, p, w = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())[1], t.column("w").to_numpy()
-        near = [_nearest(_rows(p, q), w, many) for q in p]
-        bound = [float(d[-1]) if len(d) == many else np.inf for d in near]
-        return pa.table({"id": ids, "block": t.column("block"), "near": pa.array([d.tolist() for d in near], pa.list_(pa.float64())), "bound": bound})
 
-    inner = stored(x.select("id", "v", "w", "block").groupBy("block").applyInArrow(own, "id long, block int, near array<double>, bound double"), "density-near")
-    reach = dict(inner.groupBy("block").agg(F.max("bound")).collect())  # a number for each block
-    k = np.array([reach.get(b, 0.0) for b in range(len(cells.cell))])
+def core_distances(x: DataFrame, cells: Cells, many: int) -> DataFrame:
+    """id, core: the distance to the ``many``-th nearest point; who, d: points that are no farther, and how far they are."""
+    together, blocks = cells.together(x.sparkSession.sparkContext.defaultParallelism), len(cells.cell)
+    pivots, cell, radius = cells.pivots, cells.cell, cells.radius
+
+    def meet(of: dict[int, pa.Table], pairs: list[tuple[int, int]]) -> pa.Table:
+        near = {b: _Near(t, many) for b, t in of.items()}
+        within = False
+        for i, j in sorted(pairs, key=lambda p: p[0] != p[1]):
+            p, q = near[i], near[j]
+            if i == j:
+                within = True
+                low, lose, miss = _bounds(p.x, p.x)
+                if len(p.x) >= many:
+                    p.limit = np.partition(low, many - 1, axis=1)[:, many - 1].astype(np.float64) + lose + miss.max()
+                p.add(low, lose, miss, p)
+            elif _rows(pivots[cell[i]][None], pivots[cell[j]])[0] - radius[i] - radius[j] <= np.sqrt(max(p.limit.max(), q.limit.max())) * (1 + 1e-12):
+                low, lose, miss = _bounds(p.x, q.x)
+                p.add(low, lose, miss, q)
+                q.add(low, lose, miss, p, by_column=True)
+        out = [(b, n.table(within)) for b, n in near.items()]
+        return pa.concat_tables([t.add_column(0, "block", pa.array(np.full(len(t), b, np.int32))) for b, t in out])
+
+    def merge(t: pa.Table) -> pa.Table:
+        """Of a block's lists one for each point."""
+        ids, row = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        lists = [t.column(c).combine_chunks() for c in ("d", "who", "w")]
+        r = np.repeat(row, lists[0].value_lengths().to_numpy())
+        d, who, w = (c.flatten().to_numpy() for c in lists)
+        o = _ordered(r, d)
+        return _listed(ids, r[o], d[o], who[o], w[o], many, True).drop_columns("w")
+
+    own = [(i, j) for i in range(blocks) for j in range(i, min(blocks, (i // together + 1) * together))]
+    inner = stored(_met(x, own, together, ["id", "v", "w"], meet, _NEAR), "density-near")
+    with_bound = x.join(inner.select("id", "bound"), "id")
+    reach = dict(with_bound.groupBy("block").agg(F.max("bound")).collect())  # a number for each block
+    k = np.array([reach.get(b, 0.0) for b in range(blocks)])
     i, j = np.nonzero(np.triu(cells.apart() <= np.maximum(k[:, None], k[None, :]), 1))
+    other = i // together != j // together
+    found = inner
+    if other.any():
+        met = _met(with_bound, list(zip(i[other].tolist(), j[other].tolist(), strict=True)), together, ["id", "v", "w", "bound"], meet, _NEAR)
+        found = inner.unionByName(met).groupBy("block").applyInArrow(merge, "id long, d array<double>, who array<long>, bound double")
+    return found.select("id", F.col("bound").alias("core"), "d", "who")
 
-    def cross(t: pa.Table) -> pa.Table:
-        ids, p, w, side = _table(t)
-        bound, out, who = t.column("bound").to_numpy(), [], []
-        other = [np.flatnonzero(side != s) for s in (0, 1)]
-        for r in range(len(p)):
-            o = other[side[r]]
-            d = _rows(p[o], p[r])
-            ok = d <= bound[r]
-            if ok.any():
-                who.append(ids[r])
-                out.append(_nearest(d[ok], w[o][ok], many).tolist())
-        return pa.table({"id": pa.array(who, pa.int64()), "near": pa.array(out, pa.list_(pa.float64()))})
-
-    def least(t: pa.Table) -> pa.Table:
-        """Of a point's distances those that can count."""
-        near: dict[int, list[float]] = {}
-        for k, d in zip(t.column("id").to_pylist(), t.column("near").to_pylist(), strict=True):
-            near[k] = sorted(near.get(k, []) + d)[:many]
-        return pa.table({"id": pa.array(list(near), pa.int64()), "near": pa.array(list(near.values()), pa.list_(pa.float64()))})
-
-    found = inner.select("id", "near")
-    if len(i):
-        with_bound = x.join(inner.select("id", "bound"), "id")
-        found = found.unionByName(_met(with_bound, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "bound"], cross, least, "id long, near array<double>"))
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, many)
-    return found.groupBy("id").agg(merged.alias("near")).select("id", F.array_max("near").alias("core"))
+
+# -- edges -----------------------------------------------------------------------
 
 
 def _spanning(p: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +327,7 @@ def _spanning(p: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _minimax(d: np.ndarray) -> np.ndarray:
-    """The least greatest step on a way between each two points."""
+    """The least greatest step on a way between each two points, by the definition (``Ways`` has it for many)."""
     n, out = len(d), np.zeros_like(d)
     if n < 2:
         return out
@@ -223,32 +347,200 @@ def _minimax(d: np.ndarray) -> np.ndarray:
     return reach
 
 
-def edges(x: DataFrame, cells: Cells) -> DataFrame:
-    """u, v, d: edges that connect at each distance what all pairs of points (x: with core) connect."""
-    least = dict(x.groupBy("block").agg(F.min("core")).collect())  # numbers for each block and each pivot
-    least = np.array([least.get(b, np.inf) for b in range(len(cells.cell))])
-    centre = np.full(len(cells.pivots), np.inf)
-    for c, core in x.filter("far = 0").groupBy("cell").agg(F.max("core")).collect():
-        centre[c] = core
-    hop = np.maximum(np.stack([_rows(cells.pivots, p) for p in cells.pivots]) if len(cells.pivots) else np.zeros((0, 0)), np.maximum(centre[:, None], centre[None, :]))
-    way = _minimax(hop)[np.ix_(cells.cell, cells.cell)]
-    widest = dict(x.groupBy("cell").agg(F.max(F.greatest("core", "far"))).collect())
-    step = np.array([max(widest.get(c, 0.0), centre[c]) for c in cells.cell])
-    apart = np.maximum(cells.apart(), np.maximum(least[:, None], least[None, :]))
-    same = cells.cell[:, None] == cells.cell[None, :]
-    i, j = np.nonzero(np.triu(same | ~(apart > np.maximum(way, np.maximum(step[:, None], step[None, :])))))
+class Ways:
+    """At what distance two basins surely meet, by a least spanning forest of them.
+
+    Basins stand in an order in which those that meet at a distance are side by side,
+    so the distance for two is the greatest of the gaps between them.
+    """
+
+    def __init__(self, names: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray):
+        """Names ascending."""
+        n = len(names)
+        up, last, after, gap = list(range(n)), list(range(n)), [-1] * n, [np.inf] * n
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        a, b = np.searchsorted(names, u), np.searchsorted(names, v)
+        for k in np.argsort(d, kind="stable").tolist():
+            x, y = root(int(a[k])), root(int(b[k]))
+            if x != y:  # rows are named by their first
+                after[last[x]], gap[last[x]] = y, float(d[k])
+                last[x] = last[y]
+                up[y] = x
+        order = []
+        for c in range(n):
+            if up[c] == c:
+                while c >= 0:
+                    order.append(c)
+                    c = after[c]
+        self.order = names[order]
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+        self.names = names
+        self.gaps = np.array([gap[c] for c in order[:-1]], float)
+        #: The basin that meets another first.
+        self.first = int(np.argmin(self.gaps)) if n > 1 else 0
+        self.greatest: list[np.ndarray] | None = None
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By places; -1 where they are one."""
+        if self.greatest is None:  # of 1, 2, 4 .. gaps from each
+            self.greatest = [self.gaps]
+            while 2 ** len(self.greatest) <= len(self.gaps):
+                t, step = self.greatest[-1], 2 ** (len(self.greatest) - 1)
+                self.greatest.append(np.maximum(t[:-step], t[step:]))
+            length = [len(t) for t in self.greatest]
+            self._flat, self._from = np.concatenate(self.greatest), np.cumsum([0, *length[:-1]])
+            self._log = np.append(0, np.floor(np.log2(np.arange(1, len(self.gaps) + 1)))).astype(np.int64)
+        a, b = np.broadcast_arrays(a, b)
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        out = np.full(lo.shape, -1.0)
+        two = lo < hi
+        lo, hi = lo[two], hi[two]
+        k = self._log[hi - lo]
+        out[two] = np.maximum(self._flat[self._from[k] + lo], self._flat[self._from[k] + hi - (1 << k)])
+        return out
+
+
+class _Basins:
+    """Points of a block in the order of their basins' places."""
+
+    def __init__(self, x: np.ndarray, core: np.ndarray, at: np.ndarray):
+        self.x, self.core, self.at = x, core, at
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Basins:
+        o = np.argsort(t.column("at").to_numpy(), kind="stable")
+        return cls(matrix(t.column("v").combine_chunks())[1][o], t.column("core").to_numpy()[o], t.column("at").to_numpy()[o])
+
+    def some(self, mask: np.ndarray) -> _Basins:
+        return self if mask.all() else _Basins(self.x[mask], self.core[mask], self.at[mask])
+
+
+def _shorter(p: _Basins, q: _Basins, ways: Ways) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of two basins each the shortest way between points of p and q, if it is shorter than the known one."""
+    if not len(p.at) or not len(q.at):
+        return None
+    m, lose, miss = _bounds(p.x, q.x, float(max(p.core.max(), q.core.max())) ** 2)
+    eps = float(np.finfo(m.dtype).eps)
+    for core in (p.core[:, None], q.core[None, :]):
+        np.maximum(m, (core**2 * (1 - 4 * eps)).astype(m.dtype), out=m)
+    rows, cols = np.flatnonzero(np.diff(p.at, prepend=-1)), np.flatnonzero(np.diff(q.at, prepend=-1))
+    least = np.minimum.reduceat(np.minimum.reduceat(m, cols, axis=1), rows, axis=0)
+    known = ways.meet(p.at[rows][:, None], q.at[cols][None, :])
+    hit = (known >= 0) & (least <= _up(known**2, m.dtype))
+    if not hit.any():
+        return None
+    bar = np.where(hit, least * (1 + 16 * eps) + (lose.max() + miss.max()) * (1 + 16 * eps), -1).astype(m.dtype)
+    r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    of_row, of_col = np.cumsum(np.diff(p.at, prepend=-1) != 0) - 1, np.cumsum(np.diff(q.at, prepend=-1) != 0) - 1
+    r, c = np.flatnonzero(np.isin(of_row, r)), np.flatnonzero(np.isin(of_col, c))
+    i, j = np.nonzero(m[np.ix_(r, c)] <= bar[np.ix_(of_row[r], of_col[c])])
+    i, j = r[i], c[j]
+    d = np.maximum(_apart(p.x, q.x, i, j), np.maximum(p.core[i], q.core[j]))
+    ok = d < ways.meet(p.at[i], q.at[j])
+    return p.at[i[ok]], q.at[j[ok]], d[ok]
+
+
+def _late(blocks: dict[int, _Basins], ways: Ways) -> dict[int, np.ndarray]:
+    """Of each block and some basins the points that don't surely meet that basin at their core distances.
+
+    Two points that do, meet each other at the greater of them, so no shorter way is between these.
+    """
+    often = [p.at[(starts := np.flatnonzero(np.diff(p.at, prepend=-1)))[np.argmax(np.diff(np.append(starts, len(p.at))))]] for p in blocks.values()]
+    some = np.unique([ways.first, *often])
+    return {b: p.core[None, :] < ways.meet(p.at[None, :], some[:, None]) for b, p in blocks.items()}
+
+
+def _few(p: _Basins, q: _Basins, mine: np.ndarray, other: np.ndarray, ways: Ways) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_shorter`` finds by points of which one is late."""
+    out = [_shorter(p.some(mine), q, ways)] if mine.any() else []
+    if p is not q and other.any():
+        out.append(_shorter(p.some(~mine), q.some(other), ways))
+    return [o for o in out if o is not None and len(o[0])]
+
+
+def basins(x: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps (u, v, d: a point, a near one of a smaller core distance) and the basin of each point (id, core, root)."""
+    to = near.select("id", "core", F.explode("who").alias("who")).filter("who <> id")
+    to = to.join(x.select(F.col("id").alias("who"), F.col("core").alias("least")), "who").filter("struct(least, who) < struct(core, id)")
+    to = to.groupBy("id").agg(F.min(F.struct("least", "who")).alias("m")).select("id", F.col("m.who").alias("to"))
+    step = stored(x.select("id", "core").join(to, "id", "left").select("id", "core", F.coalesce("to", "id").alias("root")), "density-steps")
+    root = step
+    while True:  # twice as far in each round
+        on = root.select(F.col("id").alias("root"), F.col("root").alias("on"))
+        root = stored(root.select("id", "core", "root").join(on, "root").select("id", "core", F.col("on").alias("root"), F.expr("on <> root").alias("moved")), "density-basins")
+        if not root.filter("moved").limit(1).count():
+            break
+    return step.filter("root <> id").select(F.least("id", "root").alias("u"), F.greatest("id", "root").alias("v"), F.col("core").alias("d")), root.drop("moved")
 
-    def tree(t: pa.Table) -> pa.Table:
-        ids, p, _, _ = _table(t)
-        a, b, d = _spanning(p, t.column("core").to_numpy())
-        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "d": d})
 
-    def thin(t: pa.Table) -> pa.Table:
-        """A least spanning forest of several trees connects at each distance what they connect."""
-        return pa.Table.from_batches(list(_forest(iter(t.to_batches()))), t.schema)
+def edges(x: DataFrame, cells: Cells, near: DataFrame) -> DataFrame:
+    """u, v, d: edges that connect at each distance what all pairs of points (x: with core) connect.
 
-    found = _met(x, list(zip(i.tolist(), j.tolist(), strict=True)), ["id", "v", "w", "core"], tree, thin, _EDGE)
-    return found.groupBy("u", "v").agg(F.min("d").alias("d"))
+    A basin is connected with each of its points at that point's core distance, so all
+    other edges are between basins.  Basins are about n / neighbours; their forest is
+    what the driver and the tasks hold.
+    """
+    spark = x.sparkSession
+    steps, root = basins(x, near)
+    x = stored(x.join(root.select("id", "root"), "id"), "density-rooted")
+    names = np.array(sorted(r for (r,) in root.select("root").distinct().collect()), np.int64)
+    if len(names) < 2:
+        return steps
+
+    ends = F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")
+    known = root.withColumnRenamed("root", "a").join(near.select("id", F.explode(F.arrays_zip("who", "d")).alias("o")), "id").select("a", "core", F.col("o.who").alias("who"), F.col("o.d").alias("d"))
+    known = known.join(root.select(F.col("id").alias("who"), F.col("root").alias("b"), F.col("core").alias("other")), "who")
+    known = known.filter("a <> b").select(*ends, F.greatest("d", "core", "other").alias("d"))
+    pivots = x.filter("far = 0").select("cell", F.col("root").alias("b"), F.col("core").alias("other"))  # a row for each pivot
+    star = x.withColumnRenamed("root", "a").join(F.broadcast(pivots), "cell").filter("a <> b").select(*ends, F.greatest("far", "core", "other").alias("d"))
+    centre = sorted(pivots.collect())
+    i, j, d = _spanning(cells.pivots[[c for c, *_ in centre]], np.array([c for *_, c in centre]))
+    tree = [(min(p, q), max(p, q), float(w)) for p, q, w in zip([centre[k][1] for k in i], [centre[k][1] for k in j], d, strict=True) if p != q]
+    known = known.unionByName(star).unionByName(spark.createDataFrame(tree, _EDGE)).groupBy("u", "v").agg(F.min("d").alias("d"))
+    known = stored(forest(known), "density-known")
+    links = known.toArrow()  # less than basins
+    ways = Ways(names, *(links.column(c).to_numpy() for c in ("u", "v", "d")))
+
+    @F.arrow_udf("long")
+    def place(r: pa.Array) -> pa.Array:
+        return pa.array(ways.place[np.searchsorted(names, r.to_numpy())])
+
+    x = stored(x.select("block", "v", "core", place("root").alias("at")), "density-placed")
+    sums = {b: r for b, *r in x.groupBy("block").agg(F.min("core"), F.min("at"), F.max("at")).collect()}  # numbers for each block
+    least, low, high = (np.array([sums[b][k] if b in sums else e for b in range(len(cells.cell))]) for k, e in ((0, np.inf), (1, 0), (2, 0)))
+    apart = np.maximum(cells.apart(), np.maximum(least[:, None], least[None, :]))
+    met = ways.meet(np.minimum(low[:, None], low[None, :]), np.maximum(high[:, None], high[None, :]))
+    ways.greatest = ways._flat = None  # tasks make their own
+    i, j = np.nonzero(np.triu(apart < met))
+
+    def meet(of: dict[int, pa.Table], pairs: list[tuple[int, int]]) -> pa.Table:
+        blocks = {b: _Basins.of(t) for b, t in of.items()}
+        found, many = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        late = _late(blocks, ways)
+        count = {b: x.sum(axis=1) for b, x in late.items()}
+        for p, q in pairs:
+            k = int(np.argmin(count[p] + count[q]))
+            new = _few(blocks[p], blocks[q], late[p][k], late[q][k], ways)
+            found += new
+            many += sum(len(u) for u, *_ in new)
+            if many > 1_000_000:
+                found, many = [_thinned(found)], 0
+        u, v, d = _thinned(found)
+        u, v = ways.order[u], ways.order[v]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v), "d": d})
+
+    out = steps.unionByName(known)
+    if len(i):
+        together = cells.together(spark.sparkContext.defaultParallelism)
+        out = out.unionByName(_met(x, list(zip(i.tolist(), j.tolist(), strict=True)), together, ["v", "core", "at"], meet, _EDGE))
+    return out.groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
 # -- groups --------------------------------------------------------------------
@@ -376,25 +668,42 @@ def groups(nodes: DataFrame, e: DataFrame, least: int) -> tuple[DataFrame, DataF
     return member, e
 
 
+def _least(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of edges those of a least spanning forest, by number: in each round every group takes its shortest."""
+    n = len(d)
+    o = np.argsort(d, kind="stable")
+    names, at = np.unique(np.concatenate([u[o], v[o]]), return_inverse=True)
+    a, b = at[:n], at[n:]
+    kept = []
+    e = np.arange(n)
+    while True:
+        live = a != b
+        a, b, e = a[live], b[live], e[live]
+        if not len(e):
+            return o[np.sort(np.concatenate(kept))] if kept else o[:0]
+        best = np.full(len(names), len(e))
+        np.minimum.at(best, a, np.arange(len(e)))
+        np.minimum.at(best, b, np.arange(len(e)))
+        c = np.flatnonzero(best < len(e))
+        kept.append(e[np.unique(best[c])])
+        up = np.arange(len(names))
+        up[c] = np.where(a[best[c]] == c, b[best[c]], a[best[c]])
+        up = np.where((up[up] == np.arange(len(up))) & (np.arange(len(up)) < up), np.arange(len(up)), up)
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+
+
+def _thinned(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, v, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    k = _least(u, v, d)
+    return u[k], v[k], d[k]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's edges those of a least spanning forest."""
     t = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.float64())]))
-    t = t.take(pa.array(np.argsort(t.column("d").to_numpy(), kind="stable")))
-    up: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while up.setdefault(c, c) != c:
-            up[c] = up[up[c]]
-            c = up[c]
-        return c
-
-    kept = np.zeros(len(t), bool)
-    for k, (u, v) in enumerate(zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True)):
-        u, v = root(u), root(v)
-        if u != v:
-            up[u] = v
-            kept[k] = True
-    yield from t.filter(pa.array(kept)).to_batches()
+    yield from t.take(pa.array(_least(*(t.column(c).to_numpy() for c in ("u", "v", "d"))))).to_batches()
 
 
 def forest(e: DataFrame) -> DataFrame:
@@ -511,8 +820,8 @@ def density(df: DataFrame, key: str, vector: str, least: int | None = None, neig
     all rows with a vector); neighbours: those that make the core distance.  Equal
     vectors have equal results; repeated and null keys are kept; labels go by size.
     The work in blocks grows with the square of the rows where vectors have no
-    structure; tasks and what is sent to the driver (a number for each block, n / least
-    seeds) stay small.
+    structure; tasks and what is sent to the driver (a number for each block, about
+    n / neighbours basins, n / least seeds) stay small.
     """
     x = df.select(F.col(key).alias("key"), F.transform(F.col(vector), lambda c: c.cast("double") + 0.0).alias("v"))
     x = stored(x, "density-rows")
@@ -527,9 +836,10 @@ def density(df: DataFrame, key: str, vector: str, least: int | None = None, neig
 
     cells = Cells(nodes, block, pivots)
     blocks = stored(cells.dealt(nodes), "density-blocks")
-    blocks = stored(blocks.join(core_distances(blocks, cells, many), "id"), "density-cores")
+    near = stored(core_distances(blocks, cells, many), "density-core")
+    blocks = stored(blocks.join(near.select("id", "core"), "id"), "density-cores")
     # copies alone can be a cluster; they are connected at their core distance
-    member, e = groups(blocks.select("id", "w"), edges(blocks, cells), least)
+    member, e = groups(blocks.select("id", "w"), edges(blocks, cells, near), least)
     member = member.join(blocks.select("id", "core"), "id").withColumn("at", F.when(F.col("w") >= least, F.col("core")).otherwise(F.col("at"))).select("id", "w", "comp", "at")
     member = stored(member, "density-member")
 

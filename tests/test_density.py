@@ -161,3 +161,50 @@ def test_blocks_are_sent_once_for_many_pairs(spark, monkeypatch):
     assert sorted(p for ps in groups.values() for p in ps) == pairs
     sent = sum(len({b for p in ps for b in p}) for ps in groups.values())
     assert sent == 40 * 5 < sum(1 + (i != j) for i, j in pairs) / 7
+
+
+def test_edges_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """30 blocks of vectors without structure: what connects them is little more than a tree, and labels are those over all pairs."""
+    x = np.random.default_rng(4).normal(size=(900, 8))
+    seen, real = [], density.groups
+
+    def groups(nodes, e, least):
+        seen.append(e.count())
+        return real(nodes, e, least)
+
+    monkeypatch.setattr(density, "groups", groups)
+    got, _ = clusters(spark, x, least=8, neighbours=4, block=30, pivots=10)
+    assert same(got.tolist(), brute(x, 8, 4).tolist()) and (got >= 0).sum() > 20
+    assert len(x) - 1 <= seen[0] < 1.1 * len(x)
+
+
+def test_clumps_whose_near_points_are_their_own(spark):
+    """Near pairs alone leave the clumps apart; each is of several basins."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(scale=0.3, size=(40, 3)) for c in rng.normal(size=(8, 3)) * 15])
+    got, _ = clusters(spark, x, least=6, neighbours=3, block=25, pivots=6)
+    assert same(got.tolist(), brute(x, 6, 3).tolist()) and got.max() > 3
+
+
+@pytest.mark.parametrize(("centre", "scale"), [(0, 1), (1e7, 1), (0, 1e-12), (0, 1e40), (1e3, 1e-3)])
+def test_bounds_rule_out_nothing_that_counts(centre, scale):
+    rng = np.random.default_rng(2)
+    x, y = (centre + scale * rng.normal(size=(n, 64)) * rng.choice([1e-4, 1, 30], size=(n, 1)) for n in (70, 90))
+    low, lose, miss = density._bounds(x, y)
+    r, c = np.divmod(np.arange(70 * 90), 90)
+    d = density._apart(x, y, r, c).reshape(70, 90) ** 2
+    assert (low <= d).all() and (d <= low + lose[:, None] + miss[None, :]).all()
+    assert (d - low).max() < 1e-4 * d.max()
+
+
+def test_ways_are_least_greatest_steps():
+    rng = np.random.default_rng(6)
+    d = np.triu(rng.integers(1, 60, size=(40, 40)).astype(float), 1)
+    d += d.T
+    u, v = np.triu_indices(40, 1)
+    kept = density._least(u, v, d[u, v])
+    assert len(kept) == 39
+    ways = density.Ways(np.arange(40) * 3, u[kept] * 3, v[kept] * 3, d[u, v][kept])
+    want = density._minimax(d)
+    assert (ways.meet(ways.place[u], ways.place[v]) == want[u, v]).all()
+    assert (ways.meet(ways.place, ways.place) == -1).all() and (ways.order[ways.place] == np.arange(40) * 3).all()
