@@ -208,3 +208,29 @@ def test_ways_are_least_greatest_steps():
     want = density._minimax(d)
     assert (ways.meet(ways.place[u], ways.place[v]) == want[u, v]).all()
     assert (ways.meet(ways.place, ways.place) == -1).all() and (ways.order[ways.place] == np.arange(40) * 3).all()
+
+
+def test_few_distances_are_worked_out_one_by_one(monkeypatch):
+    """Of two blocks, with copies: the distances that count are right, and most are ruled out by products."""
+    rng = np.random.default_rng(7)
+    blocks, x, w, many = [], rng.normal(size=(800, 32)), rng.integers(1, 4, size=800), 9
+    for k in (0, 400):
+        lists = density.pa.ListArray.from_arrays(np.arange(0, 400 * 32 + 1, 32, dtype=np.int32), x[k : k + 400].ravel())
+        blocks.append(density._Near(density.pa.table({"id": np.arange(k, k + 400), "v": lists, "w": w[k : k + 400]}), many))
+    seen, real = [], density._rows
+    monkeypatch.setattr(density, "_rows", lambda a, b: seen.append(len(a)) or real(a, b))
+    p, q = blocks
+    for b in blocks:
+        low, lose, miss = density._bounds(b.x, b.x)
+        b.limit = np.partition(low, many - 1, axis=1)[:, many - 1].astype(float) + lose + miss.max()
+        b.add(low, lose, miss, b)
+    low, lose, miss = density._bounds(p.x, q.x)
+    p.add(low, lose, miss, q)
+    q.add(low, lose, miss, p, by_column=True)
+    got = [r for b in blocks for r in b.table(True).to_pylist()]
+    for k, r in enumerate(got):
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        o = np.argsort(d, kind="stable")
+        o = o[: np.searchsorted(np.cumsum(w[o]), many) + 1]
+        assert r["who"] == o.tolist() and abs(r["bound"] - d[o[-1]]) < 1e-12
+    assert sum(seen) < 0.05 * 800 * 800
